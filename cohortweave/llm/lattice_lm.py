@@ -19,6 +19,7 @@ _SPACE = re.compile(r"[\x20\x09-\x0D]+")
 START = "▁"
 END = "\n"  # no word holds it
 DISCOUNT = 0.5
+MAX_PIECE = 16  # longer pieces of the file are rules of dashes and blanks
 BLOCK_BYTES = 8 << 20
 
 
@@ -29,8 +30,8 @@ def load_scores(path: str = PIECES) -> dict[str, float]:
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     mass: Counter = Counter()
     for i in range(model.get_piece_size()):
-        if not (model.is_control(i) or model.is_unknown(i)):
-            p = model.id_to_piece(i)
+        p = model.id_to_piece(i)
+        if not (model.is_control(i) or model.is_unknown(i) or len(p) > MAX_PIECE):
             mass[p if model.is_byte(i) else p.translate(str.maketrans(UPPER, UPPER.lower()))] += 1 / (i + 10)
     total = math.log(sum(mass.values()))
     return {p: math.log(m) - total for p, m in mass.items()}
@@ -63,16 +64,90 @@ def forward(word: str, scores: dict[str, float], longest: int, byte: list[float]
     return alpha
 
 
-def expected(word: str, scores: dict, longest: int, byte: list[float], into: dict, times: float) -> None:
-    """Add the word's expected piece counts over all its segmentations."""
-    s = START + word
-    alpha = forward(word, scores, longest, byte)
-    beta = [-math.inf] * len(s) + [0.0]
-    for i in range(len(s) - 1, -1, -1):
-        for j, v in _edges(s, i, scores, longest, byte):
-            beta[i] = _log_add(beta[i], v + beta[j])
-            if s[i:j] in scores:
-                into[s[i:j]] = into.get(s[i:j], 0.0) + times * math.exp(min(0.0, alpha[i] + v + beta[j] - alpha[-1]))
+class Lattice:
+    """The same recursion for many words at once: words of one length run together, substrings are found by hash."""
+
+    def __init__(self, scores: dict[str, float]):
+        self.scores, self.longest, self.byte = scores, max(map(len, scores)), _bytes_of(scores)
+        self.pieces = sorted(scores)
+        keys = np.zeros(len(self.pieces), np.uint64)
+        size = np.array([len(p) for p in self.pieces])
+        for n in np.unique(size):
+            at = np.flatnonzero(size == n)
+            keys[at] = _hash_rows(_codes([self.pieces[k] for k in at], int(n)))
+        self.order = np.argsort(keys)
+        self.keys, self.value = keys[self.order], np.array([scores[p] for p in self.pieces])[self.order]
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[self.keys >> np.uint64(44)] = True
+
+    def _find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows whose hash is a piece, and the pieces."""
+        rows = np.flatnonzero(self.maybe[h >> np.uint64(44)])
+        at = np.minimum(np.searchsorted(self.keys, h[rows]), len(self.keys) - 1)
+        ok = self.keys[at] == h[rows]
+        return rows[ok], at[ok]
+
+    def run(self, words: list[str], counts: np.ndarray | None = None) -> np.ndarray:
+        """Log marginals; with counts, the expected uses of each piece are added to it."""
+        out, by_len = np.zeros(len(words)), {}
+        for k, w in enumerate(words):
+            by_len.setdefault(len(w) + 1, []).append(k)
+        for n, ks in by_len.items():
+            step = max(1, 200_000 // n)
+            for lo in range(0, len(ks), step):
+                part = ks[lo : lo + step]
+                out[part] = self._same_length([START + words[k] for k in part], n, counts)
+        return out
+
+    def _same_length(self, texts: list[str], n: int, counts: np.ndarray | None) -> np.ndarray:
+        codes = _codes(texts, n)
+        alpha = np.full((n + 1, len(texts)), -np.inf)
+        alpha[0] = 0
+        edges = []
+        for i in range(n):
+            h = np.zeros(len(texts), np.uint64)
+            for j in range(i + 1, min(n, i + self.longest) + 1):
+                h = _hash_step(h, codes[:, j - 1])
+                rows, at = self._find(h)
+                if j == i + 1:
+                    lone = np.setdiff1d(np.arange(len(texts)), rows, assume_unique=True)
+                    if lone.size:
+                        chars, back = np.unique(codes[lone, i], return_inverse=True)
+                        cost = np.array([sum(self.byte[b] for b in chr(int(c)).encode("utf-8", "replace")) for c in chars])[back]
+                        alpha[j, lone] = np.logaddexp(alpha[j, lone], alpha[i, lone] + cost)
+                        edges.append((i, j, lone, None, cost))
+                if rows.size:
+                    alpha[j, rows] = np.logaddexp(alpha[j, rows], alpha[i, rows] + self.value[at])
+                    edges.append((i, j, rows, at, None))
+            if counts is None:
+                edges.clear()
+        if counts is not None:
+            beta = np.full((n + 1, len(texts)), -np.inf)
+            beta[n] = 0
+            for i, j, rows, at, cost in sorted(edges, key=lambda e: -e[0]):
+                v = (self.value[at] if cost is None else cost) + beta[j, rows]
+                beta[i, rows] = np.logaddexp(beta[i, rows], v)
+                if at is not None:
+                    counts += np.bincount(at, np.exp(np.minimum(0, alpha[i, rows] + v - alpha[n, rows])), len(counts))
+        return alpha[n]
+
+
+def _hash_step(h, c):
+    with np.errstate(over="ignore"):
+        h = (h + c + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        return h ^ (h >> np.uint64(29))
+
+
+def _hash_rows(codes: np.ndarray) -> np.ndarray:
+    h = np.zeros(len(codes), np.uint64)
+    for j in range(codes.shape[1]):
+        h = _hash_step(h, codes[:, j])
+    return h
+
+
+def _codes(texts: list[str], n: int) -> np.ndarray:
+    """Code points of texts of n characters, a row each."""
+    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(texts), n).astype(np.uint64)
 
 
 def _bytes_of(scores: dict) -> list[float]:
@@ -81,15 +156,13 @@ def _bytes_of(scores: dict) -> list[float]:
 
 def refit(vocabulary: DataFrame, scores: dict[str, float]) -> dict[str, float]:
     """One expectation step over every training word type; a row per piece of the file returns."""
-    longest, byte = max(map(len, scores)), _bytes_of(scores)
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        got: dict[str, float] = {}
+        lattice = Lattice(scores)
+        got = np.zeros(len(lattice.keys))
         for b in batches:
-            for w in b["word"]:
-                expected(w, scores, longest, byte, got, 1.0)
-        if got:
-            yield pd.DataFrame({"piece": list(got), "x": list(got.values())})
+            lattice.run(list(b["word"]), got)
+        at = np.flatnonzero(got)
+        yield pd.DataFrame({"piece": [lattice.pieces[lattice.order[k]] for k in at], "x": got[at]})
 
     counts = vocabulary.filter(F.col("c") > 0).filter(F.col("word") != END).select("word").mapInPandas(run, "piece string, x double")
     found = {r.piece: r.x for r in counts.groupBy("piece").agg(F.sum("x").alias("x")).collect()}
@@ -127,19 +200,21 @@ def score_documents(docs: DataFrame, train_rest: tuple[int, int] = (10, 0), piec
     blocks = max(1, math.ceil(size / BLOCK_BYTES))
     d = docs.select("doc_id", (~held).alias("learn"), t.alias("text"), F.pmod(F.xxhash64("doc_id", t), F.lit(blocks)).cast("int").alias("block"))
     per_block = written(d.repartition("block").mapInPandas(_count, "block int, word string, n long"))
-    vocab = written(per_block.groupBy("word").agg(F.sum("n").alias("c")))
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, blocks)  # the lattice costs far more than its bytes
+    vocab = written(per_block.groupBy("word").agg(F.sum("n").alias("c")).repartition(tasks, "word"))
     row = vocab.agg(F.sum("c").alias("N"), F.count(F.when(F.col("c") > 0, 1)).alias("V")).first()
     N, V = row["N"] or 0, row["V"] or 0
     scores = refit(vocab, load_scores(pieces))
-    longest, byte = max(map(len, scores)), _bytes_of(scores)
     free = DISCOUNT * V / N if N else 1.0
 
     def lattice(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = Lattice(scores)
         for b in batches:
-            spell = [math.log(1 / (V + 1)) if w == END else forward(w, scores, longest, byte)[-1] for w in b["word"]]
+            names = list(b["word"])
+            spell = np.where(b["word"] == END, -math.log(V + 1), model.run(names))
             c = b["c"].to_numpy(np.float64)
             direct = np.log10(np.maximum(c - DISCOUNT, 1e-300) / max(N, 1))
-            back = math.log10(free) + np.array(spell) / math.log(10)
+            back = math.log10(free) + spell / math.log(10)
             lp = np.where(c > 0, np.logaddexp(direct * math.log(10), back * math.log(10)) / math.log(10), back)
             base = np.log10((c + 0.1) / (N + 0.1 * (V + 1)))
             yield pd.DataFrame({"word": b["word"], "known": b["c"] > 0, "base": base, "lp": lp})

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import UPPER, remainder, text_of
+from .common import UPPER, remainder, text_of, written
 
 #: Fixed lexicons; each is one voter.
 LEXICONS = {
@@ -19,34 +21,79 @@ LEXICONS = {
     "disgust": ("disgusting", "trash", "scum", "filth", "vermin", "garbage"),
     "ridicule": ("clown", "joke", "buffoon", "freak", "creep"),
 }
-VOTERS = (*LEXICONS, "repeated", "several", "dense", "loud", "shouting")
+STEMS = (4, 5, 6)  # word beginnings that may be learned as lexicon entries
+LEARNED = 3  # voters that share the learned entries
+MAX_ENTRIES = 2000
+VOTERS = (*LEXICONS, *[f"learned{i}" for i in range(LEARNED)], "repeated", "several", "dense", "loud", "shouting")
 _WORD_OF = {w: i for i, ws in enumerate(LEXICONS.values()) for w in ws}
-_HIT = re.compile(r"(?<![^\W_])(?:" + "|".join(sorted(_WORD_OF)) + r")(?![^\W_])")
+_WORD = re.compile(r"[^\W\d_]+")
 _LOWER = str.maketrans(UPPER, UPPER.lower())
-N_LEX = len(LEXICONS)
+N_LEX = len(LEXICONS) + LEARNED
+WIDTH = N_LEX + 5
 
 
-def features(text: str) -> np.ndarray:
-    """Per lexicon the log count; then log hits, distinct words, density, exclamation runs, capitals."""
-    hits = _HIT.findall(text.translate(_LOWER))
-    n = np.zeros(N_LEX)
-    for h in hits:
-        n[_WORD_OF[h]] += 1
-    size = max(1, text.count(" ") + text.count("\n") + 1)
-    capitals = len(re.findall(r"\b[A-Z]{3,}\b", text)) / size
-    return np.concatenate([np.log1p(n), [np.log1p(len(hits)), len(set(hits)), min(1.0, 50 * len(hits) / size), min(3, text.count("!!")), min(1.0, 5 * capitals)]])
+def entries_of(word: str) -> list[str]:
+    """The forms under which a word may be an entry: itself, and its beginnings marked by *."""
+    return [word, *[word[:k] + "*" for k in STEMS if len(word) >= k]]
+
+
+def features(text: str, learned: dict[str, int], heads: set[str]) -> np.ndarray:
+    """Per lexicon the log count; then log hits, distinct words, density, exclamation runs, capitals.
+
+    heads: the first letters of the learned entries, to pass over other words fast.
+    """
+    n, hits, distinct, size = np.zeros(N_LEX), 0, 0, 0
+    for w, k in Counter(_WORD.findall(text.translate(_LOWER))).items():
+        size += k
+        if w not in _WORD_OF and w[: STEMS[0]] not in heads:
+            continue
+        voters = {_WORD_OF[w]} if w in _WORD_OF else set()
+        if learned:
+            voters |= {len(LEXICONS) + learned[e] for e in entries_of(w) if e in learned}
+        for i in voters:
+            n[i] += k
+        hits += k * bool(voters)
+        distinct += bool(voters)
+    capitals = len(re.findall(r"\b[A-Z]{3,}\b", text)) / max(1, size)
+    return np.concatenate([np.log1p(n), [np.log1p(hits), min(8, distinct), min(1.0, 50 * hits / max(1, size)), min(3, text.count("!!")), min(1.0, 5 * capitals)]])
 
 
 def votes(f: np.ndarray) -> np.ndarray:
     """1 toxic, 0 not, -1 abstain, in the order of VOTERS."""
-    lex = (f[:N_LEX] > 0).astype(int)
     hit = f[N_LEX] > 0
     return np.concatenate([
-        lex, [int(f[N_LEX] > np.log(2.5)), int(f[N_LEX + 1] >= 2), int(f[N_LEX + 2] > 0.2)],
+        (f[:N_LEX] > 0).astype(int), [int(f[N_LEX] > np.log(2.5)), int(f[N_LEX + 1] >= 2), int(f[N_LEX + 2] > 0.2)],
         [1 if f[N_LEX + 3] > 0 and hit else -1, 1 if f[N_LEX + 4] > 0.5 and hit else -1],
     ])
 
 
+def _entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        pos: Counter = Counter()
+        every: Counter = Counter()
+        for text, y in zip(b["text"], b["toxic"], strict=True):
+            own = {e for w in set(_WORD.findall(text.translate(_LOWER))) for e in entries_of(w)}
+            every.update(own)
+            if y:
+                pos.update(own)
+        yield pd.DataFrame({"entry": list(every), "pos": [pos[e] for e in every], "n": list(every.values())})
+
+
+def learn_entries(labelled: DataFrame, prior: float) -> dict[str, int]:
+    """Lexicon entries whose share of toxic among all labelled texts that hold them is beyond chance.
+
+    Every labelled text is counted; an entry needs a share over 0.9 and n * KL(share, prior) over the log of the number of
+    entries tested, so chance yields about one. At most MAX_ENTRIES, the strongest, become the driver's table. An entry's
+    voter is fixed by its order, so the voters are of like strength.
+    """
+    counts = written(labelled.select("text", "toxic").mapInPandas(_entries, "entry string, pos long, n long").groupBy("entry").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n")).filter("pos >= 2"))
+    tested = counts.count()
+    share = F.least(F.col("pos") / F.col("n"), F.lit(1 - 1e-9))
+    kl = share * F.log(share / prior) + (1 - share) * F.log((1 - share) / (1 - prior))
+    best = counts.filter(share > 0.9).withColumn("g", F.col("n") * kl).filter(F.col("g") > math.log(tested + 1.0))
+    return {r.entry: i % LEARNED for i, r in enumerate(best.orderBy(F.desc("g"), "entry").limit(MAX_ENTRIES).collect())}
+
+
 def fit_label_model(patterns: np.ndarray, counts: np.ndarray, prior: float, rounds: int = 50) -> np.ndarray:
     """Posterior of toxic for each vote pattern, by EM on a two-class generative model.
 
@@ -89,45 +136,42 @@ def fit_linear(x: np.ndarray, y: np.ndarray, w: np.ndarray, rounds: int = 60, ri
     return beta
 
 
-def _vote_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        f = [features(t) for t in b["text"]]
-        yield pd.DataFrame({"doc_id": b["doc_id"], "learn": b["learn"], "f": f, "v": ["".join("a01"[k + 1] for k in votes(x)) for x in f]})
-
-
 def score_toxicity(docs: DataFrame, labels: DataFrame, mod: int = 5, held: int = 0) -> DataFrame:
     """Per row of docs: doc_id, held_out, score, predicted (1 where score >= 0.5).
 
-    The label model takes the vote patterns of all rows whose id remainder is not `held` (at most 2^7 * 2^2
-    patterns, counted in the shuffle). Labels of those rows set only the class prior. The classifier is fitted on each
-    pattern's posterior, with the pattern's mean features, weighted by the log of its count. Null or empty
-    text has no hit and is scored as such. Labels may be empty: the prior is then 0.1. Null toxic is no label.
+    Of rows whose id remainder is not `held`, labels set the class prior and add lexicon entries, and the label model takes all
+    vote patterns, counted in the shuffle (at most 2^10 * 2^2). The classifier is fitted on each pattern's posterior,
+    with the pattern's mean features, weighted by the log of its count. Null or empty text has no hit and is scored
+    as such. Labels may be empty: the prior is then 0.1 and only the fixed lexicons vote. A null toxic or doc_id is
+    no label.
     """
     learn = remainder(F.col("doc_id"), mod) != held
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", learn.alias("learn"), text_of().alias("text")).mapInPandas(
-        _vote_rows, f"doc_id {id_type}, learn boolean, f array<double>, v string"
-    )
-    width = N_LEX + 5
+    known = labels.filter("toxic is not null").filter(remainder(F.col("doc_id"), mod) != held).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    prior = known.agg(F.avg(F.col("toxic").cast("double")).alias("p")).first()["p"]
+    prior = min(0.5, max(0.01, 0.1 if prior is None else prior))
+    learned = learn_entries(docs.select("doc_id", text_of().alias("text")).join(known, "doc_id"), prior)
+
+    heads = {e.rstrip("*")[: STEMS[0]] for e in learned}
+
+    def vote(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            f = [features(t, learned, heads) for t in b["text"]]
+            yield pd.DataFrame({"doc_id": b["doc_id"], "learn": b["learn"], "f": f, "v": ["".join("a01"[k + 1] for k in votes(x)) for x in f]})
+
+    rows = written(docs.select("doc_id", learn.alias("learn"), text_of().alias("text")).mapInPandas(vote, f"doc_id {id_type}, learn boolean, f array<double>, v string"))
     patterns = (
         rows.filter("learn").groupBy("v")
-        .agg(F.count(F.lit(1)).alias("n"), *[F.avg(F.get("f", F.lit(i))).alias(f"f{i}") for i in range(width)]).orderBy("v").collect()
+        .agg(F.count(F.lit(1)).alias("n"), *[F.avg(F.get("f", F.lit(i))).alias(f"f{i}") for i in range(WIDTH)]).orderBy("v").collect()
     )
-    prior = labels.filter("toxic is not null").filter(remainder(F.col("doc_id"), mod) != held).agg(F.avg(F.col("toxic").cast("double")).alias("p")).first()["p"]
-    prior = min(0.5, max(0.01, 0.1 if prior is None else prior))
-    beta = np.append(np.zeros(width), -2.0)
+    beta = np.append(np.zeros(WIDTH), -2.0)
     if patterns:
         v = np.array([["a01".index(c) - 1 for c in r.v] for r in patterns])
         n = np.array([r.n for r in patterns], float)
-        x = np.array([[r[f"f{i}"] for i in range(width)] for r in patterns])
+        x = np.array([[r[f"f{i}"] for i in range(WIDTH)] for r in patterns])
         beta = fit_linear(x, fit_label_model(v, n, prior), np.log1p(n))
-
-    def classify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            x = np.array([features(t) for t in b["text"]]).reshape(len(b), width)
-            s = 1 / (1 + np.exp(-np.clip(x @ beta[:-1] + beta[-1], -30, 30)))
-            yield pd.DataFrame({"doc_id": b["doc_id"], "held_out": ~b["learn"].astype(bool), "score": s, "predicted": (s >= 0.5).astype(np.int32)})
-
-    return docs.select("doc_id", learn.alias("learn"), text_of().alias("text")).mapInPandas(
-        classify, f"doc_id {id_type}, held_out boolean, score double, predicted int"
-    )
+    z = F.lit(float(beta[-1]))
+    for i in range(WIDTH):
+        z = z + F.get("f", F.lit(i)) * float(beta[i])
+    score = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))
+    return rows.select("doc_id", (~F.col("learn")).alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))

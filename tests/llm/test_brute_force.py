@@ -234,3 +234,12 @@ def test_null_and_repeated_ids(spark):
         dart_minhash.near_duplicates(d), language_id.identify_language(d), toxicity.score_toxicity(d, labels), mixing.mix(d),
     ):
         assert len(df.collect()) == 4
+
+
+def test_lattice_batches_agree_with_forward():
+    scores = lattice_lm.load_scores()
+    model = lattice_lm.Lattice(scores)
+    names = ["the", "nation", "x", "naïve", "🙂🙂", "thering" * 9]
+    one = [lattice_lm.forward(w, scores, model.longest, model.byte)[-1] for w in names]
+    counts = np.zeros(len(model.keys))
+    assert model.run(names, counts) == pytest.approx(one) and counts.sum() > len(names)
