@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, text_of, words
+from .common import bounded_broadcast, text_of, words, written
 
 #: Fingerprint rows (16 bytes each) that a broadcast may hold.
 MAX_BROADCAST_ROWS = 1_000_000
@@ -86,6 +86,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
     found = _matches(doc, items, window).withColumn("n", F.lit(window))
     for n in short:  # at most window - 1 lengths
         found = found.unionByName(_short_matches(doc, items, n).withColumn("n", F.lit(n)))
+    found = written(found)  # read twice below; the documents are searched once
     at = found.groupBy("doc_id", "pos").agg(F.max("n").alias("n")).groupBy("doc_id").agg(
         F.array_sort(F.collect_list(F.struct("pos", (F.col("pos") + F.col("n")).alias("end")))).alias("at")
     )
@@ -100,7 +101,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
             F.greatest(a["end"], x["end"]).alias("end"),
         ),
     )["n"]
-    hits = at.join(names, F.expr("true") & at.doc_id.eqNullSafe(names.doc_id)).select(
+    hits = at.join(names, at.doc_id.eqNullSafe(names.doc_id)).select(
         at.doc_id.alias("hit_id"), covered.alias("n_hit"), "items", F.col("at").alias("spans")
     )
     counts = docs.select("doc_id", F.size(w).cast("long").alias("n_words"))
