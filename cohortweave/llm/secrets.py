@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import text_of, written
 
 #: Fixed patterns, in the order that breaks ties of one start.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -122,7 +122,9 @@ def scan_secrets(docs: DataFrame, q: float = 0.05) -> DataFrame:
         _spans(F.col("text"), CANDIDATE),
         lambda s: s["match"].rlike("[0-9]") & s["match"].rlike("[A-Za-z]") & ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])),
     )
-    cand = d.select("doc_id", F.explode(free).alias("s")).select("doc_id", "s.*")
+    # the patterns run once: counts, base spans and candidates are written, the texts are not
+    d = written(d.select("doc_id", *[F.size(c).cast("long").alias(f"n_{c}") for c in ("assign", "access", "hex")], "base", free.alias("free")))
+    cand = d.select("doc_id", F.explode("free").alias("s")).select("doc_id", "s.*")
     body = F.regexp_replace("match", "=+$", "")
     enc = F.when(body.rlike("^([0-9a-f]+|[0-9A-F]+)$"), "hex").when(body.rlike("^[A-Z2-7]+$"), "base32").otherwise("base64")
     cand = cand.withColumn("enc", enc)
@@ -130,13 +132,13 @@ def scan_secrets(docs: DataFrame, q: float = 0.05) -> DataFrame:
     alphabet = F.create_map(*[F.lit(x) for kv in ALPHABETS.items() for x in kv])
     code = F.transform(F.array_remove(F.split(plain, ""), ""), lambda ch: F.instr(F.element_at(alphabet, F.col("enc")), ch) - 1)
     cand = cand.withColumn("code", code).filter(F.size("code") >= 20)
-    extra = _random_spans(_battery(cand), q).groupBy("doc_id").agg(
+    tested = written(_battery(cand).select("doc_id", "start", "end", "enc", "n", "p"))
+    extra = _random_spans(tested, q).groupBy("doc_id").agg(
         F.collect_set(F.struct("start", F.lit(3).alias("k"), "end", F.lit("random").alias("kind"))).alias("extra")
     ).withColumnRenamed("doc_id", "extra_id")
     text = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
     none = F.array().cast("array<struct<start:int,k:int,end:int,kind:string>>")
-    slim = d.select("doc_id", *[F.size(c).cast("long").alias(f"n_{c}") for c in ("assign", "access", "hex")], "base")
-    return slim.join(extra, F.col("doc_id").eqNullSafe(F.col("extra_id")), "left").select(
+    return d.join(extra, F.col("doc_id").eqNullSafe(F.col("extra_id")), "left").select(
         "doc_id", "n_assign", "n_access", "n_hex", F.transform("base", text).alias("base"),
         F.transform(F.array_sort(F.concat("base", F.coalesce("extra", none))), text).alias("spans"),
     )
