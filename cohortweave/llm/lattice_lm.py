@@ -19,6 +19,7 @@ _SPACE = re.compile(r"[\x20\x09-\x0D]+")
 START = "▁"
 END = "\n"  # no word holds it
 DISCOUNT = 0.5
+CONCENTRATION = 1000.0  # tokens after which a document's own counts weigh as much as the corpus
 MAX_PIECE = 16  # longer pieces of the file are rules of dashes and blanks
 BLOCK_BYTES = 8 << 20
 
@@ -162,7 +163,8 @@ def refit(vocabulary: DataFrame, scores: dict[str, float]) -> dict[str, float]:
         for b in batches:
             lattice.run(list(b["word"]), got)
         at = np.flatnonzero(got)
-        yield pd.DataFrame({"piece": [lattice.pieces[lattice.order[k]] for k in at], "x": got[at]})
+        if at.size:
+            yield pd.DataFrame({"piece": [lattice.pieces[lattice.order[k]] for k in at], "x": got[at]})
 
     counts = vocabulary.filter(F.col("c") > 0).filter(F.col("word") != END).select("word").mapInPandas(run, "piece string, x double")
     found = {r.piece: r.x for r in counts.groupBy("piece").agg(F.sum("x").alias("x")).collect()}
@@ -185,11 +187,24 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"block": block, "word": names, "n": [train.get(w, 0) for w in names]})
 
 
-def score_documents(docs: DataFrame, train_rest: tuple[int, int] = (10, 0), pieces: str = PIECES) -> DataFrame:
+def _rising(a: float, n: int) -> float:
+    """ln a(a+1)...(a+n-1)."""
+    return math.lgamma(a + n) - math.lgamma(a)
+
+
+def _urn(n: int, log10_p: float, m: float) -> float:
+    """ln of the urn's factors for n uses of one token; the first is m * p, which may underflow."""
+    first = math.log(m) + log10_p * math.log(10)
+    return first if n == 1 else first + _rising(1 + math.exp(min(first, 50.0)), n - 1)
+
+
+def score_documents(docs: DataFrame, train_rest: tuple[int, int] = (10, 0), pieces: str = PIECES, concentration: float = CONCENTRATION) -> DataFrame:
     """Per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     P(token) = (c - 1/2)/N for known tokens, plus the mass so freed times the lattice's marginal probability,
-    in which each segmentation of the word into the vocabulary's pieces takes part. Corpus counts are kept per distinct
+    in which each segmentation of the word into the vocabulary's pieces takes part. A document is a Polya urn over
+    these: its i-th token has probability (k + m * P)/(i + m) after k equal and i tokens in all, with m the concentration, so the
+    product does not depend on the order and a new word is spelled once. Corpus counts are kept per distinct
     token and joined by token; documents and the counts of their tokens meet in blocks of about 8 MB.
     Null or empty text is the end token alone; repeated rows are each scored and each counted.
     """
@@ -227,9 +242,12 @@ def score_documents(docs: DataFrame, train_rest: tuple[int, int] = (10, 0), piec
         at = dict(zip(right["word"], zip(right["known"], right["base"], right["lp"], strict=True), strict=True))
         rows = []
         for text in left["text"]:
-            own = [at[w] for w in _SPACE.split(text) if w]
-            own.append(at[END])
-            rows.append((len(own), sum(x[0] for x in own), math.fsum(x[1] for x in own), math.fsum(x[2] for x in own)))
+            own = Counter(w for w in _SPACE.split(text) if w)
+            own[END] += 1
+            each = [(k, *at[w]) for w, k in own.items()]
+            size = sum(own.values())
+            urn = math.fsum(_urn(k, lp, concentration) for k, _, _, lp in each) - _rising(concentration, size)
+            rows.append((size, sum(k for k, known, _, _ in each if known), math.fsum(k * base for k, _, base, _ in each), urn / math.log(10)))
         n, k, base, lp = zip(*rows, strict=True) if rows else ((), (), (), ())
         return pd.DataFrame({"doc_id": left["doc_id"], "held_out": ~left["learn"].astype(bool), "n_tokens": n, "n_known": k, "train_tokens": N, "base_score": base, "score": lp})
 
