@@ -243,3 +243,13 @@ def test_lattice_batches_agree_with_forward():
     one = [lattice_lm.forward(w, scores, model.longest, model.byte)[-1] for w in names]
     counts = np.zeros(len(model.keys))
     assert model.run(names, counts) == pytest.approx(one) and counts.sum() > len(names)
+
+
+def test_urn_is_the_product_of_its_steps():
+    p, m = {"a": 0.3, "b": 0.02, "c": 1e-9}, 40.0
+    said, seen, steps = list("aabacbaac"), Counter(), 0.0
+    for i, w in enumerate(said):
+        steps += math.log((seen[w] + m * p[w]) / (i + m))
+        seen[w] += 1
+    whole = sum(lattice_lm._urn(n, math.log10(p[w]), m) for w, n in seen.items()) - lattice_lm._rising(m, len(said))
+    assert whole == pytest.approx(steps) and math.isfinite(lattice_lm._urn(3, -50000.0, m))
