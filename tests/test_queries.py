@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+from cohortweave.plans import scoring  # noqa: F401  registers its queries
 from cohortweave.plans.queries import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
