@@ -14,6 +14,7 @@ from .common import bounded_broadcast, text_of, words, written
 SHINGLE = 5
 ROWS, BANDS = 4, 24
 MAX_BROADCAST_IDS = 1_000_000  # of 8 bytes
+FRUITFUL = 0.1  # share of linked pairs under which the exact filter takes over from the turns
 _U = np.uint64
 
 
@@ -122,11 +123,16 @@ def _pairs(both: DataFrame, threshold: float) -> DataFrame:
     return near.select(F.least("doc_id", "l.doc_id").alias("a"), F.greatest("doc_id", "l.doc_id").alias("b")).distinct()
 
 
-def _leader_pairs(ex: DataFrame, threshold: float) -> DataFrame:
-    """Each bucket's members with its smallest and its largest id; the same two leaders serve all of a group's buckets."""
+def _members(ex: DataFrame) -> DataFrame:
+    """Members of buckets of more than one id, each with its bucket's smallest and largest; later steps read only these."""
     member = F.struct("doc_id", "n")
     lead = ex.groupBy("bucket").agg(F.min(member).alias("low"), F.max(member).alias("high")).filter("low.doc_id <> high.doc_id")
-    return _pairs(ex.join(lead.select("bucket", F.explode(F.array("low", "high")).alias("l")), "bucket"), threshold)
+    return ex.join(lead, "bucket")
+
+
+def _leader_pairs(members: DataFrame, threshold: float) -> DataFrame:
+    """Each bucket's members with its smallest and its largest id; the same two leaders serve all of a group's buckets."""
+    return _pairs(members.select("doc_id", "n", F.explode(F.array("low", "high")).alias("l")), threshold)
 
 
 def _class_pairs(ex: DataFrame, label: DataFrame, turn: int, threshold: float) -> DataFrame:
@@ -145,6 +151,36 @@ def _class_pairs(ex: DataFrame, label: DataFrame, turn: int, threshold: float) -
     return _pairs(own.join(lead.select("bucket", F.explode(leaders).alias("l")), "bucket").filter("label <> l.label"), threshold)
 
 
+def _open(members: DataFrame, label: DataFrame) -> DataFrame:
+    """(doc_id, label) of the members of all buckets that still hold several classes."""
+    own = members.select("doc_id", "bucket").join(label, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+    several = own.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
+    return own.join(several.select("bucket"), "bucket", "left_semi").select("doc_id", "label").distinct()
+
+
+def _prefix_pairs(sets: DataFrame, threshold: float) -> DataFrame:
+    """Every pair (a, b) of different labels that may reach the threshold, by an exact prefix filter.
+
+    Shingles are ordered from the rarest. Sets of sizes x >= y at the threshold share at least
+    need = t / (1 + t) * (x + y) shingles, so the first one they share has need - 1 others behind it in either set. It is thus
+    early in both, where shingles of one text or few stand, and what a whole group shares meets no one. Shingles of a
+    single set only move the others back.
+    """
+    each = sets.select("doc_id", "label", F.size("s").alias("n"), F.explode("s").alias("t"))
+    common = sets.select(F.explode("s").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("f")).filter("f > 1")
+    order = each.join(common, "t").groupBy("doc_id", "label", "n").agg(F.sort_array(F.collect_list(F.struct("f", "t"))).alias("o"))
+    size = F.col("n").cast("double")
+    head = F.floor(size - threshold * size + 1e-6) + 1 - (F.col("n") - F.size("o"))
+    entry = order.filter(head > 0).select("doc_id", "label", "n", (F.col("n") - F.size("o")).alias("lone"), F.posexplode(F.slice("o", F.lit(1), head.cast("int"))).alias("i", "e"))
+    entry = written(entry.select("e.t", "doc_id", "label", "n", (F.col("n") - F.col("lone") - F.col("i")).alias("rest")))
+    x = entry.select("t", *[F.col(c).alias(f"x_{c}") for c in ("doc_id", "label", "n", "rest")])
+    y = entry.filter(F.col("rest") >= 2 * threshold / (1 + threshold) * F.col("n") - 1e-6)
+    larger = (F.col("x_n") > F.col("n")) | ((F.col("x_n") == F.col("n")) & (F.col("x_doc_id") > F.col("doc_id")))
+    enough = F.least("x_rest", "rest") >= threshold / (1 + threshold) * (F.col("x_n") + F.col("n")) - 1e-6
+    near = x.join(y, (x.t == y.t) & (F.col("x_label") != F.col("label")) & larger & enough)
+    return near.select(F.least("doc_id", "x_doc_id").alias("a"), F.greatest("doc_id", "x_doc_id").alias("b")).distinct()
+
+
 def _compare(threshold: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -162,16 +198,22 @@ def _to_shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"doc_id": b["doc_id"], "s": [shingles(h).view(np.int64) for h in b["h"]]})
 
 
-def _verified(pairs: DataFrame, hashed: DataFrame, threshold: float) -> DataFrame:
+def _sets_of(ids: DataFrame, hashed: DataFrame) -> DataFrame:
+    return written(hashed.join(bounded_broadcast(ids, MAX_BROADCAST_IDS), "doc_id", "left_semi").mapInPandas(_to_shingles, "doc_id long, s array<long>"))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Pairs whose shingle sets reach the threshold exactly."""
-    wanted = bounded_broadcast(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), MAX_BROADCAST_IDS)
-    sets = written(hashed.join(wanted, "doc_id", "left_semi").mapInPandas(_to_shingles, "doc_id long, s array<long>"))
     full = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(
         sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b"
     )
     return written(full.select("a", "b", "sa", "sb").mapInPandas(_compare(threshold), "a long, b long"))
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(doc_id, label): the smallest id of each connected component, by min-label steps with pointer jumps."""
     arcs = edges.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("e")).select("e.*")
@@ -200,9 +242,10 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """One row per row of docs with a non-null id: doc_id, class_id (its class's smallest doc_id), kept.
 
     Sets of five-word shingles with Jaccard of at least `threshold` are linked; classes are connected components.
-    Copies with the same words fold first. Each bucket's members are compared with two leaders, not with each
-    other, so work is linear in a bucket of any size; then, turn by turn until no link is new, with members of other classes in
-    a bucket. A text without words is a class of its own; rows that repeat a doc_id share its class, and rows
+    Copies with the same words fold first. Each bucket's members are compared with two leaders, then, turn by turn while
+    enough pairs link, with members of other classes in a bucket; this folds large groups in linear work. All texts of
+    buckets that still hold several classes then go through an exact prefix filter, so no pair of a bucket at the
+    threshold is left out. A text without words is a class of its own; rows that repeat a doc_id share its class, and rows
     with a null doc_id get a null class and are kept. doc_id is integral.
     """
     w = words(text_of())
@@ -214,20 +257,26 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     signed = written(inputs.mapInPandas(_sign, "doc_id long, n long, content binary, bands array<long>"))
     low = F.min(F.struct("doc_id", "n", "bands")).alias("m")
     reps = written(signed.groupBy("content").agg(low).select("content", F.col("m.doc_id").alias("rep"), "m.n", "m.bands"))
-    ex = reps.select(F.col("rep").alias("doc_id"), "n", F.explode("bands").alias("bucket"))
-    done = written(_leader_pairs(ex, threshold))
-    label = components(_verified(done, hashed, threshold))
+    members = written(_members(reps.select(F.col("rep").alias("doc_id"), "n", F.explode("bands").alias("bucket"))))
+    done = written(_leader_pairs(members, threshold))
+    label = components(_verified(done, _sets_of(_ends(done), hashed), threshold))
     turn = 0
     while True:
         turn += 1
-        more = written(_class_pairs(ex, label, turn, threshold).join(done, ["a", "b"], "left_anti"))
-        if more.isEmpty():
-            break
-        extra = _verified(more, hashed, threshold)
-        if extra.isEmpty():
+        more = written(_class_pairs(members.select("doc_id", "n", "bucket"), label, turn, threshold).join(done, ["a", "b"], "left_anti"))
+        compared = more.count()
+        if not compared:
             break
+        extra = _verified(more, _sets_of(_ends(more), hashed), threshold)
         label = _merged(label, extra)
         done = done.unionByName(more)
+        if extra.count() < FRUITFUL * compared:
+            break
+    left = written(_open(members, label))
+    if not left.isEmpty():
+        sets = _sets_of(left.select("doc_id"), hashed)
+        rest = written(_prefix_pairs(sets.join(left, "doc_id"), threshold).join(done, ["a", "b"], "left_anti"))
+        label = _merged(label, _verified(rest, sets, threshold))
     member = signed.select("doc_id", "content").join(reps.select("content", "rep"), "content").groupBy("doc_id").agg(F.min("rep").alias("rep"))
     classes = member.join(label.withColumnRenamed("doc_id", "rep"), "rep", "left").select("doc_id", F.coalesce("label", "rep").alias("class_id"))
     ids = docs.select("doc_id")

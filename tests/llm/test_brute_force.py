@@ -160,6 +160,28 @@ def test_near_duplicates(docs):
     assert all(r.kept == (r.class_id == i) for i, r in got.items())
 
 
+def test_near_duplicates_in_a_bucket_of_hundreds_of_classes(spark, monkeypatch):
+    sign = dart_minhash._sign
+
+    def one_bucket(batches):
+        for b in sign(batches):
+            b["bands"] = [[0]] * len(b)
+            yield b
+
+    monkeypatch.setattr(dart_minhash, "_sign", one_bucket)
+    r = random.Random(8)
+    word = lambda: "".join(r.choices("abcdefghijklmnop", k=7))
+    passage = [word() for _ in range(124)]
+    texts = [passage + [word() for _ in range(18)] for _ in range(500)]
+    twins = {500 + k: 40 * k + 3 for k in range(12)}
+    texts += [texts[of][:-13] + [word() for _ in range(18)] for of in twins.values()]
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in texts]
+    linked = {(a, b) for b in range(len(sets)) for a in range(b) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert linked == {(of, i) for i, of in twins.items()} and len(sets[0] & sets[1]) > 0.65 * len(sets[0] | sets[1])
+    got = by_id(dart_minhash.near_duplicates(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")))
+    assert {i: x.class_id for i, x in got.items()} == {i: twins.get(i, i) for i in range(len(texts))}
+
+
 def test_dart_minhash_estimates_weighted_jaccard():
     g = np.random.default_rng(1)
     e = dart_minhash.mix64(np.arange(1, 301, dtype=np.uint64))
