@@ -33,33 +33,37 @@ def _reassemble(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 lines = [x for x in lines if _digest(x) not in gone]
             kept.append("\n".join(lines))
             n_dropped.append(n_lines[-1] - len(lines))
-        yield pd.DataFrame({"doc_id": b["doc_id"], "text": kept, "n_lines": n_lines, "n_dropped": n_dropped})
+        yield pd.DataFrame({b.columns[0]: b.iloc[:, 0], "text": kept, "n_lines": n_lines, "n_dropped": n_dropped})
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, row: str | None = None) -> DataFrame:
     """One row per row of docs: doc_id, text (kept lines), n_lines, n_dropped.
 
     Keys (128-bit hashes of the normalised lines) under min_chars code points are never dropped. A key of at
     least min_docs documents stays (with all its lines) in the largest doc_id only. Null or empty text is one
     empty line; every row is a document, and rows that repeat a doc_id hold or lose a key alike; a null doc_id
     is below all others. The text is shuffled once, to meet its dropped keys; hot keys are summed
-    before the shuffle, and AQE can split them in the key join.
+    before the shuffle, and AQE can split them in the key join. With `row`, the name of a unique key, the output has it in
+    place of doc_id, and of rows that repeat a doc_id only the one of the largest key holds a line.
     """
-    d = docs.select("doc_id", text_of().alias("text"))
+    key = row or "doc_id"
+    names = ["doc_id", row] if row else ["doc_id"]
+    who = F.struct(*names) if row else F.col("doc_id")
+    d = docs.select(*names, text_of().alias("text"))
     keys = d.select(
-        "doc_id",
+        *names,
         F.explode(F.array_distinct(F.transform(
             F.filter(F.transform(F.split("text", "\n", -1), line_key), lambda k: F.length(k) >= min_chars),
             lambda k: F.unhex(F.md5(k.cast("binary"))),
         ))).alias("h"),
     )
     shared = (
-        keys.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("holder")).filter(F.col("n") >= min_docs)
+        keys.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.max(who).alias("holder")).filter(F.col("n") >= min_docs)
     )
     drops = (
-        keys.join(shared, "h").filter(~F.col("doc_id").eqNullSafe(F.col("holder")))
-        .groupBy("doc_id").agg(F.collect_set("h").alias("drops"))
+        keys.join(shared, "h").filter(~who.eqNullSafe(F.col("holder")))
+        .groupBy(key).agg(F.collect_set("h").alias("drops"))
     )
-    both = d.alias("d").join(drops.alias("x"), F.expr("d.doc_id <=> x.doc_id"), "left").select("d.doc_id", "d.text", "x.drops")
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    return both.mapInPandas(_reassemble, f"doc_id {id_type}, text string, n_lines long, n_dropped long")
+    both = d.alias("d").join(drops.alias("x"), F.expr(f"d.{key} <=> x.{key}"), "left").select(f"d.{key}", "d.text", "x.drops")
+    id_type = docs.schema[key].dataType.simpleString()
+    return both.mapInPandas(_reassemble, f"{key} {id_type}, text string, n_lines long, n_dropped long")

@@ -38,8 +38,8 @@ def rake(cells: DataFrame, alpha: float, rounds: int) -> DataFrame:
     return cells
 
 
-def mix(docs: DataFrame, alpha: float = 0.7, keep: float = 0.8, rounds: int = 6, seed: int = 17) -> DataFrame:
-    """One row per row of docs: doc_id, source, lang, topic, n_tokens, ratio, prob, selected.
+def mix(docs: DataFrame, alpha: float = 0.7, keep: float = 0.8, rounds: int = 6, seed: int = 17, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of docs: doc_id, source, lang, topic, n_tokens, ratio, prob, selected, and the `carry` columns.
 
     Tokens are white-space words; null source, lang or text counts as ''. The raked share of a cell over its
     present share is its ratio; prob = min(1, scale * ratio), with scale fitted so that the expected tokens
@@ -55,6 +55,7 @@ def mix(docs: DataFrame, alpha: float = 0.7, keep: float = 0.8, rounds: int = 6,
         topic_of(t).alias("topic"),
         F.size(F.array_remove(F.split(F.translate(t, "\t\n\x0b\x0c\r", " " * 5), " "), "")).cast("long").alias("n_tokens"),
         F.xxhash64(F.lit(seed), F.col("doc_id"), t).alias("draw"),
+        *carry,
     )
     cells = d.groupBy(*DIMS).agg(F.sum("n_tokens").alias("tokens"))
     cells = rake(cells, alpha, rounds)
@@ -70,5 +71,5 @@ def mix(docs: DataFrame, alpha: float = 0.7, keep: float = 0.8, rounds: int = 6,
     fitted = cells.select(*DIMS, "ratio", prob.alias("prob"))
     unit = (F.shiftrightunsigned("draw", 11).cast("double")) / float(1 << 53)
     return d.join(fitted, list(DIMS), "left").select(
-        "doc_id", *DIMS, "n_tokens", "ratio", "prob", (unit < F.col("prob")).alias("selected")
+        "doc_id", *DIMS, "n_tokens", "ratio", "prob", (unit < F.col("prob")).alias("selected"), *carry
     )

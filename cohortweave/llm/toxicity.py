@@ -136,8 +136,8 @@ def fit_linear(x: np.ndarray, y: np.ndarray, w: np.ndarray, rounds: int = 60, ri
     return beta
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, mod: int = 5, held: int = 0) -> DataFrame:
-    """Per row of docs: doc_id, held_out, score, predicted (1 where score >= 0.5).
+def score_toxicity(docs: DataFrame, labels: DataFrame, mod: int = 5, held: int = 0, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per row of docs: doc_id, held_out, score, predicted (1 where score >= 0.5), and the `carry` columns.
 
     Of rows whose id remainder is not `held`, labels set the class prior and add lexicon entries, and the label model takes all
     vote patterns, counted in the shuffle (at most 2^10 * 2^2). The classifier is fitted on each pattern's posterior,
@@ -157,9 +157,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, mod: int = 5, held: int =
     def vote(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             f = [features(t, learned, heads) for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "learn": b["learn"], "f": f, "v": ["".join("a01"[k + 1] for k in votes(x)) for x in f]})
+            yield pd.DataFrame({"doc_id": b["doc_id"], **{c: b[c] for c in carry}, "learn": b["learn"], "f": f, "v": ["".join("a01"[k + 1] for k in votes(x)) for x in f]})
 
-    rows = written(docs.select("doc_id", learn.alias("learn"), text_of().alias("text")).mapInPandas(vote, f"doc_id {id_type}, learn boolean, f array<double>, v string"))
+    carried = "".join(f"{c} {docs.schema[c].dataType.simpleString()}, " for c in carry)
+    rows = written(docs.select("doc_id", *carry, learn.alias("learn"), text_of().alias("text")).mapInPandas(vote, f"doc_id {id_type}, {carried}learn boolean, f array<double>, v string"))
     patterns = (
         rows.filter("learn").groupBy("v")
         .agg(F.count(F.lit(1)).alias("n"), *[F.avg(F.get("f", F.lit(i))).alias(f"f{i}") for i in range(WIDTH)]).orderBy("v").collect()
@@ -174,4 +175,4 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, mod: int = 5, held: int =
     for i in range(WIDTH):
         z = z + F.get("f", F.lit(i)) * float(beta[i])
     score = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))
-    return rows.select("doc_id", (~F.col("learn")).alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
+    return rows.select("doc_id", (~F.col("learn")).alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"), *carry)

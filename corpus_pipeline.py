@@ -15,38 +15,59 @@ from cohortweave.llm.winnowing import decontaminate
 ORACLE_SQL = None
 
 
+ROW = "row_key"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with a key of each row, written once: decisions go by it, as a doc_id may be null or repeat."""
+    return docs if ROW in docs.columns else written(docs.withColumn(ROW, F.monotonically_increasing_id()))
+
+
+def _by_row(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("doc_id", F.col(ROW))
+
+
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    return docs.join(gone.select(F.col("doc_id").alias("gone_id")).distinct(), F.col("doc_id").eqNullSafe(F.col("gone_id")), "left_anti")
+    return docs.join(gone.select(ROW), ROW, "left_anti").select(docs.columns)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scored = score_toxicity(docs, table(spark, sf_dir, "labels"))
+    docs = _keyed(docs)
+    scored = score_toxicity(docs, table(spark, sf_dir, "labels"), carry=(ROW,))
     return _without(docs, scored.filter("predicted = 1"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The kept lines become the text, with n_chars to match; a document whose lines all went stays, empty."""
-    kept = dedup_lines(docs).filter("n_dropped > 0").groupBy("doc_id").agg(F.max("text").alias("new_text")).withColumnRenamed("doc_id", "of")
-    both = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("of")), "left")
-    changed = F.col("of").isNotNull() | F.col("new_text").isNotNull()
+    docs = _keyed(docs)
+    kept = dedup_lines(docs, row=ROW).filter("n_dropped > 0").select(F.col(ROW).alias("of"), F.col("text").alias("new_text"))
+    both = docs.join(kept, F.col(ROW) == F.col("of"), "left")
+    changed = F.col("of").isNotNull()
     text = F.when(changed, F.col("new_text")).otherwise(F.col("text"))
     new = {"text": text, "n_chars": F.when(changed, F.length("new_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))}
     return both.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, near_duplicates(docs).filter("not kept"))
+    """Of each class the row of the smallest doc_id stays; null ids come last."""
+    docs = _keyed(docs)
+    classes = near_duplicates(_by_row(docs)).select(F.col("doc_id").alias(ROW), "class_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW)).alias("m")
+    kept = classes.join(docs.select(ROW, "doc_id"), ROW).groupBy("class_id").agg(first).select(F.col(f"m.{ROW}").alias(ROW))
+    return docs.join(kept, ROW, "left_semi").select(docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    hits = decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return _without(docs, hits.filter("contaminated"))
+    docs = _keyed(docs)
+    hits = decontaminate(_by_row(docs), table(spark, sf_dir, "benchmark"))
+    return _without(docs, hits.filter("contaminated").select(F.col("doc_id").alias(ROW)))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The drawn documents, with their cell's weight ratio and probability."""
-    drawn = mix(docs).filter("selected").groupBy("doc_id").agg(F.max("topic").alias("topic"), F.max("ratio").alias("mix_ratio"), F.max("prob").alias("mix_prob"))
-    return docs.join(drawn.withColumnRenamed("doc_id", "of"), F.col("doc_id").eqNullSafe(F.col("of"))).drop("of")
+    """The drawn documents, with their cell's weight ratio and probability; the row key ends here."""
+    docs = _keyed(docs)
+    drawn = mix(docs, carry=(ROW,)).filter("selected").select(ROW, "topic", F.col("ratio").alias("mix_ratio"), F.col("prob").alias("mix_prob"))
+    return docs.join(drawn, ROW).select(*[c for c in docs.columns if c != ROW], "topic", "mix_ratio", "mix_prob")
 
 
 STAGES = [
