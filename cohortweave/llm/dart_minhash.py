@@ -9,12 +9,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, text_of, words, written
+from .common import bounded_broadcast, release, text_of, words, written
 
 SHINGLE = 5
-ROWS, BANDS = 4, 24
+ROWS, BANDS = 4, 20
 MAX_BROADCAST_IDS = 1_000_000  # of 8 bytes
-FRUITFUL = 0.1  # share of linked pairs under which the exact filter takes over from the turns
 _U = np.uint64
 
 
@@ -30,7 +29,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def shingles(word_hashes: np.ndarray, size: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct hashes of runs of `size` words; a shorter text is one run, an empty one has none."""
+    """Sorted hashes of all runs of `size` words, repeats kept; a shorter text is one run, an empty one has none."""
     h = np.asarray(word_hashes, np.int64).view(np.uint64)
     if not len(h):
         return h
@@ -39,7 +38,15 @@ def shingles(word_hashes: np.ndarray, size: int = SHINGLE) -> np.ndarray:
     with np.errstate(over="ignore"):
         for j in range(min(size, len(h))):
             out = mix64(out * _U(0x9E3779B97F4A7C15) + h[j : j + n])
-    return np.unique(out)
+    return np.sort(out)
+
+
+def occurrences(run: np.ndarray) -> np.ndarray:
+    """The i-th use of a shingle as an element of its own: Jaccard of these sets is weighted Jaccard of the counts."""
+    at = np.arange(len(run))
+    first = np.maximum.accumulate(np.where(np.append(True, run[1:] != run[:-1]), at, 0)) if len(run) else at
+    with np.errstate(over="ignore"):
+        return np.unique(np.where(at > first, mix64(run + (at - first).astype(np.uint64) * _U(0xD6E8FEB86659FD93)), run))
 
 
 def dart_minhash(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n_docs: int, k: int) -> np.ndarray:
@@ -54,41 +61,45 @@ def dart_minhash(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n_doc
     total = np.bincount(doc, weights=weight, minlength=n_docs)
     phi = np.divide(k * np.log(k) + 2 * k, total, out=np.zeros(n_docs), where=total > 0)
     todo = total > 0
-    base = 2.0**-10
+    base = 2.0**-4
     while todo.any():
         pick = todo[doc]
         d, e, x = doc[pick], element[pick], weight[pick]
         limit = phi[d]
         found = []
         w_lo, w_hi, nu = 0.0, 1.0, 0
-        while (in_w := x > w_lo).any():
+        heavy = np.arange(len(x))
+        while (heavy := heavy[x[heavy] > w_lo]).size:
             r_lo, r_hi, rho = 0.0, base, 0
-            while (cell := np.flatnonzero(in_w & (limit > r_lo))).size:
-                seed = mix64(e[cell] ^ _U((nu * 4096 + rho + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+            cell = heavy
+            while (cell := cell[limit[cell] > r_lo]).size:
                 area = (w_hi - w_lo) * (r_hi - r_lo)
                 # Poisson counts by inversion; parts of at most 4 keep exp(-area) well scaled
                 parts = max(1, int(np.ceil(area / 4)))
-                for part in range(parts):
-                    s = mix64(seed + _U(part * 2 + 1))
-                    u, p, j = _unit(s), np.exp(-area / parts), 0
-                    cum = p
-                    live = np.flatnonzero(u > cum)
-                    while live.size:
-                        z = mix64(s[live] + _U(j + 0x51ED))
-                        a, b, c = mix64(z + _U(1)), mix64(z + _U(2)), mix64(z + _U(3))
-                        at = cell[live]
-                        rank = r_lo + _unit(b) * (r_hi - r_lo)
-                        ok = (w_lo + _unit(a) * (w_hi - w_lo) < x[at]) & (rank <= limit[at])
-                        found.append((d[at][ok], rank[ok], (c % _U(k)).astype(np.int64)[ok], z[ok]))
-                        j += 1
-                        p *= area / parts / j
-                        cum += p
-                        live = live[u[live] > cum] if j < 64 else live[:0]
+                with np.errstate(over="ignore"):
+                    salt = (np.arange(1, parts + 1, dtype=np.uint64) + _U((nu << 12) + rho << 20)) * _U(0x9E3779B97F4A7C15)
+                s = mix64((e[cell][:, None] ^ salt).ravel())
+                p, j = np.exp(-area / parts), 0
+                cum = p
+                live = np.flatnonzero(s >> _U(11) > _U(int(cum * (1 << 53))))
+                s, cell_of = s[live], cell[live // parts]
+                u, live = _unit(s), np.arange(len(live))
+                while live.size:
+                    z = mix64(s[live] + _U(j + 0x51ED))
+                    a, b, c = mix64(z + _U(1)), mix64(z + _U(2)), mix64(z + _U(3))
+                    at = cell_of[live]
+                    rank = r_lo + _unit(b) * (r_hi - r_lo)
+                    ok = (w_lo + _unit(a) * (w_hi - w_lo) < x[at]) & (rank <= limit[at])
+                    found.append((d[at][ok], rank[ok], (c % _U(k)).astype(np.int64)[ok], z[ok]))
+                    j += 1
+                    p *= area / parts / j
+                    cum += p
+                    live = live[u[live] > cum] if j < 64 else live[:0]
                 r_lo, r_hi, rho = r_hi, r_hi * 2, rho + 1
             w_lo, w_hi, nu = w_hi, w_hi * 2, nu + 1
         if found:
             fd, fr, fc, fz = (np.concatenate(v) for v in zip(*found, strict=True))
-            order = np.lexsort((fz, -fr))  # the earliest dart is written last
+            order = np.argsort(-fr)  # the earliest dart is written last
             part = np.zeros((n_docs, k), np.uint64)
             part[fd[order], fc[order]] = fz[order] | _U(1)
             full = todo & (part != 0).all(axis=1)
@@ -104,10 +115,11 @@ def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sizes = b["h"].map(len).to_numpy()
         while lo < len(b):
             hi = max(lo + 1, int(np.searchsorted(np.cumsum(sizes[lo:]), 200_000)) + lo)
-            sets = [shingles(h) for h in b["h"].iloc[lo:hi]]
-            n = np.array([len(s) for s in sets])
-            doc = np.repeat(np.arange(hi - lo), n)
-            sig = dart_minhash(doc, np.concatenate(sets), np.ones(n.sum()), hi - lo, ROWS * BANDS)
+            sets = [np.unique(shingles(h), return_counts=True) for h in b["h"].iloc[lo:hi]]
+            doc = np.repeat(np.arange(hi - lo), [len(e) for e, _ in sets])
+            weight = np.concatenate([c for _, c in sets]).astype(np.float64)
+            n = np.array([c.sum() for _, c in sets])
+            sig = dart_minhash(doc, np.concatenate([e for e, _ in sets]), weight, hi - lo, ROWS * BANDS)
             band = np.zeros((hi - lo, BANDS), np.uint64)
             with np.errstate(over="ignore"):
                 for r in range(ROWS):
@@ -117,12 +129,6 @@ def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             lo = hi
 
 
-def _pairs(both: DataFrame, threshold: float) -> DataFrame:
-    """Distinct (a, b) of members and their leader l, where the set sizes alone allow the threshold."""
-    near = both.filter(F.col("doc_id") != F.col("l.doc_id")).filter(F.least("n", "l.n") >= F.greatest("n", "l.n") * threshold - 1e-9)
-    return near.select(F.least("doc_id", "l.doc_id").alias("a"), F.greatest("doc_id", "l.doc_id").alias("b")).distinct()
-
-
 def _members(ex: DataFrame) -> DataFrame:
     """Members of buckets of more than one id, each with its bucket's smallest and largest; later steps read only these."""
     member = F.struct("doc_id", "n")
@@ -131,30 +137,20 @@ def _members(ex: DataFrame) -> DataFrame:
 
 
 def _leader_pairs(members: DataFrame, threshold: float) -> DataFrame:
-    """Each bucket's members with its smallest and its largest id; the same two leaders serve all of a group's buckets."""
-    return _pairs(members.select("doc_id", "n", F.explode(F.array("low", "high")).alias("l")), threshold)
-
+    """Each bucket's members with its smallest and its largest id, where the sizes allow the threshold.
 
-def _class_pairs(ex: DataFrame, label: DataFrame, turn: int, threshold: float) -> DataFrame:
-    """In each bucket that still holds several classes, each member with members of up to three other classes.
-
-    Leaders are one member each of the smallest, the largest and a random class; members and the random class
-    are drawn by a hash of bucket and turn, so later turns and other buckets compare others.
+    The same two leaders serve all of a group's buckets, so a group of m texts gives about 2 m pairs.
     """
-    own = ex.join(label, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-    drawn = F.struct(F.xxhash64("doc_id", "bucket", F.lit(turn)).alias("r"), "doc_id", "n")
-    classes = own.groupBy("bucket", "label").agg(F.max(drawn).alias("m"))
-    c = F.struct("label", "m.doc_id", "m.n")
-    order = F.struct(F.xxhash64("label", "bucket", F.lit(-turn)).alias("r"), "label", "m.doc_id", "m.n")
-    lead = classes.groupBy("bucket").agg(F.min(c).alias("low"), F.max(c).alias("high"), F.max(order).alias("other")).filter("low.label <> high.label")
-    leaders = F.array_distinct(F.array("low", "high", F.struct("other.label", "other.doc_id", "other.n")))
-    return _pairs(own.join(lead.select("bucket", F.explode(leaders).alias("l")), "bucket").filter("label <> l.label"), threshold)
+    both = members.select("doc_id", "n", F.explode(F.array("low", "high")).alias("l")).filter(F.col("doc_id") != F.col("l.doc_id"))
+    near = both.filter(F.least("n", "l.n") >= F.greatest("n", "l.n") * threshold - 1e-9)
+    return near.select(F.least("doc_id", "l.doc_id").alias("a"), F.greatest("doc_id", "l.doc_id").alias("b")).distinct()
 
 
 def _open(members: DataFrame, label: DataFrame) -> DataFrame:
-    """(doc_id, label) of the members of all buckets that still hold several classes."""
-    own = members.select("doc_id", "bucket").join(label, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-    several = own.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
+    """(doc_id, label) of texts that share a bucket with a text of another class, neither being the bucket's leader."""
+    rest = members.filter("doc_id <> low.doc_id AND doc_id <> high.doc_id").select("doc_id", "bucket")
+    own = rest.join(label, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+    several = own.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most")
     return own.join(several.select("bucket"), "bucket", "left_semi").select("doc_id", "label").distinct()
 
 
@@ -195,7 +191,7 @@ def _compare(threshold: float):
 
 def _to_shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        yield pd.DataFrame({"doc_id": b["doc_id"], "s": [shingles(h).view(np.int64) for h in b["h"]]})
+        yield pd.DataFrame({"doc_id": b["doc_id"], "s": [occurrences(shingles(h)).view(np.int64) for h in b["h"]]})
 
 
 def _sets_of(ids: DataFrame, hashed: DataFrame) -> DataFrame:
@@ -210,10 +206,6 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return written(full.select("a", "b", "sa", "sb").mapInPandas(_compare(threshold), "a long, b long"))
 
 
-def _ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(doc_id, label): the smallest id of each connected component, by min-label steps with pointer jumps."""
     arcs = edges.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("e")).select("e.*")
@@ -241,45 +233,34 @@ def _merged(label: DataFrame, edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """One row per row of docs with a non-null id: doc_id, class_id (its class's smallest doc_id), kept.
 
-    Sets of five-word shingles with Jaccard of at least `threshold` are linked; classes are connected components.
-    Copies with the same words fold first. Each bucket's members are compared with two leaders, then, turn by turn while
-    enough pairs link, with members of other classes in a bucket; this folds large groups in linear work. All texts of
-    buckets that still hold several classes then go through an exact prefix filter, so no pair of a bucket at the
-    threshold is left out. A text without words is a class of its own; rows that repeat a doc_id share its class, and rows
-    with a null doc_id get a null class and are kept. doc_id is integral.
+    Texts are bags of five-word shingles, weighted by their counts; a weighted Jaccard of at least `threshold` links
+    two of them, and classes are connected components. Copies with the same words fold first. In each bucket of equal
+    bands the members are compared with the two leaders, which folds large groups in linear work. Texts that still share a bucket
+    with another class, without having been compared, then go through an exact prefix filter, so no pair of a bucket at the
+    threshold is left out. Shingles of bucket members are computed and written once. A text without words is a class of
+    its own; rows that repeat a doc_id share its class, and rows with a null doc_id get a null class and are kept.
+    doc_id is integral.
     """
     w = words(text_of())
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), w.alias("w")).filter("doc_id is not null")
-    hashed = d.select("doc_id", F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
-    inputs = d.filter(F.size("w") > 0).select(
-        "doc_id", F.unhex(F.md5(F.array_join("w", " ").cast("binary"))).alias("content"), F.transform("w", lambda x: F.xxhash64(x)).alias("h")
-    )
+    hashes = F.transform("w", lambda x: F.xxhash64(x)).alias("h")
+    inputs = d.filter(F.size("w") > 0).select("doc_id", F.unhex(F.md5(F.array_join("w", " ").cast("binary"))).alias("content"), hashes)
     signed = written(inputs.mapInPandas(_sign, "doc_id long, n long, content binary, bands array<long>"))
     low = F.min(F.struct("doc_id", "n", "bands")).alias("m")
     reps = written(signed.groupBy("content").agg(low).select("content", F.col("m.doc_id").alias("rep"), "m.n", "m.bands"))
     members = written(_members(reps.select(F.col("rep").alias("doc_id"), "n", F.explode("bands").alias("bucket"))))
+    ids = written(members.select("doc_id").distinct())
+    own = d.join(bounded_broadcast(ids, MAX_BROADCAST_IDS), "doc_id", "left_semi").select("doc_id", hashes)
+    sets = written(own.mapInPandas(_to_shingles, "doc_id long, s array<long>"))
     done = written(_leader_pairs(members, threshold))
-    label = components(_verified(done, _sets_of(_ends(done), hashed), threshold))
-    turn = 0
-    while True:
-        turn += 1
-        more = written(_class_pairs(members.select("doc_id", "n", "bucket"), label, turn, threshold).join(done, ["a", "b"], "left_anti"))
-        compared = more.count()
-        if not compared:
-            break
-        extra = _verified(more, _sets_of(_ends(more), hashed), threshold)
-        label = _merged(label, extra)
-        done = done.unionByName(more)
-        if extra.count() < FRUITFUL * compared:
-            break
+    label = components(_verified(done, sets, threshold))
     left = written(_open(members, label))
     if not left.isEmpty():
-        sets = _sets_of(left.select("doc_id"), hashed)
-        rest = written(_prefix_pairs(sets.join(left, "doc_id"), threshold).join(done, ["a", "b"], "left_anti"))
-        label = _merged(label, _verified(rest, sets, threshold))
+        rest = _prefix_pairs(sets.join(left, "doc_id"), threshold).join(done, ["a", "b"], "left_anti")
+        label = _merged(label, _verified(written(rest), sets, threshold))
+    release(members, ids, sets, done)
     member = signed.select("doc_id", "content").join(reps.select("content", "rep"), "content").groupBy("doc_id").agg(F.min("rep").alias("rep"))
     classes = member.join(label.withColumnRenamed("doc_id", "rep"), "rep", "left").select("doc_id", F.coalesce("label", "rep").alias("class_id"))
-    ids = docs.select("doc_id")
-    out = ids.join(classes.withColumnRenamed("doc_id", "of"), F.col("doc_id") == F.col("of"), "left")
+    out = docs.select("doc_id").join(classes.withColumnRenamed("doc_id", "of"), F.col("doc_id") == F.col("of"), "left")
     class_id = F.coalesce("class_id", "doc_id")
     return out.select("doc_id", class_id.alias("class_id"), class_id.eqNullSafe(F.col("doc_id")).alias("kept"))
