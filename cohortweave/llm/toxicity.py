@@ -149,7 +149,8 @@ def fit_label_model(patterns: np.ndarray, counts: np.ndarray, prior: float, roun
     """Posterior of toxic for each vote pattern, and the voters' tree, by EM on a two-class generative model.
 
     In either class a voter has its own rates of votes given the vote of its parent in a tree, which holds the strongest
-    correlations that the classes leave; the tree is fitted anew as the posterior moves. The prior is fixed.
+    correlations that the classes leave; the tree is fitted anew as the posterior moves. The prior is fixed,
+    and no text that no voter speaks against is above it.
     """
     x = patterns + 1
     post = np.where((patterns[:, :N_LEX] == 1).any(axis=1), 0.9, 0.02) if init is None else init
@@ -164,6 +165,7 @@ def fit_label_model(patterns: np.ndarray, counts: np.ndarray, prior: float, roun
             row = x[:, j] if j >= 0 else 0
             log_odds += np.log(t1[i][row, x[:, i]] / t0[i][row, x[:, i]])
         post = 1 / (1 + np.exp(-np.clip(log_odds, -30, 30)))
+        post[(patterns < 1).all(axis=1)] = np.minimum(post, prior)[(patterns < 1).all(axis=1)]
     return post, parent
 
 
