@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, text_of, words, written
+from .common import bounded_broadcast, release, text_of, words, written
 
 #: Fingerprint rows (16 bytes each) that a broadcast may hold.
 MAX_BROADCAST_ROWS = 1_000_000
@@ -51,49 +51,62 @@ def _exact_windows(runs: DataFrame, size: int, keep: list[str]) -> DataFrame:
     return runs.select(*keep, F.explode(each).alias("w")).select(*keep, "w.pos", "w.key")
 
 
-def _matches(doc: DataFrame, items: DataFrame, size: int) -> DataFrame:
-    """(doc_id, pos, item_id) for every window of `size` words that a document and an item share."""
-    i_runs = _runs(items, size, ["item_id"])
-    fps = bounded_broadcast(i_runs.select("fp").distinct(), MAX_BROADCAST_ROWS)
-    near = _exact_windows(_runs(doc, size, ["doc_id"]).join(fps, "fp", "left_semi"), size, ["doc_id"])
-    own = _exact_windows(i_runs, size, ["item_id"]).select("item_id", "key").distinct()
-    return near.join(bounded_broadcast(own, MAX_BROADCAST_ROWS // 10), "key").select("doc_id", "pos", "item_id")
+def _item_keys(items: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """Fingerprints of the items, and their distinct windows (key, n, group); items below `size` words are one window of their own."""
+    runs = _runs(items, size, ["item_id"])
+    own = _exact_windows(runs, size, ["item_id"]).select("item_id", "key")
+    short = items.filter((F.size("h") > 0) & (F.size("h") < size)).select("item_id", F.col("h").alias("key"))
+    return runs.select("fp").distinct(), own.unionByName(short).distinct()
 
 
-def _short_matches(doc: DataFrame, items: DataFrame, size: int) -> DataFrame:
+def _matches(doc: DataFrame, fps: DataFrame, keys: DataFrame, size: int) -> DataFrame:
+    """(row, pos, n, group) for every window of `size` words that a document and an item share."""
+    near = _exact_windows(_runs(doc, size, ["row"]).join(bounded_broadcast(fps, MAX_BROADCAST_ROWS), "fp", "left_semi"), size, ["row"])
+    return near.join(bounded_broadcast(keys.filter(F.col("n") == size), MAX_BROADCAST_ROWS // 10), "key").select("row", "pos", "n", "group")
+
+
+def _short_matches(doc: DataFrame, keys: DataFrame, size: int) -> DataFrame:
     """The same for items of `size` words, below the winnowing length: every such gram is looked up."""
-    own = items.filter(F.size("h") == size).select("item_id", F.col("h").alias("key"))
     grams = F.transform(
         F.sequence(F.lit(0), F.size("h") - size),
         lambda i: F.struct(i.alias("pos"), F.slice(F.col("h"), i + 1, size).alias("key")),
     )
-    all_grams = doc.filter(F.size("h") >= size).select("doc_id", F.explode(grams).alias("g")).select("doc_id", "g.pos", "g.key")
-    return all_grams.join(bounded_broadcast(own, MAX_BROADCAST_ROWS // 10), "key").select("doc_id", "pos", "item_id")
+    all_grams = doc.filter(F.size("h") >= size).select("row", F.explode(grams).alias("g")).select("row", "g.pos", "g.key")
+    return all_grams.join(bounded_broadcast(keys.filter(F.col("n") == size), MAX_BROADCAST_ROWS // 10), "key").select("row", "pos", "n", "group")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """Per doc_id: n_words, n_hit, n_items, items (sorted item ids), spans (merged hit word ranges), contaminated.
+    """Per row of docs: doc_id, n_words, n_hit, n_items, items (sorted item ids), spans (merged hit word ranges), contaminated.
 
     Grams of window/2 words, minimum over each window: two texts that share a whole window share its minimum,
     so every shared span of `window` words is found; the windows are then compared by all their word hashes.
-    An item of fewer words is one window of its own length. Null or empty text has no words. A doc_id that
-    repeats gets one row per row, each with the hits of all its rows.
+    An item of fewer words is one window of its own length; items with a null id are searched but not named. Null or empty text has no words.
+    Texts are hashed once into a written table, where each row gets a key of its own, so rows that repeat a doc_id or have none stay
+    apart. Windows that the same items hold form a group; a document meets groups, not items, until the groups of a
+    document are distinct.
     """
-    w = words(text_of())
-    hashed = lambda df, key: df.select(key, F.transform(w, lambda x: F.xxhash64(x)).alias("h"))
-    doc, items = hashed(docs, "doc_id"), hashed(benchmark, "item_id")
-    short = sorted(r.n for r in items.select(F.size("h").alias("n")).filter(f"n > 0 AND n < {window}").distinct().collect())
-    found = _matches(doc, items, window).withColumn("n", F.lit(window))
-    for n in short:  # at most window - 1 lengths
-        found = found.unionByName(_short_matches(doc, items, n).withColumn("n", F.lit(n)))
-    found = written(found)  # read twice below; the documents are searched once
-    at = found.groupBy("doc_id", "pos").agg(F.max("n").alias("n")).groupBy("doc_id").agg(
+    hashed = F.transform(words(text_of()), lambda x: F.xxhash64(x)).alias("h")
+    doc = written(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", hashed).withColumn("n_words", F.size("h").cast("long")))
+    items = written(benchmark.select("item_id", hashed))
+    fps, own = _item_keys(items, window)
+    lists = own.groupBy("key").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
+    lists = lists.withColumn("group", F.md5(F.to_json("items").cast("binary"))).withColumn("n", F.size("key"))
+    lists = written(lists)
+    keys, groups = lists.select("key", "n", "group"), lists.select("group", "items").distinct()
+    short = sorted(r.n for r in keys.select("n").filter(F.col("n") < window).distinct().collect())  # at most window - 1 lengths
+    hashes = doc.select("row", "h")
+    found = _matches(hashes, fps, keys, window)
+    for n in short:
+        found = found.unionByName(_short_matches(hashes, keys, n))
+    found = written(found)
+    slim = written(doc.select("row", "doc_id", "n_words"))
+    release(items, doc)
+    at = found.groupBy("row", "pos").agg(F.max("n").alias("n")).groupBy("row").agg(
         F.array_sort(F.collect_list(F.struct("pos", (F.col("pos") + F.col("n")).alias("end")))).alias("at")
     )
-    names = found.select("doc_id", F.col("item_id").cast("string").alias("item")).distinct().groupBy("doc_id").agg(
-        F.array_sort(F.collect_list("item")).alias("items")
-    )
-    covered = F.aggregate(
+    met = found.select("row", "group").distinct().join(bounded_broadcast(groups, MAX_BROADCAST_ROWS // 10), "group")
+    names = met.select("row", F.explode("items").alias("item")).groupBy("row").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    merged = F.aggregate(
         "at",
         F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("end")),
         lambda a, x: F.struct(
@@ -101,12 +114,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
             F.greatest(a["end"], x["end"]).alias("end"),
         ),
     )["n"]
-    hits = at.join(names, at.doc_id.eqNullSafe(names.doc_id)).select(
-        at.doc_id.alias("hit_id"), covered.alias("n_hit"), "items", F.col("at").alias("spans")
-    )
-    counts = docs.select("doc_id", F.size(w).cast("long").alias("n_words"))
-    return counts.join(hits, F.col("doc_id").eqNullSafe(F.col("hit_id")), "left").select(
-        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
-        F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
-        F.coalesce("items", F.array().cast("array<string>")).alias("items"), "spans", (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
+    hits = written(at.join(names, "row", "left").select("row", merged.alias("n_hit"), "items", F.col("at").alias("spans")))
+    rows = slim.join(bounded_broadcast(hits, MAX_BROADCAST_ROWS // 100), "row", "left")
+    n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
+    return rows.select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
+        F.coalesce("items", F.array().cast("array<string>")).alias("items"), "spans", (n_hit > 0).alias("contaminated"),
     )
