@@ -5,71 +5,110 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_of, written
+from .common import UPPER, release, text_of, written
 
 DIMS = ("source", "lang", "topic")
+TOPICS = 6
+FEATURES = ("digits", "marks", "capitals", "line")
+_MARKS = "\"'()*+,-./:;<=>?[]_{|}!#"
 
 
-def topic_of(text: Column, topics: int = 8) -> Column:
-    """A topic bucket by the first line's content: hash of its longest word, the earliest of ties."""
-    first = F.substring_index(text, "\n", 1)
-    longest = F.aggregate(F.split(first, " "), F.lit(""), lambda a, w: F.when(F.length(w) > F.length(a), w).otherwise(a))
-    return F.concat(F.lit("t"), F.pmod(F.xxhash64(F.lower(longest)), F.lit(topics)).cast("string"))
+def register_features(text: Column) -> list[Column]:
+    """What tells prose, lists, tables, code and logs apart in any language: shares of digits, marks and capitals, log line length."""
+    n = F.greatest(F.length(text), F.lit(1)).cast("double")
+    share = lambda chars: (F.length(text) - F.length(F.translate(text, chars, ""))) / n
+    lines = 1 + F.length(text) - F.length(F.translate(text, "\n", ""))
+    values = [share("0123456789"), share(_MARKS), share(UPPER), F.log(1 + n / lines)]
+    return [v.alias(name) for v, name in zip(values, FEATURES, strict=True)]
 
 
-def rake(cells: DataFrame, alpha: float, rounds: int) -> DataFrame:
-    """Fit weights of the cells to marginals proportional to tokens^alpha in each dimension.
+def nearest(point: list[Column], centres: list[list[float]], scale: list[float]) -> Column:
+    """Index of the nearest centre, the first of ties."""
+    gap = lambda c: sum(((x - F.lit(v)) / F.lit(s)) * ((x - F.lit(v)) / F.lit(s)) for x, v, s in zip(point, c, scale, strict=True))
+    return F.array_min(F.array(*[F.struct(gap(c).alias("gap"), F.lit(i).alias("i")) for i, c in enumerate(centres)]))["i"]
 
-    One row per cell; each pass scales one dimension, and the state is written every few passes so that the
-    plan stays short and a lost executor costs little. A marginal without tokens keeps weight 0.
+
+def fit_topics(features: DataFrame, k: int = TOPICS, rounds: int = 4) -> tuple[list[list[float]], list[float]]:
+    """k centres by Lloyd's steps over all rows, from quantiles of each feature on; and the features' spreads.
+
+    The driver holds k centres only. A centre without rows stays where it was.
+    """
+    at = [(i + 0.5) / k for i in range(k)]
+    row = features.agg(*[F.struct(F.stddev_pop(f).alias("sd"), F.percentile_approx(f, at, 1000).alias("q")).alias(f) for f in FEATURES]).first()
+    if row[FEATURES[0]]["q"] is None:
+        return [[0.0] * len(FEATURES)] * k, [1.0] * len(FEATURES)
+    scale = [max(row[f]["sd"] or 0.0, 1e-6) for f in FEATURES]
+    centres = [[row[f]["q"][i] for f in FEATURES] for i in range(k)]
+    for _ in range(rounds):
+        own = features.withColumn("i", nearest([F.col(f) for f in FEATURES], centres, scale))
+        for r in own.groupBy("i").agg(*[F.avg(f).alias(f) for f in FEATURES]).collect():
+            centres[r.i] = [r[f] for f in FEATURES]
+    return centres, scale
+
+
+def rake(cells: DataFrame, alpha: float, tolerance: float = 1e-5, most: int = 60) -> tuple[DataFrame, float]:
+    """Fit weights of the cells to marginals proportional to tokens^alpha in each dimension; also the largest error of a marginal share.
+
+    One row per cell; each pass scales one dimension, and the state is written every other round so that the plan stays short.
+    Rounds end when no marginal is off by more than `tolerance`, or after `most`. A marginal without tokens keeps weight 0.
     """
     for d in DIMS:
-        w = Window.partitionBy(d)
-        cells = cells.withColumn(f"goal_{d}", F.pow(F.sum("tokens").over(w), F.lit(alpha)))
+        cells = cells.withColumn(f"goal_{d}", F.pow(F.sum("tokens").over(Window.partitionBy(d)), F.lit(alpha)))
     cells = written(cells)
-    goals = [cells.select(d, f"goal_{d}").distinct().agg(F.sum(f"goal_{d}").alias("a")).first()["a"] or 1.0 for d in DIMS]
+    for d in DIMS:
+        all_goals = cells.select(d, f"goal_{d}").distinct().agg(F.sum(f"goal_{d}").alias("a")).first()["a"] or 1.0
+        cells = cells.withColumn(f"goal_{d}", F.col(f"goal_{d}") / F.lit(float(all_goals)))
     cells = cells.withColumn("weight", F.col("tokens").cast("double"))
-    for r in range(rounds):
-        for d, goal in zip(DIMS, goals, strict=True):
+    error = 0.0
+    for r in range(0, most, 2):
+        for d in DIMS * 2:
             now = F.sum("weight").over(Window.partitionBy(d))
-            cells = cells.withColumn("weight", F.when(now > 0, F.col("weight") * F.col(f"goal_{d}") / F.lit(float(goal)) / now).otherwise(F.lit(0.0)))
-        if r % 2 or r == rounds - 1:
-            cells = written(cells)
-    return cells
+            cells = cells.withColumn("weight", F.when(now > 0, F.col("weight") * F.col(f"goal_{d}") / now).otherwise(F.lit(0.0)))
+        cells = written(cells)
+        off = [cells.groupBy(d).agg(F.abs(F.sum("weight") - F.max(f"goal_{d}")).alias("e")).select("e") for d in DIMS]
+        error = off[0].union(off[1]).union(off[2]).agg(F.max("e").alias("e")).first()["e"] or 0.0
+        if error <= tolerance:
+            break
+    return cells, error
 
 
-def mix(docs: DataFrame, alpha: float = 0.7, keep: float = 0.8, rounds: int = 6, seed: int = 17, carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per row of docs: doc_id, source, lang, topic, n_tokens, ratio, prob, selected, and the `carry` columns.
+def mixed_rows(docs: DataFrame, alpha: float = 0.7, keep: float = 0.8, seed: int = 17) -> DataFrame:
+    """One row per row of docs: row (all its columns), source, lang, topic, n_tokens, ratio, prob, selected.
 
-    Tokens are white-space words; null source, lang or text counts as ''. The raked share of a cell over its
-    present share is its ratio; prob = min(1, scale * ratio), with scale fitted so that the expected tokens
-    are `keep` of all, or all probs are 1. A document is selected when the hash of its id and text falls under
-    prob, so copies under other ids are drawn apart and repeated rows together. A zero-token document
-    takes its cell's prob, or 1 where the cell has no tokens. The sampling is the feature: unselected rows are marked.
+    Tokens are white-space words; null source, lang or text counts as ''. The tables name no topic: a document's is the nearest
+    of TOPICS centres of register features, fitted over all rows. The raked share of a cell over its present share is its
+    ratio; prob = min(1, scale * ratio), with scale fitted so that the expected tokens are `keep` of all, or all probs are 1.
+    A document is selected when the hash of its id and text falls under prob, so copies under other ids are drawn apart
+    and repeated rows together. A zero-token document takes its cell's prob, or 1 where the cell has no tokens. The sampling
+    is the feature: unselected rows are marked. Rows do not move; cells are broadcast, at most sources x languages x TOPICS.
     """
     t = text_of()
-    d = docs.select(
-        "doc_id",
-        F.coalesce("source", F.lit("")).alias("source"),
-        F.coalesce("lang", F.lit("")).alias("lang"),
-        topic_of(t).alias("topic"),
-        F.size(F.array_remove(F.split(F.translate(t, "\t\n\x0b\x0c\r", " " * 5), " "), "")).cast("long").alias("n_tokens"),
-        F.xxhash64(F.lit(seed), F.col("doc_id"), t).alias("draw"),
-        *carry,
-    )
-    cells = d.groupBy(*DIMS).agg(F.sum("n_tokens").alias("tokens"))
-    cells = rake(cells, alpha, rounds)
+    n_tokens = F.size(F.array_remove(F.split(F.translate(t, "\t\n\x0b\x0c\r", " " * 5), " "), "")).cast("long").alias("n_tokens")
+    label = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
+    seen = written(docs.select(label("source"), label("lang"), n_tokens, *register_features(t)))
+    centres, scale = fit_topics(seen)
+    topic = lambda point: F.concat(F.lit("t"), nearest(point, centres, scale).cast("string")).alias("topic")
+    cells = seen.select("source", "lang", topic([F.col(f) for f in FEATURES]), "n_tokens").groupBy(*DIMS).agg(F.sum("n_tokens").alias("tokens"))
+    cells, _ = rake(cells, alpha)
+    release(seen)
     total = cells.agg(F.sum("tokens").alias("t")).first()["t"] or 1
     cells = cells.withColumn("ratio", F.when(F.col("tokens") > 0, F.col("weight") * total / F.col("tokens")).otherwise(F.lit(1.0)))
-    scale = 1.0
+    scale_up = 1.0
     for _ in range(12):  # each sum is over cells only
-        got = cells.agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), F.col("ratio") * scale)).alias("x")).first()["x"] or 0.0
+        got = cells.agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), F.col("ratio") * scale_up)).alias("x")).first()["x"] or 0.0
         if got == 0 or abs(got / total - keep) < 0.002:
             break
-        scale *= min(4.0, keep * total / got)
-    prob = F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.col("ratio") * scale)).otherwise(F.lit(1.0))
-    fitted = cells.select(*DIMS, "ratio", prob.alias("prob"))
-    unit = (F.shiftrightunsigned("draw", 11).cast("double")) / float(1 << 53)
-    return d.join(fitted, list(DIMS), "left").select(
-        "doc_id", *DIMS, "n_tokens", "ratio", "prob", (unit < F.col("prob")).alias("selected"), *carry
+        scale_up *= min(4.0, keep * total / got)
+    prob = F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.col("ratio") * scale_up)).otherwise(F.lit(1.0))
+    fitted = F.broadcast(cells.select(*DIMS, "ratio", prob.alias("prob")))
+    d = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), label("source"), label("lang"),
+        topic(register_features(t)), n_tokens, F.xxhash64(F.lit(seed), F.col("doc_id"), t).alias("draw"),
     )
+    unit = F.shiftrightunsigned("draw", 11).cast("double") / float(1 << 53)
+    return d.join(fitted, list(DIMS), "left").select("row", *DIMS, "n_tokens", "ratio", "prob", (unit < F.col("prob")).alias("selected"))
+
+
+def mix(docs: DataFrame, alpha: float = 0.7, keep: float = 0.8, seed: int = 17) -> DataFrame:
+    """One row per row of docs: doc_id, source, lang, topic, n_tokens, ratio, prob, selected; see mixed_rows."""
+    return mixed_rows(docs, alpha, keep, seed).select("row.doc_id", *DIMS, "n_tokens", "ratio", "prob", "selected")
