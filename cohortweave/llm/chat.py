@@ -2,54 +2,59 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-TURNS = 64
+from .common import written
 
+BLOCK = 512  # messages that stand together in one row between the two shuffles
+OWN = "<|assistant|>\n"
 
-def rotate_perspectives(conversations: DataFrame, turns: int = TURNS, rows: int = 512) -> DataFrame:
-    """One row per (conv_id, perspective, piece, part): text, masks, n_turns, n_masked.
 
-    For every participant the dialogue is rendered with that speaker as `assistant` and the others as users named
-    by role; masks are (start, end) code-point ranges, end exclusive, of the assistant's own texts, which a
-    trainer learns from. A dialogue is cut into pieces of `turns` turn numbers, in order, so no row or
-    task holds an unbounded one. Rows of one turn go by role and text. Equal rows (same conv_id, turn, role and text)
-    are folded before the shuffle and render once, with the count in n_rows. Where a turn number holds very many
-    different rows, parts split the piece by text hash, about `rows` rows each. Null role is `unknown`, null text empty,
-    null turn -1; a null conv_id is a conversation of its own.
+def rotate_perspectives(conversations: DataFrame, block: int = BLOCK) -> DataFrame:
+    """One row per message and perspective: conv_id, perspective, seq, turn, speaker, text, body_start, body_end, learn.
+
+    For every participant the dialogue is rendered with that speaker as `assistant` and the others as users named by role.
+    `text` is the rendered message; a dialogue's texts, joined in order of seq (from 0), are the whole rendering, in which
+    body_start and body_end (code points, end exclusive) bound the message's own words, and `learn` marks those that
+    the assistant said, which a trainer learns from. Messages go by turn, then role and text; equal ones are each rendered.
+    Null role is `unknown`, null text empty, null turn -1; all messages without a conv_id are one conversation.
+
+    A dialogue may hold most of the table: messages are ranged over all partitions by (conversation, turn), equal ones too, and
+    cut into blocks of at most `block`. Running offsets come from one row per block: of all messages in users' form, and of each
+    speaker's own, whose heading has another length. Texts meet the participants block by block.
     """
     c = conversations.select(
-        "conv_id", F.coalesce("turn", F.lit(-1)).cast("long").alias("turn"), F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
-    ).groupBy("conv_id", "turn", "role", "text").agg(F.count(F.lit(1)).alias("k"))
-    c = c.withColumn("piece", F.floor(F.col("turn") / turns))
-    load = c.groupBy("conv_id", "piece").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > rows).select(
-        F.col("conv_id").alias("big"), F.col("piece").alias("big_piece"), F.ceil(F.col("n") / rows).alias("parts")
-    )
-    c = c.join(load, F.col("conv_id").eqNullSafe(F.col("big")) & (F.col("piece") == F.col("big_piece")), "left")
-    c = c.withColumn("part", F.pmod(F.xxhash64("turn", "role", "text"), F.coalesce("parts", F.lit(1))))
-    pieces = c.groupBy("conv_id", "piece", "part").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text", "k"))).alias("said"))
-    who = c.select("conv_id", "role").distinct().select(F.col("conv_id").alias("of"), F.col("role").alias("perspective"))
-    both = pieces.join(who, F.col("conv_id").eqNullSafe(F.col("of")))
-    shown = F.transform(
-        "said",
-        lambda s: F.struct(
-            F.when(s["role"] == F.col("perspective"), F.lit("<|assistant|>\n")).otherwise(F.concat(F.lit("<|user:"), s["role"], F.lit("|>\n"))).alias("head"),
-            s["text"].alias("body"), (s["role"] == F.col("perspective")).alias("own"),
-        ),
+        F.struct("conv_id").alias("conv"), F.coalesce("turn", F.lit(-1)).cast("long").alias("turn"),
+        F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row"),
     )
-    both = both.withColumn("shown", shown)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
-
-    def mark(a, s):
-        start = a["at"] + F.length(s["head"])
-        end = start + F.length(s["body"])
-        return F.struct((end + 1).alias("at"), F.when(s["own"], F.concat(a["out"], F.array(F.struct(start.alias("start"), end.alias("end"))))).otherwise(a["out"]).alias("out"))
-
-    masks = F.aggregate("shown", zero, mark)["out"]
-    return both.select(
-        "conv_id", "perspective", "piece", "part",
-        F.concat(F.array_join(F.transform("shown", lambda s: F.concat(s["head"], s["body"])), "\n"), F.lit("\n")).alias("text"),
-        masks.alias("masks"), F.size("said").cast("long").alias("n_turns"),
-        F.aggregate("said", F.lit(0).cast("long"), lambda a, s: a + s["k"]).alias("n_rows"),
+    order = ["conv", "turn", "role", "text", "row"]
+    c = written(c.repartitionByRange(*order).sortWithinPartitions(*order).select("conv", "turn", "role", "text", F.monotonically_increasing_id().alias("pos")))
+    c = c.withColumn("block", F.floor(F.col("pos") / block))
+    head = F.concat(F.lit("<|user:"), F.col("role"), F.lit("|>\n"))
+    size = F.length(head) + F.length("text") + 1
+    sizes = c.groupBy("conv", "block").agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("size"))
+    earlier = lambda x, *by: F.coalesce(F.sum(x).over(Window.partitionBy(*by).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
+    sizes = sizes.select("conv", "block", earlier("n", "conv").alias("seq"), earlier("size", "conv").alias("at"))
+    spoke = c.groupBy("conv", "block", "role").agg(F.count(F.lit(1)).alias("k")).withColumnRenamed("role", "perspective")
+    who = c.select("conv", F.col("role").alias("perspective")).distinct()
+    grid = sizes.join(who, "conv").join(spoke, ["conv", "block", "perspective"], "left")
+    shift = len(OWN) - F.length(F.concat(F.lit("<|user:"), F.col("perspective"), F.lit("|>\n")))
+    grid = grid.select("conv", "block", "perspective", "seq", (F.col("at") + shift * earlier(F.coalesce("k", F.lit(0)), "conv", "perspective")).alias("at"))
+    said = c.groupBy("conv", "block").agg(F.array_sort(F.collect_list(F.struct("pos", "turn", "role", "text"))).alias("said"))
+    both = grid.join(said, ["conv", "block"])
+    zero = F.struct(F.col("at").alias("at"), F.array().cast("array<struct<turn:bigint,role:string,text:string,lo:bigint,hi:bigint,learn:boolean>>").alias("out"))
+
+    def render(a, s):
+        own = s["role"] == F.col("perspective")
+        top = F.when(own, F.lit(OWN)).otherwise(F.concat(F.lit("<|user:"), s["role"], F.lit("|>\n")))
+        lo = a["at"] + F.length(top)
+        hi = lo + F.length(s["text"])
+        row = F.struct(s["turn"].alias("turn"), s["role"].alias("role"), F.concat(top, s["text"], F.lit("\n")).alias("text"), lo.alias("lo"), hi.alias("hi"), own.alias("learn"))
+        return F.struct((hi + 1).alias("at"), F.concat(a["out"], F.array(row)).alias("out"))
+
+    shown = both.select("conv", "perspective", "seq", F.posexplode(F.aggregate("said", zero, render)["out"]).alias("i", "m"))
+    return shown.select(
+        "conv.conv_id", "perspective", (F.col("seq") + F.col("i")).alias("seq"), "m.turn", F.col("m.role").alias("speaker"), "m.text",
+        F.col("m.lo").alias("body_start"), F.col("m.hi").alias("body_end"), "m.learn",
     )
