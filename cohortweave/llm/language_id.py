@@ -13,8 +13,8 @@ from .common import remainder, text_of
 
 DIM = 1 << 14
 ORDERS = (1, 2, 3)
-PER_LANGUAGE = 400  # labelled texts of each language that the fit may take
-MAX_FIT = 4000
+PER_LANGUAGE = 400  # labelled texts of each language that the fit may take, about
+MAX_FIT = 40_000  # and of all languages, shared evenly
 UNKNOWN = "und"
 
 
@@ -90,18 +90,20 @@ def _featurise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"lang": b["lang"], "o": b["o"], "at": [x[0].astype(np.int32) for x in f], "n": [x[1].astype(np.int32) for x in f]})
 
 
-def identify_language(docs: DataFrame, mod: int = 3, held: int = 1) -> DataFrame:
+def identify_language(docs: DataFrame, mod: int = 3, held: int = 1, per_language: int = PER_LANGUAGE, max_fit: int = MAX_FIT) -> DataFrame:
     """Per row of docs: doc_id, held_out, lang_pred, score (calibrated probability of lang_pred).
 
-    Learns from text and non-null lang of rows whose id remainder is not `held`. Inverse document frequencies
-    cover all such rows; the weights are fitted on at most PER_LANGUAGE texts a language and MAX_FIT in all, chosen by
-    text hash, a fifth of them held back for the temperature. Texts that are null or have no letter, and
-    all texts where nothing can be learned, get `und` with score 0. Ties go to the language first in order.
+    Learns from text and non-null lang of rows whose id remainder is not `held`, all languages among them. Inverse document
+    frequencies cover all such rows; the weights are fitted on about per_language different texts a language, or max_fit over
+    the number of languages if less, chosen by text hash, a fifth of them held back for the temperature. Texts that
+    are null or have no letter, and all texts where nothing can be learned, get `und` with score 0. Ties go to the
+    language first in order. The driver and each task hold DIM x languages weights.
     """
     t = text_of()
     held_out = remainder(F.col("doc_id"), mod) == held
     known = docs.filter(~held_out).filter("lang is not null").select(t.alias("text"), "lang")
-    sizes = {r.lang: r.n for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(200).collect()}
+    sizes = {r.lang: r.n for r in known.groupBy("lang").agg(F.count_distinct(F.xxhash64("text")).alias("n")).collect()}
+    each = max(2, min(per_language, max_fit // max(1, len(sizes))))
     langs = sorted(sizes)
     counted = known.select("text").mapInPandas(_document_frequency, "bucket int, df long").groupBy("bucket").agg(F.sum("df").alias("df")).collect()
     df = {r.bucket: r.df for r in counted}
@@ -110,11 +112,11 @@ def identify_language(docs: DataFrame, mod: int = 3, held: int = 1) -> DataFrame
     for k, v in df.items():
         idf[k] = np.log((1 + total) / (1 + v)) + 1
     order = F.xxhash64("text")
-    share = F.lit(0.0)
-    for name, n in sizes.items():
-        share = F.when(F.col("lang") == name, F.lit(min(1.0, PER_LANGUAGE / n))).otherwise(share)
+    shares = docs.sparkSession.createDataFrame([(k, min(1.0, each / n)) for k, n in sizes.items()], "lang string, share double")
     unit = F.shiftrightunsigned(order, 11).cast("double") / float(1 << 53)
-    sample = known.withColumn("o", F.xxhash64(F.lit(5), "text")).filter(unit < share).mapInPandas(_featurise, "lang string, o long, at array<int>, n array<int>").orderBy("o", "lang").limit(MAX_FIT).toPandas()
+    picked = known.join(F.broadcast(shares), "lang").filter(unit < F.col("share")).withColumn("o", F.xxhash64(F.lit(5), "text"))  # a row a language
+    one = picked.groupBy("lang", "o").agg(F.max("text").alias("text"))  # equal texts once
+    sample = one.mapInPandas(_featurise, "lang string, o long, at array<int>, n array<int>").toPandas().sort_values(["o", "lang"], ignore_index=True)
     weights, heat = np.zeros((DIM, max(1, len(langs)))), 1.0
     if len(sample):
         rows = [(np.asarray(a), np.asarray(n, float)) for a, n in zip(sample["at"], sample["n"], strict=True)]
