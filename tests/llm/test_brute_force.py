@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cohortweave.llm import chat, dart_minhash, grace_dedup, language_id, lattice_lm, line_dedup, mixing, secrets, toxicity, winnowing
 
@@ -114,6 +115,28 @@ def test_secrets(docs):
     assert sum(r.n_assign for r in got.values()) >= 2
 
 
+def test_planted_keys_are_found_and_names_are_not(spark):
+    """Precision and recall of the added spans: random keys of three encodings against long plain names in a text of the same kind."""
+    r = random.Random(7)
+    syllables = [a + b for a in "bcdfglmnprst" for b in ("a", "e", "i", "o", "er", "in")]
+    word = lambda n: "".join(r.choices(syllables, k=n))
+    say = lambda n: " ".join(word(r.randint(1, 6)) + ("" if r.random() > 0.02 else f" {r.randint(1990, 2030)}-{r.randint(10, 12)}") for _ in range(n))
+    keys = ["".join(r.choices(a, k=r.randint(24, 48))) for a in (secrets.BASE64[:62], secrets.ALPHABETS["base32"], "0123456789ABCDEF") for _ in range(40)]
+    names = ["-".join(word(2) for _ in range(6)) + f"-{r.randint(1, 9)}" for _ in range(60)] + [word(12) for _ in range(60)] + ["/".join(word(3) for _ in range(4)) for _ in range(30)]
+    names += ["123e4567-e89b-12d3-a456-426614174000", "2024-01-01-2024-02-02-2024", "11111111111111111111111", "abcabcabcabcabcabcabcabc"]
+    texts = [f"{say(60)} {x} {say(20)}" for x in keys + names]
+    got = by_id(secrets.scan_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    found = {i for i, x in got.items() if any(s.startswith("random:") and texts[i][int(s.split(":")[1]) : int(s.split(":")[2])] == (keys + names)[i] for s in x.spans)}
+    wrong = sum(s.startswith("random:") for i, x in got.items() if i >= len(keys) for s in x.spans)
+    assert len([i for i in found if i < len(keys)]) >= 0.97 * len(keys) and wrong <= 2
+
+
+def test_many_matches_of_one_text(spark):
+    text = " ".join(f"é{i:016x}" for i in range(3000))
+    got = by_id(secrets.scan_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string")))[1]
+    assert list(got.base) == base_spans(text) and got.n_hex == 3000
+
+
 def test_lattice_lm(docs):
     space = re.compile(r"[^\x20\x09-\x0D]+")
     tokens = {i: [*space.findall((t or "").translate(LOWER)), None] for i, t in enumerate(TEXTS)}
@@ -128,6 +151,46 @@ def test_lattice_lm(docs):
         assert r.base_score == pytest.approx(base, rel=1e-9) and r.score < 0 and math.isfinite(r.score)
 
 
+def every_segmentation(s, scores, byte):
+    """All lists of pieces that spell s; a character that is no piece is its bytes."""
+    if not s:
+        yield [], 0.0
+    for j in range(1, len(s) + 1):
+        v = scores.get(s[:j])
+        if v is None and j == 1:
+            v = sum(byte[b] for b in s[:1].encode())
+        if v is not None:
+            for rest, u in every_segmentation(s[j:], scores, byte):
+                yield [s[:j], *rest], v + u
+
+
+def test_score_is_the_sum_over_all_segmentations(spark):
+    texts = ["ab abc Bca", "cab abcab", "", "abé zzq ab"] * 6
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    fit = lattice_lm.Fitted(docs)
+    byte = lattice_lm._bytes_of(fit.scores)
+    assert sum(math.exp(v) for v in fit.scores.values()) == pytest.approx(1)
+    word = lambda w: math.log(sum(math.exp(v) for _, v in every_segmentation(lattice_lm.START + w, fit.scores, byte)))
+    for i, r in by_id(lattice_lm.score_documents(docs)).items():
+        want = sum(map(word, texts[i].translate(LOWER).split())) + fit.scores[lattice_lm.END]
+        assert r.score == pytest.approx(want / math.log(10), rel=1e-9)
+
+
+def test_expected_uses_are_those_of_all_segmentations():
+    scores = lattice_lm.load_scores()
+    model, byte = lattice_lm.Lattice(scores), lattice_lm._bytes_of(scores)
+    got = np.zeros(len(model.keys))
+    model.run(["then", "é"], got, np.array([3.0, 1.0]))
+    want = Counter()
+    for w, k in (("then", 3.0), ("é", 1.0)):
+        every = list(every_segmentation("▁" + w, scores, byte))
+        total = sum(math.exp(v) for _, v in every)
+        for parts, v in every:
+            for x in parts:
+                want[x] += k * math.exp(v) / total
+    assert {model.pieces[model.order[i]]: x for i, x in enumerate(got) if x} == pytest.approx({x: v for x, v in want.items() if x in scores})
+
+
 def test_forward_sums_every_segmentation():
     scores = {"▁": -1.0, "a": -1.2, "b": -1.5, "ab": -2.0, "▁a": -0.9, "ba": -2.2}
 
@@ -142,7 +205,7 @@ def test_near_duplicates(docs):
     sets = {}
     for i, t in enumerate(TEXTS):
         w = words_of(t)
-        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+        sets[i] = Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else Counter()
     up = {i: i for i in sets}
 
     def find(x):
@@ -152,7 +215,7 @@ def test_near_duplicates(docs):
 
     for a in sets:
         for b in range(a):
-            if sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            if sets[a] and sets[b] and (sets[a] & sets[b]).total() >= 0.8 * (sets[a] | sets[b]).total():
                 x, y = find(a), find(b)
                 up[max(x, y)] = min(x, y)
     got = by_id(dart_minhash.near_duplicates(docs))
@@ -182,6 +245,39 @@ def test_near_duplicates_in_a_bucket_of_hundreds_of_classes(spark, monkeypatch):
     assert {i: x.class_id for i, x in got.items()} == {i: twins.get(i, i) for i in range(len(texts))}
 
 
+def test_repeated_shingles_weigh(spark):
+    """Same shingle sets, other counts: a set measure links them, the weighted one does not."""
+    once, line = "a b c d e f g h", "p q r s t u v w x y z "
+    texts = [f"{once} {line * 2}", f"{once} {line * 9}", f"{once} {line * 8}"]
+    bags = [Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4)) for w in map(words_of, texts)]
+    assert set(bags[0]) == set(bags[1]) and (bags[0] & bags[1]).total() < 0.8 * (bags[0] | bags[1]).total()
+    got = by_id(dart_minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    assert {i: r.class_id for i, r in got.items()} == {0: 0, 1: 1, 2: 1}
+
+
+def test_near_duplicates_finds_all_linked_pairs_of_the_tables(spark):
+    """Recall against all pairs, exact copies apart: every pair at the threshold of sf0.001 shares a class, and no class is wider."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    bags = {r.doc_id: (lambda w: Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else Counter())(words_of(r.text)) for r in docs.collect()}
+    ids, up = sorted(bags), {i: i for i in bags}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    near = 0
+    for k, b in enumerate(ids):
+        for a in ids[:k]:
+            x, y = bags[a], bags[b]
+            if x and y and min(x.total(), y.total()) >= 0.8 * max(x.total(), y.total()) and (both := (x & y).total()) >= 0.8 * (x.total() + y.total() - both):
+                near += x != y
+                i, j = find(a), find(b)
+                up[max(i, j)] = min(i, j)
+    assert near > 0
+    assert {i: r.class_id for i, r in by_id(dart_minhash.near_duplicates(docs)).items()} == {i: find(i) for i in ids}
+
+
 def test_dart_minhash_estimates_weighted_jaccard():
     g = np.random.default_rng(1)
     e = dart_minhash.mix64(np.arange(1, 301, dtype=np.uint64))
@@ -209,27 +305,83 @@ def test_language_and_toxicity(spark, docs):
     assert toxicity.score_toxicity(docs, labels.limit(0)).count() == len(TEXTS)
 
 
-def test_mixing_meets_marginals(docs):
-    got = mixing.mix(docs, rounds=20).collect()
+def test_mixing_meets_all_marginals(docs):
+    """With the query's own parameters, every marginal of the raked tokens is its target."""
+    got = mixing.mix(docs).collect()
     assert len(got) == len(TEXTS) and all(0 <= r.prob <= 1 for r in got)
-    tokens, raked = Counter(), Counter()
+    for dim in mixing.DIMS:
+        tokens, raked = Counter(), Counter()
+        for r in got:
+            tokens[r[dim]] += r.n_tokens
+            raked[r[dim]] += r.n_tokens * r.ratio
+        goal = {k: v**0.7 for k, v in tokens.items()}
+        for k in goal:
+            assert raked[k] / sum(raked.values()) == pytest.approx(goal[k] / sum(goal.values()), abs=1e-4), (dim, k)
+    assert len({r.topic for r in got}) > 1
+    expected, every = sum(r.n_tokens * r.prob for r in got), sum(r.n_tokens for r in got)
+    assert expected == pytest.approx(0.8 * every, rel=0.01) or all(r.prob == 1 for r in got)
+
+
+def test_topic_is_the_nearest_centre(spark):
+    centres, scale = [[0.0, 0.0, 0.0, 4.0], [0.5, 0.1, 0.0, 3.0]], [0.1, 0.1, 0.1, 1.0]
+    texts = ["plain words in a line", "12 34 56, 78 90", "", "A. B. C."]
+    d = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = d.select("text", mixing.nearest(mixing.register_features(F.col("text")), centres, scale).alias("i")).collect()
     for r in got:
-        tokens[r.source] += r.n_tokens
-        raked[r.source] += r.n_tokens * r.ratio
-    goal = {k: v**0.7 for k, v in tokens.items()}
-    for k in goal:
-        assert raked[k] / sum(raked.values()) == pytest.approx(goal[k] / sum(goal.values()), abs=0.03)
-
-
-def test_perspectives(spark):
-    said = [(1, 0, "ann", "héllo"), (1, 1, "bob", "hi\nyou"), (1, 1, "bob", "hi\nyou"), (1, 2, None, None), (2, None, "ann", ""), (None, 0, "x", "y")]
-    said += [(3, i % 2, "r", f"text {i}") for i in range(1200)]
-    got = chat.rotate_perspectives(spark.createDataFrame(said, "conv_id long, turn int, role string, text string")).collect()
-    one = {r.perspective: r for r in got if r.conv_id == 1}
-    assert set(one) == {"ann", "bob", "unknown"}
-    assert one["bob"].text == "<|user:ann|>\nhéllo\n<|assistant|>\nhi\nyou\n<|user:unknown|>\n\n"
-    assert [one["bob"].text[m.start : m.end] for m in one["bob"].masks] == ["hi\nyou"]
-    assert sum(r.n_turns for r in got if r.conv_id == 3) == 1200 and sum(r.n_rows for r in got if r.conv_id == 1) == 12
+        n, t = max(1, len(r.text)), r.text
+        x = [sum(c.isdigit() for c in t) / n, sum(c in mixing._MARKS for c in t) / n, sum("A" <= c <= "Z" for c in t) / n, math.log(1 + n / (1 + t.count("\n")))]
+        gap = [sum(((v - w) / s) ** 2 for v, w, s in zip(x, c, scale, strict=True)) for c in centres]
+        assert r.i == gap.index(min(gap))
+
+
+@pytest.mark.parametrize("block", [7, 512])
+def test_perspectives(spark, block):
+    said = [(1, 0, "ann", "héllo"), (1, 1, "bob", "hi\nyou"), (1, 1, "bob", "hi\nyou"), (1, 2, None, None), (2, None, "ann", ""), (None, 0, "x", "y"), (None, 1, "z", "w")]
+    said += [(3, i // 2, "r" if i % 3 else "q", f"text {i}") for i in range(1200)] + [(4, 0, "same", "same text")] * 50
+    got = chat.rotate_perspectives(spark.createDataFrame(said, "conv_id long, turn int, role string, text string"), block).collect()
+    talks = defaultdict(list)
+    for conv, turn, role, text in said:
+        talks[conv].append((-1 if turn is None else turn, role or "unknown", text or ""))
+    want = {}
+    for conv, rows in talks.items():
+        for p in {r for _, r, _ in rows}:
+            heads = [("<|assistant|>\n" if r == p else f"<|user:{r}|>\n", t, r == p) for _, r, t in sorted(rows)]
+            whole, masks = "", []
+            for head, t, own in heads:
+                whole += head
+                masks += [(len(whole), len(whole) + len(t))] * own
+                whole += t + "\n"
+            want[conv, p] = whole, masks
+    built = defaultdict(list)
+    for r in got:
+        built[r.conv_id, r.perspective].append(r)
+    assert set(built) == set(want)
+    for key, rows in built.items():
+        rows.sort(key=lambda r: r.seq)
+        assert [r.seq for r in rows] == list(range(len(rows)))
+        assert ("".join(r.text for r in rows), [(r.body_start, r.body_end) for r in rows if r.learn]) == want[key]
+
+
+def test_label_model_finds_a_planted_model():
+    """Votes drawn from known rates, two voters copying each other: EM returns the class, and ties the copies together."""
+    g = np.random.default_rng(5)
+    n, v = 6000, len(toxicity.VOTERS)
+    y = g.random(n) < 0.1
+    votes = np.where(g.random((n, v)) < np.where(y[:, None], 0.6, 0.01), 1, 0)
+    votes[:, 1] = np.where(g.random(n) < 0.95, votes[:, 0], votes[:, 1])
+    patterns, back, counts = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
+    post, parent = toxicity.fit_label_model(patterns, counts.astype(float), 0.1)
+    said = post[back.ravel()] > 0.5
+    assert (said == y).mean() > 0.995
+    assert parent[1] == 0 or parent[0] == 1
+
+
+def test_equal_toxic_texts_count_once(spark):
+    """A word of a hundred copies of one toxic text is no entry: the copies count once, and clean texts hold it too."""
+    texts = {i: "zyxwvut some words" for i in range(100)} | {1000 + i: f"{'zyxwvut' if i < 50 else 'and'} is a clean word {i}" for i in range(600)}
+    labels = spark.createDataFrame([(i, 1, int(i < 1000)) for i in texts], "doc_id long, quality int, toxic int")
+    out = by_id(toxicity.score_toxicity(spark.createDataFrame([(i, t, *[None] * 5) for i, t in texts.items()], SCHEMA), labels))
+    assert not any(out[i].predicted for i in texts if i >= 1000)
 
 
 def test_empty_tables(spark, docs):
@@ -246,32 +398,37 @@ def test_empty_tables(spark, docs):
     assert winnowing.decontaminate(docs, items).filter("contaminated").count() == 0
 
 
-def test_null_and_repeated_ids(spark):
-    rows = [(None, "one two three four five six", None, None, None, 1, "a"), (5, "same words here again", "en", "s", 1, 1, "a"), (5, "same words here again", "en", "s", 1, 1, "a"), (None, None, None, None, None, None, None)]
+def test_rows_that_repeat_an_id_keep_their_own_results(spark):
+    """Different texts under one id and under none: values, not counts alone."""
+    key = "Zk3vQ9xT2mPf8LwRb7YcHs5NdJ0gUa4E"
+    secret, short, copied = f"x password=abcdefghijkl {key}", "short", "p one two three four five six seven eight nine ten q"
+    line = "a line that is long enough to count"
+    texts = [secret, short, copied, "only two", line, line, "tail\n" + line]
+    rows = [(i, t, "en", "s", None, 1, "a") for i in (1, None) for t in texts] + [(5, line, "en", "s", None, 1, "a"), (None, None, None, None, None, None, None)]
     d = spark.createDataFrame(rows, SCHEMA)
+    items = spark.createDataFrame([("b", " ".join(copied.split()[1:-1]), 7), (None, "only two", 8), (None, None, 9)], "item_id string, text string, h int")
+    got = sorted((r.doc_id or 0, r.n_words, r.n_hit, tuple(r["items"])) for r in winnowing.decontaminate(d, items).collect())
+    want = sorted((i or 0, len(words_of(t)), 10 if t == copied else 2 if t == "only two" else 0, ("b",) if t == copied else ()) for i, t, *_ in rows)
+    assert got == want
+    spans = sorted((r.doc_id or 0, tuple(r.base)) for r in secrets.scan_secrets(d).collect())
+    assert spans == sorted((i or 0, tuple(base_spans(t or ""))) for i, t, *_ in rows)
+    # id 1 is one document, the rows without an id are told apart by their text: 1, 5 and two texts hold the line, 5 keeps it
+    lines = sorted((r.doc_id or 0, r.text, r.n_dropped) for r in line_dedup.dedup_lines(d).collect())
+    drop = lambda i, t: (i or 0, "\n".join(x for x in t.split("\n") if x != line or i == 5), t.split("\n").count(line) if i != 5 else 0)
+    assert lines == sorted(drop(i, t or "") for i, t, *_ in rows)
+    two = spark.createDataFrame([(1, line), (1, line), (2, line)], "doc_id long, text string")
+    assert all(r.n_dropped == 0 for r in line_dedup.dedup_lines(two).collect())  # two documents are fewer than three
+    same = grace_dedup.grace_dedup(d).collect()
+    assert Counter(r.group_size for r in same if r.text_sha256 == sha(line)) == {5: 5}
     labels = spark.createDataFrame([(None, None, None)], "doc_id long, quality int, toxic int")
-    items = spark.createDataFrame([(None, "same words here again")], "item_id long, text string")
-    for df in (
-        line_dedup.dedup_lines(d), grace_dedup.grace_dedup(d), winnowing.decontaminate(d, items), secrets.scan_secrets(d), lattice_lm.score_documents(d),
-        dart_minhash.near_duplicates(d), language_id.identify_language(d), toxicity.score_toxicity(d, labels), mixing.mix(d),
-    ):
-        assert len(df.collect()) == 4
+    for df in (lattice_lm.score_documents(d), language_id.identify_language(d), toxicity.score_toxicity(d, labels), mixing.mix(d), dart_minhash.near_duplicates(d)):
+        assert Counter(r.doc_id for r in df.collect()) == Counter(i for i, *_ in rows)
 
 
 def test_lattice_batches_agree_with_forward():
     scores = lattice_lm.load_scores()
     model = lattice_lm.Lattice(scores)
-    names = ["the", "nation", "x", "naïve", "🙂🙂", "thering" * 9]
+    names = ["the", "nation", "x", "naïve", "🙂🙂", "thering" * 9, "thering" * 90]
     one = [lattice_lm.forward(w, scores, model.longest, model.byte)[-1] for w in names]
     counts = np.zeros(len(model.keys))
     assert model.run(names, counts) == pytest.approx(one) and counts.sum() > len(names)
-
-
-def test_urn_is_the_product_of_its_steps():
-    p, m = {"a": 0.3, "b": 0.02, "c": 1e-9}, 40.0
-    said, seen, steps = list("aabacbaac"), Counter(), 0.0
-    for i, w in enumerate(said):
-        steps += math.log((seen[w] + m * p[w]) / (i + m))
-        seen[w] += 1
-    whole = sum(lattice_lm._urn(n, math.log10(p[w]), m) for w, n in seen.items()) - lattice_lm._rising(m, len(said))
-    assert whole == pytest.approx(steps) and math.isfinite(lattice_lm._urn(3, -50000.0, m))
