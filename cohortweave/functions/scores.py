@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ordered import running_sums
+
 
 def m_value(beta: Column, eps: float = 1e-6) -> Column:
     b = F.least(F.greatest(beta, F.lit(eps)), F.lit(1 - eps))
@@ -30,16 +32,94 @@ def by_score(df: DataFrame, score: str, y: str) -> DataFrame:
     return df.groupBy(F.col(score).alias("s")).agg(F.sum(F.col(y).cast("long")).alias("pos"), F.sum(1 - F.col(y).cast("long")).alias("neg"))
 
 
+def two_classes(df: DataFrame, y: str) -> DataFrame:
+    """df with y as 0 and 1, the greater class being 1; other than two classes is an error."""
+    found = sorted(r[0] for r in df.select(y).filter(F.col(y).isNotNull()).distinct().limit(3).collect())
+    if len(found) != 2:
+        raise ValueError(f"binary metrics need two classes, got {found}")
+    return df.withColumn(y, (F.col(y) == found[1]).cast("int"))
+
+
 def auroc(df: DataFrame, score: str, y: str) -> DataFrame:
-    below = F.coalesce(F.sum("neg").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    c = by_score(df, score, y).withColumn("won", F.col("pos") * (below + F.col("neg") / 2))
-    return c.agg(F.round(F.sum("won") / F.sum("pos") / F.sum("neg"), 8).alias("auroc"))
+    """Area under the ROC curve, ties half; sums run over range partitions of the distinct scores."""
+    c = running_sums(by_score(df, score, y), [F.col("s")], ["neg"])
+    won = F.col("pos") * (F.col("before_neg") + F.col("neg") / 2)
+    return c.agg(F.round(F.sum(won) / F.sum("pos") / F.sum("neg"), 8).alias("auroc"))
 
 
 def average_precision(df: DataFrame, score: str, y: str) -> DataFrame:
-    w = Window.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    c = by_score(df, score, y).withColumn("tp", F.sum("pos").over(w)).withColumn("all", F.sum(F.col("pos") + F.col("neg")).over(w))
-    return c.agg(F.round(F.sum(F.col("pos") * F.col("tp") / F.col("all")) / F.sum("pos"), 8).alias("average_precision"))
+    c = running_sums(by_score(df, score, y).withColumn("both", F.col("pos") + F.col("neg")), [F.desc("s")], ["pos", "both"])
+    precision = (F.col("before_pos") + F.col("pos")) / (F.col("before_both") + F.col("both"))
+    return c.agg(F.round(F.sum(F.col("pos") * precision) / F.sum("pos"), 8).alias("average_precision"))
+
+
+def confusion(df: DataFrame, y: str, p: str, k: int) -> DataFrame:
+    """All k x k cells (true_class, said_class, n); rows with a class outside 0..k-1 are left out."""
+    spark = df.sparkSession
+    grid = spark.range(k).select(F.col("id").alias("true_class")).crossJoin(spark.range(k).select(F.col("id").alias("said_class")))  # k x k cells
+    inside = df.filter(F.col(y).between(0, k - 1) & F.col(p).between(0, k - 1))
+    n = inside.groupBy(F.col(y).cast("long").alias("true_class"), F.col(p).cast("long").alias("said_class")).agg(F.count(F.lit(1)).alias("n"))
+    return grid.join(n, ["true_class", "said_class"], "left").select("true_class", "said_class", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
+def macro_scores(cells: DataFrame) -> DataFrame:
+    """accuracy, macro_f1 and balanced_accuracy over all classes of a confusion table, empty ones counting 0."""
+    rows = cells.groupBy(F.col("true_class").alias("c")).agg(F.sum("n").alias("support"), F.sum(F.when(F.col("true_class") == F.col("said_class"), F.col("n")).otherwise(0)).alias("tp"))
+    cols = cells.groupBy(F.col("said_class").alias("c")).agg(F.sum("n").alias("said"))
+    j = rows.join(cols, "c")
+    ratio = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
+    f1, recall = ratio(2 * F.col("tp"), F.col("support") + F.col("said")), ratio(F.col("tp"), F.col("support"))
+    return j.agg(
+        F.round(ratio(F.sum("tp"), F.sum("support")), 6).alias("accuracy"), F.round(F.avg(f1), 6).alias("macro_f1"), F.round(F.avg(recall), 6).alias("balanced_accuracy"),
+    )
+
+
+def regression_scores(df: DataFrame, y: str, p: str, keys: list[str]) -> DataFrame:
+    """n, mae, rmse and r by keys; r only with two rows or more and spread on both sides."""
+    e = F.col(p) - F.col(y)
+    spread = (F.count(F.lit(1)) >= 2) & (F.stddev_pop(y) > 0) & (F.stddev_pop(p) > 0)
+    return df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg(F.abs(e)), 6).alias("mae"), F.round(F.sqrt(F.avg(e * e)), 6).alias("rmse"),
+        F.round(F.when(spread, F.corr(y, p)), 6).alias("r"),
+    )
+
+
+def standardise(df: DataFrame, x: str, train: Column, name: str = "z") -> DataFrame:
+    """(x - mean) / sd with population statistics of the training rows; an sd under 1e-6 counts as 1."""
+    s = df.agg(F.avg(F.when(train, F.col(x))).alias("m"), F.stddev_pop(F.when(train, F.col(x))).alias("sd"))
+    sd = F.when(F.col("sd") >= 1e-6, F.col("sd")).otherwise(F.lit(1.0))
+    return df.crossJoin(s).withColumn(name, (F.col(x) - F.col("m")) / sd).drop("m", "sd")  # s is one row
+
+
+def gelu(x: Column) -> Column:
+    """Gaussian error linear unit by its tanh form, which the closed form differs from by less than 1e-3."""
+    return 0.5 * x * (1 + F.tanh(0.7978845608028654 * (x + 0.044715 * x * x * x)))
+
+
+def silu(x: Column) -> Column:
+    return x * sigmoid(x)
+
+
+def leaky_relu(x: Column, slope: float = 0.01) -> Column:
+    return F.when(x > 0, x).otherwise(x * slope)
+
+
+def rms_norm(v: list[Column], eps: float = 1e-6) -> list[Column]:
+    mean = sum((x * x for x in v[1:]), v[0] * v[0]) / len(v)
+    return [x / F.sqrt(mean + eps) for x in v]
+
+
+def layer_norm(v: list[Column], eps: float = 1e-5) -> list[Column]:
+    mean = sum(v[1:], v[0]) / len(v)
+    var = sum(((x - mean) * (x - mean) for x in v[1:]), (v[0] - mean) * (v[0] - mean)) / len(v)
+    return [(x - mean) / F.sqrt(var + eps) for x in v]
+
+
+def multitask_loss(df: DataFrame, tasks: dict[str, tuple[Column, Column, float]]) -> DataFrame:
+    """One row: loss_t and n_t per task (loss, mask, weight), and their weighted sum; an unobserved task adds 0."""
+    each = [x for t, (loss, mask, _) in tasks.items() for x in (masked_mean(loss, mask).alias(f"loss_{t}"), F.count_if(mask).alias(f"n_{t}"))]
+    total = sum((F.lit(w) * F.col(f"loss_{t}") for t, (_, _, w) in tasks.items()), F.lit(0.0))
+    return df.agg(*each).withColumn("loss", total)
 
 
 def class_report(df: DataFrame, y: str, p: str, classes: DataFrame) -> DataFrame:
@@ -53,8 +133,8 @@ def class_report(df: DataFrame, y: str, p: str, classes: DataFrame) -> DataFrame
     return j.select("cls", "support", F.round(part("tp", "said"), 6).alias("precision"), F.round(part("tp", "support"), 6).alias("recall"), F.round(f1, 6).alias("f1"))
 
 
-def class_weights(df: DataFrame, col: str) -> DataFrame:
-    """Balanced weights: all clamped counts over K times the class's."""
-    n = df.groupBy(col).agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("n"))
+def class_weights(df: DataFrame, col: str, classes: DataFrame) -> DataFrame:
+    """Balanced weights of all classes (column `col` of classes), counts clamped to 1: their sum over K times the class's."""
+    n = classes.select(col).distinct().join(df.groupBy(col).agg(F.count(F.lit(1)).alias("n")), col, "left").select(col, F.greatest(F.coalesce("n", F.lit(0)), F.lit(1)).alias("n"))
     every = Window.partitionBy()  # a row per class
     return n.select(col, F.round(F.sum("n").over(every) / (F.count(F.lit(1)).over(every) * F.col("n")), 6).alias("weight"))

@@ -28,6 +28,26 @@ def not_null(df: DataFrame, name: str, col: str) -> DataFrame:
     return _row(df, name, F.count_if(F.col(col).isNull()))
 
 
+def require_columns(df: DataFrame, names: list[str]) -> DataFrame:
+    missing = sorted(set(names) - set(df.columns))
+    if missing:
+        raise KeyError(f"missing columns: {missing}")
+    return df
+
+
+def require(df: DataFrame, message: str) -> DataFrame:
+    """df, which must have a row; looking for one is a job of its own."""
+    if df.isEmpty():
+        raise ValueError(message)
+    return df
+
+
+def require_none(bad: DataFrame, message: str, col: str, show: int = 5) -> None:
+    """No row may be bad; at most `show` of them are named."""
+    if found := [str(r[0]) for r in bad.select(col).distinct().orderBy(col).limit(show).collect()]:
+        raise ValueError(f"{message}: {found}")
+
+
 def report(checks: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, checks)
 

@@ -2,42 +2,77 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def finite(v: Column) -> Column:
+    return v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
+
+
 def qc_stats(df: DataFrame, value: str, keys: list[str], lo: float = 0.0, hi: float = 1.0) -> DataFrame:
     v = F.col(value)
-    finite = v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
-    ok = F.when(finite, v)
+    ok = F.when(finite(v), v)
     return df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_total"), F.count_if(~F.coalesce(finite, F.lit(False))).alias("n_missing"), F.count_if(finite).alias("n_finite"),
-        F.count_if(finite & ((v < lo) | (v > hi))).alias("n_out_of_range"),
+        F.count(F.lit(1)).alias("n_total"), F.count_if(~F.coalesce(finite(v), F.lit(False))).alias("n_missing"), F.count_if(finite(v)).alias("n_finite"),
+        F.count_if(finite(v) & ((v < lo) | (v > hi))).alias("n_out_of_range"),
         F.min(ok).alias("v_min"), F.max(ok).alias("v_max"), F.round(F.avg(ok), 6).alias("v_mean"),
     )
 
 
 def value_counts(df: DataFrame, col: str, top: int) -> DataFrame:
-    """The `top` most frequent values, ties by value, null as __NULL__."""
+    """The `top` most frequent values, ties by value, null as __NULL__; further values go into one row __truncated_levels__, counted as levels."""
     c = F.coalesce(F.col(col).cast("string"), F.lit("__NULL__")).alias("value")
-    return df.select(c).groupBy("value").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "value").limit(top)
+    n = df.select(c).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+    best = n.orderBy(F.desc("n"), "value").limit(top)
+    rest = n.agg((F.count(F.lit(1)) - top).alias("n")).filter("n > 0").select(F.lit("__truncated_levels__").alias("value"), "n")
+    return best.unionByName(rest)
 
 
 def column_profile(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Per column: rows, non-null rate, distinct values, numeric share, min, max and mean of what parses."""
+    """Per column: rows, non-null rate, distinct values, kind, numeric share, min, max and mean of what parses.
+
+    numeric where 80 % of the values parse, else categorical up to max(20, 5 % of the rows) values, else string.
+    """
     long = df.select(*[F.col(c).cast("string").alias(c) for c in cols]).unpivot([], cols, "col", "s")
     x = F.expr("try_cast(s AS double)")
+    kind = F.when((F.col("numeric_rate") >= 0.8) & (F.col("n_unique") > 0), "numeric").when(F.col("n_unique") <= F.greatest(F.lit(20.0), 0.05 * F.col("n")), "categorical").otherwise("string")
     return long.groupBy("col").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.count("s") / F.count(F.lit(1)), 6).alias("non_null_rate"), F.countDistinct("s").alias("n_unique"),
         F.round(F.count(x) / F.greatest(F.count("s"), F.lit(1)), 6).alias("numeric_rate"),
         F.round(F.min(x), 6).alias("v_min"), F.round(F.max(x), 6).alias("v_max"), F.round(F.avg(x), 4).alias("v_mean"),
+    ).withColumn("kind", kind)
+
+
+def numeric_summary(df: DataFrame, col: str) -> DataFrame:
+    """One row: missing, unparsed and numeric values of a text column, with least, middle and greatest."""
+    text = F.nullif(F.btrim(F.col(col).cast("string")), F.lit(""))
+    x = text.try_cast("double")
+    return df.agg(
+        F.count_if(text.isNull()).alias("n_missing"), F.count_if(text.isNotNull() & x.isNull()).alias("n_unparsed"), F.count(x).alias("n_numeric"),
+        F.min(x).alias("v_min"), F.median(x).alias("v_median"), F.max(x).alias("v_max"),
     )
 
 
-def compare_sources(df: DataFrame, a: str, b: str, keys: list[str]) -> DataFrame:
-    """Agreement of two measurements of the same cells."""
+def id_alignment(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """One row: distinct ids on either side, on both and on one only, and whether they agree."""
+    mark = lambda df, c: df.select(key).filter(F.col(key).isNotNull()).distinct().withColumn(c, F.lit(1))
+    j = mark(a, "in_a").join(mark(b, "in_b"), key, "full")
+    s = j.agg(F.count("in_a").alias("n_a"), F.count("in_b").alias("n_b"), F.count_if(F.col("in_a").isNotNull() & F.col("in_b").isNotNull()).alias("n_both"))
+    return s.select("*", (F.col("n_a") - F.col("n_both")).alias("only_a"), (F.col("n_b") - F.col("n_both")).alias("only_b"), ((F.col("n_a") == F.col("n_both")) & (F.col("n_b") == F.col("n_both"))).alias("aligned"))
+
+
+def column_overlap(tables: dict[str, list[str]]) -> list[tuple[str, int, bool]]:
+    """(column, tables that have it, whether all have): names alone, on the driver."""
+    names = sorted({c for cols in tables.values() for c in cols})
+    return [(c, n, n == len(tables)) for c in names for n in [sum(c in cols for cols in tables.values())]]
+
+
+def compare_sources(df: DataFrame, a: str, b: str, keys: list[str], at: str) -> DataFrame:
+    """Agreement of two measurements of the same cells; worst_at is the cell (column `at`) of the greatest difference, the greatest of ties."""
     d = F.abs(F.col(a) - F.col(b))
     return df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.round(F.avg(d), 8).alias("mae"), F.round(F.sqrt(F.avg(d * d)), 8).alias("rmse"),
-        F.round(F.corr(a, b), 6).alias("r"), F.count_if(~F.col(a).eqNullSafe(F.col(b))).alias("n_mismatch"), F.round(F.avg((d <= 0.005).cast("double")), 6).alias("within"),
+        F.round(F.corr(a, b), 6).alias("r"), F.count_if(~F.col(a).eqNullSafe(F.col(b))).alias("n_mismatch"), *[F.round(F.avg((d <= x).cast("double")), 6).alias(f"within{i or ''}") for i, x in enumerate((0.005, 0.02, 0.1))],
+        F.max_by(F.col(at), F.struct(d, F.col(at))).alias("worst_at"),
     )

@@ -71,6 +71,20 @@ def masked_head(scores: DataFrame, weights: DataFrame, sample: str, gene: str) -
     return scores.join(used, gene).groupBy(sample, "output").agg(F.sum((F.col("score") - NEUTRAL) * F.col("weight")).alias("value"))
 
 
+def task_heads(scores: DataFrame, weights: DataFrame, sample: str, gene: str) -> DataFrame:
+    """Per sample, both kinds of head: raw, the sum of score * weight over the sets that are there (regression and two-class tasks), and
+    centred, that of (score - 0.5) * weight over masked ones (class tasks)."""
+    j = scores.join(weights, gene)
+    return j.groupBy(sample).agg(F.sum(F.col("score") * F.col("weight")).alias("raw"), F.sum(F.when(F.col("mask"), (F.col("score") - NEUTRAL) * F.col("weight"))).alias("centred"))
+
+
+def with_absent(scores: DataFrame, samples: DataFrame, sets: DataFrame, sample: str, name: str) -> DataFrame:
+    """Every sample with every set: sets that were not observed score NEUTRAL and are not present. The grid is the result's own size."""
+    grid = samples.select(sample).crossJoin(sets.select(name))
+    j = grid.join(scores, [sample, name], "left")
+    return j.select(sample, name, F.coalesce("score", F.lit(NEUTRAL)).alias("score"), F.col("score").isNotNull().alias("present"))
+
+
 def cross_entropy(logits: list[Column], cls: Column) -> Column:
     """Negative log likelihood of class cls (0-based) under the logits, shifted by their maximum."""
     top = F.greatest(*logits)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import numbered
+
 POOLS = {
     "sum": lambda v: F.coalesce(F.sum(v), F.lit(0.0)),
     "mean": lambda v: F.coalesce(F.avg(v), F.lit(0.0)),
@@ -32,6 +34,12 @@ def segment_softmax(values: DataFrame) -> DataFrame:
     return shifted.join(total, "segment").withColumn("p", F.col("e") / F.greatest("total", F.lit(1e-12))).drop("e", "top", "total")
 
 
+def segment_count(values: DataFrame, segments: DataFrame) -> DataFrame:
+    """Rows of each segment, 0 for those without."""
+    n = values.groupBy("segment").agg(F.count(F.lit(1)).alias("n"))
+    return segments.select("segment").join(n, "segment", "left").select("segment", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def dense_ids(df: DataFrame, col: str, name: str = "id") -> DataFrame:
-    """0-based ids of the sorted distinct values (a vocabulary or ontology)."""
-    return df.select(col).distinct().withColumn(name, F.row_number().over(Window.orderBy(col)) - 1)
+    """0-based ids of the sorted distinct values (a vocabulary or ontology), without a task that sees them all."""
+    return numbered(df.select(col).distinct(), [F.col(col)], name)

@@ -59,9 +59,14 @@ def interval_merge(t):
 @query("""SELECT r_name, n_name, count(DISTINCT c_custkey) AS n_customers, count(DISTINCT s_suppkey) AS n_suppliers, round(sum(coalesce(c_acctbal, 0)), 2) AS fanned_balance
 FROM nation LEFT JOIN region ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY ALL""")
 def inventory_fanout(t):
-    j = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"), "left").join(t("customer"), F.col("c_nationkey") == F.col("n_nationkey"), "left")
-    j = j.join(t("supplier"), F.col("s_nationkey") == F.col("n_nationkey"), "left")
-    return j.groupBy("r_name", "n_name").agg(F.countDistinct("c_custkey").alias("n_customers"), F.countDistinct("s_suppkey").alias("n_suppliers"), F.round(F.sum(F.coalesce("c_acctbal", F.lit(0.0))), 2).alias("fanned_balance"))
+    """A join of both sides would multiply a nation's customers by its suppliers; each side is summed first, and the sums multiply."""
+    c = t("customer").groupBy("c_nationkey").agg(F.count_distinct("c_custkey").alias("n_customers"), F.sum("c_acctbal").alias("balance"))
+    s = t("supplier").groupBy("s_nationkey").agg(F.count_distinct("s_suppkey").alias("n_suppliers"), F.count(F.lit(1)).alias("fan"))
+    j = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"), "left")
+    j = j.join(c, F.col("c_nationkey") == F.col("n_nationkey"), "left").join(s, F.col("s_nationkey") == F.col("n_nationkey"), "left")
+    zero = lambda x: F.coalesce(x, F.lit(0))
+    fanned = zero(F.col("balance")) * F.greatest(zero(F.col("fan")), F.lit(1))
+    return j.groupBy("r_name", "n_name").agg(zero(F.sum("n_customers")).alias("n_customers"), zero(F.sum("n_suppliers")).alias("n_suppliers"), F.round(F.sum(fanned), 2).alias("fanned_balance"))
 
 
 @query("""SELECT n_name, c_mktsegment, count(*) AS n, min(c_acctbal) AS lo, max(c_acctbal) AS hi, round(avg(c_acctbal), 4) AS mean
@@ -71,10 +76,12 @@ def group_summary(t):
     return j.groupBy("n_name", "c_mktsegment").agg(F.count(F.lit(1)).alias("n"), F.min("c_acctbal").alias("lo"), F.max("c_acctbal").alias("hi"), F.round(F.avg("c_acctbal"), 4).alias("mean"))
 
 
-@query("""SELECT md5(text) AS text_md5, count(*) AS n, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS ids FROM documents GROUP BY text HAVING count(*) > 1""")
+@query("""WITH g AS (SELECT text, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY text HAVING count(*) > 1) SELECT md5(text) AS text_md5, doc_id, n FROM documents JOIN g USING (text)""")
 def duplicate_groups(t):
-    g = t("documents").groupBy("text").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("doc_id")).alias("ids")).filter("n > 1")
-    return g.select(F.md5(F.col("text").cast("binary")).alias("text_md5"), "n", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
+    """A row per document of a repeated text; groups are counted by digest and length, so no task holds a group's ids."""
+    d = t("documents").select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"), F.length("text").alias("size")).filter("size IS NOT NULL")
+    several = d.groupBy("text_md5", "size").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return d.join(several, ["text_md5", "size"]).select("text_md5", "doc_id", "n")
 
 
 @query("""SELECT p_brand, count(*) AS n, count(*) FILTER (WHERE l_returnflag = 'R') AS n_returned FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY ALL""")
@@ -125,13 +132,14 @@ def qc_stats(t):
     return profile.qc_stats(t("lineitem"), "l_discount", ["l_returnflag"], 0.02, 0.08)
 
 
-def _profile_sql(table: str, cols: list[str]) -> str:
-    return " UNION ALL ".join(
+def _profile_sql(table, cols):
+    one = " UNION ALL ".join(
         f"""SELECT '{c}' AS col, count(*) AS n, round(count({c}) / count(*), 6) AS non_null_rate, count(DISTINCT CAST({c} AS VARCHAR)) AS n_unique,
 round(count(try_cast(CAST({c} AS VARCHAR) AS DOUBLE)) / greatest(count({c}), 1), 6) AS numeric_rate, round(min(try_cast(CAST({c} AS VARCHAR) AS DOUBLE)), 6) AS v_min,
 round(max(try_cast(CAST({c} AS VARCHAR) AS DOUBLE)), 6) AS v_max, round(avg(try_cast(CAST({c} AS VARCHAR) AS DOUBLE)), 4) AS v_mean FROM {table}"""
         for c in cols
     )
+    return f"""SELECT *, CASE WHEN numeric_rate >= 0.8 AND n_unique > 0 THEN 'numeric' WHEN n_unique <= greatest(20.0, 0.05 * n) THEN 'categorical' ELSE 'string' END AS kind FROM ({one})"""
 
 
 @query(_profile_sql("lineitem", ["l_quantity", "l_returnflag", "l_linenumber"]))
@@ -139,7 +147,8 @@ def column_profile(t):
     return profile.column_profile(t("lineitem"), ["l_quantity", "l_returnflag", "l_linenumber"])
 
 
-@query("""SELECT coalesce(lang, '__NULL__') AS value, count(*) AS n FROM documents GROUP BY 1 ORDER BY n DESC, value LIMIT 3""")
+@query("""WITH c AS (SELECT coalesce(lang, '__NULL__') AS value, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, coalesce(lang, '__NULL__')) AS place FROM documents GROUP BY 1)
+SELECT value, n FROM c WHERE place <= 3 UNION ALL SELECT '__truncated_levels__', count(*) FROM c WHERE place > 3 HAVING count(*) > 0""")
 def value_counts_topk(t):
     return profile.value_counts(t("documents"), "lang", 3)
 
@@ -152,9 +161,11 @@ def pairwise_overlap(t):
 
 
 @query("""SELECT l_returnflag, count(*) AS n, round(avg(abs(l_tax - l_discount)), 8) AS mae, round(sqrt(avg((l_tax - l_discount) ** 2)), 8) AS rmse, round(corr(l_tax, l_discount), 6) AS r,
-count(*) FILTER (WHERE l_tax IS DISTINCT FROM l_discount) AS n_mismatch, round(avg(CASE WHEN abs(l_tax - l_discount) <= 0.005 THEN 1.0 ELSE 0.0 END), 6) AS within FROM lineitem GROUP BY ALL""")
+count(*) FILTER (WHERE l_tax IS DISTINCT FROM l_discount) AS n_mismatch, round(avg(CASE WHEN abs(l_tax - l_discount) <= 0.005 THEN 1.0 ELSE 0.0 END), 6) AS within,
+round(avg(CASE WHEN abs(l_tax - l_discount) <= 0.02 THEN 1.0 ELSE 0.0 END), 6) AS within1, round(avg(CASE WHEN abs(l_tax - l_discount) <= 0.1 THEN 1.0 ELSE 0.0 END), 6) AS within2,
+arg_max(l_orderkey, {'d': abs(l_tax - l_discount), 'k': l_orderkey}) AS worst_at FROM lineitem GROUP BY ALL""")
 def source_compare(t):
-    return profile.compare_sources(t("lineitem"), "l_tax", "l_discount", ["l_returnflag"])
+    return profile.compare_sources(t("lineitem"), "l_tax", "l_discount", ["l_returnflag"], "l_orderkey")
 
 
 @query("""SELECT l_linenumber, count(*) AS n, count(*) FILTER (WHERE l_tax IS DISTINCT FROM CAST(CAST(l_tax AS FLOAT) AS DOUBLE)) AS n_changed FROM lineitem GROUP BY ALL""")
@@ -200,7 +211,7 @@ def masked_huber(t):
 
 @query("""WITH n AS (SELECT c_mktsegment, greatest(count(*), 1) AS n FROM customer GROUP BY 1) SELECT c_mktsegment, round(sum(n) OVER () / (count(*) OVER () * n), 6) AS weight FROM n""")
 def class_weights(t):
-    return scores.class_weights(t("customer"), "c_mktsegment")
+    return scores.class_weights(t("customer"), "c_mktsegment", t("customer"))
 
 
 @query("""SELECT round(sum(CASE WHEN a.quality > b.quality THEN 1.0 WHEN a.quality = b.quality THEN 0.5 ELSE 0 END) / count(*), 8) AS auroc FROM labels a JOIN labels b ON a.toxic = 1 AND b.toxic = 0""")
@@ -249,7 +260,7 @@ def label_cascade(t):
 
 @query("""SELECT c_custkey, regexp_replace(trim(c_name || '_TC21'), '_[A-Z]{2}[0-9]{2}$', '') AS core, split_part(c_name || '.3', '.', 1) AS bare FROM customer""")
 def regex_ids(t):
-    return t("customer").select("c_custkey", text.core_probe_id(F.concat("c_name", F.lit("_TC21"))).alias("core"), text.strip_version(F.concat("c_name", F.lit(".3"))).alias("bare"))
+    return t("customer").select("c_custkey", text.probe_stem(F.concat("c_name", F.lit("_TC21"))).alias("core"), text.strip_version(F.concat("c_name", F.lit(".3"))).alias("bare"))
 
 
 @query("""SELECT event_id, json_extract_string(props, '$.k') AS k FROM events""")
