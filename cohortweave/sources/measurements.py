@@ -1,46 +1,107 @@
-"""Readers of measurement and annotation text, and the tiled matrix writer."""
+"""Readers of measurement text: one file a sample, wide tables plain or in a zip; tiles of a matrix."""
 
 from __future__ import annotations
 
+import io
+import zipfile
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import parse_measure
+from ..operators.checks import require
+
+CELLS = "probe_id string, row_index int, sample_id string, beta double"
 
 
 def read_two_column(spark: SparkSession, path: str) -> DataFrame:
-    """Headerless probe-and-value text, one file a sample: sample_id (file stem), probe_id, beta."""
-    raw = spark.read.schema("probe_id string, raw string").csv(path, sep="\t")
+    """Headerless probe-and-value text, one .txt file a sample: sample_id (file stem), probe_id, beta.
+
+    NA tokens, NaN in any case and junk are null betas. No file is an error; a null or repeated probe of a sample fails the
+    job, and so does a file without rows (whose name then has no sample: see missing_samples).
+    """
+    raw = spark.read.schema("probe_id string, raw string").option("pathGlobFilter", "*.txt*").csv(path, sep="\t")
     stem = F.regexp_replace(F.col("_metadata.file_name"), r"\.txt(\.gz)?$", "")
-    return raw.select(stem.alias("sample_id"), "probe_id", parse_measure(F.col("raw")).alias("beta"))
+    cells = require(raw.select(stem.alias("sample_id"), F.nullif(F.col("probe_id"), F.lit("")).alias("probe_id"), parse_measure(F.col("raw")).alias("beta")), f"no sample rows under {path}")
+    named = cells.withColumn("probe_id", F.coalesce("probe_id", F.raise_error(F.concat(F.lit("null probe in sample "), F.col("sample_id")))))
+    n = named.groupBy("sample_id", "probe_id").agg(F.count(F.lit(1)).alias("n"), F.first("beta").alias("beta"))
+    once = F.when(F.col("n") == 1, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("probe repeats in sample "), F.col("sample_id"))))
+    return n.filter(once).drop("n")
+
+
+def missing_samples(cells: DataFrame, names: list[str]) -> list[str]:
+    """Of the named samples, in order, those without a row: absent or empty files."""
+    asked = cells.sparkSession.createDataFrame([(x,) for x in names], "sample_id string")
+    return [r.sample_id for r in asked.join(cells, "sample_id", "left_anti").orderBy("sample_id").collect()]
+
+
+def _places(header: list[str], sample_ids: list[str]) -> dict[str, int]:
+    if header[0] != "sample_id":
+        raise ValueError(f"the header starts with {header[0]!r}, not sample_id")
+    at = {name: i for i, name in enumerate(header)}
+    if missing := [s for s in sample_ids if s not in at]:
+        raise ValueError(f"samples not in header: {missing[:5]}")
+    return at
 
 
 def read_wide(spark: SparkSession, path: str, sample_ids: list[str], probe_prefix: str = "cg") -> DataFrame:
-    """Wide text with a sample_id header: only wanted samples, long form, in requested order by row_index."""
+    """Wide text with a sample_id header: only wanted samples and probe rows, long form (CELLS); row_index is the order asked for."""
     wide = spark.read.csv(path, sep="\t", header=True)
-    missing = [s for s in sample_ids if s not in wide.columns]
-    if missing:
-        raise ValueError(f"samples not in header: {missing[:5]}")
-    key = wide.columns[0]
-    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("row_index"), F.lit(s).alias("sample_id"), parse_measure(F.col(f"`{s}`")).alias("beta")) for i, s in enumerate(sample_ids)]))
-    return wide.filter(F.col(key).startswith(probe_prefix)).select(F.col(key).alias("probe_id"), cells.alias("c")).select("probe_id", "c.*")
+    _places(wide.columns, sample_ids)
+    cell = lambda i, s: F.struct(F.lit(i).alias("row_index"), F.lit(s).alias("sample_id"), parse_measure(F.col(f"`{s}`")).alias("beta"))
+    cells = F.explode(F.array(*[cell(i, s) for i, s in enumerate(sample_ids)]))
+    return wide.filter(F.col("sample_id").startswith(probe_prefix)).select(F.col("sample_id").alias("probe_id"), cells.alias("c")).select("probe_id", "c.*")
 
 
-def read_gtf(spark: SparkSession, path: str) -> DataFrame:
-    """GTF rows with gene_id, gene_type, gene_name and transcript_id of the attributes."""
-    f = F.split("value", "\t")
-    rows = spark.read.text(path).filter(~F.col("value").startswith("#") & (F.size(f) >= 9))
-    attr = lambda k: F.nullif(F.regexp_extract(f[8], rf'(?:^|;)\s*{k} "?([^";]+)"?', 1), F.lit("")).alias(k)
-    return rows.select(f[0].alias("chrom"), f[2].alias("feature"), f[3].cast("long").alias("start"), f[4].cast("long").alias("end"), f[6].alias("strand"), *[attr(k) for k in ("gene_id", "gene_type", "gene_name", "transcript_id")])
+def read_wide_zip(spark: SparkSession, path: str, member: str, sample_ids: list[str], probe_prefix: str = "cg") -> DataFrame:
+    """The same from a member of each zip under path. A zip is one task, which streams its lines; rows that are not probes are passed over.
 
+    A zip without the member, and a probe row that ends before a wanted column, fail the job.
+    """
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for content in b["content"]:
+                with zipfile.ZipFile(io.BytesIO(content)) as z, z.open(member) as raw:
+                    lines = io.TextIOWrapper(raw, "utf-8", "replace")
+                    at = _places(next(lines).rstrip("\n").split("\t"), sample_ids)
+                    rows = []
+                    for line in lines:
+                        f = line.rstrip("\n").split("\t")
+                        if not f[0].startswith(probe_prefix):
+                            continue
+                        rows += [(f[0], i, s, f[at[s]]) for i, s in enumerate(sample_ids)]
+                        if len(rows) > 100_000:
+                            yield pd.DataFrame(rows, columns=["probe_id", "row_index", "sample_id", "raw"])
+                            rows = []
+                    yield pd.DataFrame(rows, columns=["probe_id", "row_index", "sample_id", "raw"])
 
-def write_tiles(cells: DataFrame, path: str, width: int = 4096) -> None:
-    """Long cells (row_index, col_index, beta) as tiles: one array per row and block of columns, missing as null."""
+    files = spark.read.format("binaryFile").load(path).select("content")
+    cells = files.mapInPandas(parse, "probe_id string, row_index int, sample_id string, raw string")
+    return cells.select("probe_id", "row_index", "sample_id", parse_measure(F.col("raw")).alias("beta"))
+
+
+def tiles_of(cells: DataFrame, width: int = 4096) -> DataFrame:
+    """Long cells (row_index, col_index, beta) as one array per row and block of columns, missing as null.
+
+    A tile is its sorted cells with runs of nulls between them, in time linear in its width; of repeated cells the greatest counts.
+    """
     block = F.floor(F.col("col_index") / width)
-    at = F.map_from_entries(F.collect_list(F.struct((F.col("col_index") % width).cast("int").alias("k"), F.col("beta").cast("float").alias("v"))))
-    tiles = cells.groupBy("row_index", block.alias("block")).agg(at.alias("m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.try_element_at("m", i))
-    tiles.select("row_index", "block", dense.alias("tile")).write.partitionBy("block").parquet(path)
+    k = (F.col("col_index") % width).cast("int")
+    one = cells.groupBy("row_index", block.alias("block"), k.alias("k")).agg(F.max(F.col("beta").cast("float")).alias("v"))
+    sorted_cells = F.array_sort(F.collect_list(F.struct("k", "v")))
+    t = one.groupBy("row_index", "block").agg(sorted_cells.alias("c"))
+    gap = lambda n: F.array_repeat(F.lit(None).cast("float"), n)
+    before = lambda i: F.when(i == 0, F.lit(-1)).otherwise(F.get(F.col("c"), i - 1)["k"])
+    parts = F.transform("c", lambda x, i: F.concat(gap(x["k"] - before(i) - 1), F.array(x["v"])))
+    tail = gap(width - 1 - F.element_at("c", -1)["k"])
+    return t.select("row_index", "block", F.concat(F.flatten(parts), tail).alias("tile"))
+
+
+def write_tiles(cells: DataFrame, path: str, width: int = 4096) -> None:
+    """Tiles to Parquet by block; a block's rows meet first, spread by row, so the files per block stay few."""
+    tiles_of(cells, width).repartition("block", F.pmod("row_index", F.lit(8))).write.mode("overwrite").partitionBy("block").parquet(path)
 
 
 def read_tiles(spark: SparkSession, path: str, width: int = 4096) -> DataFrame:

@@ -2,15 +2,53 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-EPOCH = "epoch int, train_loss double, val_loss double, train_accuracy double, val_accuracy double, learning_rate double, task string"
+from ..sources.tables import parse_epochs
 
 
 def epoch_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """JSON-lines epochs as a stream; bad lines are skipped."""
-    return spark.readStream.schema(EPOCH).option("mode", "DROPMALFORMED").json(folder).filter("epoch is not null")
+    """JSON-lines epochs as a stream, with the time each line was read; bad lines are skipped."""
+    lines = spark.readStream.text(folder).withColumn("seen_at", F.current_timestamp())
+    return lines.select("seen_at", "value")
+
+
+def first_seen(epochs: DataFrame) -> DataFrame:
+    """epoch and the time it was first seen: a keyed state of one row per epoch, for streams (update or complete mode) and tables.
+
+    epochs: seen_at, epoch.
+    """
+    return epochs.groupBy("epoch").agg(F.min("seen_at").alias("first_at"))
+
+
+def watch(spark: SparkSession, folder: str, table: str, checkpoint: str):
+    """Keep `table` (in memory, a row per epoch) current with the log under folder; returns the query."""
+    lines = epoch_stream(spark, folder)
+    epoch = F.get_json_object("value", "$.epoch").try_cast("int")
+    seen = first_seen(lines.select("seen_at", epoch.alias("epoch")).filter("epoch IS NOT NULL"))
+    return seen.writeStream.outputMode("complete").format("memory").queryName(table).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def epoch_table(lines: DataFrame) -> DataFrame:
+    return parse_epochs(lines)
+
+
+def time_left(stamps: DataFrame, max_epochs: int, last: int = 5) -> DataFrame:
+    """seconds_per_epoch, the mean of the last positive gaps between first sightings, and eta_s of the epochs still to come.
+
+    stamps: epoch, first_at; a row per epoch, so one window over all is small.
+    """
+    gap = (F.unix_micros("first_at") - F.unix_micros(F.lag("first_at").over(Window.orderBy("epoch")))) / 1e6
+    g = stamps.select("epoch", gap.alias("gap")).filter("gap > 0").orderBy(F.desc("epoch")).limit(last)
+    left = F.greatest(F.lit(max_epochs) - F.col("latest"), F.lit(0))
+    j = g.agg(F.avg("gap").alias("seconds_per_epoch")).crossJoin(stamps.agg(F.max("epoch").alias("latest")))  # a row each
+    return j.select("latest", "seconds_per_epoch", (left * F.col("seconds_per_epoch")).alias("eta_s"))
+
+
+def run_status(finished: Column, alive: Column, n_epochs: Column) -> Column:
+    """finished, running, stalled (epochs but no process) or waiting."""
+    return F.when(finished, "finished").when(alive, "running").when(n_epochs > 0, "stalled").otherwise("waiting")
 
 
 def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "1 hour") -> DataFrame:
