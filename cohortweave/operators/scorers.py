@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scores import sigmoid
+from ..functions.scores import gelu, layer_norm, sigmoid
 
 SLOPE = 0.01  # of the leaky rectifier
 NEUTRAL = 0.5  # score of an absent set
@@ -85,6 +85,19 @@ def with_absent(scores: DataFrame, samples: DataFrame, sets: DataFrame, sample:
     return j.select(sample, name, F.coalesce("score", F.lit(NEUTRAL)).alias("score"), F.col("score").isNotNull().alias("present"))
 
 
+def network(rows: DataFrame, keys: list[str], v: list[str], layers: list[Layer]) -> DataFrame:
+    """keys and y0, y1, ...: linear layers with layer norm and a Gaussian unit between, none after the last. Each layer is a projection of its own."""
+    names = v
+    for i, layer in enumerate(layers):
+        z = dense([F.col(c) for c in names], layer, False)
+        rows = rows.select(*keys, *[x.alias(f"y{j}") for j, x in enumerate(z)])
+        names = [f"y{j}" for j in range(len(z))]
+        if i < len(layers) - 1:
+            rows = rows.select(*keys, *[x.alias(f"y{j}") for j, x in enumerate(layer_norm([F.col(c) for c in names]))])
+            rows = rows.select(*keys, *[gelu(F.col(c)).alias(c) for c in names])
+    return rows
+
+
 def cross_entropy(logits: list[Column], cls: Column) -> Column:
     """Negative log likelihood of class cls (0-based) under the logits, shifted by their maximum."""
     top = F.greatest(*logits)

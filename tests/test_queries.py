@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from cohortweave.plans import annotation, cohort, scoring  # noqa: F401  register their queries
+from cohortweave.plans import annotation, cohort, reports, scoring  # noqa: F401  register their queries
 from cohortweave.plans.queries import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
