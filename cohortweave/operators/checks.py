@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import running_sums
+
 
 def _row(df: DataFrame, name: str, n: Column) -> DataFrame:
     return df.agg(F.coalesce(n, F.lit(0)).cast("long").alias("n_bad")).select(F.lit(name).alias("check_name"), "n_bad")
@@ -55,13 +57,13 @@ def report(checks: list[DataFrame]) -> DataFrame:
 def study_roles(df: DataFrame, study: str, shares: dict[str, float], seed: int = 0) -> DataFrame:
     """study, n, role: whole studies fall to roles in order of a seeded hash, by the share of rows before them.
 
-    One row per study enters the window, so no task holds samples. shares sum to 1; the last role takes the rest.
+    Studies are ranged by the hash, so no task holds them all. shares sum to 1; the last role takes the rest.
     """
-    n = df.groupBy(study).agg(F.count(F.lit(1)).alias("n"))
     key = F.md5(F.concat(F.lit(f"{seed}|"), F.col(study).cast("string")).cast("binary"))
-    w = Window.orderBy("key", study)
-    before = F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = n.withColumn("key", key).withColumn("at", before / F.sum("n").over(Window.partitionBy()))
+    n = df.groupBy(study).agg(F.count(F.lit(1)).alias("n")).withColumn("key", key)
+    at = running_sums(n, [F.col("key"), F.col(study)], ["n"])
+    total = at.agg(F.sum("n").alias("total"))
+    placed = at.crossJoin(total).withColumn("at", F.col("before_n") / F.col("total"))  # total is one row
     *first, last = shares
     role, edge = F.lit(last), 0.0
     bounds = []

@@ -5,17 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import ranged, running
+
+
+FAN = 8  # ratio of the bin widths of neighbouring levels
+LEVELS = 12
+
 
 def points_in_intervals(points: DataFrame, intervals: DataFrame, slack: int = 0, bin_width: int = 1000) -> DataFrame:
     """Inner join of (chrom, pos) with (chrom, start, end), both ends inclusive, padded by slack.
 
-    Intervals explode to the bins they cover, so the join has equal keys (chrom, bin) at any size;
-    a point lies in one bin, so no pair appears twice.
+    An interval falls to the level whose bins are about as wide as it, and explodes to at most FAN + 1 of them; a point lies in one bin
+    of each level. The join thus has equal keys (chrom, level, bin) for narrow and very wide intervals, and no pair
+    appears twice.
     """
     lo, hi = F.col("start") - slack, F.col("end") + slack
-    binned = intervals.withColumn("bin", F.explode(F.sequence(F.floor(lo / bin_width), F.floor(hi / bin_width))))
-    at = points.withColumn("bin", F.floor(F.col("pos") / bin_width))
-    return at.join(binned, ["chrom", "bin"]).filter(F.col("pos").between(lo, hi)).drop("bin")
+    span = F.greatest((hi - lo + 1).cast("double") / bin_width, F.lit(1.0))
+    level = F.least(F.lit(LEVELS - 1), F.floor(F.log(span) / F.log(F.lit(float(FAN))) + 1e-9).cast("int"))
+    wide = intervals.withColumn("_level", level)
+    width = bin_width * F.pow(F.lit(float(FAN)), F.col("_level"))
+    binned = wide.withColumn("_bin", F.explode(F.sequence(F.floor(lo / width), F.floor(hi / width))))
+    used = sorted(r[0] for r in wide.select("_level").distinct().collect() if r[0] is not None)  # at most LEVELS
+    places = [F.struct(F.lit(k).alias("_level"), F.floor(F.col("pos") / (bin_width * FAN**k)).alias("_bin")) for k in used or [0]]
+    at = points.withColumn("_at", F.explode(F.array(*places))).select(*points.columns, "_at._level", "_at._bin")
+    return at.join(binned, ["chrom", "_level", "_bin"]).filter(F.col("pos").between(lo, hi)).drop("_level", "_bin")
 
 
 def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -39,9 +52,11 @@ def distance_bands(points: DataFrame, islands: DataFrame, near: int, far: int) -
 
 
 def merge_intervals(df: DataFrame, key: str, gap: int = 1) -> DataFrame:
-    """Union of (start, end) per key; intervals that touch or lie `gap` apart become one."""
-    w = Window.partitionBy(key).orderBy("start", "end")
-    before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    flagged = df.withColumn("fresh", F.when(before.isNull() | (F.col("start") > before + gap), 1).otherwise(0))
-    runs = flagged.withColumn("run", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    """Union of (start, end) per key; intervals that touch or lie `gap` apart become one.
+
+    Rows are ranged by key and start, so one key may span many tasks; each partition learns how far the earlier ones reach.
+    """
+    reached = running(ranged(df.select(key, "start", "end"), [F.col(key), F.col("start"), F.col("end")]), F.max, ["end"], [key])
+    fresh = F.when(F.col("before_end").isNull() | (F.col("start") > F.col("before_end") + gap), 1).otherwise(0).cast("long")
+    runs = running(reached.withColumn("fresh", fresh), F.sum, ["fresh"], [key], first=0).withColumn("run", F.col("before_fresh") + F.col("fresh"))
     return runs.groupBy(key, "run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("run")
