@@ -1,13 +1,12 @@
-"""Column helpers and the shared-folder table that cuts a lineage."""
+"""Column helpers and size-checked broadcasts."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.storage import release, shared_dir, written  # noqa: F401  used by the operators here
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 ASCII_SPACE = " \t\n\x0b\x0c\r"
@@ -39,35 +38,6 @@ def remainder(doc_id: Column, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a fresh local one only in local mode, where the session names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="cohortweave-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def written(df: DataFrame) -> DataFrame:
-    """Write once to the shared folder and read back: survives lost executors and cuts the plan."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/t-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.written_at = path
-    return out
-
-
-def release(*tables: DataFrame) -> None:
-    """Delete written tables that nothing reads any more."""
-    for t in tables:
-        spark = t.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(t.written_at)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     """Hint a broadcast where a count proves at most max_rows; else leave the shuffle join."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
