@@ -37,7 +37,8 @@ def build_registry(probes: DataFrame, build: str = "GRCh38", source: str = "anno
     require_columns(probes, ["probe_id", "platform_id", "chromosome", "position", "mapping_status"])
     at = mapped(probes).select("chromosome", "position").distinct()
     loci = numbered(at, [F.col("chromosome"), F.col("position")], "locus_id", start=1)
-    loci = loci.select("locus_id", F.lit(build).alias("genome_build"), "chromosome", "position", canonical_key(build, F.col("chromosome"), F.col("position")).alias("canonical_key"), F.lit("mapped").alias("mapping_status"))
+    loci = loci.select("locus_id", F.lit(build).alias("genome_build"), "chromosome", "position",
+        canonical_key(build, F.col("chromosome"), F.col("position")).alias("canonical_key"), F.lit("mapped").alias("mapping_status"))
     edges = many_to_one(mapped(probes), loci.select("locus_id", "chromosome", "position"), ["chromosome", "position"], "left")
     confidence = F.col("mapQ").cast("double") / FULL_QUALITY if "mapQ" in probes.columns else F.lit(None).cast("double")
     return loci, edges.select("probe_id", "platform_id", "locus_id", F.lit(source).alias("mapping_source"), confidence.alias("mapping_confidence"), F.lit(True).alias("is_primary"))

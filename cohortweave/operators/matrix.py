@@ -23,7 +23,8 @@ def ingest(cells: DataFrame, columns: DataFrame, samples: DataFrame) -> DataFram
 def matrix_summary(cells: DataFrame, n_rows: int, n_cols: int, lo: float = 0.0, hi: float = 1.0) -> DataFrame:
     """One row: finite, missing (absent cells too) and out-of-range counts, extremes, population mean and deviation over a dense n_rows x n_cols grid."""
     v = F.when(finite(F.col("beta")), F.col("beta"))
-    s = cells.agg(F.count(v).alias("n_finite"), F.count_if((v < lo) | (v > hi)).alias("n_out_of_range"), F.min(v).alias("v_min"), F.max(v).alias("v_max"), F.round(F.avg(v), 6).alias("v_mean"), F.round(F.stddev_pop(v), 6).alias("v_std"))
+    s = cells.agg(F.count(v).alias("n_finite"), F.count_if((v < lo) | (v > hi)).alias("n_out_of_range"), F.min(v).alias("v_min"),
+        F.max(v).alias("v_max"), F.round(F.avg(v), 6).alias("v_mean"), F.round(F.stddev_pop(v), 6).alias("v_std"))
     return s.select(F.lit(n_rows * n_cols).cast("long").alias("n_cells"), (F.lit(n_rows * n_cols) - F.col("n_finite")).cast("long").alias("n_missing"), "*")
 
 
@@ -65,7 +66,8 @@ def static_columns(columns: DataFrame, vectors: DataFrame) -> DataFrame:
 def feature_rows(cells: DataFrame, static: DataFrame, pairs: DataFrame) -> DataFrame:
     """Edges (row_index, gene_index, col_index) with features [beta, M, vector...] where both are there."""
     e = _edges(cells, static, pairs).filter("NOT no_value AND valid")
-    return e.select("row_index", "gene_index", "col_index", F.concat(F.array(F.col("beta"), m_value(F.col("beta"))), F.transform("vector", lambda x: x.cast("double"))).alias("features"))
+    return e.select("row_index", "gene_index", "col_index", F.concat(F.array(F.col("beta"), m_value(F.col("beta"))),
+        F.transform("vector", lambda x: x.cast("double"))).alias("features"))
 
 
 def feature_drops(cells: DataFrame, static: DataFrame, pairs: DataFrame) -> DataFrame:

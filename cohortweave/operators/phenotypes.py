@@ -37,7 +37,8 @@ def row_labels(rows: DataFrame, sex_source: bool = False) -> DataFrame:
     sex = has("phenotype_value") if sex_source and "phenotype_value" in rows.columns else has("sex")
     tissue = F.lit(None).cast("string") if sex_source else F.coalesce(word_label(has("phenotype_value")), word_label(has("tissue")))
     study = F.nullif(bare(F.coalesce(has("study_id"), has("project_id"))), F.lit(""))
-    return rows.select("sample_id", study.alias("study_id"), has("platform").alias("platform"), first_number(has("phenotype_value_numeric"), has("age")).alias("age"), tissue.alias("tissue"), sex_label(sex).alias("sex"))
+    return rows.select("sample_id", study.alias("study_id"), has("platform").alias("platform"),
+        first_number(has("phenotype_value_numeric"), has("age")).alias("age"), tissue.alias("tissue"), sex_label(sex).alias("sex"))
 
 
 def unified_table(index: DataFrame, age: DataFrame, tissue: DataFrame, sex: DataFrame, tissues: DataFrame) -> DataFrame:

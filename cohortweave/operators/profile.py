@@ -36,7 +36,8 @@ def column_profile(df: DataFrame, cols: list[str]) -> DataFrame:
     """
     long = df.select(*[F.col(c).cast("string").alias(c) for c in cols]).unpivot([], cols, "col", "s")
     x = F.expr("try_cast(s AS double)")
-    kind = F.when((F.col("numeric_rate") >= 0.8) & (F.col("n_unique") > 0), "numeric").when(F.col("n_unique") <= F.greatest(F.lit(20.0), 0.05 * F.col("n")), "categorical").otherwise("string")
+    kind = F.when((F.col("numeric_rate") >= 0.8) & (F.col("n_unique") > 0),
+        "numeric").when(F.col("n_unique") <= F.greatest(F.lit(20.0), 0.05 * F.col("n")), "categorical").otherwise("string")
     return long.groupBy("col").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.count("s") / F.count(F.lit(1)), 6).alias("non_null_rate"), F.countDistinct("s").alias("n_unique"),
         F.round(F.count(x) / F.greatest(F.count("s"), F.lit(1)), 6).alias("numeric_rate"),
@@ -59,7 +60,8 @@ def id_alignment(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     mark = lambda df, c: df.select(key).filter(F.col(key).isNotNull()).distinct().withColumn(c, F.lit(1))
     j = mark(a, "in_a").join(mark(b, "in_b"), key, "full")
     s = j.agg(F.count("in_a").alias("n_a"), F.count("in_b").alias("n_b"), F.count_if(F.col("in_a").isNotNull() & F.col("in_b").isNotNull()).alias("n_both"))
-    return s.select("*", (F.col("n_a") - F.col("n_both")).alias("only_a"), (F.col("n_b") - F.col("n_both")).alias("only_b"), ((F.col("n_a") == F.col("n_both")) & (F.col("n_b") == F.col("n_both"))).alias("aligned"))
+    return s.select("*", (F.col("n_a") - F.col("n_both")).alias("only_a"), (F.col("n_b") - F.col("n_both")).alias("only_b"),
+        ((F.col("n_a") == F.col("n_both")) & (F.col("n_b") == F.col("n_both"))).alias("aligned"))
 
 
 def column_overlap(tables: dict[str, list[str]]) -> list[tuple[str, int, bool]]:
@@ -73,6 +75,17 @@ def compare_sources(df: DataFrame, a: str, b: str, keys: list[str], at: str) ->
     d = F.abs(F.col(a) - F.col(b))
     return df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.round(F.avg(d), 8).alias("mae"), F.round(F.sqrt(F.avg(d * d)), 8).alias("rmse"),
-        F.round(F.corr(a, b), 6).alias("r"), F.count_if(~F.col(a).eqNullSafe(F.col(b))).alias("n_mismatch"), *[F.round(F.avg((d <= x).cast("double")), 6).alias(f"within{i or ''}") for i, x in enumerate((0.005, 0.02, 0.1))],
+        F.round(F.corr(a, b), 6).alias("r"), F.count_if(~F.col(a).eqNullSafe(F.col(b))).alias("n_mismatch"), *[F.round(F.avg((d <= x).cast("double")),
+            6).alias(f"within{i or ''}") for i, x in enumerate((0.005, 0.02, 0.1))],
         F.max_by(F.col(at), F.struct(d, F.col(at))).alias("worst_at"),
     )
+
+
+def compare_grids(a: DataFrame, b: DataFrame, keys: list[str], value: str = "beta") -> DataFrame:
+    """Cells of the shared ids of two sources, either side possibly missing: keys, of_a, of_b. Each key's ids are shared on their own."""
+    grid = None
+    for k in keys:
+        shared = a.select(k).distinct().join(b.select(k).distinct(), k)
+        grid = shared if grid is None else grid.crossJoin(shared)  # the dense grid is the result's own size
+    of = lambda df, name: df.select(*keys, F.col(value).alias(name))
+    return grid.join(of(a, "of_a"), keys, "left").join(of(b, "of_b"), keys, "left")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import contig_name, strip_version
 from .intervals import first_by, merge_intervals
+from .storage import written
 
 #: Roles in order of precedence.
 ROLES = ("promoter_core", "promoter_proximal", "five_prime", "three_prime", "gene_body")
@@ -63,7 +64,8 @@ def role_intervals(rows: DataFrame, genes: DataFrame, types: tuple[str, ...], co
     first_exon = of("exon").filter(F.col("exon_number") == "1")
     body = genes.select("gene_id", F.lit(ROLES[4]).alias("role"), "start", "end")
     parts = [near, far, span(first_exon, ROLES[2]), span(of("five_prime_utr"), ROLES[2]), span(of("three_prime_utr"), ROLES[3]), utr, body]
-    return reduce(DataFrame.unionByName, [p.select("gene_id", "role", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")) for p in parts]).filter(F.col("start") <= F.col("end"))
+    return reduce(DataFrame.unionByName, [p.select("gene_id", "role", F.col("start").cast("long").alias("start"),
+        F.col("end").cast("long").alias("end")) for p in parts]).filter(F.col("start") <= F.col("end"))
 
 
 def build_regions(rows: DataFrame, types: tuple[str, ...] = ("protein_coding",), core: int = 200, proximal: int = 1500, version: str = "") -> tuple[DataFrame, DataFrame]:
@@ -72,7 +74,8 @@ def build_regions(rows: DataFrame, types: tuple[str, ...] = ("protein_coding",),
     rows: chrom, feature, start, end (1-based, inclusive), strand, gene_id, gene_type, gene_name, transcript_id, exon_number.
     Windows run per gene and role, so no contig sits in one task.
     """
-    genes = genes_of(rows, types, version)
+    rows = written(rows)  # parsed text is read once per feature below
+    genes = written(genes_of(rows, types, version))
     spans = role_intervals(rows, genes, types, core, proximal).withColumn("key", F.struct("gene_id", "role"))
     merged = merge_intervals(spans.select("key", "start", "end"), "key").select("key.gene_id", "key.role", "start", "end")
     n = F.row_number().over(Window.partitionBy("gene_id", "role").orderBy("start"))

@@ -142,3 +142,50 @@ def aliased_number(t):
     """The first of several names that a JSON value has, as a number."""
     j = t("events").select("event_id", F.get_json_object("props", "$.missing").alias("a"), F.get_json_object("props", "$.k").alias("b"))
     return j.select("event_id", F.round(F.coalesce(tables.number_of(j, "none", "a", "b"), F.lit(-1.0)), 6).alias("v"))
+
+
+_GRID = """a AS (SELECT l_suppkey AS s, l_partkey % 50 AS p, max(l_tax) AS beta FROM lineitem WHERE l_suppkey % 2 = 0 GROUP BY ALL), b AS (SELECT l_suppkey AS s, l_partkey % 60 AS p, max(l_discount) AS beta FROM lineitem WHERE l_suppkey % 3 = 0 GROUP BY ALL),
+g AS (SELECT * FROM (SELECT DISTINCT a.s FROM a JOIN b ON a.s = b.s) CROSS JOIN (SELECT DISTINCT a.p FROM a JOIN b ON a.p = b.p))"""
+
+
+@query(f"""WITH {_GRID} SELECT s, count(*) AS n, count(a.beta) AS n_a, count(b.beta) AS n_b, count(*) FILTER (WHERE (a.beta IS NULL) <> (b.beta IS NULL)) AS n_one_side, round(avg(abs(a.beta - b.beta)), 6) AS mae
+FROM g LEFT JOIN a USING (s, p) LEFT JOIN b USING (s, p) GROUP BY s""")
+def grid_compare(t):
+    """Two sources over their shared samples and probes."""
+    cells = lambda k, m, v: t("lineitem").filter(F.col("l_suppkey") % k == 0).groupBy(F.col("l_suppkey").alias("s"), (F.col("l_partkey") % m).alias("p")).agg(F.max(v).alias("beta"))
+    g = profile.compare_grids(cells(2, 50, "l_tax"), cells(3, 60, "l_discount"), ["s", "p"])
+    one_side = F.col("of_a").isNull() != F.col("of_b").isNull()
+    return g.groupBy("s").agg(
+        F.count(F.lit(1)).alias("n"), F.count("of_a").alias("n_a"), F.count("of_b").alias("n_b"), F.count_if(one_side).alias("n_one_side"),
+        F.round(F.avg(F.abs(F.col("of_a") - F.col("of_b"))), 6).alias("mae"),
+    )
+
+
+@query("""WITH n AS (SELECT l_partkey, count(DISTINCT l_suppkey) AS n_genes, count(*) AS n_edges FROM lineitem GROUP BY 1) SELECT count(*) AS n_loci, count(*) FILTER (WHERE n_genes > 1) AS n_multi_gene, max(n_genes) AS genes_max, round(avg(n_edges), 6) AS edges_mean FROM n""")
+def genes_per_locus(t):
+    n = t("lineitem").groupBy("l_partkey").agg(F.count_distinct("l_suppkey").alias("n_genes"), F.count(F.lit(1)).alias("n_edges"))
+    return n.agg(F.count(F.lit(1)).alias("n_loci"), F.count_if(F.col("n_genes") > 1).alias("n_multi_gene"), F.max("n_genes").alias("genes_max"), F.round(F.avg("n_edges"), 6).alias("edges_mean"))
+
+
+@query("""SELECT l_linenumber AS epoch, round(sum(l_tax * l_quantity) / greatest(sum(l_quantity), 1), 6) AS loss, round(sum(CASE WHEN l_returnflag = 'R' THEN l_discount * l_quantity ELSE 0 END) / greatest(sum(CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE 0 END), 1), 6) AS accuracy,
+round(sum(CASE WHEN l_returnflag = 'Z' THEN l_discount ELSE 0 END) / greatest(count(*) FILTER (WHERE l_returnflag = 'Z'), 1), 6) AS mae FROM lineitem GROUP BY 1""")
+def epoch_tasks(t):
+    """Batches to epochs: each task's mean weighs by its own observed rows, and a task without any counts 0."""
+    share = lambda x, w: F.round(F.sum(x * w) / F.greatest(F.sum(w), F.lit(1.0)), 6)
+    seen = lambda flag, w: F.when(F.col("l_returnflag") == flag, w).otherwise(F.lit(0.0))
+    return t("lineitem").groupBy(F.col("l_linenumber").alias("epoch")).agg(
+        share(F.col("l_tax"), F.col("l_quantity")).alias("loss"), share(F.col("l_discount"), seen("R", F.col("l_quantity"))).alias("accuracy"),
+        share(F.col("l_discount"), seen("Z", F.lit(1.0))).alias("mae"),
+    )
+
+
+@query("""SELECT coalesce(lang, '') AS grp, count(*) AS n, round(avg(CASE WHEN quality = toxic THEN 1.0 ELSE 0.0 END), 6) AS accuracy, count(*) FILTER (WHERE quality = 1 AND toxic = 1) AS n_both FROM labels JOIN documents USING (doc_id) GROUP BY 1""")
+def accuracy_by_group(t):
+    j = t("labels").join(t("documents").select("doc_id", "lang"), "doc_id")
+    same = (F.col("quality") == F.col("toxic")).cast("double")
+    return j.groupBy(F.coalesce("lang", F.lit("")).alias("grp")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.coalesce(same, F.lit(0.0))), 6).alias("accuracy"), F.count_if((F.col("quality") == 1) & (F.col("toxic") == 1)).alias("n_both"))
+
+
+@query("""SELECT 'Female' AS label, 0 AS class_id UNION ALL SELECT 'Male', 1""")
+def sex_classes(t):
+    return phenotypes.sex_ontology(t("region").sparkSession)

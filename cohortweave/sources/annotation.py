@@ -45,7 +45,8 @@ def zip_by_place(ordering: DataFrame, coords: DataFrame, place: str = "place") -
     whole = F.col("probe_id").isNotNull() & F.col("has_coord").isNotNull()
     checked = j.filter(F.when(whole, F.lit(True)).otherwise(F.raise_error(F.lit("ordering and coordinates differ in length"))))
     mapped = F.col("CpG_beg").isNotNull() & F.col("chromosome").isNotNull()
-    return checked.select("probe_id", F.when(mapped, F.col("chromosome")).alias("chromosome"), F.when(mapped, F.col("CpG_beg") + 1).alias("position"), F.when(mapped, "mapped").otherwise("unmapped").alias("mapping_status"))
+    return checked.select("probe_id", F.when(mapped, F.col("chromosome")).alias("chromosome"),
+        F.when(mapped, F.col("CpG_beg") + 1).alias("position"), F.when(mapped, "mapped").otherwise("unmapped").alias("mapping_status"))
 
 
 def read_placed(spark: SparkSession, path: str) -> DataFrame:

@@ -24,7 +24,8 @@ def read_two_column(spark: SparkSession, path: str) -> DataFrame:
     """
     raw = spark.read.schema("probe_id string, raw string").option("pathGlobFilter", "*.txt*").csv(path, sep="\t")
     stem = F.regexp_replace(F.col("_metadata.file_name"), r"\.txt(\.gz)?$", "")
-    cells = require(raw.select(stem.alias("sample_id"), F.nullif(F.col("probe_id"), F.lit("")).alias("probe_id"), parse_measure(F.col("raw")).alias("beta")), f"no sample rows under {path}")
+    cells = require(raw.select(stem.alias("sample_id"), F.nullif(F.col("probe_id"), F.lit("")).alias("probe_id"),
+        parse_measure(F.col("raw")).alias("beta")), f"no sample rows under {path}")
     named = cells.withColumn("probe_id", F.coalesce("probe_id", F.raise_error(F.concat(F.lit("null probe in sample "), F.col("sample_id")))))
     n = named.groupBy("sample_id", "probe_id").agg(F.count(F.lit(1)).alias("n"), F.first("beta").alias("beta"))
     once = F.when(F.col("n") == 1, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("probe repeats in sample "), F.col("sample_id"))))
