@@ -46,7 +46,8 @@ def _spans(text: Column, pattern: str) -> Column:
         local, F.struct(F.lit(0).alias("at"), F.array().cast("array<array<struct<match:string,start:int,end:int>>>").alias("out")),
         lambda a, c: F.struct(
             (a["at"] + c["at"]).alias("at"),
-            F.concat(a["out"], F.array(F.transform(c["out"], lambda s: F.struct(s["match"].alias("match"), (s["start"] + a["at"]).alias("start"), (s["end"] + a["at"]).alias("end"))))).alias("out"),
+            F.concat(a["out"], F.array(F.transform(c["out"], lambda s: F.struct(s["match"].alias("match"),
+                (s["start"] + a["at"]).alias("start"), (s["end"] + a["at"]).alias("end"))))).alias("out"),
         ),
     )["out"]
     return F.when(F.size(found) > 0, F.flatten(shifted)).otherwise(none)

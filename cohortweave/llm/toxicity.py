@@ -72,7 +72,8 @@ def features(text: str, learned: dict[str, int], heads: set[str]) -> np.ndarray:
         hits += k * sure
         distinct += sure
     capitals = len(re.findall(r"\b[A-Z]{3,}\b", text)) / max(1, size)
-    rest = [np.log1p(hits), min(8, distinct), min(1.0, 50 * hits / max(1, size)), min(3, text.count("!!")), min(1.0, 5 * capitals), min(1.0, 20 * address / max(1, size)), 1 / (1 + size / 50)]
+    rest = [np.log1p(hits), min(8, distinct), min(1.0, 50 * hits / max(1, size)), min(3, text.count("!!")),
+        min(1.0, 5 * capitals), min(1.0, 20 * address / max(1, size)), 1 / (1 + size / 50)]
     return np.concatenate([np.log1p(n), rest])
 
 
