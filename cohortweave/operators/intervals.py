@@ -51,12 +51,38 @@ def distance_bands(points: DataFrame, islands: DataFrame, near: int, far: int) -
     return points.join(best.select("chrom", "pos", band.alias("band")), ["chrom", "pos"], "left").withColumn("band", F.coalesce("band", F.lit("open")))
 
 
-def merge_intervals(df: DataFrame, key: str, gap: int = 1) -> DataFrame:
+def merge_intervals(df: DataFrame, key: str, gap: int = 1, most: int = 1_000_000) -> DataFrame:
     """Union of (start, end) per key; intervals that touch or lie `gap` apart become one.
 
-    Rows are ranged by key and start, so one key may span many tasks; each partition learns how far the earlier ones reach.
+    Keys of up to `most` rows are merged by a window each. Larger ones, which one counting pass finds, are ranged by key and
+    start over many tasks, where each partition learns how far the earlier ones reach.
     """
-    reached = running(ranged(df.select(key, "start", "end"), [F.col(key), F.col("start"), F.col("end")]), F.max, ["end"], [key])
-    fresh = F.when(F.col("before_end").isNull() | (F.col("start") > F.col("before_end") + gap), 1).otherwise(0).cast("long")
-    runs = running(reached.withColumn("fresh", fresh), F.sum, ["fresh"], [key], first=0).withColumn("run", F.col("before_fresh") + F.col("fresh"))
+    rows = df.select(key, "start", "end")
+    large = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).select(key)
+    if large.isEmpty():
+        return _merged_in_windows(rows, key, gap)
+    few = F.broadcast(large)  # keys of over `most` rows are few
+    return _merged_in_windows(rows.join(few, key, "left_anti"), key, gap).unionByName(_merged_in_ranges(rows.join(few, key, "left_semi"), key, gap))
+
+
+def _merged_in_windows(rows: DataFrame, key: str, gap: int) -> DataFrame:
+    w = Window.partitionBy(key).orderBy("start", "end")
+    before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    flagged = rows.withColumn("fresh", _fresh(before, gap))
+    runs = flagged.withColumn("run", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return _extents(runs, key)
+
+
+def _merged_in_ranges(rows: DataFrame, key: str, gap: int) -> DataFrame:
+    reached = running(ranged(rows, [F.col(key), F.col("start"), F.col("end")]), F.max, ["end"], [key])
+    flagged = reached.withColumn("fresh", _fresh(F.col("before_end"), gap))
+    return _extents(running(flagged, F.sum, ["fresh"], [key], first=0).withColumn("run", F.col("before_fresh") + F.col("fresh")), key)
+
+
+def _fresh(before: Column, gap: int) -> Column:
+    """1 where a row opens a new run: nothing earlier reaches it."""
+    return F.when(before.isNull() | (F.col("start") > before + gap), 1).otherwise(0).cast("long")
+
+
+def _extents(runs: DataFrame, key: str) -> DataFrame:
     return runs.groupBy(key, "run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("run")
