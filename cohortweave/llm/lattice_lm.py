@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -12,16 +11,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import UPPER, ascii_lower, remainder, text_of, written
+from .common import UPPER, remainder, text_of, written
 
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
-_SPACE = re.compile(r"[\x20\x09-\x0D]+")
+SPACES = "\t\n\x0b\x0c\r"  # each becomes a blank
 START = "▁"
 END = "\n"  # no word holds it
-DISCOUNT = 0.5
-CONCENTRATION = 1000.0  # tokens after which a document's own counts weigh as much as the corpus
-MAX_PIECE = 16  # longer pieces of the file are rules of dashes and blanks
-BLOCK_BYTES = 8 << 20
+PRIOR = 200.0  # uses of pieces that the file's order counts for
+LONG = 200  # characters from which a word is run alone
+BLOCK_BYTES = 16 << 20
 
 
 def load_scores(path: str = PIECES) -> dict[str, float]:
@@ -32,7 +30,7 @@ def load_scores(path: str = PIECES) -> dict[str, float]:
     mass: Counter = Counter()
     for i in range(model.get_piece_size()):
         p = model.id_to_piece(i)
-        if not (model.is_control(i) or model.is_unknown(i) or len(p) > MAX_PIECE):
+        if not (model.is_control(i) or model.is_unknown(i)):
             mass[p if model.is_byte(i) else p.translate(str.maketrans(UPPER, UPPER.lower()))] += 1 / (i + 10)
     total = math.log(sum(mass.values()))
     return {p: math.log(m) - total for p, m in mass.items()}
@@ -78,6 +76,7 @@ class Lattice:
             keys[at] = _hash_rows(_codes([self.pieces[k] for k in at], int(n)))
         self.order = np.argsort(keys)
         self.keys, self.value = keys[self.order], np.array([scores[p] for p in self.pieces])[self.order]
+        self.place = {self.pieces[k]: i for i, k in enumerate(self.order)}
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[self.keys >> np.uint64(44)] = True
 
@@ -88,30 +87,53 @@ class Lattice:
         ok = self.keys[at] == h[rows]
         return rows[ok], at[ok]
 
-    def run(self, words: list[str], counts: np.ndarray | None = None) -> np.ndarray:
-        """Log marginals; with counts, the expected uses of each piece are added to it."""
+    def run(self, words: list[str], counts: np.ndarray | None = None, uses: np.ndarray | None = None) -> np.ndarray:
+        """Log marginals; with counts, the expected uses of each piece, in words used `uses` times, are added to it."""
         out, by_len = np.zeros(len(words)), {}
+        uses = np.ones(len(words)) if uses is None else uses
         for k, w in enumerate(words):
             by_len.setdefault(len(w) + 1, []).append(k)
         for n, ks in by_len.items():
+            if n > LONG:
+                for k in ks:
+                    out[k] = self._alone(START + words[k], counts, uses[k])
+                continue
             step = max(1, 200_000 // n)
             for lo in range(0, len(ks), step):
                 part = ks[lo : lo + step]
-                out[part] = self._same_length([START + words[k] for k in part], n, counts)
+                out[part] = self._same_length([START + words[k] for k in part], n, counts, uses[part])
         return out
 
-    def _same_length(self, texts: list[str], n: int, counts: np.ndarray | None) -> np.ndarray:
+    def _alone(self, s: str, counts: np.ndarray | None, uses: float) -> float:
+        """One very long word, in time linear in its length."""
+        edges = [list(_edges(s, i, self.scores, self.longest, self.byte)) for i in range(len(s))]
+        alpha, beta = [0.0] + [-math.inf] * len(s), [-math.inf] * len(s) + [0.0]
+        for i, out in enumerate(edges):
+            for j, v in out:
+                alpha[j] = _log_add(alpha[j], alpha[i] + v)
+        if counts is not None:
+            at = self.place
+            for i in range(len(s) - 1, -1, -1):
+                for j, v in edges[i]:
+                    beta[i] = _log_add(beta[i], v + beta[j])
+                    if (k := at.get(s[i:j])) is not None:
+                        counts[k] += uses * math.exp(min(0.0, alpha[i] + v + beta[j] - alpha[-1]))
+        return alpha[-1]
+
+    def _same_length(self, texts: list[str], n: int, counts: np.ndarray | None, uses: np.ndarray) -> np.ndarray:
         codes = _codes(texts, n)
         alpha = np.full((n + 1, len(texts)), -np.inf)
         alpha[0] = 0
-        edges = []
+        edges, free = [], np.ones(len(texts), bool)
         for i in range(n):
             h = np.zeros(len(texts), np.uint64)
             for j in range(i + 1, min(n, i + self.longest) + 1):
                 h = _hash_step(h, codes[:, j - 1])
                 rows, at = self._find(h)
                 if j == i + 1:
-                    lone = np.setdiff1d(np.arange(len(texts)), rows, assume_unique=True)
+                    free[:] = True
+                    free[rows] = False
+                    lone = np.flatnonzero(free)
                     if lone.size:
                         chars, back = np.unique(codes[lone, i], return_inverse=True)
                         cost = np.array([sum(self.byte[b] for b in chr(int(c)).encode("utf-8", "replace")) for c in chars])[back]
@@ -129,7 +151,7 @@ class Lattice:
                 v = (self.value[at] if cost is None else cost) + beta[j, rows]
                 beta[i, rows] = np.logaddexp(beta[i, rows], v)
                 if at is not None:
-                    counts += np.bincount(at, np.exp(np.minimum(0, alpha[i, rows] + v - alpha[n, rows])), len(counts))
+                    counts += np.bincount(at, uses[rows] * np.exp(np.minimum(0, alpha[i, rows] + v - alpha[n, rows])), len(counts))
         return alpha[n]
 
 
@@ -155,20 +177,21 @@ def _bytes_of(scores: dict) -> list[float]:
     return [scores.get(f"<0x{b:02X}>", -20.0) for b in range(256)]
 
 
-def refit(vocabulary: DataFrame, scores: dict[str, float]) -> dict[str, float]:
-    """One expectation step over every training word type; a row per piece of the file returns."""
+def refit(counted: DataFrame, scores: dict[str, float], ends: int) -> dict[str, float]:
+    """One expectation step over words with their counts; a row per piece of the file returns. `ends` documents end."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lattice = Lattice(scores)
         got = np.zeros(len(lattice.keys))
         for b in batches:
-            lattice.run(list(b["word"]), got)
+            lattice.run(list(b["word"]), got, b["c"].to_numpy(np.float64))
         at = np.flatnonzero(got)
         if at.size:
             yield pd.DataFrame({"piece": [lattice.pieces[lattice.order[k]] for k in at], "x": got[at]})
 
-    counts = vocabulary.filter(F.col("c") > 0).filter(F.col("word") != END).select("word").mapInPandas(run, "piece string, x double")
+    counts = counted.filter(F.col("word") != END).select("word", "c").mapInPandas(run, "piece string, x double")
     found = {r.piece: r.x for r in counts.groupBy("piece").agg(F.sum("x").alias("x")).collect()}
-    mass = {p: found.get(p, 0.0) + 200 * math.exp(v) for p, v in scores.items()}  # the file's scores stay as a prior
+    mass = {p: found.get(p, 0.0) + PRIOR * math.exp(v) for p, v in scores.items() if p != END}
+    mass[END] = ends + 1.0
     total = math.log(sum(mass.values()))
     return {p: math.log(m) - total for p, m in mass.items()}
 
@@ -180,77 +203,69 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             every: Counter = Counter()
             train: Counter = Counter()
             for text, learn in zip(g["text"], g["learn"], strict=True):
-                ws = [w for w in _SPACE.split(text) if w]
+                ws = [w for w in text.split(" ") if w]
                 (train if learn else every).update(ws)
                 (train if learn else every)[END] += 1
             names = list(train.keys() | every.keys())
             yield pd.DataFrame({"block": block, "word": names, "n": [train.get(w, 0) for w in names]})
 
 
-def _rising(a: float, n: int) -> float:
-    """ln a(a+1)...(a+n-1)."""
-    return math.lgamma(a + n) - math.lgamma(a)
-
-
-def _urn(n: int, log10_p: float, m: float) -> float:
-    """ln of the urn's factors for n uses of one token; the first is m * p, which may underflow."""
-    first = math.log(m) + log10_p * math.log(10)
-    return first if n == 1 else first + _rising(1 + math.exp(min(first, 50.0)), n - 1)
-
-
-def score_documents(docs: DataFrame, train_rest: tuple[int, int] = (10, 0), pieces: str = PIECES, concentration: float = CONCENTRATION) -> DataFrame:
+class Fitted:
+    """Words of the corpus by block, their training counts, and the pieces' log probabilities fitted on the training rows."""
+
+    def __init__(self, docs: DataFrame, train_rest: tuple[int, int] = (10, 0), pieces: str = PIECES):
+        n_mod, out = train_rest
+        t = F.translate(text_of(), UPPER + SPACES, UPPER.lower() + " " * len(SPACES))
+        size = docs.select(F.sum(F.length(text_of())).alias("s")).first()["s"] or 0
+        blocks = max(1, math.ceil(size / BLOCK_BYTES))
+        learn = remainder(F.col("doc_id"), n_mod) != out
+        self.rows = docs.select("doc_id", learn.alias("learn"), t.alias("text"), F.pmod(F.xxhash64("doc_id", t), F.lit(blocks)).cast("int").alias("block"))
+        self.per_block = written(self.rows.repartition("block").mapInPandas(_count, "block int, word string, n long"))
+        tasks = max(docs.sparkSession.sparkContext.defaultParallelism, blocks)  # the lattice costs far more than its bytes
+        self.vocab = written(self.per_block.groupBy("word").agg(F.sum("n").alias("c")).repartition(tasks, "word"))
+        ends = F.max(F.when(F.col("word") == END, F.col("c")))
+        row = self.vocab.agg(F.sum("c").alias("N"), F.count(F.when(F.col("c") > 0, 1)).alias("V"), ends.alias("ends")).first()
+        self.N, self.V = row["N"] or 0, row["V"] or 0
+        scores = load_scores(pieces)
+        for least in (2, 1):  # from words used twice or more on, then over every training word
+            scores = refit(self.vocab.filter(F.col("c") >= least), scores, row["ends"] or 0)
+        self.scores = scores
+
+
+def score_documents(docs: DataFrame, train_rest: tuple[int, int] = (10, 0), pieces: str = PIECES) -> DataFrame:
     """Per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-    P(token) = (c - 1/2)/N for known tokens, plus the mass so freed times the lattice's marginal probability,
-    in which each segmentation of the word into the vocabulary's pieces takes part. A document is a Polya urn over
-    these: its i-th token has probability (k + m * P)/(i + m) after k equal and i tokens in all, with m the concentration, so the
-    product does not depend on the order and a new word is spelled once. Corpus counts are kept per distinct
-    token and joined by token; documents and the counts of their tokens meet in blocks of about 8 MB.
-    Null or empty text is the end token alone; repeated rows are each scored and each counted.
+    The score is the log10 marginal probability of the text: a forward recursion over the lattice of all segmentations into the
+    file's pieces, which splits at word starts since no piece crosses one, times the end piece. The file's own scores are
+    merge ranks, so its order gives Zipf weights, and two expectation steps over the training rows' words fit the pieces'
+    probabilities; nothing else is tuned. Corpus counts are kept per distinct word and joined by word; documents and
+    the counts and prices of their words meet in blocks of about 16 MB. Null or empty text is the end token alone;
+    repeated rows are each scored and each counted.
     """
-    n_mod, out = train_rest
-    held = remainder(F.col("doc_id"), n_mod) == out
-    t = ascii_lower(text_of())
-    size = docs.select(F.sum(F.length(text_of())).alias("s")).first()["s"] or 0
-    blocks = max(1, math.ceil(size / BLOCK_BYTES))
-    d = docs.select("doc_id", (~held).alias("learn"), t.alias("text"), F.pmod(F.xxhash64("doc_id", t), F.lit(blocks)).cast("int").alias("block"))
-    per_block = written(d.repartition("block").mapInPandas(_count, "block int, word string, n long"))
-    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, blocks)  # the lattice costs far more than its bytes
-    vocab = written(per_block.groupBy("word").agg(F.sum("n").alias("c")).repartition(tasks, "word"))
-    row = vocab.agg(F.sum("c").alias("N"), F.count(F.when(F.col("c") > 0, 1)).alias("V")).first()
-    N, V = row["N"] or 0, row["V"] or 0
-    scores = refit(vocab, load_scores(pieces))
-    free = DISCOUNT * V / N if N else 1.0
+    fit = Fitted(docs, train_rest, pieces)
+    scores, N, V = fit.scores, fit.N, fit.V
 
     def lattice(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = Lattice(scores)
         for b in batches:
-            names = list(b["word"])
-            spell = np.where(b["word"] == END, -math.log(V + 1), model.run(names))
-            c = b["c"].to_numpy(np.float64)
-            direct = np.log10(np.maximum(c - DISCOUNT, 1e-300) / max(N, 1))
-            back = math.log10(free) + spell / math.log(10)
-            lp = np.where(c > 0, np.logaddexp(direct * math.log(10), back * math.log(10)) / math.log(10), back)
-            base = np.log10((c + 0.1) / (N + 0.1 * (V + 1)))
-            yield pd.DataFrame({"word": b["word"], "known": b["c"] > 0, "base": base, "lp": lp})
-
-    priced = vocab.mapInPandas(lattice, "word string, known boolean, base double, lp double")
-    prices = per_block.select("block", "word").distinct().join(priced, "word").select("block", "word", "known", "base", "lp")
+            lp = np.where(b["word"] == END, scores[END], model.run(list(b["word"])))
+            yield pd.DataFrame({"word": b["word"], "c": b["c"], "lp": lp / math.log(10)})
+
+    priced = fit.vocab.mapInPandas(lattice, "word string, c long, lp double")
+    prices = fit.per_block.select("block", "word").distinct().join(priced, "word").select("block", "word", "c", "lp")
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def price(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        at = dict(zip(right["word"], zip(right["known"], right["base"], right["lp"], strict=True), strict=True))
+        at = {w: i for i, w in enumerate(right["word"])}
+        c, lp = right["c"].to_numpy(np.float64), right["lp"].to_numpy()
+        base, known = np.log10((c + 0.1) / (N + 0.1 * (V + 1))), c > 0
         rows = []
         for text in left["text"]:
-            own = Counter(w for w in _SPACE.split(text) if w)
-            own[END] += 1
-            each = [(k, *at[w]) for w, k in own.items()]
-            size = sum(own.values())
-            urn = math.fsum(_urn(k, lp, concentration) for k, _, _, lp in each) - _rising(concentration, size)
-            rows.append((size, sum(k for k, known, _, _ in each if known), math.fsum(k * base for k, _, base, _ in each), urn / math.log(10)))
-        n, k, base, lp = zip(*rows, strict=True) if rows else ((), (), (), ())
-        return pd.DataFrame({"doc_id": left["doc_id"], "held_out": ~left["learn"].astype(bool), "n_tokens": n, "n_known": k, "train_tokens": N, "base_score": base, "score": lp})
-
-    return d.groupBy("block").cogroup(prices.groupBy("block")).applyInPandas(
+            own = np.array([at[w] for w in text.split(" ") if w] + [at[END]])
+            rows.append((len(own), int(known[own].sum()), float(base[own].sum()), float(lp[own].sum())))
+        n, k, b, s = zip(*rows, strict=True) if rows else ((), (), (), ())
+        return pd.DataFrame({"doc_id": left["doc_id"], "held_out": ~left["learn"].astype(bool), "n_tokens": n, "n_known": k, "train_tokens": N, "base_score": b, "score": s})
+
+    return fit.rows.groupBy("block").cogroup(prices.groupBy("block")).applyInPandas(
         price, f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
