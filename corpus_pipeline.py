@@ -2,72 +2,82 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortweave.llm.common import table, written
+from cohortweave.llm.common import bounded_broadcast, release, table, text_of, written
 from cohortweave.llm.dart_minhash import near_duplicates
-from cohortweave.llm.line_dedup import dedup_lines
-from cohortweave.llm.mixing import mix
+from cohortweave.llm.line_dedup import shared_lines
+from cohortweave.llm.mixing import mixed_rows
 from cohortweave.llm.toxicity import score_toxicity
 from cohortweave.llm.winnowing import decontaminate
 
-ORACLE_SQL = None
+ORACLE_SQL = None  # a fitted classifier and a hashed draw are not SQL; tests hold the stages against plain Python
 
+MAX_BROADCAST_KEYS = 1_000_000
 
-ROW = "row_key"
 
+def _digest() -> Column:
+    return F.unhex(F.md5(text_of().cast("binary")))
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with a key of each row, written once: decisions go by it, as a doc_id may be null or repeat."""
-    return docs if ROW in docs.columns else written(docs.withColumn(ROW, F.monotonically_increasing_id()))
 
+def _texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, digest) under these names alone, whatever else docs holds."""
+    return docs.select("doc_id", text_of().alias("text"), _digest().alias("digest"))
 
-def _by_row(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("doc_id", F.col(ROW))
 
-
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    return docs.join(gone.select(ROW), ROW, "left_anti").select(docs.columns)
+def _without(docs: DataFrame, digests: DataFrame) -> DataFrame:
+    """The rows of docs whose text has none of the digests; decisions are functions of the text, so null and repeated ids do no harm."""
+    gone = bounded_broadcast(written(digests.distinct()), MAX_BROADCAST_KEYS)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _digest().alias("digest"))
+    return rows.join(gone, "digest", "left_anti").select("row.*")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    docs = _keyed(docs)
-    scored = score_toxicity(docs, table(spark, sf_dir, "labels"), carry=(ROW,))
-    return _without(docs, scored.filter("predicted = 1"))
+    """Documents whose text is predicted toxic go. Null text is scored as empty; an empty table stays empty."""
+    scored = score_toxicity(_texts(docs), table(spark, sf_dir, "labels"), carry=("digest",))
+    return _without(docs, scored.filter("predicted = 1").select("digest"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The kept lines become the text, with n_chars to match; a document whose lines all went stays, empty."""
-    docs = _keyed(docs)
-    kept = dedup_lines(docs, row=ROW).filter("n_dropped > 0").select(F.col(ROW).alias("of"), F.col("text").alias("new_text"))
-    both = docs.join(kept, F.col(ROW) == F.col("of"), "left")
-    changed = F.col("of").isNotNull()
-    text = F.when(changed, F.col("new_text")).otherwise(F.col("text"))
-    new = {"text": text, "n_chars": F.when(changed, F.length("new_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))}
-    return both.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+    """The kept lines become the text, with n_chars (where there is one) to match; a document whose lines all went stays, empty.
+
+    A row that loses nothing keeps its text as it is, null too.
+    """
+    changed = F.col("n_dropped") > 0
+    new = {"text": F.when(changed, F.col("text")).otherwise(F.col("row.text"))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return shared_lines(docs).select(*[new[c].alias(c) if c in new else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class the row of the smallest doc_id stays; null ids come last."""
-    docs = _keyed(docs)
-    classes = near_duplicates(_by_row(docs)).select(F.col("doc_id").alias(ROW), "class_id")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW)).alias("m")
-    kept = classes.join(docs.select(ROW, "doc_id"), ROW).groupBy("class_id").agg(first).select(F.col(f"m.{ROW}").alias(ROW))
-    return docs.join(kept, ROW, "left_semi").select(docs.columns)
+    """Of each class the row of the smallest doc_id stays, rows without one last; of equal rows one stays.
+
+    Rows are written once with a key of their own, so null and repeated ids are told apart.
+    """
+    keyed = written(docs.select(F.monotonically_increasing_id().alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")))
+    classes = near_duplicates(keyed.select(F.col("key").alias("doc_id"), F.col("row.text").alias("text"))).select(F.col("doc_id").alias("key"), "class_id")
+    several = written(classes.join(classes.groupBy("class_id").count().filter("count > 1").select("class_id"), "class_id"))
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    ids = several.join(keyed.select("key", F.col("row.doc_id").alias("doc_id")), "key")
+    stay = ids.groupBy("class_id").agg(F.min(rank).alias("m")).select(F.col("m.key").alias("key"))
+    gone = written(several.select("key").join(stay, "key", "left_anti"))
+    return keyed.join(bounded_broadcast(gone, MAX_BROADCAST_KEYS), "key", "left_anti").select("row.*")
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    docs = _keyed(docs)
-    hits = decontaminate(_by_row(docs), table(spark, sf_dir, "benchmark"))
-    return _without(docs, hits.filter("contaminated").select(F.col("doc_id").alias(ROW)))
+    """Documents that hold a window of the benchmark go; null text and an empty benchmark have none."""
+    texts = docs.select(_digest().alias("doc_id"), text_of().alias("text"))
+    hits = decontaminate(texts, table(spark, sf_dir, "benchmark"))
+    return _without(docs, hits.filter("contaminated").select(F.col("doc_id").alias("digest")))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The drawn documents, with their cell's weight ratio and probability; the row key ends here."""
-    docs = _keyed(docs)
-    drawn = mix(docs, carry=(ROW,)).filter("selected").select(ROW, "topic", F.col("ratio").alias("mix_ratio"), F.col("prob").alias("mix_prob"))
-    return docs.join(drawn, ROW).select(*[c for c in docs.columns if c != ROW], "topic", "mix_ratio", "mix_prob")
+    """The drawn documents, with their topic, weight ratio and probability as mix_topic, mix_ratio and mix_prob, in place of any such columns."""
+    new = {"mix_topic": "topic", "mix_ratio": "ratio", "mix_prob": "prob"}
+    kept = [F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in new]
+    return mixed_rows(docs).filter("selected").select(*kept, *[F.col(c).alias(name) for name, c in new.items()])
 
 
 STAGES = [
@@ -80,7 +90,10 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages over the documents; a stage's table is deleted once its successor's is written."""
+    docs, spent = table(spark, sf_dir, "documents"), []
     for _, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir))
+        release(*spent)
+        spent = [docs]
     return docs
