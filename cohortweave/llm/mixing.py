@@ -5,20 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import UPPER, release, text_of, written
+from .common import release, text_of, written
 
 DIMS = ("source", "lang", "topic")
 TOPICS = 6
-FEATURES = ("digits", "marks", "capitals", "line")
-_MARKS = "\"'()*+,-./:;<=>?[]_{|}!#"
-
-
-def register_features(text: Column) -> list[Column]:
-    """What tells prose, lists, tables, code and logs apart in any language: shares of digits, marks and capitals, log line length."""
-    n = F.greatest(F.length(text), F.lit(1)).cast("double")
-    share = lambda chars: (F.length(text) - F.length(F.translate(text, chars, ""))) / n
-    lines = 1 + F.length(text) - F.length(F.translate(text, "\n", ""))
-    values = [share("0123456789"), share(_MARKS), share(UPPER), F.log(1 + n / lines)]
+FEATURES = ("symbols", "line", "word")
+_SYMBOLS = "0123456789\"'()*+,-./:;<=>?[]_{|}!#"
+
+
+def text_counts(text: Column) -> list[Column]:
+    """White-space tokens, characters, digits and marks, and lines of a text: two passes over it besides the searches for line ends."""
+    blank = F.translate(text, "\t\n\x0b\x0c\r", " " * 5)
+    return [
+        F.size(F.array_remove(F.split(blank, " "), "")).cast("long").alias("n_tokens"), F.length(text).alias("n_letters"),
+        F.length(F.translate(text, _SYMBOLS, "")).alias("n_plain"), F.length(F.replace(text, F.lit("\n"), F.lit(""))).alias("n_in_lines"),
+    ]
+
+
+def register_features() -> list[Column]:
+    """What tells prose, lists, tables, code and logs apart in any language, from text_counts: the share of digits and marks, log line and word length."""
+    n = F.greatest(F.col("n_letters"), F.lit(1)).cast("double")
+    values = [
+        (F.col("n_letters") - F.col("n_plain")) / n, F.log(1 + n / (1 + F.col("n_letters") - F.col("n_in_lines"))),
+        F.log(1 + n / F.greatest(F.col("n_tokens"), F.lit(1))),
+    ]
     return [v.alias(name) for v, name in zip(values, FEATURES, strict=True)]
 
 
@@ -83,9 +93,8 @@ def mixed_rows(docs: DataFrame, alpha: float = 0.7, keep: float = 0.8, seed: int
     is the feature: unselected rows are marked. Rows do not move; cells are broadcast, at most sources x languages x TOPICS.
     """
     t = text_of()
-    n_tokens = F.size(F.array_remove(F.split(F.translate(t, "\t\n\x0b\x0c\r", " " * 5), " "), "")).cast("long").alias("n_tokens")
     label = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
-    seen = written(docs.select(label("source"), label("lang"), n_tokens, *register_features(t)))
+    seen = written(docs.select(label("source"), label("lang"), *text_counts(t)).select("source", "lang", "n_tokens", *register_features()))
     centres, scale = fit_topics(seen)
     topic = lambda point: F.concat(F.lit("t"), nearest(point, centres, scale).cast("string")).alias("topic")
     cells = seen.select("source", "lang", topic([F.col(f) for f in FEATURES]), "n_tokens").groupBy(*DIMS).agg(F.sum("n_tokens").alias("tokens"))
@@ -101,10 +110,11 @@ def mixed_rows(docs: DataFrame, alpha: float = 0.7, keep: float = 0.8, seed: int
         scale_up *= min(4.0, keep * total / got)
     prob = F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.col("ratio") * scale_up)).otherwise(F.lit(1.0))
     fitted = F.broadcast(cells.select(*DIMS, "ratio", prob.alias("prob")))
+    # counts and features are projections of their own, as each is read several times
     d = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), label("source"), label("lang"),
-        topic(register_features(t)), n_tokens, F.xxhash64(F.lit(seed), F.col("doc_id"), t).alias("draw"),
-    )
+        *text_counts(t), F.xxhash64(F.lit(seed), F.col("doc_id"), t).alias("draw"),
+    ).select("row", "source", "lang", "n_tokens", "draw", *register_features()).withColumn("topic", topic([F.col(f) for f in FEATURES]))
     unit = F.shiftrightunsigned("draw", 11).cast("double") / float(1 << 53)
     return d.join(fitted, list(DIMS), "left").select("row", *DIMS, "n_tokens", "ratio", "prob", (unit < F.col("prob")).alias("selected"))
 

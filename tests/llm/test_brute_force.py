@@ -323,13 +323,13 @@ def test_mixing_meets_all_marginals(docs):
 
 
 def test_topic_is_the_nearest_centre(spark):
-    centres, scale = [[0.0, 0.0, 0.0, 4.0], [0.5, 0.1, 0.0, 3.0]], [0.1, 0.1, 0.1, 1.0]
-    texts = ["plain words in a line", "12 34 56, 78 90", "", "A. B. C."]
-    d = spark.createDataFrame([(t,) for t in texts], "text string")
-    got = d.select("text", mixing.nearest(mixing.register_features(F.col("text")), centres, scale).alias("i")).collect()
+    centres, scale = [[0.0, 4.0, 1.0], [0.5, 3.0, 2.0]], [0.1, 1.0, 0.5]
+    texts = ["plain words in a line", "12 34 56, 78 90", "", "A. B.\nC."]
+    d = spark.createDataFrame([(t,) for t in texts], "text string").select("text", *mixing.text_counts(F.col("text"))).select("text", *mixing.register_features())
+    got = d.select("text", mixing.nearest([F.col(f) for f in mixing.FEATURES], centres, scale).alias("i")).collect()
     for r in got:
         n, t = max(1, len(r.text)), r.text
-        x = [sum(c.isdigit() for c in t) / n, sum(c in mixing._MARKS for c in t) / n, sum("A" <= c <= "Z" for c in t) / n, math.log(1 + n / (1 + t.count("\n")))]
+        x = [sum(c in mixing._SYMBOLS for c in t) / n, math.log(1 + n / (1 + t.count("\n"))), math.log(1 + n / max(1, len(t.split())))]
         gap = [sum(((v - w) / s) ** 2 for v, w, s in zip(x, c, scale, strict=True)) for c in centres]
         assert r.i == gap.index(min(gap))
 
