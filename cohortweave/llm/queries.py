@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, and SQL for those that it can express."""
+"""The registered queries of the operators, and SQL for those that it can express."""
 
 from __future__ import annotations
 
@@ -13,6 +13,7 @@ from .lattice_lm import score_documents
 from .line_dedup import dedup_lines
 from .mixing import mix
 from .secrets import scan_secrets
+from .spelling import group_variants
 from .toxicity import score_toxicity
 from .winnowing import decontaminate
 
@@ -60,9 +61,13 @@ def op10_toxicity(spark, sf_dir):
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_spelling(spark, sf_dir):
+    return group_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_lattice_lm, op2_winnowing, op3_secrets, op4_line_dedup, op5_mixing, op6_perspectives,
-    op7_language_id, op8_dart_minhash, op9_grace_dedup, op10_toxicity,
+    op7_language_id, op8_dart_minhash, op9_grace_dedup, op10_toxicity, op11_spelling,
 )}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
