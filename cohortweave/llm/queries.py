@@ -14,6 +14,7 @@ from .line_dedup import dedup_lines
 from .mixing import mix
 from .secrets import scan_secrets
 from .spelling import group_variants
+from .token_files import token_sums
 from .toxicity import score_toxicity
 from .winnowing import decontaminate
 
@@ -65,9 +66,13 @@ def op11_spelling(spark, sf_dir):
     return group_variants(table(spark, sf_dir, "documents"))
 
 
+def op12_token_files(spark, sf_dir):
+    return token_sums(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_lattice_lm, op2_winnowing, op3_secrets, op4_line_dedup, op5_mixing, op6_perspectives,
-    op7_language_id, op8_dart_minhash, op9_grace_dedup, op10_toxicity, op11_spelling,
+    op7_language_id, op8_dart_minhash, op9_grace_dedup, op10_toxicity, op11_spelling, op12_token_files,
 )}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
