@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .alignment import align_tokenizers
 from .chat import rotate_perspectives
 from .common import table
 from .dart_minhash import near_duplicates
@@ -70,9 +71,14 @@ def op12_token_files(spark, sf_dir):
     return token_sums(table(spark, sf_dir, "documents"))
 
 
+def op13_alignment(spark, sf_dir):
+    return align_tokenizers(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_lattice_lm, op2_winnowing, op3_secrets, op4_line_dedup, op5_mixing, op6_perspectives,
     op7_language_id, op8_dart_minhash, op9_grace_dedup, op10_toxicity, op11_spelling, op12_token_files,
+    op13_alignment,
 )}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -9,7 +9,7 @@ import numpy as np
 
 BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
 PIECE_BPE = "/opt/tokenizers/piece_bpe_32k.model"
-_LOOSE = re.compile(r"\s | \s")
+_LOOSE = re.compile(r"\s | \s|\A | \Z")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 LONGEST = 64  # code points of a segment that is worth keeping
 
@@ -35,6 +35,10 @@ class ByteBpe:
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, np.uint32).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def spaced_ids(self, segments: list[str]) -> list[bytes]:
+        """The ids of blank + segment for each."""
+        return self._ids([" " + s for s in segments])
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
         cut = [segments(t) for t in texts]
@@ -42,7 +46,7 @@ class ByteBpe:
         rest = set().union(*cut) if cut else set()
         rest = list(rest - self.spaced.keys())
         self.first.update(zip(heads, self._ids(heads), strict=True))
-        self.spaced.update(zip(rest, self._ids([" " + s for s in rest]), strict=True))
+        self.spaced.update(zip(rest, self.spaced_ids(rest), strict=True))
         out = [self.first[c[0]] + b"".join(map(self.spaced.__getitem__, c[1:])) for c in cut]
         for known, new in ((self.first, heads), (self.spaced, rest)):
             room = self.keep - (len(known) - len(new))
@@ -50,3 +54,28 @@ class ByteBpe:
                 if i >= room or len(s) > LONGEST:
                     del known[s]
         return out
+
+
+class PieceBpe:
+    """Sentence-piece BPE of a model file, which puts a blank before each text."""
+
+    def __init__(self, path: str = PIECE_BPE):
+        import sentencepiece
+
+        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
+        n = self.model.get_piece_size()
+        self.pieces = [self._bytes(i) for i in range(n)]
+        self.lengths = np.array([len(p) for p in self.pieces], np.int32)
+        if any(re.search("[^▁]▁", self.model.id_to_piece(i)) for i in range(n)):
+            raise ValueError("a piece goes on over a blank, so segments cannot be encoded alone")
+
+    def _bytes(self, i: int) -> bytes:
+        piece = self.model.id_to_piece(i)
+        return bytes([int(piece[3:5], 16)]) if self.model.is_byte(i) else piece.replace("▁", " ").encode()
+
+    def spells(self, text: str) -> bool:
+        """Whether the pieces' bytes are those of blank + text: not where the model changes the text or it holds the blank's own sign."""
+        return self.model.normalize(text).replace("▁", " ") == " " + text
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return self.model.encode(texts, num_threads=1)
