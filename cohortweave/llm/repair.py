@@ -35,10 +35,10 @@ class Grammar:
         if begin >= end:
             return np.empty(0, np.uint32)
         first, last = int(np.searchsorted(at, begin, "right")) - 1, int(np.searchsorted(at, end, "left"))
-        out = self.symbols[first:last].astype(np.int64)
+        out = self.symbols[first:last].astype(np.int32)
         while (ruled := out >= self.base).any():
             place = np.arange(out.size) + np.concatenate([[0], np.cumsum(ruled)[:-1]])
-            longer = np.empty(out.size + int(ruled.sum()), np.int64)
+            longer = np.empty(out.size + int(ruled.sum()), np.int32)
             pair = self.rules[out[ruled] - self.base]
             longer[place[~ruled]] = out[~ruled]
             longer[place[ruled]] = pair[:, 0]
@@ -60,8 +60,9 @@ def _frequent(keys: np.ndarray, least: int, most: int) -> np.ndarray:
 
 def _ranks(keys: np.ndarray, pairs: np.ndarray) -> np.ndarray:
     """For each key its place in pairs, or len(pairs). Where two pairs share a slot, the more frequent has it; the other waits a round."""
-    bits = max(8, int(pairs.size).bit_length() + 3)
-    slot = lambda k: ((k * _MIX) >> np.uint64(64 - bits)).astype(np.int64)
+    bits, kind = max(8, int(pairs.size).bit_length() + 3), keys.dtype.type
+    mix, shift = kind(_MIX & np.uint64(np.iinfo(kind).max)), kind(8 * keys.dtype.itemsize - bits)
+    slot = lambda k: (k * mix) >> shift
     table = np.full(1 << bits, pairs.size, np.int32)
     table[slot(pairs)[::-1]] = np.arange(pairs.size, dtype=np.int32)[::-1]
     rank = table[slot(keys)]
@@ -89,26 +90,31 @@ def compress(ids: np.ndarray, base: int, least: int = 8, max_rules: int = 15_000
     It ends when no pair occurs `least` times, after max_rules rules, or after `rounds` rounds: these bound time and size of a
     rule table, never what is stored. Decoding gives back every id.
     """
-    symbols = ids.astype(np.uint64)
+    half = 16 if base + max_rules <= 1 << 16 else 32
+    kind = np.uint32 if half == 16 else np.uint64
+    symbols = ids.astype(kind)
     rules, lengths = [np.empty((0, 2), np.int64)], [np.ones(base, np.int64)]
     free = base
     for r in range(rounds):
         if symbols.size < 2 or free - base >= max_rules:
             break
-        keys = (symbols[:-1] << np.uint64(32)) | symbols[1:]
+        keys = (symbols[:-1] << kind(half)) | symbols[1:]
         pairs = _frequent(keys, least, -(-(max_rules - (free - base)) // (rounds - r)) if r < rounds - 1 else max_rules - (free - base))
         if not pairs.size:
             break
         rank = _ranks(keys, pairs)
         at = _chosen(rank, pairs.size)
-        used, of = np.unique(rank[at], return_inverse=True)
+        which = rank[at]
+        used = np.flatnonzero(np.bincount(which, minlength=pairs.size))
         if not used.size:
             break
-        new = np.stack([pairs[used] >> np.uint64(32), pairs[used] & np.uint64(0xFFFFFFFF)], 1).astype(np.int64)
+        name = np.zeros(pairs.size, kind)
+        name[used] = free + np.arange(used.size)
+        new = np.stack([pairs[used] >> kind(half), pairs[used] & kind((1 << half) - 1)], 1).astype(np.int64)
         known = np.concatenate(lengths) if len(lengths) > 1 else lengths[0]
         rules.append(new)
         lengths = [known, known[new[:, 0]] + known[new[:, 1]]]
-        symbols[at] = free + of.astype(np.uint64)
+        symbols[at] = name[which]
         stay = np.ones(symbols.size, bool)
         stay[at + 1] = False
         symbols, free = symbols[stay], free + used.size

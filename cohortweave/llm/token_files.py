@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..operators.ordered import running
 from .common import bounded_broadcast, shared_dir, text_of
 from .repair import compress, dump, load
-from .tokens import BYTE_BPE, ByteBpe
+from .tokens import BYTE_BPE, byte_bpe
 
 END = np.zeros(1, np.uint32).tobytes()
 SCHEMA = "part int, seq int, n_ids long, doc_ids array<long>, ends array<long>, block_ids long, blocks array<binary>"
@@ -36,7 +36,7 @@ def _slices(texts: list[str]) -> Iterator[tuple[int, int]]:
 
 def _encode(path: str, shard_ids: int, block_ids: int, rounds: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, part, seq = ByteBpe(path), TaskContext.get().partitionId(), 0
+        coder, part, seq = byte_bpe(path), TaskContext.get().partitionId(), 0
         doc_ids: list = []
         ids: list[bytes] = []
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import re
+from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 
@@ -11,6 +13,7 @@ BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
 PIECE_BPE = "/opt/tokenizers/piece_bpe_32k.model"
 _LOOSE = re.compile(r"\s | \s|\A | \Z")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+_WORD_END = re.compile(r"([A-Za-z]+)([.,;:!?])")
 LONGEST = 64  # code points of a segment that is worth keeping
 
 
@@ -31,6 +34,7 @@ class ByteBpe:
         self.model.encode_special_tokens = special_as_text
         self.size = self.model.get_vocab_size()
         self.keep, self.spaced, self.first = keep, {}, {}
+        self.line = self._ids(["\n"])[0]
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, np.uint32).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
@@ -39,23 +43,47 @@ class ByteBpe:
         """The ids of blank + segment for each."""
         return self._ids([" " + s for s in segments])
 
+    def _learn(self, known: dict, new: list[str], encode) -> None:
+        """Ids of new segments. Lines of one, and a mark after letters, are tokens of their own, so known words are not encoded again."""
+        parts = {}
+        for s in new:
+            lines = s.split("\n")
+            if len(lines) > 1 and all(x and not (x[0].isspace() or x[-1].isspace()) for x in lines):
+                parts[s] = lines
+            elif m := _WORD_END.fullmatch(s):
+                parts[s] = m.groups()
+        own = {s for s in new if s not in parts}
+        own.update(p[0] for p in parts.values())
+        own = list(own - known.keys())
+        rest = list({x for p in parts.values() for x in p[1:]} - self.first.keys())
+        known.update(zip(own, encode(own), strict=True))
+        loose = {**dict(zip(rest, self._ids(rest), strict=True))}
+        tail = lambda x: self.first[x] if x in self.first else loose[x]
+        line = self.line
+        for s, p in parts.items():
+            known[s] = known[p[0]] + (line.join([b"", *map(tail, p[1:])]) if "\n" in s else tail(p[1]))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
         cut = [segments(t) for t in texts]
-        heads = list({c[0] for c in cut} - self.first.keys())
-        rest = set().union(*cut) if cut else set()
-        rest = list(rest - self.spaced.keys())
-        self.first.update(zip(heads, self._ids(heads), strict=True))
-        self.spaced.update(zip(rest, self.spaced_ids(rest), strict=True))
+        sizes = [len(self.first), len(self.spaced)]
+        self._learn(self.first, list({c[0] for c in cut} - self.first.keys()), self._ids)
+        self._learn(self.spaced, list((set().union(*cut) if cut else set()) - self.spaced.keys()), self.spaced_ids)
         out = [self.first[c[0]] + b"".join(map(self.spaced.__getitem__, c[1:])) for c in cut]
-        for known, new in ((self.first, heads), (self.spaced, rest)):
-            room = self.keep - (len(known) - len(new))
+        for known, size in zip((self.first, self.spaced), sizes, strict=True):
+            new = list(islice(known, size, None))  # a dict keeps its order
             for i, s in enumerate(new):
-                if i >= room or len(s) > LONGEST:
+                if i >= self.keep - size or len(s) > LONGEST:
                     del known[s]
         return out
 
 
+@lru_cache(2)
+def byte_bpe(path: str, special_as_text: bool = False) -> ByteBpe:
+    """One per worker process, so that its tasks share what it has learnt."""
+    return ByteBpe(path, special_as_text)
+
+
 class PieceBpe:
     """Sentence-piece BPE of a model file, which puts a blank before each text."""
 
