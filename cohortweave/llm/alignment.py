@@ -10,11 +10,12 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_broadcast, release, text_of, written
@@ -61,66 +62,58 @@ def _uses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _tokenised(byte_file: str, piece_file: str):
-    """(sid, segment, n) with both tokenizers' ids and their lengths in bytes."""
+    """(sid, segment, n) with both tokenizers' ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b, sid = ByteBpe(byte_file, special_as_text=True, keep=0), PieceBpe(piece_file), TaskContext.get().partitionId() << 40
-        long = np.zeros(a.size, np.int32)
-        for token, i in a.model.get_vocab().items():
-            long[i] = len(token)  # a character of an entry is a byte
-        kind = pa.list_(pa.int32())
+        long, kind = a.lengths(), pa.list_(pa.int32())
         for batch in batches:
             for at in range(0, batch.num_rows, _STEP):
                 part = batch.slice(at, _STEP)
                 texts = part.column("segment").to_pylist()
                 ids = [[np.frombuffer(x, np.uint32).astype(np.int32) for x in a.spaced_ids(texts)], [np.array(x, np.int32) for x in b.encode(texts)]]
-                sizes = [[table[x] for x in side] for table, side in zip((long, b.lengths), ids, strict=True)]
-                for t, i, *n in zip(texts, ids[1], *sizes, strict=True):
-                    if b"".join(map(b.pieces.__getitem__, i)) != (whole := (" " + t).encode()) or n[0].sum() != len(whole):
+                for t, i, j in zip(texts, *ids, strict=True):
+                    if b"".join(map(b.pieces.__getitem__, j)) != (whole := (" " + t).encode()) or long[i].sum() != len(whole):
                         raise ValueError("the tokenizers do not spell a segment of a text that they spell")
                 own = pa.array(np.arange(sid, sid + len(texts)))
-                cols = [pa.array(x, kind) for pair in zip(ids, sizes, strict=True) for x in pair]
-                yield pa.RecordBatch.from_arrays([own, *part.columns, *cols], names=["sid", "segment", "n", "a", "a_len", "b", "b_len"])
+                yield pa.RecordBatch.from_arrays([own, *part.columns, *[pa.array(x, kind) for x in ids]], names=["sid", "segment", "n", "a", "b"])
                 sid += len(texts)
 
     return run
 
 
-def boundaries(tokens: DataFrame) -> DataFrame:
-    """(sid, at, a, b, part) of tokens (sid, a, a_len, b, b_len): one row per byte offset where a token ends, with the ids that end there.
+def cuts(tokens: DataFrame, sizes: dict[str, DataFrame]) -> DataFrame:
+    """(sid, part, a, b, a_pos, b_pos): the tokens of a (ids a) and b (ids b) of one sid that end at the same byte; part counts the cuts before.
 
-    Tokens explode by position, cumulative lengths are their ends, and the two sides join where sid and end are equal. part counts
-    the cuts (offsets with both) before, so it numbers the groups. A sid's rows are those of one text, and stay in its partition.
+    tokens: sid, a, b. sizes: for a and b, the vocabulary's (id, len). Tokens explode by position, their cumulative lengths are their
+    ends, and the two sides join where sid and end are equal. A sid's rows are those of one text, and stay in its partition.
     """
-    spread = tokens.repartition("sid")
     ends = Window.partitionBy("sid").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
 
     def side(name: str) -> DataFrame:
-        rows = spread.select("sid", F.posexplode(F.arrays_zip(F.col(name).alias("id"), F.col(f"{name}_len").alias("len"))).alias("pos", "t"))
-        return rows.select("sid", F.col("t.id").alias(name), F.sum("t.len").over(ends).alias("at"))
+        rows = tokens.select("sid", name).repartition("sid").select("sid", F.posexplode(name).alias("pos", "id"))
+        long = rows.join(F.broadcast(sizes[name]), "id")  # a row per entry of the vocabulary
+        return long.select("sid", F.sum("len").over(ends).alias("at"), F.col("id").alias(name), F.col("pos").alias(f"{name}_pos"))
 
-    both = side("a").join(side("b"), ["sid", "at"], "full")
-    cut = (F.col("a").isNotNull() & F.col("b").isNotNull()).cast("int")
     before = Window.partitionBy("sid").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    return both.select("sid", "at", "a", "b", F.coalesce(F.sum(cut).over(before), F.lit(0)).alias("part"))
+    both = side("a").join(side("b"), ["sid", "at"])
+    return both.select("sid", F.count(F.lit(1)).over(before).cast("int").alias("part"), "a", "b", "a_pos", "b_pos")
 
 
-def groups(ends: DataFrame) -> DataFrame:
-    """One row per sid of boundaries: n_a, n_b, links (the ids that end together, one pair a group), groups (`a1,a2|b1;a3|b2`)."""
+def groups(tokens: DataFrame, found: DataFrame) -> DataFrame:
+    """tokens (sid, segment, n, a, b) with their cuts joined back: segment, n, links (the ids that end together), groups (`a1,a2|b1;a3|b2`).
 
-    def ids(name: str):
-        placed = F.array_sort(F.collect_list(F.when(F.col(name).isNotNull(), F.struct("at", name))))
-        return F.array_join(F.transform(placed, lambda x: x[name].cast("string")), ",")
+    The ids between two cuts are a group, so the last of each side are its link.
+    """
+    parts = found.groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("part", "a", "b", "a_pos", "b_pos"))).alias("parts"))
+
+    def ids(name: str, p, i):
+        since = F.when(i == 0, F.lit(-1)).otherwise(F.get(F.col("parts"), i - 1)[f"{name}_pos"])
+        return F.array_join(F.slice(name, since + 2, p[f"{name}_pos"] - since), ",")
 
-    linked = F.col("a").isNotNull() & F.col("b").isNotNull()
-    parts = ends.groupBy("sid", "part").agg(
-        F.count("a").alias("n_a"), F.count("b").alias("n_b"), F.max(F.when(linked, F.col("a"))).alias("a"), F.max(F.when(linked, F.col("b"))).alias("b"),
-        F.concat(ids("a"), F.lit("|"), ids("b")).alias("ids"))
-    listed = F.array_sort(F.collect_list(F.struct("part", "ids", "a", "b")))
-    whole = parts.groupBy("sid").agg(F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), listed.alias("parts"))
-    return whole.select(
-        "sid", "n_a", "n_b", F.transform("parts", lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b"))).alias("links"),
-        F.array_join(F.transform("parts", lambda p: p["ids"]), ";").alias("groups"))
+    text = F.transform("parts", lambda p, i: F.concat(ids("a", p, i), F.lit("|"), ids("b", p, i)))
+    links = F.transform("parts", lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b")))
+    return tokens.join(parts, "sid").select("segment", "n", links.alias("links"), F.array_join(text, ";").alias("groups"))
 
 
 def pair_counts(aligned: DataFrame) -> DataFrame:
@@ -130,12 +123,20 @@ def pair_counts(aligned: DataFrame) -> DataFrame:
     return pairs.join(most, "b").select("a", "b", "links", (F.col("links") == F.col("most")).cast("int").alias("best"))
 
 
+def _numbers(groups: str) -> tuple[int, int, int]:
+    """How many ids of a and of b, and groups, a text of groups holds."""
+    n = groups.count(";") + 1
+    n_a = sum(g.count(",", 0, g.index("|")) for g in groups.split(";")) + n
+    return n_a, groups.count(",") + 2 * n - n_a, n
+
+
 def _documents(docs: pa.Table, known: pa.Table) -> pa.Table:
     """A bucket's documents, each the sum of its segments."""
     place = {s: i for i, s in enumerate(known.column("segment").to_pylist())}
     text = known.column("groups").to_pylist()
-    numbers = np.stack([known.column(c).to_numpy() for c in ("n_a", "n_b", "n_links", "n_best", "count_sum")], 1) if known.num_rows else np.empty((0, 5), np.int64)
-    sums, shas = np.zeros((docs.num_rows, 5), np.int64), []
+    sized = np.array([_numbers(g) for g in text], np.int64).reshape(-1, 3)
+    numbers = np.concatenate([sized, sized[:, 2:], *[known.column(c).to_numpy().astype(np.int64)[:, None] for c in ("n_best", "count_sum")]], 1)
+    sums, shas = np.zeros((docs.num_rows, 6), np.int64), []
     for i, (t, good) in enumerate(zip(docs.column("text").to_pylist(), docs.column("good").to_pylist(), strict=True)):
         if not good:
             shas.append("")
@@ -146,21 +147,26 @@ def _documents(docs: pa.Table, known: pa.Table) -> pa.Table:
         for k in range(0, len(at), 10_000):
             sha.update((";" * (k > 0) + ";".join(map(text.__getitem__, at[k : k + 10_000]))).encode())
         shas.append(sha.hexdigest())
-    n_a, n_b, links, best, total = sums.T
-    cols = {"doc_id": docs.column("doc_id"), "n_a": n_a, "n_b": n_b, "n_groups": links, "n_links": links, "n_best": best, "count_sum": total, "groups_sha256": pa.array(shas, pa.string())}
-    return pa.table(cols)
+    named = dict(zip(("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"), sums.T, strict=True))
+    return pa.table({"doc_id": docs.column("doc_id"), **named, "groups_sha256": pa.array(shas, pa.string())})
 
 
-def align_segments(tokens: DataFrame) -> DataFrame:
-    """(sid, n_a, n_b, links, groups) of tokens (sid, a, a_len, b, b_len). The join may reuse the partitioning by sid, as ends of one
-    sid are few; that is Spark's to decide by a setting, put back once the table is written."""
-    conf, name = tokens.sparkSession.conf, "spark.sql.requireAllClusterKeysForCoPartition"
-    old = conf.get(name)
-    conf.set(name, "false")
+@contextmanager
+def co_partitioned(spark: SparkSession):
+    """Let joins on (sid, end) run in partitions by sid, as ends of one sid are few; the session's own setting comes back."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    old = spark.conf.get(name)
+    spark.conf.set(name, "false")
     try:
-        return written(groups(boundaries(tokens)))
+        yield
     finally:
-        conf.set(name, old)
+        spark.conf.set(name, old)
+
+
+def vocabulary_sizes(spark: SparkSession, byte_file: str, piece_file: str) -> dict[str, DataFrame]:
+    """(id, len) of each vocabulary: the bytes of its entries."""
+    both = {"a": ByteBpe(byte_file).lengths(), "b": PieceBpe(piece_file).lengths}
+    return {name: spark.createDataFrame([(i, int(n)) for i, n in enumerate(long)], "id int, len int") for name, long in both.items()}
 
 
 def align_tokenizers(docs: DataFrame, byte_file: str = BYTE_BPE, piece_file: str = PIECE_BPE, bucket_bytes: int = 32 << 20) -> DataFrame:
@@ -172,21 +178,19 @@ def align_tokenizers(docs: DataFrame, byte_file: str = BYTE_BPE, piece_file: str
     does not give back, have zeros and ''. Segments' counts are folded bucket by bucket before they move, so one of every row is
     a row per bucket; a bucket is what one task holds, a document the least of it. doc_id is integral.
     """
+    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     keyed = written(rows.mapInArrow(_bucketed(piece_file, bucket_bytes), "bucket long, doc_id long, text string, good boolean"))
     uses = written(keyed.filter("good").select("bucket", "text").mapInArrow(_uses, "bucket long, segment string, n long"))
-    ids = "array<int>"
     tokens = written(uses.groupBy("segment").agg(F.sum("n").alias("n")).mapInArrow(
-        _tokenised(byte_file, piece_file), f"sid long, segment string, n long, a {ids}, a_len {ids}, b {ids}, b_len {ids}"))
-    names = written(tokens.select("sid", "segment", "n"))
-    found = align_segments(tokens)
+        _tokenised(byte_file, piece_file), "sid long, segment string, n long, a array<int>, b array<int>"))
+    with co_partitioned(spark):
+        aligned = written(groups(tokens, cuts(tokens, vocabulary_sizes(spark, byte_file, piece_file))))
     release(tokens)
-    aligned = written(found.join(names, "sid"))
-    release(found, names)
     pairs = written(pair_counts(aligned))
-    links = aligned.select("sid", F.inline("links")).join(bounded_broadcast(pairs, MAX_PAIRS), ["a", "b"])
-    scored = links.groupBy("sid").agg(F.count("*").alias("n_links"), F.sum("best").alias("n_best"), F.sum("links").alias("count_sum"))
-    known = aligned.drop("links", "n").join(scored, "sid").drop("sid")
+    links = aligned.select("segment", F.inline("links")).join(bounded_broadcast(pairs, MAX_PAIRS), ["a", "b"])
+    scored = links.groupBy("segment").agg(F.sum("best").cast("int").alias("n_best"), F.sum("links").alias("count_sum"))
+    known = aligned.select("segment", "groups").join(scored, "segment")
     needed = uses.select("bucket", "segment").join(known, "segment")
     out = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
     return keyed.groupBy("bucket").cogroup(needed.groupBy("bucket")).applyInArrow(_documents, out)

@@ -39,6 +39,13 @@ class ByteBpe:
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, np.uint32).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def lengths(self) -> np.ndarray:
+        """Bytes of each id's entry: a character of an entry stands for a byte."""
+        long = np.zeros(self.size, np.int32)
+        for token, i in self.model.get_vocab().items():
+            long[i] = len(token)
+        return long
+
     def spaced_ids(self, segments: list[str]) -> list[bytes]:
         """The ids of blank + segment for each."""
         return self._ids([" " + s for s in segments])

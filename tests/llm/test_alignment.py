@@ -90,14 +90,14 @@ def test_nothing_to_align(spark, rows):
     assert sorted(map(tuple, alignment.align_tokenizers(docs).collect()), key=repr) == brute(rows)
 
 
-def test_the_join_keeps_the_partitioning(spark):
-    tokens_ = spark.createDataFrame([(1, [1, 2], [2, 3], [5], [5]), (2, [], [], [], [])], "sid long, a array<int>, a_len array<int>, b array<int>, b_len array<int>")
-    (row,) = alignment.align_segments(tokens_).collect()
-    assert (row.sid, row.n_a, row.n_b, row.groups, [tuple(x) for x in row.links]) == (1, 2, 1, "1,2|5", [(2, 5)])
+def test_cuts_join_in_the_partitions_of_texts(spark):
+    tokens_ = spark.createDataFrame([(1, "x", 3, [1, 2, 1], [5, 1]), (2, "", 1, [], []), (3, "y", 1, [2], [5])], "sid long, segment string, n long, a array<int>, b array<int>")
+    sizes = {"a": spark.createDataFrame([(1, 2), (2, 3)], "id int, len int"), "b": spark.createDataFrame([(5, 5), (1, 2)], "id int, len int")}
+    with alignment.co_partitioned(spark):
+        found = alignment.cuts(tokens_, sizes)
+        assert sorted(map(tuple, found.collect())) == [(1, 0, 2, 5, 1, 0), (1, 1, 1, 1, 2, 1)]
+        assert found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange hashpartitioning") == 2
     assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
-    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
-    try:
-        plan = alignment.boundaries(tokens_)._jdf.queryExecution().executedPlan().toString()
-    finally:
-        spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "true")
-    assert plan.count("Exchange hashpartitioning") == 3 and "Join [sid" in plan
+    (row,) = alignment.groups(tokens_, found).collect()
+    assert (row.segment, row.n, row.groups, [tuple(x) for x in row.links]) == ("x", 3, "1,2|5;1|1", [(2, 5), (1, 1)])
+    assert alignment._numbers("1,2|5;1|1,4,7") == (3, 4, 2)
