@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import phenotypes, profile, scorers
+from ..operators import digest, phenotypes, profile, scorers
 from ..operators.ordered import numbered
+from ..operators.storage import shared_dir
 from ..sources import tables
+from ..sources.stored import StoredTable
 from .queries import query
 
 
@@ -51,10 +54,33 @@ def study_blocks(t):
 
 @query("""WITH new AS (SELECT n_nationkey AS k, 'seed' AS v FROM nation WHERE n_nationkey < 5) SELECT n_nationkey AS k, coalesce(v, n_name) AS v FROM nation LEFT JOIN new ON k = n_nationkey UNION ALL SELECT 99, 'seed'""")
 def seed_upsert(t):
-    """Constant rows put into a table, twice, with the same outcome."""
-    old = t("nation").select(F.col("n_nationkey").cast("long").alias("k"), F.col("n_name").alias("v"))
-    new = t("nation").filter("n_nationkey < 5").select(F.col("n_nationkey").cast("long").alias("k")).unionByName(old.limit(1).select(F.lit(99).cast("long").alias("k"))).select("k", F.lit("seed").alias("v"), F.lit(0).alias("seq"))
-    return tables.upsert(tables.upsert(old, new, "k"), new, "k")
+    """Rows put into a stored table, then twice constant rows onto it, with the same outcome."""
+    old = t("nation").select(F.col("n_nationkey").cast("long").alias("k"), F.col("n_name").alias("v"), F.lit(0).alias("seq"))
+    new = old.filter("k < 5").select("k").unionByName(old.limit(1).select(F.lit(99).cast("long").alias("k"))).select("k", F.lit("seed").alias("v"), F.lit(0).alias("seq"))
+    spark = old.sparkSession
+    table = StoredTable(spark, f"{shared_dir(spark)}/seeds-{uuid.uuid4().hex}")
+    for rows in (old, new, new):
+        table.upsert(rows, "k")
+    return table.read()
+
+
+def _digest_sql(table, fields):
+    """SQL of a table's digest; fields: (type, expression)."""
+    row = " || ".join(f"CASE WHEN {x} IS NULL THEN '{kind} null;' ELSE '{kind} ' || length(({x})::VARCHAR) || ':' || ({x})::VARCHAR || ';' END" for kind, x in fields)
+    lanes = ", ".join(f"coalesce(sum(('0x' || substr(h, {29 - 4 * i}, 4))::BIGINT), 0)::BIGINT AS s{i}" for i in range(8))
+    sql = f"SELECT count(*) AS n, {lanes} FROM (SELECT md5({row}) AS h FROM {table})"
+    for i in range(1, 8):
+        sql = f"SELECT * REPLACE (s{i} + (s{i - 1} >> 16) AS s{i}) FROM ({sql})"
+    digits = " || ".join(f"lpad(lower(to_hex(s{i} & 65535)), 4, '0')" for i in reversed(range(8)))
+    return f"SELECT n, {digits} AS digest FROM ({sql})"
+
+
+@query(_digest_sql("orders", [("bigint", "o_orderkey % 50"), ("string", "CASE WHEN o_orderkey % 3 > 0 THEN o_orderstatus END"), ("string", "CASE WHEN o_orderkey % 3 < 2 THEN o_orderpriority END")]))
+def table_digest(t):
+    """A table as a multiset: rows repeat, and nulls change column."""
+    k = F.col("o_orderkey")
+    rows = t("orders").select((k % 50).cast("long").alias("k"), F.when(k % 3 > 0, F.col("o_orderstatus")).alias("a"), F.when(k % 3 < 2, F.col("o_orderpriority")).alias("b"))
+    return digest.table_digest(rows, ["k", "a", "b"])
 
 
 @query("""WITH s AS (SELECT DISTINCT l_partkey AS row, CASE WHEN l_partkey % 4 = 0 THEN NULL ELSE (l_partkey % 7 + 1) || ':' || (l_partkey - 1) END AS key FROM lineitem),

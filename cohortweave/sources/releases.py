@@ -6,7 +6,7 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.matrix import table_digest
+from ..operators.digest import table_digest
 from .tables import normalised_sheet, read_sheet, write_table
 
 #: Columns that each table of a graph release must have.
@@ -40,7 +40,7 @@ def write_release(tables: dict[str, DataFrame], path: str, contract: dict[str, t
     for name, columns in contract.items():
         write_table(tables[name], f"{path}/{name}.parquet", list(columns))
         d = table_digest(spark.read.parquet(f"{path}/{name}.parquet"), list(columns)).first()
-        manifest[name] = {"columns": list(columns), "digest": d.digest or 0, "rows": d.n}
+        manifest[name] = {"columns": list(columns), "digest": d.digest, "rows": d.n}
     line = json.dumps(manifest, sort_keys=True)
     spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest.json")
     return manifest
@@ -70,7 +70,7 @@ def release_faults(spark: SparkSession, path: str, contract: dict[str, tuple[str
         d = table_digest(df, list(columns)).first()
         if d.n != stated["rows"]:
             faults.append(f"{name}: {d.n} rows, {stated['rows']} stated")
-        elif (d.digest or 0) != stated["digest"]:
+        elif d.digest != stated["digest"]:
             faults.append(f"{name}: another digest than stated")
     return faults
 

@@ -87,13 +87,14 @@ def number_of(log: DataFrame, *names: str) -> Column:
     return F.coalesce(*have).cast("string").try_cast("double") if have else F.lit(None).cast("double")
 
 
-def parse_epochs(lines: DataFrame) -> DataFrame:
-    """JSON lines (column value) as epochs, with aliases of F1 and learning rate; broken lines, other values and rows without an epoch fall out."""
+def parse_epochs(lines: DataFrame, also: list[str] = ()) -> DataFrame:
+    """JSON lines (column value) as epochs, with aliases of F1 and learning rate and the columns `also` of lines; broken lines, other
+    values and rows without an epoch fall out."""
     keys = ("epoch", "train_loss", "val_loss", "train_macro_f1", "train_f1", "val_macro_f1", "val_f1", "learning_rate", "lr", "task")
-    log = lines.filter(F.col("value").rlike(r"^\s*\{")).select(F.from_json("value", ", ".join(f"{k} string" for k in keys)).alias("j")).filter("j IS NOT NULL").select("j.*")
+    log = lines.filter(F.col("value").rlike(r"^\s*\{")).select(*also, F.from_json("value", ", ".join(f"{k} string" for k in keys)).alias("j")).filter("j IS NOT NULL").select(*also, "j.*")
     n = lambda *names: number_of(log, *names)
     out = log.select(
-        F.col("epoch").try_cast("int").alias("epoch"), n("train_loss").alias("train_loss"), n("val_loss").alias("val_loss"), n("train_macro_f1", "train_f1").alias("train_f1"),
+        *also, F.col("epoch").try_cast("int").alias("epoch"), n("train_loss").alias("train_loss"), n("val_loss").alias("val_loss"), n("train_macro_f1", "train_f1").alias("train_f1"),
         n("val_macro_f1", "val_f1").alias("val_f1"), n("learning_rate", "lr").alias("learning_rate"), "task",
     )
     return out.filter("epoch IS NOT NULL")

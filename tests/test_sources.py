@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortweave.functions import scores, text
-from cohortweave.operators import checks, matrix, phenotypes, scorers, splits
+from cohortweave.operators import checks, digest, matrix, phenotypes, scorers, splits
 from cohortweave.sources import annotation, measurements, tables
 from cohortweave.streaming import monitor
 
@@ -128,8 +128,8 @@ def test_tables_and_upserts(spark, tmp_path):
     assert {tuple(r) for r in tables.upsert(old, new, "entry_id").collect()} == {("e1", "h2"), ("e2", "h0"), ("e3", "h1")}
     entries = spark.createDataFrame([("a", "age", " S2 ,S1,"), ("b", "sex", "")], "entry_id string, family string, study_ids string")
     assert [r.study_ids for r in tables.registry_rows(tables.select_entries(entries, family="age")).collect()] == ["S1,S2"]
-    d = matrix.table_digest(idx, ["row_index", "sample_id"]).first()
-    assert d == matrix.table_digest(idx.orderBy(F.desc("row_index")), ["row_index", "sample_id"]).first()
+    d = digest.table_digest(idx, ["row_index", "sample_id"]).first()
+    assert d == digest.table_digest(idx.orderBy(F.desc("row_index")), ["row_index", "sample_id"]).first()
 
 
 def test_log_stream_and_status(spark, tmp_path):
@@ -138,9 +138,6 @@ def test_log_stream_and_status(spark, tmp_path):
     put(log, "a.jsonl", '{"epoch": 1, "train_f1": 0.5, "lr": 0.1}\nbroken {\n[1]\n{"epoch": "x"}\n{"epoch": 2, "train_macro_f1": 0.7, "train_f1": 0.1}\n')
     rows = tables.parse_epochs(spark.read.text(str(log))).orderBy("epoch").collect()
     assert [(r.epoch, r.train_f1, r.learning_rate) for r in rows] == [(1, 0.5, 0.1), (2, 0.7, None)]
-    q = monitor.watch(spark, str(log), "seen_epochs", str(tmp_path / "cp"))
-    q.awaitTermination()
-    assert {r.epoch for r in spark.table("seen_epochs").collect()} == {1, 2}
     stamps = spark.sql("SELECT * FROM VALUES (1, TIMESTAMP '2020-01-01 00:01:40'), (2, TIMESTAMP '2020-01-01 00:02:10') AS t(epoch, first_at)")
     assert tuple(monitor.time_left(stamps, 10).first()) == (2, 30.0, 240.0)
     s = spark.sql("SELECT * FROM VALUES (true, true, 3), (false, true, 0), (false, false, 2), (false, false, 0) AS t(f, a, n)")
