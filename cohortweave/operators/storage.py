@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -35,3 +36,10 @@ def release(*tables: DataFrame) -> None:
         spark = t.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(t.written_at)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def settle(spark: SparkSession) -> None:
+    """Give up shuffle files of finished jobs between the steps of a long one: Spark deletes them once the driver has collected what
+    stood for them, and a driver with little to do collects rarely."""
+    gc.collect()
+    spark._jvm.System.gc()
