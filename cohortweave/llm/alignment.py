@@ -8,7 +8,8 @@ adds up its segments.
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
+import itertools
+from collections import defaultdict
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -18,47 +19,60 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, release, text_of, written
+from .common import bounded_broadcast, release, settle, text_of, written
 from .tokens import BYTE_BPE, PIECE_BPE, ByteBpe, PieceBpe, segments
 
 MAX_PAIRS = 2_000_000  # id pairs with their counts that a broadcast may hold
 _STEP = 50_000  # segments tokenised at a time
 
 
-def _bucketed(pieces: str, bucket_bytes: int):
-    """Number the rows in buckets of about bucket_bytes of text, and see which texts both tokenizers spell."""
+PACKED = "bucket long, doc_id long, good boolean, at array<int>, place int, segment string, n long"
+_KINDS = [pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int32()), pa.int32(), pa.string(), pa.int64()]
+_NAMES = [x.split()[0] for x in PACKED.split(", ")]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, bucket, held = PieceBpe(pieces), TaskContext.get().partitionId() << 32, 0
-        for batch in batches:
-            buckets, good = [], []
-            for t in batch.column("text").to_pylist():
-                if held and held + len(t) > bucket_bytes:
-                    bucket, held = bucket + 1, 0
-                held += len(t)
-                buckets.append(bucket)
-                good.append(bool(t) and model.spells(t))
-            yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int64()), *batch.columns, pa.array(good, pa.bool_())], names=["bucket", "doc_id", "text", "good"])
 
-    return run
+def _packed(piece_file: str, bucket_bytes: int):
+    """Documents (doc_id, good, at) and segments (place, segment, n) of buckets of about bucket_bytes of text, in one pass over the texts.
 
+    at has the places of a document's segments in its bucket's list; it is empty where the tokenizers do not spell the text.
+    """
 
-def _uses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(bucket, segment, n) of neighbouring rows of one bucket."""
-    now, count = None, Counter()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, bucket, held, places, counts = PieceBpe(piece_file), TaskContext.get().partitionId() << 32, 0, {}, np.zeros(0, np.int64)
 
-    def rows() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([now] * len(count), pa.int64()), pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], names=["bucket", "segment", "n"])
+        def rows(size: int, **cols) -> pa.RecordBatch:
+            arrays = [cols[c].cast(k) if c in cols else pa.nulls(size, k) for c, k in zip(_NAMES, _KINDS, strict=True)]
+            return pa.RecordBatch.from_arrays(arrays, names=_NAMES)
 
-    for batch in batches:
-        for bucket, text in zip(batch.column("bucket").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            if bucket != now:
-                if count:
-                    yield rows()
-                now, count = bucket, Counter()
-            count.update(segments(text))
-    if count:
-        yield rows()
+        def listed() -> pa.RecordBatch:
+            n = len(places)
+            return rows(n, bucket=pa.array(np.full(n, bucket)), place=pa.array(np.arange(n, dtype=np.int32)), segment=pa.array(list(places), pa.string()), n=pa.array(counts[:n]))
+
+        for batch in batches:
+            texts, ids = batch.column("text").to_pylist(), batch.column("doc_id")
+            first = 0
+            while first < len(texts):
+                fresh, at, good, last = itertools.count(len(places)), [], [], first
+                places = defaultdict(fresh.__next__, places)
+                while last < len(texts) and (held < bucket_bytes):
+                    t = texts[last]
+                    held += len(t) + 1
+                    good.append(bool(t) and model.spells(t))
+                    at.append(np.fromiter(map(places.__getitem__, segments(t)), np.int32) if good[-1] else np.empty(0, np.int32))
+                    last += 1
+                used = np.bincount(np.concatenate(at), minlength=max(len(places), counts.size))
+                used[: counts.size] += counts
+                counts = used
+                own = pa.array(np.full(last - first, bucket))
+                yield rows(last - first, bucket=own, doc_id=ids.slice(first, last - first), good=pa.array(good, pa.bool_()), at=pa.array(at, _KINDS[3]))
+                if held >= bucket_bytes:
+                    yield listed()
+                    bucket, held, places, counts = bucket + 1, 0, {}, np.zeros(0, np.int64)
+                first = last
+        if places:
+            yield listed()
+
+    return run
 
 
 def _tokenised(byte_file: str, piece_file: str):
@@ -132,20 +146,22 @@ def _numbers(groups: str) -> tuple[int, int, int]:
 
 def _documents(docs: pa.Table, known: pa.Table) -> pa.Table:
     """A bucket's documents, each the sum of its segments."""
-    place = {s: i for i, s in enumerate(known.column("segment").to_pylist())}
+    order = np.argsort(known.column("place").to_numpy())
+    known = known.take(pa.array(order))
     text = known.column("groups").to_pylist()
     sized = np.array([_numbers(g) for g in text], np.int64).reshape(-1, 3)
     numbers = np.concatenate([sized, sized[:, 2:], *[known.column(c).to_numpy().astype(np.int64)[:, None] for c in ("n_best", "count_sum")]], 1)
     sums, shas = np.zeros((docs.num_rows, 6), np.int64), []
-    for i, (t, good) in enumerate(zip(docs.column("text").to_pylist(), docs.column("good").to_pylist(), strict=True)):
+    for i, (at, good) in enumerate(zip(docs.column("at"), docs.column("good").to_pylist(), strict=True)):
         if not good:
             shas.append("")
             continue
-        at = list(map(place.__getitem__, segments(t)))
-        sums[i] = numbers[at].sum(0)
+        at = at.values.to_numpy()
         sha = hashlib.sha256()
-        for k in range(0, len(at), 10_000):
-            sha.update((";" * (k > 0) + ";".join(map(text.__getitem__, at[k : k + 10_000]))).encode())
+        for k in range(0, len(at), 100_000):
+            part = at[k : k + 100_000]
+            sums[i] += numbers[part].sum(0)
+            sha.update((";" * (k > 0) + ";".join(map(text.__getitem__, part.tolist()))).encode())
         shas.append(sha.hexdigest())
     named = dict(zip(("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"), sums.T, strict=True))
     return pa.table({"doc_id": docs.column("doc_id"), **named, "groups_sha256": pa.array(shas, pa.string())})
@@ -180,17 +196,22 @@ def align_tokenizers(docs: DataFrame, byte_file: str = BYTE_BPE, piece_file: str
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    keyed = written(rows.mapInArrow(_bucketed(piece_file, bucket_bytes), "bucket long, doc_id long, text string, good boolean"))
-    uses = written(keyed.filter("good").select("bucket", "text").mapInArrow(_uses, "bucket long, segment string, n long"))
+    packed = written(rows.mapInArrow(_packed(piece_file, bucket_bytes), PACKED))
+    uses = packed.filter("segment IS NOT NULL").select("bucket", "place", "segment", "n")
     tokens = written(uses.groupBy("segment").agg(F.sum("n").alias("n")).mapInArrow(
         _tokenised(byte_file, piece_file), "sid long, segment string, n long, a array<int>, b array<int>"))
+    settle(spark)
     with co_partitioned(spark):
         aligned = written(groups(tokens, cuts(tokens, vocabulary_sizes(spark, byte_file, piece_file))))
     release(tokens)
+    settle(spark)
     pairs = written(pair_counts(aligned))
     links = aligned.select("segment", F.inline("links")).join(bounded_broadcast(pairs, MAX_PAIRS), ["a", "b"])
     scored = links.groupBy("segment").agg(F.sum("best").cast("int").alias("n_best"), F.sum("links").alias("count_sum"))
     known = aligned.select("segment", "groups").join(scored, "segment")
-    needed = uses.select("bucket", "segment").join(known, "segment")
+    needed = written(uses.select("bucket", "place", "segment").join(known, "segment").drop("segment"))
+    release(aligned, pairs)
+    settle(spark)
+    found = packed.filter("segment IS NULL").select("bucket", "doc_id", "good", "at")
     out = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
-    return keyed.groupBy("bucket").cogroup(needed.groupBy("bucket")).applyInArrow(_documents, out)
+    return found.groupBy("bucket").cogroup(needed.groupBy("bucket")).applyInArrow(_documents, out)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.storage import release, shared_dir, written  # noqa: F401  used by the operators here
+from ..operators.storage import release, settle, shared_dir, written  # noqa: F401  used by the operators here
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
