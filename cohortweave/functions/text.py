@@ -96,6 +96,13 @@ def parse_measure(c: Column) -> Column:
     return F.when(~F.isnan(number), number)
 
 
+def strict_measure(c: Column) -> Column:
+    """NA tokens and NaN in any case to null, numbers to double; any other text fails the job."""
+    number = bare(c).try_cast("double")
+    known = bare(c).isNull() | bare(c).isin(*NO_VALUE) | number.isNotNull()
+    return F.when(known, parse_measure(c)).otherwise(F.raise_error(F.concat(F.lit("not a number: "), c)).cast("double"))
+
+
 def first_number(*cols: Column) -> Column:
     """The first column that holds a number; null, NaN and text are passed over."""
     as_number = [F.nanvl(c.cast("string").try_cast("double"), F.lit(None).cast("double")) for c in cols]

@@ -2,26 +2,30 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import parse_measure
+from ..functions.text import parse_measure, strict_measure
 from ..operators.checks import require
+from .packs import header_of, locate, read_wide_zip
+
 
-CELLS = "probe_id string, row_index int, sample_id string, beta double"
+def _empty_files(spark: SparkSession, path: str) -> list[str]:
+    """Sample files without a byte, by the store's own listing: Spark's readers pass over them."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [s for top in fs.globStatus(p) or [] for s in (fs.listStatus(top.getPath()) if top.isDirectory() else [top])]
+    return sorted(s.getPath().getName() for s in found if s.isFile() and s.getLen() == 0 and ".txt" in s.getPath().getName())
 
 
 def read_two_column(spark: SparkSession, path: str) -> DataFrame:
     """Headerless probe-and-value text, one .txt file a sample: sample_id (file stem), probe_id, beta.
 
-    NA tokens, NaN in any case and junk are null betas. No file is an error; a null or repeated probe of a sample fails the
-    job, and so does a file without rows (whose name then has no sample: see missing_samples).
+    NA tokens, NaN in any case and junk are null betas. No file and an empty file are errors; a null or repeated probe of a sample
+    fails the job. A file with blank lines alone has no sample: see missing_samples.
     """
+    if empty := _empty_files(spark, path):
+        raise ValueError(f"empty sample files: {empty[:5]}")
     raw = spark.read.schema("probe_id string, raw string").option("pathGlobFilter", "*.txt*").csv(path, sep="\t")
     stem = F.regexp_replace(F.col("_metadata.file_name"), r"\.txt(\.gz)?$", "")
     cells = require(raw.select(stem.alias("sample_id"), F.nullif(F.col("probe_id"), F.lit("")).alias("probe_id"),
@@ -38,49 +42,24 @@ def missing_samples(cells: DataFrame, names: list[str]) -> list[str]:
     return [r.sample_id for r in asked.join(cells, "sample_id", "left_anti").orderBy("sample_id").collect()]
 
 
-def _places(header: list[str], sample_ids: list[str]) -> dict[str, int]:
-    if header[0] != "sample_id":
-        raise ValueError(f"the header starts with {header[0]!r}, not sample_id")
-    at = {name: i for i, name in enumerate(header)}
-    if missing := [s for s in sample_ids if s not in at]:
-        raise ValueError(f"samples not in header: {missing[:5]}")
-    return at
-
-
 def read_wide(spark: SparkSession, path: str, sample_ids: list[str], probe_prefix: str = "cg") -> DataFrame:
-    """Wide text with a sample_id header: only wanted samples and probe rows, long form (CELLS); row_index is the order asked for."""
-    wide = spark.read.csv(path, sep="\t", header=True)
-    _places(wide.columns, sample_ids)
-    cell = lambda i, s: F.struct(F.lit(i).alias("row_index"), F.lit(s).alias("sample_id"), parse_measure(F.col(f"`{s}`")).alias("beta"))
+    """Wide text with a sample_id header: only wanted samples and probe rows, long form (packs.CELLS); row_index is the order asked for.
+
+    A token of a wanted cell that is neither a number nor an NA token fails the job.
+    """
+    wide = spark.read.csv(path, sep="\t", header=True, quote="")
+    header_of("\t".join(wide.columns), sample_ids)
+    cell = lambda i, s: F.struct(F.lit(i).alias("row_index"), F.lit(s).alias("sample_id"), strict_measure(F.col(f"`{s}`")).alias("beta"))
     cells = F.explode(F.array(*[cell(i, s) for i, s in enumerate(sample_ids)]))
     return wide.filter(F.col("sample_id").startswith(probe_prefix)).select(F.col("sample_id").alias("probe_id"), cells.alias("c")).select("probe_id", "c.*")
 
 
-def read_wide_zip(spark: SparkSession, path: str, member: str, sample_ids: list[str], probe_prefix: str = "cg") -> DataFrame:
-    """The same from a member of each zip under path. A zip is one task, which streams its lines; rows that are not probes are passed over.
-
-    A zip without the member, and a probe row that ends before a wanted column, fail the job.
-    """
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for content in b["content"]:
-                with zipfile.ZipFile(io.BytesIO(content)) as z, z.open(member) as raw:
-                    lines = io.TextIOWrapper(raw, "utf-8", "replace")
-                    at = _places(next(lines).rstrip("\n").split("\t"), sample_ids)
-                    rows = []
-                    for line in lines:
-                        f = line.rstrip("\n").split("\t")
-                        if not f[0].startswith(probe_prefix):
-                            continue
-                        rows += [(f[0], i, s, f[at[s]]) for i, s in enumerate(sample_ids)]
-                        if len(rows) > 100_000:
-                            yield pd.DataFrame(rows, columns=["probe_id", "row_index", "sample_id", "raw"])
-                            rows = []
-                    yield pd.DataFrame(rows, columns=["probe_id", "row_index", "sample_id", "raw"])
-
-    files = spark.read.format("binaryFile").load(path).select("content")
-    cells = files.mapInPandas(parse, "probe_id string, row_index int, sample_id string, raw string")
-    return cells.select("probe_id", "row_index", "sample_id", parse_measure(F.col("raw")).alias("beta"))
+def read_pack(spark: SparkSession, places: list[tuple[str, str | None]], sample_ids: list[str], probe_prefix: str = "cg") -> DataFrame:
+    """The wide table of the first of places that is there (packs.locate): a text file, one in a folder, or a zip's text member."""
+    kind, path = locate(places)
+    if kind == "zip":
+        return read_wide_zip(spark, path, None, sample_ids, probe_prefix)
+    return read_wide(spark, path, sample_ids, probe_prefix)
 
 
 def tiles_of(cells: DataFrame, width: int = 4096) -> DataFrame:

@@ -1,17 +1,14 @@
-"""Other text tables and Arrow files: sample sheets, association lists, trait matrices, epoch logs; and the tables they become."""
+"""Other text tables: sample sheets, association lists, trait matrices, epoch logs; and the tables they become."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import id_list, parse_measure
 from ..operators.checks import require_columns
 from ..operators.intervals import first_by
+from .packs import read_zip_lines
 
 NUMERIC_FAMILIES = ("age", "bmi")
 SHEET = ("sample_id", "study_id", "platform", "sample_type", "sex", "phenotype_value", "tissue", "disease", "age", "bmi", "race", "cell_component")
@@ -22,17 +19,21 @@ SAFE_FIELDS = ("sample_id", "study_id", "platform", "tissue", "sex", "age")
 def read_sheet(spark: SparkSession, path: str) -> DataFrame:
     """A space-separated, quoted sheet whose header lacks the row-name column: all strings, NA and NaN null, row names dropped.
 
-    The header is read alone, as the reader would otherwise cut each row to the header's width.
+    The header is read alone, as the reader would otherwise cut each row to the header's width. Of a zip, the first .txt member
+    is the sheet.
     """
-    names = _header(spark, path)
+    zipped = path.lower().endswith(".zip")
+    lines = read_zip_lines(spark, path).filter("value <> ''") if zipped else spark.read.text(path).filter("value <> ''")
+    names = _header(lines)
     schema = ", ".join(["_row string", *[f"`{n}` string" for n in names]])
-    rows = spark.read.schema(schema).csv(path, sep=" ", header=False, quote='"')
+    how = {"sep": " ", "quote": '"'}
+    rows = lines.select(F.from_csv("value", schema, how).alias("r")).select("r.*") if zipped else spark.read.schema(schema).options(**how).csv(path)
     body = rows.filter(~F.col("_row").eqNullSafe(names[0]))
     return body.select(*[F.when(~F.col(f"`{n}`").isin("NA", "NaN"), F.col(f"`{n}`")).alias(n) for n in names])
 
 
-def _header(spark: SparkSession, path: str) -> list[str]:
-    first = spark.read.text(path).filter("value <> ''").limit(1).first()
+def _header(lines: DataFrame) -> list[str]:
+    first = lines.limit(1).first()
     return [x.strip('"') for x in first.value.split(" ")]
 
 
@@ -68,19 +69,6 @@ def read_square(spark: SparkSession, path: str) -> DataFrame:
     return long.select("row_name", "col_name", parse_measure(F.col("raw")).alias("value")).filter("value IS NOT NULL")
 
 
-def read_arrow(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Arrow IPC files, a task each, batch by batch, as the named columns; a file is read whole, so keep files of one task's size."""
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for content in b["content"]:
-                with pa.ipc.open_file(pa.BufferReader(content)) as f:
-                    for i in range(f.num_record_batches):
-                        yield f.get_batch(i).select(names).to_pandas()
-
-    names = spark.createDataFrame([], schema).columns
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(parse, schema)
-
-
 def number_of(log: DataFrame, *names: str) -> Column:
     """The first of several names that a log has and that holds a value; text that is no number is null."""
     have = [F.col(n) for n in names if n in log.columns]

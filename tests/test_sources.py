@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cohortweave.functions import scores, text
 from cohortweave.operators import checks, digest, matrix, phenotypes, scorers, splits
-from cohortweave.sources import annotation, measurements, tables
+from cohortweave.sources import annotation, measurements, packs, tables
 from cohortweave.streaming import monitor
 
 
@@ -24,7 +24,7 @@ def put(folder, name, content):
 def test_two_column_files(spark, tmp_path):
     put(tmp_path, "B.txt", "cg1\t0.5\ncg2\tNAN\ncg3\t1.5\n")
     put(tmp_path, "A.txt", "cg1\t.\ncg2\tx\n")
-    put(tmp_path, "E.txt", "")
+    put(tmp_path, "E.txt", "\n")
     got = measurements.read_two_column(spark, str(tmp_path))
     assert sorted((r.sample_id, r.probe_id, r.beta) for r in got.collect() if r.beta is not None) == [("B", "cg1", 0.5), ("B", "cg3", 1.5)]
     assert got.count() == 5 and measurements.missing_samples(got, ["A", "B", "E", "F"]) == ["E", "F"]
@@ -49,7 +49,7 @@ def test_wide_tables_plain_and_zipped(spark, tmp_path):
     plain = put(tmp_path, "w.txt", WIDE)
     with zipfile.ZipFile(tmp_path / "w.zip", "w") as z:
         z.writestr("m/w.txt", WIDE)
-    for df in (measurements.read_wide(spark, plain, ["C", "A"]), measurements.read_wide_zip(spark, str(tmp_path / "w.zip"), "m/w.txt", ["C", "A"])):
+    for df in (measurements.read_wide(spark, plain, ["C", "A"]), packs.read_wide_zip(spark, str(tmp_path / "w.zip"), "m/w.txt", ["C", "A"])):
         got = sorted((r.row_index, r.sample_id, r.probe_id, r.beta) for r in df.collect())
         assert got == [(0, "C", "cg1", 0.3), (0, "C", "cg2", 0.31), (1, "A", "cg1", 0.1), (1, "A", "cg2", 0.11)]
     with pytest.raises(ValueError, match="not in header"):
@@ -90,7 +90,7 @@ def test_arrow_files(spark, tmp_path):
     t = pa.Table.from_pandas(pd.DataFrame({"GSM_ID": ["a", "b"], "x": [0.5, None], "y": [1, 2]}))
     with pa.OSFile(str(tmp_path / "t.arrow"), "wb") as f, pa.ipc.new_file(f, t.schema) as w:
         w.write_table(t)
-    got = tables.read_arrow(spark, str(tmp_path / "t.arrow"), "GSM_ID string, x double").collect()
+    got = packs.read_arrow(spark, str(tmp_path / "t.arrow"), "GSM_ID string, x double").collect()
     assert [(r.GSM_ID, r.x) for r in got][0] == ("a", 0.5) and len(got) == 2
 
 
