@@ -9,6 +9,7 @@ from ..functions.scores import m_value
 from .checks import require
 from .ordered import numbered
 from .profile import finite
+from .ranks import medians
 
 
 def ingest(cells: DataFrame, columns: DataFrame, samples: DataFrame) -> DataFrame:
@@ -33,7 +34,8 @@ def corpus_summary(cells: DataFrame, row: str, col: str, beta: str, n_cols: int)
     v = F.when(finite(F.col(beta)), F.col(beta))
     flat = cells.groupBy(col).agg(F.max(v).alias("hi"), F.min(v).alias("lo")).agg(F.count_if(F.col("hi") == F.col("lo")).alias("n_flat"))
     each = cells.groupBy(row).agg((1 - F.count(v) / F.lit(n_cols)).alias("gone"), F.avg(v).alias("mean"))
-    three = lambda c: [F.round(f(c), 6).alias(f"{c}_{n}") for n, f in (("min", F.min), ("median", F.median), ("max", F.max))]
+    middle = medians(each, ["gone", "mean"])
+    three = lambda c: [F.round(F.min(c), 6).alias(f"{c}_min"), F.round(F.lit(middle[c]).cast("double"), 6).alias(f"{c}_median"), F.round(F.max(c), 6).alias(f"{c}_max")]
     return flat.crossJoin(each.agg(*three("gone"), *three("mean")))  # a row each
 
 

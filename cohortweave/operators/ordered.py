@@ -37,6 +37,19 @@ def running_sums(df: DataFrame, order: list[Column], sums: list[str]) -> DataFra
     return running(ranged(df, order), F.sum, sums, first=0).drop("_part", "_row")
 
 
+def ordered_lists(df: DataFrame, keys: list[str], value: str, piece: int = 10_000) -> DataFrame:
+    """keys, piece and items: each key's values (not null) in order, in arrays of at most `piece`, numbered from 0.
+
+    Rows range over all partitions by key and value, so a key of any size is spread; laid end to end, its pieces are its whole list.
+    """
+    rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_value"), F.lit(1).cast("long").alias("_one"))
+    order = [*[F.col(k) for k in keys], F.col("_value")]
+    placed = running(ranged(rows, order), F.sum, ["_one"], keys, first=0)
+    at = placed.withColumn("piece", F.floor(F.col("before__one") / piece).cast("int"))
+    lists = at.groupBy(*keys, "piece").agg(F.array_sort(F.collect_list(F.struct("before__one", "_value"))).alias("l"))
+    return lists.select(*keys, "piece", F.transform("l", lambda x: x["_value"]).alias("items"))
+
+
 def numbered(df: DataFrame, order: list[Column], name: str, start: int = 0) -> DataFrame:
     """Dense ids of all rows along a total order."""
     counted = running_sums(df.withColumn("_one", F.lit(1).cast("long")), order, ["_one"])

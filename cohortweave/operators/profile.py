@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import medians
+
 
 def finite(v: Column) -> Column:
     return v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
@@ -45,13 +47,23 @@ def column_profile(df: DataFrame, cols: list[str]) -> DataFrame:
     ).withColumn("kind", kind)
 
 
+def top_values(df: DataFrame, cols: list[str], top: int = 8) -> DataFrame:
+    """(col, place, value, n): the `top` most frequent values of the categorical columns of column_profile, ties by value; null is no value."""
+    kinds = column_profile(df, cols).filter("kind = 'categorical'").select("col")
+    long = df.select(*[F.col(c).cast("string").alias(c) for c in cols]).unpivot([], cols, "col", "value").filter("value IS NOT NULL")
+    n = long.groupBy("col", "value").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(kinds), "col")  # kinds: a row per column
+    place = F.row_number().over(Window.partitionBy("col").orderBy(F.desc("n"), "value"))  # each task passes on its own first `top`
+    return n.select("col", place.alias("place"), "value", "n").filter(F.col("place") <= top)
+
+
 def numeric_summary(df: DataFrame, col: str) -> DataFrame:
-    """One row: missing, unparsed and numeric values of a text column, with least, middle and greatest."""
+    """One row: missing, unparsed and numeric values of a text column, with least, middle and greatest; the middle by medians()."""
     text = F.nullif(F.btrim(F.col(col).cast("string")), F.lit(""))
     x = text.try_cast("double")
+    middle = medians(df.select(x.alias("x")), ["x"])["x"]
     return df.agg(
         F.count_if(text.isNull()).alias("n_missing"), F.count_if(text.isNotNull() & x.isNull()).alias("n_unparsed"), F.count(x).alias("n_numeric"),
-        F.min(x).alias("v_min"), F.median(x).alias("v_median"), F.max(x).alias("v_max"),
+        F.min(x).alias("v_min"), F.lit(middle).cast("double").alias("v_median"), F.max(x).alias("v_max"),
     )
 
 
@@ -64,28 +76,41 @@ def id_alignment(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
         ((F.col("n_a") == F.col("n_both")) & (F.col("n_b") == F.col("n_both"))).alias("aligned"))
 
 
-def column_overlap(tables: dict[str, list[str]]) -> list[tuple[str, int, bool]]:
-    """(column, tables that have it, whether all have): names alone, on the driver."""
-    names = sorted({c for cols in tables.values() for c in cols})
-    return [(c, n, n == len(tables)) for c in names for n in [sum(c in cols for cols in tables.values())]]
-
-
 def compare_sources(df: DataFrame, a: str, b: str, keys: list[str], at: str) -> DataFrame:
     """Agreement of two measurements of the same cells; worst_at is the cell (column `at`) of the greatest difference, the greatest of ties."""
     d = F.abs(F.col(a) - F.col(b))
-    return df.groupBy(*keys).agg(
+    stats = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.round(F.avg(d), 8).alias("mae"), F.round(F.sqrt(F.avg(d * d)), 8).alias("rmse"),
         F.round(F.corr(a, b), 6).alias("r"), F.count_if(~F.col(a).eqNullSafe(F.col(b))).alias("n_mismatch"), *[F.round(F.avg((d <= x).cast("double")),
             6).alias(f"within{i or ''}") for i, x in enumerate((0.005, 0.02, 0.1))],
-        F.max_by(F.col(at), F.struct(d, F.col(at))).alias("worst_at"),
+        F.max(d).alias("_worst"),
     )
+    worst = df.join(F.broadcast(stats.select(*keys, "_worst")), keys).filter(d == F.col("_worst")).groupBy(*keys).agg(F.max(at).alias("worst_at"))
+    return stats.join(worst, keys, "left").drop("_worst")
 
 
-def compare_grids(a: DataFrame, b: DataFrame, keys: list[str], value: str = "beta") -> DataFrame:
-    """Cells of the shared ids of two sources, either side possibly missing: keys, of_a, of_b. Each key's ids are shared on their own."""
-    grid = None
-    for k in keys:
-        shared = a.select(k).distinct().join(b.select(k).distinct(), k)
-        grid = shared if grid is None else grid.crossJoin(shared)  # the dense grid is the result's own size
-    of = lambda df, name: df.select(*keys, F.col(value).alias(name))
-    return grid.join(of(a, "of_a"), keys, "left").join(of(b, "of_b"), keys, "left")
+def compare_grids(a: DataFrame, b: DataFrame, row: str, col: str, value: str = "beta") -> DataFrame:
+    """Per shared row of two sources, over their shared columns: n cells of the dense grid, n_a and n_b with a value, n_one_side, n_neither, mae.
+
+    The grid is never made: cells that either side holds meet in a full join, and what neither holds is the rest of the row's width.
+    Cells (row, col) are unique on each side.
+    """
+    shared = lambda k: a.select(k).distinct().join(b.select(k).distinct(), k)
+    rows, cols = shared(row), shared(col)
+    side = lambda df, name: df.select(row, col, F.col(value).alias(name)).join(rows, row, "left_semi").join(cols, col, "left_semi")
+    both = side(a, "of_a").join(side(b, "of_b"), [row, col], "full")
+    one = F.col("of_a").isNull() != F.col("of_b").isNull()
+    per = both.groupBy(row).agg(
+        F.count("of_a").alias("n_a"), F.count("of_b").alias("n_b"), F.count_if(one).alias("n_one_side"),
+        F.count_if(F.coalesce("of_a", "of_b").isNotNull()).alias("n_any"), F.avg(F.abs(F.col("of_a") - F.col("of_b"))).alias("mae"))
+    width = cols.agg(F.count(F.lit(1)).alias("n"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    out = rows.join(per, row, "left").crossJoin(width)  # one row
+    return out.select(row, "n", zero("n_a"), zero("n_b"), zero("n_one_side"), (F.col("n") - F.coalesce("n_any", F.lit(0))).alias("n_neither"), "mae")
+
+
+def extremes(df: DataFrame, score: str, key: str, k: int) -> DataFrame:
+    """The k rows of least and of greatest score as side best and worst, ties by key; rows whose score is null or NaN come last on both."""
+    s = df.withColumn(score, F.nanvl(F.col(score), F.lit(None).cast("double")))
+    end = lambda order, side: s.orderBy(order, key).limit(k).withColumn("side", F.lit(side))
+    return end(F.asc_nulls_last(score), "best").unionByName(end(F.desc_nulls_last(score), "worst"))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import random
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import donor_of
-from .checks import require_none
+from .checks import require_none, study_roles
+from .storage import written
 
 ROLES = ("train", "validation", "external_test")
 
@@ -24,38 +25,43 @@ def explicit_split(samples: DataFrame, roles: dict[str, list[str]]) -> DataFrame
     return samples.join(F.broadcast(table), "study_id").withColumn("group_id", group)  # table: a row per study
 
 
-def partition_studies(counts: list[tuple[str, int]], seed: int, train: float = 0.7, val: float = 0.15) -> dict[str, list[str]]:
-    """Studies dealt in a seeded order to train and validation until their budgets of samples are met, the rest to test.
+def auto_split(samples: DataFrame, seed: int = 42, train: float = 0.7, val: float = 0.15) -> DataFrame:
+    """samples with role and group_id, whole studies dealt by checks.study_roles: in the order of a seeded hash, by the share of rows before.
 
-    A role that stays empty takes the last study of train. Fewer than three studies cannot fill three roles: an error.
+    A role that got no study takes the smallest (ties by id) of the role that has most. Fewer than three studies cannot fill the
+    roles: an error. Studies are counted, ordered and dealt in the cluster; the driver sees a row per role.
     """
     if train <= 0 or val < 0 or train + val >= 1:
         raise ValueError("shares of train and validation must leave a rest")
-    order = [s for s, _ in sorted(counts, key=lambda x: (-x[1], x[0]))]
-    random.Random(seed).shuffle(order)
-    size, total = dict(counts), sum(n for _, n in counts)
-    budget = {"train": int(total * train), "validation": int(total * val)}
-    out = {r: [] for r in ROLES}
-    used = dict.fromkeys(budget, 0)
-    for s in order:
-        role = next((r for r in budget if used[r] < budget[r] or not out[r]), "external_test")
-        out[role].append(s)
-        if role in used:
-            used[role] += size[s]
-    for role in ("external_test", "validation"):
-        if not out[role] and len(out["train"]) > 1:
-            out[role].append(out["train"].pop())
-    if not all(out.values()):
-        raise ValueError(f"a role stays empty with {len(counts)} studies")
-    return out
+    dealt = written(study_roles(samples, "study_id", dict(zip(ROLES, (train, val, 1 - train - val))), seed).select("study_id", "n", "role"))
+    held = {r.role: r["count"] for r in dealt.groupBy("role").count().collect()}
+    if sum(held.values()) < len(ROLES):
+        raise ValueError(f"a role stays empty with {sum(held.values())} studies")
+    moved: dict[str, str] = {}
+    for role in ROLES:
+        if held.get(role, 0) == 0:
+            giver = max(ROLES, key=lambda r: held.get(r, 0))
+            left = dealt.filter((F.col("role") == giver) & ~F.col("study_id").isin(*moved))
+            moved[left.orderBy("n", "study_id").first().study_id] = role
+            held[giver], held[role] = held[giver] - 1, 1
+    role = reduce(lambda c, s: F.when(F.col("study_id") == s, F.lit(moved[s])).otherwise(c), moved, F.col("role"))
+    group = F.coalesce("group_id", "study_id") if "group_id" in samples.columns else F.col("study_id")
+    return samples.join(dealt.select("study_id", role.alias("role")), "study_id").withColumn("group_id", group)
 
 
-def auto_split(samples: DataFrame, seed: int = 42, train: float = 0.7, val: float = 0.15) -> DataFrame:
-    """explicit_split with roles by partition_studies; the driver holds a count per study, samples stay where they are."""
-    counts = [(r.study_id, r["n"]) for r in samples.groupBy("study_id").agg(F.count(F.lit(1)).alias("n")).collect()]
-    if not counts:
-        raise ValueError("no samples to split")
-    return explicit_split(samples, partition_studies(counts, seed, train, val))
+def split_manifest(split: DataFrame, split_id: str = "study-grouped-v1") -> tuple[DataFrame, DataFrame]:
+    """(rows, roles) of samples with role and group_id: a row per sample under split_id, and per role its numbers of studies and samples.
+
+    A study in two roles is an error. Roles without a study are there with zeros.
+    """
+    require_none(leaking(split), "studies in two roles", "study_id")
+    platform = F.col("platform") if "platform" in split.columns else F.lit(None).cast("string")
+    text = lambda c: F.col(c).cast("string").alias(c)
+    rows = split.select(F.lit(split_id).alias("split_id"), text("sample_id"), text("study_id"), platform.alias("platform"), text("group_id"), "role")
+    names = split.sparkSession.createDataFrame([(r,) for r in ROLES], "role string")
+    n = rows.groupBy("role").agg(F.count_distinct("study_id").alias("n_studies"), F.count(F.lit(1)).alias("n_samples"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return rows, names.join(n, "role", "left").select(F.lit(split_id).alias("split_id"), "role", zero("n_studies"), zero("n_samples"))
 
 
 def donor_split(samples: DataFrame, held: list[str], title: str = "title") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import intervals, loci, matrix, regions
+from ..operators.ordered import numbered
 from ..sources import annotation
 from .queries import query
 
@@ -149,3 +150,22 @@ def label_rules(t):
         F.size(text.id_list(F.concat(F.regexp_replace("p_name", " ", " , "), F.lit(" ,, ")))).alias("n_ids"), text.is_series(F.when(k % 2 == 0, "gse12").otherwise("GPL1")).alias("series"),
         text.valid(F.when(k % 2 == 0, F.sha2("p_name", 256)).otherwise(F.md5("p_name")), "sha256").alias("hashed"),
     )
+
+
+@query(f"""WITH {_REGION_SQL} SELECT gene_id, region_type, "start", row_number() OVER (ORDER BY gene_id, region_type, "start", region_id) - 1 AS place FROM regions""")
+def region_order(t):
+    """Regions in the stated order of a release: by gene, type and start."""
+    rows = numbered(_regions(t)[1], [F.col(c) for c in ("gene_id", "region_type", "start", "region_id")], "place")
+    return rows.select("gene_id", "region_type", "start", "place")
+
+
+@query("""SELECT 'G' || p_partkey AS gene_id, row_number() OVER (ORDER BY 'G' || p_partkey) - 1 AS place FROM part WHERE p_size % 5 <> 0""")
+def gene_order(t):
+    return numbered(_regions(t)[0], [F.col("gene_id")], "place").select("gene_id", "place")
+
+
+@query(f"""WITH {_PROBES} SELECT probe_id, locus_id, row_number() OVER (ORDER BY probe_id, locus_id) - 1 AS by_probe, row_number() OVER (ORDER BY locus_id, probe_id) - 1 AS by_locus FROM edges""")
+def probe_order(t):
+    """Probe-locus edges in both stated orders."""
+    e = loci.build_registry(_probes(t))[1].select("probe_id", "locus_id")
+    return numbered(numbered(e, [F.col("probe_id"), F.col("locus_id")], "by_probe"), [F.col("locus_id"), F.col("probe_id")], "by_locus").select("probe_id", "locus_id", "by_probe", "by_locus")

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import math
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import scores
-from ..operators import checks, matrix, phenotypes, profile, scorers, segments, splits
+from ..operators import checks, matrix, phenotypes, profile, ranks, scorers, segments, splits
+from ..operators.storage import shared_dir
+from ..sources import measurements
 from .queries import query
 
 # A matrix of line measurements: rows are suppliers, columns parts below 40 (by key), one cell each, discount as the value.
@@ -92,11 +97,16 @@ def vector_summary(t):
     return matrix.vector_summary(t("embeddings"), "embedding")
 
 
-@query(f"""WITH {_CELLS} SELECT count(*) AS n, count(*) FILTER (WHERE row_index % 10 = 0 AND beta IS NOT NULL) AS n_mismatch, coalesce(max(CASE WHEN row_index % 10 = 0 THEN abs((beta + 0.25)::FLOAT::DOUBLE - beta::FLOAT::DOUBLE) ELSE 0 END), 0) AS max_diff FROM cells""")
+@query(f"""WITH {_CELLS}, m AS (SELECT max(row_index) AS m FROM cells), k AS (SELECT cells.*, col_index % 10 = 0 AS odd FROM cells, m WHERE beta IS NOT NULL AND row_index IN (0, m // 2, m))
+SELECT count(*) AS n, count(*) FILTER (WHERE odd) AS n_mismatch, coalesce(max(CASE WHEN odd THEN abs((beta + 0.25)::FLOAT::DOUBLE - beta::FLOAT::DOUBLE) ELSE 0 END), 0) AS max_diff FROM k""")
 def stored_round_trip(t):
-    """A stored copy that differs in every tenth row against its source, missing cells on both sides being equal."""
+    """Tiles are stored, with a tenth of the columns changed, and read back; the first, middle and last sample are held against the source."""
     raw = _cells(t)
-    stored = raw.withColumn("beta", F.when(F.col("row_index") % 10 == 0, F.col("beta") + 0.25).otherwise(F.col("beta")))
+    spark = raw.sparkSession
+    path = f"{shared_dir(spark)}/tiles-{uuid.uuid4().hex}"
+    measurements.write_tiles(raw.withColumn("beta", F.when(F.col("col_index") % 10 == 0, F.col("beta") + 0.25).otherwise(F.col("beta"))), path, width=16)
+    chosen = matrix.chosen_rows(raw.select("row_index").distinct())
+    stored = measurements.read_tiles(spark, path, width=16).join(F.broadcast(chosen), "row_index")  # three rows
     return matrix.round_trip(stored, raw, ["row_index", "col_index"])
 
 
@@ -132,9 +142,19 @@ def unified_labels(t):
     return _table(t)
 
 
-@query(f"WITH {_TABLE} SELECT check_name, 0::BIGINT AS n_bad FROM (SELECT unnest(['age_mask', 'tissue_mask', 'tissue_id', 'sex_mask', 'repeated']) AS check_name)")
+@query(f"""WITH {_TABLE}, f AS (SELECT * FROM tab UNION ALL SELECT * FROM tab WHERE row_index % 100 = 0)
+SELECT 'age_mask' AS check_name, count(*) FILTER (WHERE row_index % 50 = 0) AS n_bad FROM f UNION ALL SELECT 'tissue_mask', count(*) FILTER (WHERE row_index % 60 = 0) FROM f
+UNION ALL SELECT 'tissue_id', count(*) FILTER (WHERE row_index % 70 = 0 AND tissue_mask AND row_index % 60 <> 0) FROM f UNION ALL SELECT 'sex_mask', count(*) FILTER (WHERE row_index % 90 = 0) FROM f
+UNION ALL SELECT 'repeated', count(*) FILTER (WHERE row_index % 100 = 0) // 2 FROM f""")
 def label_consistency(t):
-    return phenotypes.consistency_faults(_table(t), phenotypes.ontology(t("customer").filter("c_mktsegment <> 'BUILDING'"), "c_mktsegment", 5))
+    """Planted faults: flipped masks, class ids of another label, repeated samples."""
+    r = F.col("row_index")
+    flip = lambda c, n: F.when(r % n == 0, ~F.col(c)).otherwise(F.col(c))
+    table = _table(t).withColumns({
+        "tissue_class_id": F.when(r % 70 == 0, F.col("tissue_class_id") + 1).otherwise(F.col("tissue_class_id")),
+        "age_mask": flip("age_mask", 50), "tissue_mask": flip("tissue_mask", 60), "sex_mask": flip("sex_mask", 90)})
+    tissues = phenotypes.ontology(t("customer").filter("c_mktsegment <> 'BUILDING'"), "c_mktsegment", 5)
+    return phenotypes.consistency_faults(table.unionByName(table.filter(r % 100 == 0)), tissues)
 
 
 @query("""WITH a AS (SELECT 0 AS p, o_orderkey AS place, o_custkey AS k, 'F' AS src FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT 1, o_orderkey, o_custkey, 'P' FROM orders WHERE o_orderstatus = 'P' UNION ALL SELECT 2, o_orderkey, o_custkey, 'O' FROM orders WHERE o_orderstatus = 'O'),
@@ -219,12 +239,12 @@ def regression_by_group(t):
     return scores.regression_scores(t("lineitem"), "l_discount", "l_tax", ["l_returnflag"])
 
 
-@query("""WITH s AS (SELECT l_suppkey, round(avg(abs(l_tax - l_discount)), 6) AS mae FROM lineitem GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY mae NULLS LAST, l_suppkey) AS best, row_number() OVER (ORDER BY mae DESC NULLS LAST, l_suppkey) AS worst FROM s)
+@query("""WITH s AS (SELECT l_suppkey, CASE WHEN l_suppkey % 3 <> 0 THEN round(avg(abs(l_tax - l_discount)), 6) END AS mae FROM lineitem GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY mae NULLS LAST, l_suppkey) AS best, row_number() OVER (ORDER BY mae DESC NULLS LAST, l_suppkey) AS worst FROM s)
 SELECT l_suppkey, mae, 'best' AS side FROM r WHERE best <= 3 UNION ALL SELECT l_suppkey, mae, 'worst' FROM r WHERE worst <= 3""")
 def extreme_samples(t):
-    s = scores.regression_scores(t("lineitem"), "l_discount", "l_tax", ["l_suppkey"]).select("l_suppkey", "mae")
-    best = s.orderBy(F.asc_nulls_last("mae"), "l_suppkey").limit(3).withColumn("side", F.lit("best"))
-    return best.unionByName(s.orderBy(F.desc_nulls_last("mae"), "l_suppkey").limit(3).withColumn("side", F.lit("worst")))
+    """Samples without a score, here NaN, come last on both sides."""
+    s = scores.regression_scores(t("lineitem"), "l_discount", "l_tax", ["l_suppkey"]).select("l_suppkey", F.when(F.col("l_suppkey") % 3 == 0, float("nan")).otherwise(F.col("mae")).alias("mae"))
+    return profile.extremes(s, "mae", "l_suppkey", 3)
 
 
 @query("""WITH s AS (SELECT avg(o_totalprice) FILTER (WHERE o_orderkey % 4 <> 0) AS m, stddev_pop(o_totalprice) FILTER (WHERE o_orderkey % 4 <> 0) AS sd FROM orders) SELECT o_orderkey, round((o_totalprice - m) / CASE WHEN sd >= 1e-6 THEN sd ELSE 1 END, 6) AS z FROM orders, s""")
@@ -242,13 +262,19 @@ def multitask_loss(t):
     return out.select(*[F.round(c, 6).alias(c) if c.startswith("loss") else c for c in out.columns])
 
 
-@query("""SELECT vec_id, round(0.5 * x * (1 + tanh(0.7978845608028654::DOUBLE * (x + 0.044715::DOUBLE * x * x * x))), 6) AS gelu, round(x / (1 + exp(-x)), 6) AS silu, round(CASE WHEN x > 0 THEN x ELSE x * 0.01::DOUBLE END, 6) AS leaky,
-round(x / sqrt((x * x + y * y + z * z) / 3 + 1e-6::DOUBLE), 6) AS rms, round((x - (x + y + z) / 3) / sqrt(((x - (x + y + z) / 3) ** 2 + (y - (x + y + z) / 3) ** 2 + (z - (x + y + z) / 3) ** 2) / 3 + 1e-5::DOUBLE), 6) AS layer
-FROM (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings)""")
+#: x from -8 to 8 by tenths with the error function's own value at x / sqrt(2), for SQL to look up.
+_NORMAL = ", ".join(f"({i}, {math.erf(i / 10 / math.sqrt(2))!r}::DOUBLE)" for i in range(-80, 81))
+
+
+@query(f"""WITH phi(k, e) AS (VALUES {_NORMAL}), v AS (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z, greatest(-80, least(80, floor(embedding[1]::DOUBLE * 30)))::INT AS k FROM embeddings)
+SELECT vec_id, round(0.5 * (k / 10.0::DOUBLE) * (1 + e), 10) AS gelu, round(x / (1 + exp(-x)), 6) AS silu, round(CASE WHEN x > 0 THEN x ELSE x * 0.01::DOUBLE END, 6) AS leaky,
+round(x / sqrt((x * x + y * y + z * z) / 3 + 1e-6::DOUBLE), 6) AS rms, round((x - (x + y + z) / 3) / sqrt(((x - (x + y + z) / 3) ** 2 + (y - (x + y + z) / 3) ** 2 + (z - (x + y + z) / 3) ** 2) / 3 + 1e-5::DOUBLE), 6) AS layer FROM v JOIN phi USING (k)""")
 def activations(t):
+    """Units and norms; the Gaussian unit on tenths, where SQL knows the error function's values."""
     v = [F.get("embedding", F.lit(i)).cast("double") for i in range(3)]
+    tenth = F.greatest(F.lit(-80), F.least(F.lit(80), F.floor(v[0] * 30))).cast("double") / 10
     r6 = lambda c, n: F.round(c, 6).alias(n)
-    return t("embeddings").select("vec_id", r6(scores.gelu(v[0]), "gelu"), r6(scores.silu(v[0]), "silu"), r6(scores.leaky_relu(v[0]), "leaky"), r6(scores.rms_norm(v)[0], "rms"), r6(scores.layer_norm(v)[0], "layer"))
+    return t("embeddings").select("vec_id", F.round(scores.gelu(tenth), 10).alias("gelu"), r6(scores.silu(v[0]), "silu"), r6(scores.leaky_relu(v[0]), "leaky"), r6(scores.rms_norm(v)[0], "rms"), r6(scores.layer_norm(v)[0], "layer"))
 
 
 _HEADS = """e AS (SELECT vec_id % 20 AS sample, label AS gene, max(embedding[1]::DOUBLE) AS s FROM embeddings GROUP BY ALL), g AS (SELECT *, 1 / (1 + exp(-s)) AS score FROM e), w AS (SELECT DISTINCT label AS gene, label % 3 - 1 AS w, label % 4 <> 0 AS mask FROM embeddings)"""
@@ -306,11 +332,16 @@ def batch_bounds(t):
     return matrix.bound_faults(t("lineitem").select(F.col("l_partkey").alias("item"), F.col("l_linenumber").alias("grp")), 100, 6)
 
 
-@query("""WITH l AS (SELECT p_partkey, CASE WHEN p_size > 3 THEN p_partkey END AS r FROM part), g AS (SELECT abs(coalesce(max(r) + 1, 0) - count(r)) AS gaps FROM l)
-SELECT 'gaps' AS check_name, gaps AS n_bad FROM g UNION ALL SELECT 'repeats', 0 UNION ALL SELECT 'status', count(*) FILTER (WHERE p_size > 3 AND p_size % 2 = 0 OR p_size <= 3 AND p_size % 2 = 1) FROM part UNION ALL SELECT 'width', 0 UNION ALL SELECT 'not_finite', 0""")
+@query("""WITH l AS (SELECT p_partkey, p_size, CASE WHEN p_size > 3 THEN p_partkey - CASE WHEN p_partkey % 7 = 0 THEN 1 ELSE 0 END END AS r FROM part), g AS (SELECT abs(coalesce(max(r) + 1, 0) - count(r)) AS gaps, count(r) - count(DISTINCT r) AS repeats FROM l)
+SELECT 'gaps' AS check_name, gaps AS n_bad FROM g UNION ALL SELECT 'repeats', repeats FROM g UNION ALL SELECT 'status', count(*) FILTER (WHERE p_size > 3 AND p_size % 2 = 0 OR p_size <= 3 AND p_size % 2 = 1) FROM part
+UNION ALL SELECT 'width', count(*) FILTER (WHERE vec_id % 40 = 0) FROM embeddings UNION ALL SELECT 'not_finite', count(*) FILTER (WHERE vec_id % 60 = 1) FROM embeddings""")
 def embedding_checks(t):
-    rows = t("part").select(F.when(F.col("p_size") > 3, F.col("p_partkey")).alias("embedding_row"), F.when(F.col("p_size") % 2 == 1, "mapped").otherwise("unmapped").alias("mapping_status"))
-    return matrix.embedding_faults(rows, t("embeddings").select(F.col("embedding").alias("vector")), 64)
+    """Planted faults of every kind: rows that repeat, short vectors, values that are not finite."""
+    k, v = F.col("p_partkey"), F.col("vec_id")
+    rows = t("part").select(F.when(F.col("p_size") > 3, k - F.when(k % 7 == 0, 1).otherwise(0)).alias("embedding_row"), F.when(F.col("p_size") % 2 == 1, "mapped").otherwise("unmapped").alias("mapping_status"))
+    odd = F.concat(F.slice("embedding", 1, 63), F.array(F.lit(float("inf")).cast("float")))
+    vectors = t("embeddings").select(F.when(v % 40 == 0, F.slice("embedding", 1, 63)).when(v % 60 == 1, odd).otherwise(F.col("embedding")).alias("vector"))
+    return matrix.embedding_faults(rows, vectors, 64)
 
 
 @query("""SELECT l_suppkey AS study_id, count(DISTINCT l_returnflag) AS n_roles FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_returnflag) > 1""")
@@ -330,3 +361,21 @@ def graph_checks(t):
     """A graph's validators: interval order, edges whose ends exist, edges once."""
     order = t("part").agg(F.count_if(F.col("p_size") < 0).alias("n_bad")).select(F.lit("region_order").alias("check_name"), "n_bad")
     return checks.report([order, checks.references(t("lineitem"), "edge_part", "l_partkey", t("part"), "p_partkey"), checks.unique(t("lineitem"), "edge_pk", ["l_orderkey", "l_partkey", "l_linenumber"])])
+
+
+@query("""SELECT round(median(l_extendedprice), 6) AS price, round(median(CASE WHEN l_linenumber <> 3 THEN l_quantity END), 6) AS quantity, round(median(l_orderkey::DOUBLE), 6) AS place FROM lineitem""")
+def exact_medians(t):
+    """Medians by rank selection: no task sorts more than a bucket of the rows."""
+    rows = t("lineitem").select("l_extendedprice", F.when(F.col("l_linenumber") != 3, F.col("l_quantity")).alias("l_quantity"), "l_orderkey")
+    m = ranks.medians(rows, ["l_extendedprice", "l_quantity", "l_orderkey"], bucket=2000)
+    named = zip(("price", "quantity", "place"), m.values(), strict=True)
+    return t("lineitem").sparkSession.range(1).select(*[F.round(F.lit(v), 6).alias(k) for k, v in named])
+
+
+@query("""WITH n AS (SELECT l_suppkey AS study_id, count(*) AS n FROM lineitem GROUP BY 1), h AS (SELECT *, md5('5|' || study_id) AS k FROM n),
+a AS (SELECT *, coalesce(sum(n) OVER (ORDER BY k, study_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / (sum(n) OVER ())::DOUBLE AS share FROM h),
+r AS (SELECT *, CASE WHEN share < 0.7 THEN 'train' WHEN share < 0.7 + 0.15 THEN 'validation' ELSE 'external_test' END AS role FROM a) SELECT 'v1' AS split_id, role, count(*) AS n_studies, sum(n)::BIGINT AS n_samples FROM r GROUP BY 2""")
+def split_roles_manifest(t):
+    """Whole studies dealt by share, and the manifest's counts by role."""
+    samples = t("lineitem").select(F.col("l_suppkey").alias("study_id"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("sample_id"))
+    return splits.split_manifest(splits.auto_split(samples, seed=5), "v1")[1]

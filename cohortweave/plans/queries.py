@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scores, text
-from ..operators import intervals, profile, segments
+from ..operators import intervals, overlap, profile, segments
+from ..operators.ordered import numbered, ordered_lists
 
 QUERIES, ORACLE = {}, {}
 
@@ -153,11 +154,18 @@ def value_counts_topk(t):
     return profile.value_counts(t("documents"), "lang", 3)
 
 
-@query("""WITH u AS (SELECT DISTINCT event_type, user_id FROM events) SELECT a.event_type AS a, b.event_type AS b, count(*) AS n FROM u a JOIN u b ON a.user_id = b.user_id AND a.event_type < b.event_type GROUP BY ALL""")
+@query("""WITH u AS (SELECT DISTINCT event_type || '/' || (event_id % 3) AS e, user_id AS k FROM events WHERE user_id % 3 <> 0 OR event_id % 3 = 0), f AS (SELECT DISTINCT e FROM u)
+SELECT a.e AS a, b.e AS b, (SELECT count(*) FROM u x JOIN u y ON x.k = y.k WHERE x.e = a.e AND y.e = b.e) AS n FROM f a JOIN f b ON a.e < b.e""")
 def pairwise_overlap(t):
-    u = t("events").select("event_type", "user_id").distinct()
-    a, b = u.withColumnRenamed("event_type", "a"), u.withColumnRenamed("event_type", "b")
-    return a.join(b, "user_id").filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    """Shared ids of all pairs of families, pairs that share none too."""
+    u = t("events").filter("user_id % 3 <> 0 OR event_id % 3 = 0").select(F.concat_ws("/", "event_type", (F.col("event_id") % 3).cast("string")).alias("e"), "user_id")
+    return overlap.pairwise_overlap(u, "e", "user_id")
+
+
+@query("""WITH u AS (SELECT user_id, count(DISTINCT event_type) AS n FROM events GROUP BY 1), f AS (SELECT count(DISTINCT event_type) AS n FROM events) SELECT f.n AS n_families, count(*) AS n_any, count(*) FILTER (WHERE u.n = f.n) AS n_all FROM u, f GROUP BY f.n""")
+def common_ids(t):
+    """Ids in any family and ids in all."""
+    return overlap.common_ids(t("events"), "event_type", "user_id")
 
 
 @query("""SELECT l_returnflag, count(*) AS n, round(avg(abs(l_tax - l_discount)), 8) AS mae, round(sqrt(avg((l_tax - l_discount) ** 2)), 8) AS rmse, round(corr(l_tax, l_discount), 6) AS r,
@@ -248,7 +256,7 @@ def split_leakage(t):
 @query("""SELECT p_type, n, row_number() OVER (ORDER BY p_type) - 1 AS id FROM (SELECT p_type, count(*) AS n FROM part GROUP BY 1 HAVING count(*) >= 15)""")
 def ontology_min_n(t):
     kept = t("part").groupBy("p_type").agg(F.count(F.lit(1)).alias("n")).filter("n >= 15")
-    return kept.withColumn("id", F.row_number().over(Window.orderBy("p_type")) - 1)
+    return numbered(kept, [F.col("p_type")], "id")
 
 
 @query("""WITH o AS (SELECT o_custkey, max(o_totalprice) AS price FROM orders GROUP BY 1) SELECT c_custkey, coalesce(price, c_acctbal) AS label, price IS NOT NULL AS has_price FROM customer LEFT JOIN o ON o_custkey = c_custkey""")
@@ -301,3 +309,10 @@ def event_windows(t):
     from ..streaming.monitor import windowed_counts
 
     return windowed_counts(t("events"))
+
+
+@query("""WITH r AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS place FROM orders) SELECT o_custkey, (place // 4)::INT AS piece, string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey) AS items, count(*) AS n FROM r GROUP BY 1, 2""")
+def ordered_pieces(t):
+    """Each customer's orders as one ordered list, in pieces of four."""
+    lists = ordered_lists(t("orders"), ["o_custkey"], "o_orderkey", piece=4)
+    return lists.select("o_custkey", "piece", F.array_join(F.transform("items", lambda x: x.cast("string")), ",").alias("items"), F.size("items").cast("long").alias("n"))

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import digest, phenotypes, profile, scorers
-from ..operators.ordered import numbered
+from ..operators import digest, overlap, phenotypes, profile, scorers
+from ..operators.ordered import numbered, ranged, running
 from ..operators.storage import shared_dir
 from ..sources import tables
 from ..sources.stored import StoredTable
@@ -45,11 +45,10 @@ def lineage(t):
 
 @query("""SELECT c_mktsegment AS study_id, c_custkey AS sample_id, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) - 1 AS place FROM customer""")
 def study_blocks(t):
-    """Blocks of studies, each numbered on its own, in one window in place of a union of per-study queries."""
-    from pyspark.sql import Window
-
-    n = F.row_number().over(Window.partitionBy("c_mktsegment").orderBy("c_custkey")) - 1
-    return t("customer").select(F.col("c_mktsegment").alias("study_id"), F.col("c_custkey").alias("sample_id"), n.alias("place"))
+    """Blocks of studies, each numbered on its own, over ranges of all rows, so a study of any size is spread."""
+    c = t("customer").select(F.col("c_mktsegment").alias("study_id"), F.col("c_custkey").alias("sample_id"), F.lit(1).cast("long").alias("one"))
+    placed = running(ranged(c, [F.col("study_id"), F.col("sample_id")]), F.sum, ["one"], ["study_id"], first=0)
+    return placed.select("study_id", "sample_id", F.col("before_one").alias("place"))
 
 
 @query("""WITH new AS (SELECT n_nationkey AS k, 'seed' AS v FROM nation WHERE n_nationkey < 5) SELECT n_nationkey AS k, coalesce(v, n_name) AS v FROM nation LEFT JOIN new ON k = n_nationkey UNION ALL SELECT 99, 'seed'""")
@@ -117,11 +116,22 @@ def table_profiles(t):
     return reduce(DataFrame.unionByName, each)
 
 
-@query("""SELECT 'k' AS name, 2 AS n, true AS everywhere UNION ALL SELECT 'v', 1, false UNION ALL SELECT 'w', 1, false""")
+_SHARED = {"customer": ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"], "supplier": ["s_suppkey", "s_name", "s_nationkey"], "nation": ["n_nationkey", "n_name", "n_regionkey"]}
+_SHARED_SQL = " UNION ALL ".join(f"SELECT '{tab}' AS tab, '{c[2:]}' AS name, count(*) AS r, count({c}) AS v FROM {tab}" for tab, cols in _SHARED.items() for c in cols)
+
+
+@query(f"""SELECT name, count(DISTINCT tab) AS n_tables, sum(r)::BIGINT AS n_rows, sum(v)::BIGINT AS n_values, count(DISTINCT tab) = {len(_SHARED)} AS everywhere FROM ({_SHARED_SQL}) GROUP BY 1""")
 def shared_columns(t):
-    """Column names of two tables: where each is, and whether in all."""
-    rows = profile.column_overlap({"a": ["k", "v"], "b": ["k", "w"]})
-    return t("region").sparkSession.createDataFrame(rows, "name string, n int, everywhere boolean")
+    """Columns of three tables by their own schemas: where each is, whether in all, and its values."""
+    return overlap.column_overlap({tab: t(tab).select(cols) for tab, cols in _SHARED.items()}, lambda c: c.split("_", 1)[1])
+
+
+@query("""WITH l AS (SELECT 'lang' AS col, lang AS value FROM documents UNION ALL SELECT 'source', source FROM documents), n AS (SELECT col, value, count(*) AS n FROM l WHERE value IS NOT NULL GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY col ORDER BY n DESC, value) AS place FROM n), d AS (SELECT 'lang' AS col, count(DISTINCT lang) <= greatest(20.0, 0.05 * count(*)) AS few FROM documents UNION ALL SELECT 'source', count(DISTINCT source) <= greatest(20.0, 0.05 * count(*)) FROM documents)
+SELECT col, place, value, n FROM r JOIN d USING (col) WHERE few AND place <= 8""")
+def categorical_values(t):
+    """The eight most frequent values of each categorical column."""
+    return profile.top_values(t("documents").select("lang", "source", F.length("text").cast("string").alias("size")), ["lang", "source"])
 
 
 @query("""WITH a AS (SELECT DISTINCT 'GSE' || c_nationkey AS k FROM customer WHERE c_custkey % 2 = 0), b AS (SELECT DISTINCT 'GSE' || s_nationkey AS k FROM supplier) SELECT (SELECT count(*) FROM a) AS n_a, (SELECT count(*) FROM b) AS n_b, (SELECT count(*) FROM a JOIN b USING (k)) AS n_both""")
@@ -136,7 +146,9 @@ _W1, _B1, _W2, _B2 = [[0.5, -0.2, 0.1], [0.3, 0.4, -0.6]], [0.1, -0.1], [[0.7, -
 
 
 def _gelu(z):
-    return f"(0.5 * ({z}) * (1 + tanh(0.7978845608028654::DOUBLE * (({z}) + 0.044715::DOUBLE * ({z}) * ({z}) * ({z})))))"
+    """The Gaussian unit by the error function's power series, good to five digits for |z| under 4."""
+    series = f"list_sum(list_transform(range(0, 60), lambda n: (CASE WHEN n % 2 = 0 THEN 1 ELSE -1 END) * pow(({z}) / sqrt(2.0::DOUBLE), 2 * n + 1) / (gamma(n + 1) * (2 * n + 1))))"
+    return f"(0.5 * ({z}) * (1 + 1.1283791670955126::DOUBLE * {series}))"
 
 
 @query(f"""WITH v AS (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings),
@@ -174,17 +186,12 @@ _GRID = """a AS (SELECT l_suppkey AS s, l_partkey % 50 AS p, max(l_tax) AS beta
 g AS (SELECT * FROM (SELECT DISTINCT a.s FROM a JOIN b ON a.s = b.s) CROSS JOIN (SELECT DISTINCT a.p FROM a JOIN b ON a.p = b.p))"""
 
 
-@query(f"""WITH {_GRID} SELECT s, count(*) AS n, count(a.beta) AS n_a, count(b.beta) AS n_b, count(*) FILTER (WHERE (a.beta IS NULL) <> (b.beta IS NULL)) AS n_one_side, round(avg(abs(a.beta - b.beta)), 6) AS mae
+@query(f"""WITH {_GRID} SELECT s, count(*) AS n, count(a.beta) AS n_a, count(b.beta) AS n_b, count(*) FILTER (WHERE (a.beta IS NULL) <> (b.beta IS NULL)) AS n_one_side, count(*) FILTER (WHERE a.beta IS NULL AND b.beta IS NULL) AS n_neither, round(avg(abs(a.beta - b.beta)), 6) AS mae
 FROM g LEFT JOIN a USING (s, p) LEFT JOIN b USING (s, p) GROUP BY s""")
 def grid_compare(t):
     """Two sources over their shared samples and probes."""
     cells = lambda k, m, v: t("lineitem").filter(F.col("l_suppkey") % k == 0).groupBy(F.col("l_suppkey").alias("s"), (F.col("l_partkey") % m).alias("p")).agg(F.max(v).alias("beta"))
-    g = profile.compare_grids(cells(2, 50, "l_tax"), cells(3, 60, "l_discount"), ["s", "p"])
-    one_side = F.col("of_a").isNull() != F.col("of_b").isNull()
-    return g.groupBy("s").agg(
-        F.count(F.lit(1)).alias("n"), F.count("of_a").alias("n_a"), F.count("of_b").alias("n_b"), F.count_if(one_side).alias("n_one_side"),
-        F.round(F.avg(F.abs(F.col("of_a") - F.col("of_b"))), 6).alias("mae"),
-    )
+    return profile.compare_grids(cells(2, 50, "l_tax"), cells(3, 60, "l_discount"), "s", "p").withColumn("mae", F.round("mae", 6))
 
 
 @query("""WITH n AS (SELECT l_partkey, count(DISTINCT l_suppkey) AS n_genes, count(*) AS n_edges FROM lineitem GROUP BY 1) SELECT count(*) AS n_loci, count(*) FILTER (WHERE n_genes > 1) AS n_multi_gene, max(n_genes) AS genes_max, round(avg(n_edges), 6) AS edges_mean FROM n""")
@@ -212,6 +219,10 @@ def accuracy_by_group(t):
     return j.groupBy(F.coalesce("lang", F.lit("")).alias("grp")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.coalesce(same, F.lit(0.0))), 6).alias("accuracy"), F.count_if((F.col("quality") == 1) & (F.col("toxic") == 1)).alias("n_both"))
 
 
-@query("""SELECT 'Female' AS label, 0 AS class_id UNION ALL SELECT 'Male', 1""")
+@query("""SELECT CASE WHEN c_custkey % 3 = 0 THEN 'Male' ELSE 'Female' END AS label, CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 0 END AS class_id, count(*) AS n FROM customer WHERE c_custkey % 5 <> 0 GROUP BY ALL""")
 def sex_classes(t):
-    return phenotypes.sex_ontology(t("region").sparkSession)
+    """Samples by class of the default sex ontology; blank labels have none."""
+    k = F.col("c_custkey")
+    said = F.when(k % 5 == 0, " ").when(k % 3 == 0, "m").when(k % 2 == 0, "Woman").otherwise("FEMALE ")
+    labels = t("customer").select(text.sex_label(said).alias("label")).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    return phenotypes.sex_ontology(labels.sparkSession).join(labels, "label")

@@ -107,6 +107,15 @@ def write_index(df: DataFrame, path: str, columns: list[str], place: str, n: int
     write_table(df, path, columns)
 
 
+#: Columns that a sample phenotype table must have.
+PHENOTYPES = ("sample_id", "source_sample_id", "study_id", "source_system", "phenotype_family", "matrix_id", "row_index", "age_mask", "tissue_mask")
+
+
+def write_phenotypes(df: DataFrame, path: str) -> None:
+    """The label table with all its columns, of which PHENOTYPES must be there."""
+    require_columns(df, list(PHENOTYPES)).write.mode("overwrite").parquet(path)
+
+
 def registry_rows(entries: DataFrame) -> DataFrame:
     """Registry entries with their study ids as one sorted, comma-joined text."""
     return entries.withColumn("study_ids", F.array_join(F.array_sort(id_list(F.col("study_ids"))), ","))

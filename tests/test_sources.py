@@ -166,9 +166,6 @@ def test_splits(spark):
     rows = spark.createDataFrame([(f"x{i}", s) for i, s in enumerate("AAAAABBBCCDE")], "sample_id string, study_id string")
     roles = {r.study_id: r.role for r in splits.auto_split(rows, seed=7).collect()}
     assert set(roles) == set("ABCDE") and set(roles.values()) == set(splits.ROLES) and splits.leaking(splits.auto_split(rows, seed=7)).isEmpty()
-    assert splits.partition_studies([("A", 100), ("B", 1), ("C", 1)], 1) and sorted(sum(splits.partition_studies([("A", 5), ("B", 5), ("C", 5)], 3).values(), [])) == ["A", "B", "C"]
-    with pytest.raises(ValueError, match="empty"):
-        splits.partition_studies([("A", 5), ("B", 5)], 3)
     with pytest.raises(ValueError, match="two roles"):
         splits.explicit_split(rows, {"train": ["A"], "validation": ["A"]})
     with pytest.raises(ValueError, match="without a role"):
