@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,11 +21,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Write once to the shared folder and read back: survives lost executors and cuts the plan."""
+def written(df: DataFrame, codec: str = "snappy") -> DataFrame:
+    """Write once to the shared folder and read back: survives lost executors and cuts the plan. zstd takes less room and more time."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/t-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_at = path
     return out
@@ -41,5 +42,7 @@ def release(*tables: DataFrame) -> None:
 def settle(spark: SparkSession) -> None:
     """Give up shuffle files of finished jobs between the steps of a long one: Spark deletes them once the driver has collected what
     stood for them, and a driver with little to do collects rarely."""
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # Python's garbage lets go of the driver's, with a delay
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.3)
