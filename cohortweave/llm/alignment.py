@@ -196,20 +196,20 @@ def align_tokenizers(docs: DataFrame, byte_file: str = BYTE_BPE, piece_file: str
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    packed = written(rows.mapInArrow(_packed(piece_file, bucket_bytes), PACKED))
+    packed = written(rows.mapInArrow(_packed(piece_file, bucket_bytes), PACKED), "zstd")
     uses = packed.filter("segment IS NOT NULL").select("bucket", "place", "segment", "n")
     tokens = written(uses.groupBy("segment").agg(F.sum("n").alias("n")).mapInArrow(
-        _tokenised(byte_file, piece_file), "sid long, segment string, n long, a array<int>, b array<int>"))
+        _tokenised(byte_file, piece_file), "sid long, segment string, n long, a array<int>, b array<int>"), "zstd")
     settle(spark)
     with co_partitioned(spark):
-        aligned = written(groups(tokens, cuts(tokens, vocabulary_sizes(spark, byte_file, piece_file))))
+        aligned = written(groups(tokens, cuts(tokens, vocabulary_sizes(spark, byte_file, piece_file))), "zstd")
     release(tokens)
     settle(spark)
     pairs = written(pair_counts(aligned))
     links = aligned.select("segment", F.inline("links")).join(bounded_broadcast(pairs, MAX_PAIRS), ["a", "b"])
     scored = links.groupBy("segment").agg(F.sum("best").cast("int").alias("n_best"), F.sum("links").alias("count_sum"))
     known = aligned.select("segment", "groups").join(scored, "segment")
-    needed = written(uses.select("bucket", "place", "segment").join(known, "segment").drop("segment"))
+    needed = written(uses.select("bucket", "place", "segment").join(known, "segment").drop("segment"), "zstd")
     release(aligned, pairs)
     settle(spark)
     found = packed.filter("segment IS NULL").select("bucket", "doc_id", "good", "at")
