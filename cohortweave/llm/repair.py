@@ -35,18 +35,28 @@ class Grammar:
         if begin >= end:
             return np.empty(0, np.uint32)
         first, last = int(np.searchsorted(at, begin, "right")) - 1, int(np.searchsorted(at, end, "left"))
-        out = self.symbols[first:last].astype(np.int32)
-        while (ruled := out >= self.base).any():
-            place = np.arange(out.size) + np.concatenate([[0], np.cumsum(ruled)[:-1]])
-            longer = np.empty(out.size + int(ruled.sum()), np.int32)
-            pair = self.rules[out[ruled] - self.base]
-            longer[place[~ruled]] = out[~ruled]
-            longer[place[ruled]] = pair[:, 0]
-            longer[place[ruled] + 1] = pair[:, 1]
-            out = longer
+        out = self._expanded(self.symbols[first:last])
         skip = begin - int(at[first])
         return out[skip : skip + end - begin].astype(np.uint32)
 
+    def _expanded(self, symbols: np.ndarray) -> np.ndarray:
+        """The ids of some symbols: those of all rules side by side, by levels, then each symbol's stretch of them."""
+        flat = np.arange(self.base, self.base + len(self.rules), dtype=np.int32)
+        while (ruled := flat >= self.base).any():
+            place = np.arange(flat.size) + np.concatenate([[0], np.cumsum(ruled)[:-1]])
+            longer = np.empty(flat.size + int(ruled.sum()), np.int32)
+            pair = self.rules[flat[ruled] - self.base]
+            longer[place[~ruled]] = flat[~ruled]
+            longer[place[ruled]] = pair[:, 0]
+            longer[place[ruled] + 1] = pair[:, 1]
+            flat = longer
+        table = np.concatenate([np.arange(self.base, dtype=np.int32), flat])
+        size = np.concatenate([np.ones(self.base, np.int32), self.lengths.astype(np.int32)])
+        begin = np.concatenate([np.arange(self.base), self.base + np.cumsum(self.lengths) - self.lengths]).astype(np.int32)
+        long = size[symbols]
+        since = np.cumsum(long, dtype=np.int64) - long
+        return table[np.repeat(begin[symbols] - since, long) + np.arange(int(long.sum()))]
+
 
 def _frequent(keys: np.ndarray, least: int, most: int) -> np.ndarray:
     """The pairs that occur `least` times or more, most frequent first, `most` of them."""

@@ -11,7 +11,7 @@ import numpy as np
 
 BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
 PIECE_BPE = "/opt/tokenizers/piece_bpe_32k.model"
-_LOOSE = re.compile(r"\s | \s|\A | \Z")
+_SPACES = [c for c in map(chr, range(0x10000)) if c.isspace()]
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _WORD_END = re.compile(r"([A-Za-z]+)([.,;:!?])")
 LONGEST = 64  # code points of a segment that is worth keeping
@@ -19,7 +19,8 @@ LONGEST = 64  # code points of a segment that is worth keeping
 
 def segments(text: str) -> list[str]:
     """The text cut at each blank between two characters that are no white space; joined by blanks they give it back."""
-    return _CUT.split(text) if _LOOSE.search(text) else text.split(" ")
+    loose = text[:1] == " " or text[-1:] == " " or any(c in text and (f" {c}" in text or f"{c} " in text) for c in _SPACES)
+    return _CUT.split(text) if loose else text.split(" ")
 
 
 class ByteBpe:
@@ -72,14 +73,22 @@ class ByteBpe:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
-        cut = [segments(t) for t in texts]
+        cut, got, new = [segments(t) for t in texts], [], {}
         sizes = [len(self.first), len(self.spaced)]
         self._learn(self.first, list({c[0] for c in cut} - self.first.keys()), self._ids)
-        self._learn(self.spaced, list((set().union(*cut) if cut else set()) - self.spaced.keys()), self.spaced_ids)
-        out = [self.first[c[0]] + b"".join(map(self.spaced.__getitem__, c[1:])) for c in cut]
+        for c in cut:
+            head = c[0]
+            c[0] = ""  # its place is filled from the first segments
+            parts = list(map(self.spaced.get, c))
+            parts[0] = self.first[head]
+            if None in parts:
+                new.update((s, None) for s, x in zip(c, parts) if x is None)
+            got.append(parts)
+        self._learn(self.spaced, list(new), self.spaced_ids)
+        out = [b"".join([self.spaced[s] if x is None else x for s, x in zip(c, p)] if None in p else p) for c, p in zip(cut, got, strict=True)]
         for known, size in zip((self.first, self.spaced), sizes, strict=True):
-            new = list(islice(known, size, None))  # a dict keeps its order
-            for i, s in enumerate(new):
+            fresh = list(islice(known, size, None))  # a dict keeps its order
+            for i, s in enumerate(fresh):
                 if i >= self.keep - size or len(s) > LONGEST:
                     del known[s]
         return out
