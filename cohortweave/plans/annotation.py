@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import intervals, loci, matrix, regions
+from ..operators import intervals, loci, matrix, regions, report
 from ..operators.ordered import numbered
 from ..sources import annotation
 from .queries import query
@@ -169,3 +169,39 @@ def probe_order(t):
     """Probe-locus edges in both stated orders."""
     e = loci.build_registry(_probes(t))[1].select("probe_id", "locus_id")
     return numbered(numbered(e, [F.col("probe_id"), F.col("locus_id")], "by_probe"), [F.col("locus_id"), F.col("probe_id")], "by_locus").select("probe_id", "locus_id", "by_probe", "by_locus")
+
+
+_GRAPH_SQL = f"""{_REGION_SQL}, {_PROBES}, genes AS (SELECT DISTINCT gene_id FROM regions), lr AS (SELECT locus_id, region_id, gene_id, region_type FROM loci JOIN regions USING (chromosome) WHERE position BETWEEN "start" AND "end" AND (locus_id + length(region_id)) % 5 <> 0)"""
+
+
+def _graph(t):
+    """loci, probes, edges, genes, regions and locus-region edges, every fifth of which is left out."""
+    table, edges = loci.build_registry(_probes(t))
+    areas = _regions(t)[1]
+    points = table.select("locus_id", F.col("chromosome").alias("chrom"), F.col("position").alias("pos"))
+    hits = intervals.points_in_intervals(points, areas.withColumnRenamed("chromosome", "chrom")).filter((F.col("locus_id") + F.length("region_id")) % 5 != 0)
+    return table, _probes(t), edges, areas.select("gene_id").distinct(), areas, hits.select("locus_id", "region_id")
+
+
+@query(f"""WITH {_GRAPH_SQL}, v AS (SELECT 'total' AS section, 'n_loci' AS name, count(*)::DOUBLE AS value FROM loci UNION ALL SELECT 'total', 'n_genes', count(*) FROM genes UNION ALL SELECT 'total', 'n_regions', count(*) FROM regions
+UNION ALL SELECT 'total', 'n_locus_region_edges', count(*) FROM lr UNION ALL SELECT 'total', 'n_probes', count(*) FROM probes UNION ALL SELECT 'total', 'n_unmapped_probes', count(*) FROM probes WHERE mapping_status <> 'mapped'
+UNION ALL SELECT 'total', 'n_probe_locus_edges', count(*) FROM edges UNION ALL SELECT 'total', 'n_unassigned_loci', count(*) FROM loci WHERE locus_id NOT IN (SELECT locus_id FROM lr)
+UNION ALL SELECT 'total', 'n_loci_multi_gene', count(*) FROM (SELECT locus_id FROM lr GROUP BY 1 HAVING count(DISTINCT gene_id) > 1)
+UNION ALL SELECT 'total', 'probes_collapsed_max', max(n) FROM (SELECT count(*) AS n FROM edges GROUP BY locus_id) UNION ALL SELECT 'total', 'probes_collapsed_mean', avg(n) FROM (SELECT count(*) AS n FROM edges GROUP BY locus_id)
+UNION ALL SELECT 'regions_by_type', region_type, count(*) FROM regions GROUP BY 2 UNION ALL SELECT 'edges_by_type', region_type, count(*) FROM lr GROUP BY 2
+UNION ALL SELECT 'platform_probes', platform_id, count(*) FROM probes GROUP BY 2 UNION ALL SELECT 'platform_mapped', platform_id, count(*) FROM probes WHERE mapping_status = 'mapped' GROUP BY 2) SELECT section, name, round(value, 6) AS value FROM v""")
+def graph_report(t):
+    return report.graph_report(*_graph(t)).withColumn("value", F.round("value", 6))
+
+
+@query(f"""WITH {_GRAPH_SQL}, e AS (SELECT * FROM edges UNION ALL SELECT probe_id, platform_id, -1, mapping_confidence FROM edges WHERE locus_id % 10 = 0),
+v AS (SELECT 'locus_key' AS check_name, 0 AS n_bad UNION ALL SELECT 'gene_key', 0 UNION ALL SELECT 'region_key', count(*) FILTER (WHERE "start" % 3 = 0) FROM regions UNION ALL SELECT 'edge_key', 0
+UNION ALL SELECT 'edge_locus', count(*) FROM e WHERE locus_id = -1 UNION ALL SELECT 'link_locus', 0 UNION ALL SELECT 'link_region', 0 UNION ALL SELECT 'region_gene', 2 * count(*) FILTER (WHERE "start" % 3 = 0 AND gene_id = 'G1') + count(*) FILTER (WHERE "start" % 3 <> 0 AND gene_id = 'G1') FROM regions
+UNION ALL SELECT 'region_order', count(*) FILTER (WHERE "start" % 3 = 0) FROM regions UNION ALL SELECT 'probe_status', count(*) FROM (SELECT DISTINCT probe_id, platform_id FROM probes WHERE mapping_status = 'mapped' AND probe_id LIKE '%_1')) SELECT check_name, n_bad::BIGINT AS n_bad, n_bad = 0 AS passed FROM v""")
+def graph_rules(t):
+    """The rules on a graph with planted faults: repeated and turned regions, a gene that is gone, edges to nowhere, probes said to be unmapped."""
+    table, probes, edges, genes, areas, links = _graph(t)
+    turned = areas.filter(F.col("start") % 3 == 0).withColumn("end", F.col("start") - 1)
+    lost = edges.filter(F.col("locus_id") % 10 == 0).withColumn("locus_id", F.lit(-1).cast("long"))
+    said = probes.withColumn("mapping_status", F.when((F.col("mapping_status") == "mapped") & F.col("probe_id").endswith("_1"), "unmapped").otherwise(F.col("mapping_status")))
+    return report.graph_rules(table, said, edges.unionByName(lost), genes.filter("gene_id <> 'G1'"), areas.unionByName(turned), links)

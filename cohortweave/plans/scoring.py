@@ -110,3 +110,30 @@ def constraint_report(t):
         checks.references(t("labels"), "labels_document_fk", "doc_id", t("documents"), "doc_id"),
         checks.not_null(t("documents"), "documents_lang", "lang"),
     ])
+
+
+@query(f"""WITH {_FLAT}, w AS (SELECT DISTINCT label AS gene, o AS output, label % 3 - 1 + o * 0.5::DOUBLE AS weight, (label + o) % 4 <> 0 AS mask FROM embeddings, (SELECT unnest([0, 1]) AS o)),
+m AS (SELECT sample, output, sum((score - 0.5::DOUBLE) * weight) AS v FROM s JOIN w USING (gene) WHERE mask GROUP BY sample, output), x AS (SELECT vec_id % 5 AS sample, avg(embedding[5]::DOUBLE) AS c0, avg(embedding[6]::DOUBLE) AS c1 FROM embeddings GROUP BY 1)
+SELECT sample, o AS output, round(0.25 - 0.5 * o + coalesce(v, 0) + c0 * (0.3 + o) - c1 * (0.2 * o), 6) AS value FROM x CROSS JOIN (SELECT unnest([0, 1]) AS o) LEFT JOIN m ON m.sample = x.sample AND m.output = o""".replace("SELECT sample, o AS output", "SELECT x.sample, o AS output"))
+def linear_head(t):
+    """The masked head with a bias and two covariates of each sample."""
+    scored = scorers.flat_score(_items(t), ["sample", "gene"], _V, ENCODE, READ)
+    outputs = t("embeddings").select(F.col("label").alias("gene")).distinct().select("gene", F.explode(F.array(F.lit(0), F.lit(1))).alias("output"))
+    w = outputs.select("gene", "output", (F.col("gene") % 3 - 1 + F.col("output") * F.lit(0.5)).alias("weight"), ((F.col("gene") + F.col("output")) % 4 != 0).alias("mask"))
+    each = outputs.select("output").distinct()
+    bias = each.select("output", (0.25 - 0.5 * F.col("output")).alias("bias"))
+    o = F.col("output")
+    cw = each.select("output", F.inline(F.array(F.struct(F.lit("c0").alias("name"), (0.3 + o).alias("weight")), F.struct(F.lit("c1").alias("name"), (-0.2 * o).cast("double").alias("weight")))))
+    x = t("embeddings").groupBy((F.col("vec_id") % 5).alias("sample")).agg(*[F.avg(F.get("embedding", F.lit(4 + i)).cast("double")).alias(f"c{i}") for i in range(2)])
+    out = scorers.linear_head(scored, w, "sample", "gene", bias, x.unpivot(["sample"], ["c0", "c1"], "name", "x"), cw)
+    return out.withColumn("value", F.round("value", 6))
+
+
+@query(f"""WITH {_ITEMS}, h AS (SELECT sample, gene, region, kind, {_listed(_sql_dense(_V, ENCODE), 'e')} FROM i),
+r AS (SELECT sample, gene, region, kind, {', '.join(f'sum(e{i}) / sqrt(count(*)) AS h{i}' for i in range(3))} FROM h GROUP BY ALL), k AS (SELECT *, {_KIND[0]} AS k0, {_KIND[1]} AS k1 FROM r),
+g AS (SELECT sample, gene, {_listed(_sql_dense([*_H, 'k0', 'k1'], ENCODE_REGION), 'g', 'avg({})')} FROM k GROUP BY sample, gene)
+SELECT sample, gene, round(1 / (1 + exp(-{_sql_dense(['g0', 'g1'], READ_REGION, False)[0]})), 6) AS score FROM g""")
+def layered_pools(t):
+    """The layered scorer with other pools: sums by root of the number into regions, means into sets."""
+    out = scorers.layered_score(_items(t), ["sample", "gene"], "region", "kind", _V, KINDS, ENCODE, ENCODE_REGION, READ_REGION, "sqrt_sum", "mean")
+    return out.withColumn("score", F.round("score", 6))
