@@ -18,6 +18,7 @@ SPACES = "\t\n\x0b\x0c\r"  # each becomes a blank
 START = "▁"
 END = "\n"  # no word holds it
 PRIOR = 200.0  # uses of pieces that the file's order counts for
+STEPS = 2  # expectation steps, each over every training word
 LONG = 200  # characters from which a word is run alone
 BLOCK_BYTES = 16 << 20
 
@@ -77,6 +78,7 @@ class Lattice:
         self.order = np.argsort(keys)
         self.keys, self.value = keys[self.order], np.array([scores[p] for p in self.pieces])[self.order]
         self.place = {self.pieces[k]: i for i, k in enumerate(self.order)}
+        self.byte_place = [self.place.get(f"<0x{b:02X}>") for b in range(256)]
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[self.keys >> np.uint64(44)] = True
 
@@ -116,10 +118,19 @@ class Lattice:
             for i in range(len(s) - 1, -1, -1):
                 for j, v in edges[i]:
                     beta[i] = _log_add(beta[i], v + beta[j])
+                    share = uses * math.exp(min(0.0, alpha[i] + v + beta[j] - alpha[-1]))
                     if (k := at.get(s[i:j])) is not None:
-                        counts[k] += uses * math.exp(min(0.0, alpha[i] + v + beta[j] - alpha[-1]))
+                        counts[k] += share
+                    else:
+                        self._count_bytes(s[i], share, counts)
         return alpha[-1]
 
+    def _count_bytes(self, char: str, share: float, counts: np.ndarray) -> None:
+        """The uses of a character outside the vocabulary are uses of its bytes' pieces."""
+        for b in char.encode("utf-8", "replace"):
+            if (k := self.byte_place[b]) is not None:
+                counts[k] += share
+
     def _same_length(self, texts: list[str], n: int, counts: np.ndarray | None, uses: np.ndarray) -> np.ndarray:
         codes = _codes(texts, n)
         alpha = np.full((n + 1, len(texts)), -np.inf)
@@ -150,8 +161,13 @@ class Lattice:
             for i, j, rows, at, cost in sorted(edges, key=lambda e: -e[0]):
                 v = (self.value[at] if cost is None else cost) + beta[j, rows]
                 beta[i, rows] = np.logaddexp(beta[i, rows], v)
+                share = uses[rows] * np.exp(np.minimum(0, alpha[i, rows] + v - alpha[n, rows]))
                 if at is not None:
-                    counts += np.bincount(at, uses[rows] * np.exp(np.minimum(0, alpha[i, rows] + v - alpha[n, rows])), len(counts))
+                    counts += np.bincount(at, share, len(counts))
+                else:
+                    chars, back = np.unique(codes[rows, i], return_inverse=True)
+                    for c, x in zip(chars, np.bincount(back, share), strict=True):
+                        self._count_bytes(chr(int(c)), x, counts)
         return alpha[n]
 
 
@@ -227,8 +243,8 @@ class Fitted:
         row = self.vocab.agg(F.sum("c").alias("N"), F.count(F.when(F.col("c") > 0, 1)).alias("V"), ends.alias("ends")).first()
         self.N, self.V = row["N"] or 0, row["V"] or 0
         scores = load_scores(pieces)
-        for least in (2, 1):  # from words used twice or more on, then over every training word
-            scores = refit(self.vocab.filter(F.col("c") >= least), scores, row["ends"] or 0)
+        for _ in range(STEPS):
+            scores = refit(self.vocab.filter(F.col("c") >= 1), scores, row["ends"] or 0)
         self.scores = scores
 
 
