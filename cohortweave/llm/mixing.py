@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import release, text_of, written
+from .common import bounded_broadcast, release, text_of, written
 
 DIMS = ("source", "lang", "topic")
 TOPICS = 6
+MAX_CELLS = 200_000  # that a broadcast may hold
 FEATURES = ("symbols", "line", "word")
 _SYMBOLS = "0123456789\"'()*+,-./:;<=>?[]_{|}!#"
 
@@ -56,69 +59,93 @@ def fit_topics(features: DataFrame, k: int = TOPICS, rounds: int = 4) -> tuple[l
     return centres, scale
 
 
-def rake(cells: DataFrame, alpha: float, tolerance: float = 1e-5, most: int = 60) -> tuple[DataFrame, float]:
-    """Fit weights of the cells to marginals proportional to tokens^alpha in each dimension; also the largest error of a marginal share.
+def goals(cells: DataFrame, targets: dict[str, dict[str, float]] | None, alpha: float) -> DataFrame:
+    """cells with goal_d, the share of all tokens that the cell's value of each dimension d shall have.
 
-    One row per cell; each pass scales one dimension, and the state is written every other round so that the plan stays short.
-    Rounds end when no marginal is off by more than `tolerance`, or after `most`. A marginal without tokens keeps weight 0.
+    targets: for some dimensions the weight of each value; values not named have 0. Other dimensions take tokens^alpha. A named value
+    with a weight but no tokens cannot be met: an error.
     """
     for d in DIMS:
-        cells = cells.withColumn(f"goal_{d}", F.pow(F.sum("tokens").over(Window.partitionBy(d)), F.lit(alpha)))
-    cells = written(cells)
-    for d in DIMS:
-        all_goals = cells.select(d, f"goal_{d}").distinct().agg(F.sum(f"goal_{d}").alias("a")).first()["a"] or 1.0
-        cells = cells.withColumn(f"goal_{d}", F.col(f"goal_{d}") / F.lit(float(all_goals)))
-    cells = cells.withColumn("weight", F.col("tokens").cast("double"))
-    error = 0.0
-    for r in range(0, most, 2):
-        for d in DIMS * 2:
+        named = (targets or {}).get(d)
+        have = cells.groupBy(d).agg(F.sum("tokens").cast("double").alias("of_value"))
+        if named is None:
+            goal = F.pow(F.col("of_value"), F.lit(alpha))
+        else:
+            wanted = cells.sparkSession.createDataFrame([(str(k), float(v)) for k, v in named.items() if v > 0], f"{d} string, goal double")
+            lost = [r[0] for r in wanted.join(have.filter("of_value > 0"), d, "left_anti").select(d).orderBy(d).limit(5).collect()]
+            if lost:
+                raise ValueError(f"no tokens for the targets of {d}: {lost}")
+            have, goal = have.join(F.broadcast(wanted), d, "left"), F.coalesce("goal", F.lit(0.0))  # wanted: the caller's own dict
+        have = have.select(d, goal.alias(f"goal_{d}"))
+        total = have.agg(F.sum(f"goal_{d}").alias("all"))
+        share = F.when(F.col("all") > 0, F.col(f"goal_{d}") / F.col("all")).otherwise(F.lit(0.0))
+        cells = cells.join(have.crossJoin(total).select(d, share.alias(f"goal_{d}")), d)  # total is one row
+    return cells
+
+
+def rake(cells: DataFrame, tolerance: float = 1e-5, most: int = 100, passes: int = 5) -> tuple[DataFrame, float]:
+    """Weights of the cells (with goals) whose marginals are the goals, and the largest error of a marginal share.
+
+    One row per cell; each pass scales one dimension after the other, and the state is written every few passes so that the plan stays
+    short. Passes end when no marginal is off by more than `tolerance`, or after `most`.
+    """
+    cells = written(cells.withColumn("weight", F.col("tokens").cast("double")))
+    error, r = math.inf, 0
+    while error > tolerance and r < most:
+        for d in DIMS * passes:
             now = F.sum("weight").over(Window.partitionBy(d))
             cells = cells.withColumn("weight", F.when(now > 0, F.col("weight") * F.col(f"goal_{d}") / now).otherwise(F.lit(0.0)))
-        cells = written(cells)
+        cells, r = written(cells), r + passes
         off = [cells.groupBy(d).agg(F.abs(F.sum("weight") - F.max(f"goal_{d}")).alias("e")).select("e") for d in DIMS]
         error = off[0].union(off[1]).union(off[2]).agg(F.max("e").alias("e")).first()["e"] or 0.0
-        if error <= tolerance:
-            break
     return cells, error
 
 
-def mixed_rows(docs: DataFrame, alpha: float = 0.7, keep: float = 0.8, seed: int = 17) -> DataFrame:
+def calibrated(cells: DataFrame, targets: dict[str, dict[str, float]] | None, alpha: float) -> DataFrame:
+    """The raked cells. Targets that no weights can meet, as where a source has one language, are an error if they are the caller's;
+    powers of the tokens go half-way to the present shares, which always fit, until they can be met."""
+    while True:
+        fitted, error = rake(goals(cells, targets, alpha))
+        if error <= 1e-5:
+            return fitted
+        if targets or alpha > 0.999:
+            raise ValueError(f"the targets cannot be met together: a marginal share stays off by {error:.2g}")
+        alpha = (1 + alpha) / 2 if alpha < 0.99 else 1.0
+
+
+def mixed_rows(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, alpha: float = 0.7, keep: float = 1.0, seed: int = 17) -> DataFrame:
     """One row per row of docs: row (all its columns), source, lang, topic, n_tokens, ratio, prob, selected.
 
-    Tokens are white-space words; null source, lang or text counts as ''. The tables name no topic: a document's is the nearest
-    of TOPICS centres of register features, fitted over all rows. The raked share of a cell over its present share is its
-    ratio; prob = min(1, scale * ratio), with scale fitted so that the expected tokens are `keep` of all, or all probs are 1.
-    A document is selected when the hash of its id and text falls under prob, so copies under other ids are drawn apart
-    and repeated rows together. A zero-token document takes its cell's prob, or 1 where the cell has no tokens. The sampling
-    is the feature: unselected rows are marked. Rows do not move; cells are broadcast, at most sources x languages x TOPICS.
+    Tokens are white-space words; null source, lang or text counts as ''. The tables name no topic: a document's is the nearest of
+    TOPICS centres of register features (prose, lists, code and so on), fitted over all rows. targets gives weights by dimension and
+    value, else a value's is tokens^alpha; see goals and calibrated. The raked share of a cell over its present share is its ratio, and
+    prob is the ratio over the largest one (times `keep`, a smaller sample), so the expected tokens drawn have the raked marginals.
+    A document is selected when the hash of its id and text falls under prob, so copies under other ids are drawn apart and repeated
+    rows together. A document without tokens takes its cell's prob, or 1 where the cell has no tokens. The sampling is the feature:
+    unselected rows are marked. Rows do not move; cells (sources x languages x TOPICS) are broadcast where a count bounds them.
     """
     t = text_of()
-    label = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
+    label = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     seen = written(docs.select(label("source"), label("lang"), *text_counts(t)).select("source", "lang", "n_tokens", *register_features()))
     centres, scale = fit_topics(seen)
     topic = lambda point: F.concat(F.lit("t"), nearest(point, centres, scale).cast("string")).alias("topic")
-    cells = seen.select("source", "lang", topic([F.col(f) for f in FEATURES]), "n_tokens").groupBy(*DIMS).agg(F.sum("n_tokens").alias("tokens"))
-    cells, _ = rake(cells, alpha)
+    cells = written(seen.select("source", "lang", topic([F.col(f) for f in FEATURES]), "n_tokens").groupBy(*DIMS).agg(F.sum("n_tokens").alias("tokens")))
     release(seen)
-    total = cells.agg(F.sum("tokens").alias("t")).first()["t"] or 1
-    cells = cells.withColumn("ratio", F.when(F.col("tokens") > 0, F.col("weight") * total / F.col("tokens")).otherwise(F.lit(1.0)))
-    scale_up = 1.0
-    for _ in range(12):  # each sum is over cells only
-        got = cells.agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), F.col("ratio") * scale_up)).alias("x")).first()["x"] or 0.0
-        if got == 0 or abs(got / total - keep) < 0.002:
-            break
-        scale_up *= min(4.0, keep * total / got)
-    prob = F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.col("ratio") * scale_up)).otherwise(F.lit(1.0))
-    fitted = F.broadcast(cells.select(*DIMS, "ratio", prob.alias("prob")))
+    fitted = calibrated(cells, targets, alpha)
+    ends = fitted.agg(F.sum("tokens").alias("all"), F.max(F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens"))).alias("most")).first()
+    total, most = ends["all"] or 1, (ends["most"] or 1.0)
+    ratio = F.when(F.col("tokens") > 0, F.col("weight") * total / F.col("tokens")).otherwise(F.lit(1.0))
+    prob = F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.col("weight") / F.col("tokens") / F.lit(most)) * keep).otherwise(F.lit(1.0))
+    probs = bounded_broadcast(written(fitted.select(*DIMS, ratio.alias("ratio"), prob.alias("prob"))), MAX_CELLS)
     # counts and features are projections of their own, as each is read several times
     d = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), label("source"), label("lang"),
         *text_counts(t), F.xxhash64(F.lit(seed), F.col("doc_id"), t).alias("draw"),
     ).select("row", "source", "lang", "n_tokens", "draw", *register_features()).withColumn("topic", topic([F.col(f) for f in FEATURES]))
     unit = F.shiftrightunsigned("draw", 11).cast("double") / float(1 << 53)
-    return d.join(fitted, list(DIMS), "left").select("row", *DIMS, "n_tokens", "ratio", "prob", (unit < F.col("prob")).alias("selected"))
+    return d.join(probs, list(DIMS), "left").select("row", *DIMS, "n_tokens", "ratio", "prob", (unit < F.col("prob")).alias("selected"))
 
 
-def mix(docs: DataFrame, alpha: float = 0.7, keep: float = 0.8, seed: int = 17) -> DataFrame:
+def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, alpha: float = 0.7, keep: float = 1.0, seed: int = 17) -> DataFrame:
     """One row per row of docs: doc_id, source, lang, topic, n_tokens, ratio, prob, selected; see mixed_rows."""
-    return mixed_rows(docs, alpha, keep, seed).select("row.doc_id", *DIMS, "n_tokens", "ratio", "prob", "selected")
+    return mixed_rows(docs, targets, alpha, keep, seed).select("row.doc_id", *DIMS, "n_tokens", "ratio", "prob", "selected")

@@ -176,19 +176,25 @@ def test_score_is_the_sum_over_all_segmentations(spark):
         assert r.score == pytest.approx(want / math.log(10), rel=1e-9)
 
 
-def test_expected_uses_are_those_of_all_segmentations():
+@pytest.mark.parametrize("long", [200, 0], ids=["by length", "alone"])
+def test_expected_uses_are_those_of_all_segmentations(monkeypatch, long):
+    """A character outside the file is its bytes, whose pieces are used."""
+    monkeypatch.setattr(lattice_lm, "LONG", long)
     scores = lattice_lm.load_scores()
     model, byte = lattice_lm.Lattice(scores), lattice_lm._bytes_of(scores)
     got = np.zeros(len(model.keys))
-    model.run(["then", "é"], got, np.array([3.0, 1.0]))
+    words = {"then": 3.0, "é": 1.0, "a\U00013000b": 2.0, "c\U00013000\U00013001": 5.0}
+    assert "\U00013000" not in scores
+    model.run(list(words), got, np.array(list(words.values())))
     want = Counter()
-    for w, k in (("then", 3.0), ("é", 1.0)):
+    for w, k in words.items():
         every = list(every_segmentation("▁" + w, scores, byte))
         total = sum(math.exp(v) for _, v in every)
         for parts, v in every:
             for x in parts:
-                want[x] += k * math.exp(v) / total
-    assert {model.pieces[model.order[i]]: x for i, x in enumerate(got) if x} == pytest.approx({x: v for x, v in want.items() if x in scores})
+                for name in [x] if x in scores else [f"<0x{b:02X}>" for b in x.encode()]:
+                    want[name] += k * math.exp(v) / total
+    assert {model.pieces[model.order[i]]: x for i, x in enumerate(got) if x} == pytest.approx(dict(want))
 
 
 def test_forward_sums_every_segmentation():
@@ -305,21 +311,77 @@ def test_language_and_toxicity(spark, docs):
     assert toxicity.score_toxicity(docs, labels.limit(0)).count() == len(TEXTS)
 
 
+def marginals(rows, weight):
+    out = {}
+    for dim in mixing.DIMS:
+        sums = Counter()
+        for r in rows:
+            sums[r[dim]] += weight(r)
+        out[dim] = {k: v / sum(sums.values()) for k, v in sums.items() if v}
+    return out
+
+
 def test_mixing_meets_all_marginals(docs):
-    """With the query's own parameters, every marginal of the raked tokens is its target."""
+    """With the query's own parameters, every marginal of the tokens by ratio, and by prob, is a power of the present one."""
     got = mixing.mix(docs).collect()
-    assert len(got) == len(TEXTS) and all(0 <= r.prob <= 1 for r in got)
-    for dim in mixing.DIMS:
-        tokens, raked = Counter(), Counter()
-        for r in got:
-            tokens[r[dim]] += r.n_tokens
-            raked[r[dim]] += r.n_tokens * r.ratio
-        goal = {k: v**0.7 for k, v in tokens.items()}
-        for k in goal:
-            assert raked[k] / sum(raked.values()) == pytest.approx(goal[k] / sum(goal.values()), abs=1e-4), (dim, k)
+    assert len(got) == len(TEXTS) and all(0 <= r.prob <= 1 for r in got) and max(r.prob for r in got) == 1
+    tokens = {d: Counter() for d in mixing.DIMS}
+    for r in got:
+        for d in mixing.DIMS:
+            tokens[d][r[d]] += r.n_tokens
+    for weight in (lambda r: r.n_tokens * r.ratio, lambda r: r.n_tokens * r.prob):
+        shares = marginals(got, weight)
+        alphas = []
+        for d in mixing.DIMS:
+            have = {k: v for k, v in tokens[d].items() if v}
+            a, b = sorted(have, key=have.get)[:: max(1, len(have) - 1)][:2]
+            alphas.append(math.log(shares[d][b] / shares[d][a]) / math.log(have[b] / have[a]))
+            goal = {k: v ** alphas[-1] for k, v in have.items()}
+            for k in goal:
+                assert shares[d][k] == pytest.approx(goal[k] / sum(goal.values()), abs=1e-4), (d, k)
+        assert max(alphas) - min(alphas) < 1e-2 and 0.69 < alphas[0] < 1.001
     assert len({r.topic for r in got}) > 1
-    expected, every = sum(r.n_tokens * r.prob for r in got), sum(r.n_tokens for r in got)
-    assert expected == pytest.approx(0.8 * every, rel=0.01) or all(r.prob == 1 for r in got)
+
+
+@pytest.fixture(scope="module")
+def blend(spark):
+    r = random.Random(8)
+    rows = []
+    for i in range(6000):
+        lang, source = r.choices(["en", "fr", "de"], [6, 3, 1])[0], r.choices(["web", "news", "code"], [5, 3, 2])[0]
+        body = "x = 1;\n" * r.randint(2, 30) if r.random() < 0.3 else " ".join(r.choices(["some", "plain", "words"], k=r.randint(3, 60)))
+        rows.append((i, body, lang, source))
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").cache()
+
+
+def test_mixing_to_stated_targets(blend):
+    want = {"lang": {"en": 2, "fr": 1, "de": 1}, "source": {"web": 1, "news": 1}}
+    got = mixing.mix(blend, want).collect()
+    goal = {"lang": {"en": 0.5, "fr": 0.25, "de": 0.25}, "source": {"web": 0.5, "news": 0.5}}
+    by_prob, drawn = marginals(got, lambda r: r.n_tokens * r.prob), marginals(got, lambda r: r.n_tokens * r.selected)
+    for d in goal:
+        assert set(by_prob[d]) == set(goal[d])
+        for k, v in goal[d].items():
+            assert by_prob[d][k] == pytest.approx(v, abs=1e-3) and drawn[d][k] == pytest.approx(v, abs=0.05), (d, k)
+    assert not any(r.selected for r in got if r.source == "code")
+    half = mixing.mix(blend, want, keep=0.5).collect()
+    assert sum(r.n_tokens * r.prob for r in half) == pytest.approx(sum(r.n_tokens * r.prob for r in got) / 2)
+
+
+def test_the_draw_is_the_hash_under_prob(spark, blend):
+    unit = F.shiftrightunsigned(F.xxhash64(F.lit(17), "doc_id", "text"), 11)
+    draw = {r.doc_id: r.u / 2**53 for r in blend.select("doc_id", unit.alias("u")).collect()}
+    assert all(r.selected == (draw[r.doc_id] < r.prob) for r in mixing.mix(blend).collect())
+
+
+def test_targets_that_cannot_be_met_fail(spark, blend):
+    with pytest.raises(ValueError, match="no tokens"):
+        mixing.mix(blend, {"lang": {"en": 1, "xx": 1}})
+    nested = spark.createDataFrame([(i, "a b c", "en" if i % 3 else "fr", "s1" if i % 3 else "s2") for i in range(60)], "doc_id long, text string, lang string, source string")
+    with pytest.raises(ValueError, match="cannot be met"):
+        mixing.mix(nested, {"lang": {"en": 1, "fr": 1}, "source": {"s1": 3, "s2": 1}})
+    shares = marginals(mixing.mix(nested).collect(), lambda r: r.n_tokens * r.prob)
+    assert shares["lang"]["en"] == pytest.approx(shares["source"]["s1"], abs=1e-4)
 
 
 def test_topic_is_the_nearest_centre(spark):
