@@ -113,16 +113,16 @@ def calibrated(cells: DataFrame, targets: dict[str, dict[str, float]] | None, al
         alpha = (1 + alpha) / 2 if alpha < 0.99 else 1.0
 
 
-def mixed_rows(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, alpha: float = 0.7, keep: float = 1.0, seed: int = 17) -> DataFrame:
-    """One row per row of docs: row (all its columns), source, lang, topic, n_tokens, ratio, prob, selected.
+def mixed_rows(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, alpha: float = 0.7, keep: float = 0.8, seed: int = 17) -> DataFrame:
+    """One row per row of docs: row (all its columns), source, lang, topic, n_tokens, ratio, expected, prob, copies, selected.
 
     Tokens are white-space words; null source, lang or text counts as ''. The tables name no topic: a document's is the nearest of
     TOPICS centres of register features (prose, lists, code and so on), fitted over all rows. targets gives weights by dimension and
-    value, else a value's is tokens^alpha; see goals and calibrated. The raked share of a cell over its present share is its ratio, and
-    prob is the ratio over the largest one (times `keep`, a smaller sample), so the expected tokens drawn have the raked marginals.
-    A document is selected when the hash of its id and text falls under prob, so copies under other ids are drawn apart and repeated
-    rows together. A document without tokens takes its cell's prob, or 1 where the cell has no tokens. The sampling is the feature:
-    unselected rows are marked. Rows do not move; cells (sources x languages x TOPICS) are broadcast where a count bounds them.
+    value, else a value's is tokens^alpha; see goals and calibrated. The raked share of a cell over its present share is its ratio;
+    expected = keep * ratio is how often a document is to be read, so the expected tokens are `keep` of all and have the raked marginals.
+    It is read as often as expected has wholes, and once more when the hash of its id and text falls under the rest: copies. Copies
+    under other ids are drawn apart, repeated rows together. selected is copies > 0, prob its probability. A document without tokens
+    takes its cell's figures, or 1 where the cell has no tokens. The sampling is the feature: unselected rows are marked. Rows do not move; cells (sources x languages x TOPICS) are broadcast where a count bounds them.
     """
     t = text_of()
     label = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
@@ -132,20 +132,23 @@ def mixed_rows(docs: DataFrame, targets: dict[str, dict[str, float]] | None = No
     cells = written(seen.select("source", "lang", topic([F.col(f) for f in FEATURES]), "n_tokens").groupBy(*DIMS).agg(F.sum("n_tokens").alias("tokens")))
     release(seen)
     fitted = calibrated(cells, targets, alpha)
-    ends = fitted.agg(F.sum("tokens").alias("all"), F.max(F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens"))).alias("most")).first()
-    total, most = ends["all"] or 1, (ends["most"] or 1.0)
-    ratio = F.when(F.col("tokens") > 0, F.col("weight") * total / F.col("tokens")).otherwise(F.lit(1.0))
-    prob = F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.col("weight") / F.col("tokens") / F.lit(most)) * keep).otherwise(F.lit(1.0))
-    probs = bounded_broadcast(written(fitted.select(*DIMS, ratio.alias("ratio"), prob.alias("prob"))), MAX_CELLS)
+    total = fitted.agg(F.sum("tokens").alias("all")).first()["all"] or 1
+    some = F.col("tokens") > 0
+    ratio = F.when(some, F.col("weight") * total / F.col("tokens")).otherwise(F.lit(1.0)).alias("ratio")
+    rates = written(fitted.select(*DIMS, ratio, some.alias("some")).select(*DIMS, "ratio", F.when(F.col("some"), F.col("ratio") * keep).otherwise(F.lit(1.0)).alias("expected")))
+    rates = bounded_broadcast(rates, MAX_CELLS)
     # counts and features are projections of their own, as each is read several times
     d = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), label("source"), label("lang"),
         *text_counts(t), F.xxhash64(F.lit(seed), F.col("doc_id"), t).alias("draw"),
     ).select("row", "source", "lang", "n_tokens", "draw", *register_features()).withColumn("topic", topic([F.col(f) for f in FEATURES]))
     unit = F.shiftrightunsigned("draw", 11).cast("double") / float(1 << 53)
-    return d.join(probs, list(DIMS), "left").select("row", *DIMS, "n_tokens", "ratio", "prob", (unit < F.col("prob")).alias("selected"))
+    whole = F.floor("expected")
+    copies = (whole + F.when(unit < F.col("expected") - whole, 1).otherwise(0)).cast("int")
+    drawn = d.join(rates, list(DIMS), "left").withColumn("copies", copies)
+    return drawn.select("row", *DIMS, "n_tokens", "ratio", "expected", F.least(F.lit(1.0), F.col("expected")).alias("prob"), "copies", (F.col("copies") > 0).alias("selected"))
 
 
-def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, alpha: float = 0.7, keep: float = 1.0, seed: int = 17) -> DataFrame:
-    """One row per row of docs: doc_id, source, lang, topic, n_tokens, ratio, prob, selected; see mixed_rows."""
-    return mixed_rows(docs, targets, alpha, keep, seed).select("row.doc_id", *DIMS, "n_tokens", "ratio", "prob", "selected")
+def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, alpha: float = 0.7, keep: float = 0.8, seed: int = 17) -> DataFrame:
+    """One row per row of docs: doc_id, source, lang, topic, n_tokens, ratio, expected, prob, copies, selected; see mixed_rows."""
+    return mixed_rows(docs, targets, alpha, keep, seed).select("row.doc_id", *DIMS, "n_tokens", "ratio", "expected", "prob", "copies", "selected")

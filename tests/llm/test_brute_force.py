@@ -322,14 +322,15 @@ def marginals(rows, weight):
 
 
 def test_mixing_meets_all_marginals(docs):
-    """With the query's own parameters, every marginal of the tokens by ratio, and by prob, is a power of the present one."""
+    """With the query's own parameters, every marginal of the tokens by ratio, and by expected copies, is a power of the present one."""
     got = mixing.mix(docs).collect()
-    assert len(got) == len(TEXTS) and all(0 <= r.prob <= 1 for r in got) and max(r.prob for r in got) == 1
+    assert len(got) == len(TEXTS) and all(r.prob == min(1, r.expected) and r.copies in (math.floor(r.expected), math.floor(r.expected) + 1) for r in got)
+    assert sum(r.n_tokens * r.expected for r in got) == pytest.approx(0.8 * sum(r.n_tokens for r in got))
     tokens = {d: Counter() for d in mixing.DIMS}
     for r in got:
         for d in mixing.DIMS:
             tokens[d][r[d]] += r.n_tokens
-    for weight in (lambda r: r.n_tokens * r.ratio, lambda r: r.n_tokens * r.prob):
+    for weight in (lambda r: r.n_tokens * r.ratio, lambda r: r.n_tokens * r.expected):
         shares = marginals(got, weight)
         alphas = []
         for d in mixing.DIMS:
@@ -358,20 +359,22 @@ def test_mixing_to_stated_targets(blend):
     want = {"lang": {"en": 2, "fr": 1, "de": 1}, "source": {"web": 1, "news": 1}}
     got = mixing.mix(blend, want).collect()
     goal = {"lang": {"en": 0.5, "fr": 0.25, "de": 0.25}, "source": {"web": 0.5, "news": 0.5}}
-    by_prob, drawn = marginals(got, lambda r: r.n_tokens * r.prob), marginals(got, lambda r: r.n_tokens * r.selected)
+    by_prob, drawn = marginals(got, lambda r: r.n_tokens * r.expected), marginals(got, lambda r: r.n_tokens * r.copies)
     for d in goal:
         assert set(by_prob[d]) == set(goal[d])
         for k, v in goal[d].items():
-            assert by_prob[d][k] == pytest.approx(v, abs=1e-3) and drawn[d][k] == pytest.approx(v, abs=0.05), (d, k)
+            assert by_prob[d][k] == pytest.approx(v, abs=1e-3) and drawn[d][k] == pytest.approx(v, abs=0.02), (d, k)
     assert not any(r.selected for r in got if r.source == "code")
-    half = mixing.mix(blend, want, keep=0.5).collect()
-    assert sum(r.n_tokens * r.prob for r in half) == pytest.approx(sum(r.n_tokens * r.prob for r in got) / 2)
+    half = mixing.mix(blend, want, keep=0.4).collect()
+    assert sum(r.n_tokens * r.expected for r in half) == pytest.approx(sum(r.n_tokens * r.expected for r in got) / 2)
 
 
 def test_the_draw_is_the_hash_under_prob(spark, blend):
     unit = F.shiftrightunsigned(F.xxhash64(F.lit(17), "doc_id", "text"), 11)
     draw = {r.doc_id: r.u / 2**53 for r in blend.select("doc_id", unit.alias("u")).collect()}
-    assert all(r.selected == (draw[r.doc_id] < r.prob) for r in mixing.mix(blend).collect())
+    got = mixing.mix(blend).collect()
+    assert all(r.copies == math.floor(r.expected) + (draw[r.doc_id] < r.expected % 1) and r.selected == (r.copies > 0) for r in got)
+    assert any(r.copies > 1 for r in got) and any(r.copies == 0 for r in got)
 
 
 def test_targets_that_cannot_be_met_fail(spark, blend):
@@ -380,7 +383,7 @@ def test_targets_that_cannot_be_met_fail(spark, blend):
     nested = spark.createDataFrame([(i, "a b c", "en" if i % 3 else "fr", "s1" if i % 3 else "s2") for i in range(60)], "doc_id long, text string, lang string, source string")
     with pytest.raises(ValueError, match="cannot be met"):
         mixing.mix(nested, {"lang": {"en": 1, "fr": 1}, "source": {"s1": 3, "s2": 1}})
-    shares = marginals(mixing.mix(nested).collect(), lambda r: r.n_tokens * r.prob)
+    shares = marginals(mixing.mix(nested).collect(), lambda r: r.n_tokens * r.expected)
     assert shares["lang"]["en"] == pytest.approx(shares["source"]["s1"], abs=1e-4)
 
 
