@@ -74,8 +74,9 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The drawn documents, with their topic, weight ratio and probability as mix_topic, mix_ratio and mix_prob, in place of any such columns."""
-    new = {"mix_topic": "topic", "mix_ratio": "ratio", "mix_prob": "prob"}
+    """The drawn documents, a row each, with their topic, weight ratio, probability and how often to read them as mix_topic, mix_ratio,
+    mix_prob and mix_copies, in place of any such columns."""
+    new = {"mix_topic": "topic", "mix_ratio": "ratio", "mix_prob": "prob", "mix_copies": "copies"}
     kept = [F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in new]
     return mixed_rows(docs).filter("selected").select(*kept, *[F.col(c).alias(name) for name, c in new.items()])
 
