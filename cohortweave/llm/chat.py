@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .common import written
 
 BLOCK = 512  # messages that stand together in one row between the two shuffles
+PREFIX = 64
 OWN = "<|assistant|>\n"
 
 
@@ -20,8 +21,8 @@ def rotate_perspectives(conversations: DataFrame, block: int = BLOCK) -> DataFra
     the assistant said, which a trainer learns from. Messages go by turn, then role and text; equal ones are each rendered.
     Null role is `unknown`, null text empty, null turn -1; all messages without a conv_id are one conversation.
 
-    A dialogue may hold most of the table: messages are ranged over all partitions by (conversation, turn), equal ones too, and
-    cut into blocks of at most `block`. Running offsets come from one row per block: of all messages in users' form, and of each
+    A dialogue may hold most of the table: messages are ranged over all partitions by conversation, turn, role and the first PREFIX
+    code points, so the bounds that the driver samples hold no whole texts; equal short ones spread too. They are cut into blocks of at most `block`. Running offsets come from one row per block: of all messages in users' form, and of each
     speaker's own, whose heading has another length. Texts meet the participants block by block.
     """
     c = conversations.select(
@@ -29,7 +30,8 @@ def rotate_perspectives(conversations: DataFrame, block: int = BLOCK) -> DataFra
         F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row"),
     )
     order = ["conv", "turn", "role", "text", "row"]
-    c = written(c.repartitionByRange(*order).sortWithinPartitions(*order).select("conv", "turn", "role", "text", F.monotonically_increasing_id().alias("pos")))
+    short = F.when(F.length("text") <= PREFIX, F.col("row"))  # of equal prefixes of longer texts the rest decides, inside their partition
+    c = written(c.repartitionByRange("conv", "turn", "role", F.substring("text", 1, PREFIX), short).sortWithinPartitions(*order).select("conv", "turn", "role", "text", F.monotonically_increasing_id().alias("pos")))
     c = c.withColumn("block", F.floor(F.col("pos") / block))
     head = F.concat(F.lit("<|user:"), F.col("role"), F.lit("|>\n"))
     size = F.length(head) + F.length("text") + 1

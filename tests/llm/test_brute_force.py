@@ -403,6 +403,7 @@ def test_topic_is_the_nearest_centre(spark):
 def test_perspectives(spark, block):
     said = [(1, 0, "ann", "héllo"), (1, 1, "bob", "hi\nyou"), (1, 1, "bob", "hi\nyou"), (1, 2, None, None), (2, None, "ann", ""), (None, 0, "x", "y"), (None, 1, "z", "w")]
     said += [(3, i // 2, "r" if i % 3 else "q", f"text {i}") for i in range(1200)] + [(4, 0, "same", "same text")] * 50
+    said += [(5, 0, "same", "x" * 100 + str(i * 7 % 40)) for i in range(60)]
     got = chat.rotate_perspectives(spark.createDataFrame(said, "conv_id long, turn int, role string, text string"), block).collect()
     talks = defaultdict(list)
     for conv, turn, role, text in said:
