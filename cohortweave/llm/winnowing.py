@@ -75,6 +75,18 @@ def _short_matches(doc: DataFrame, keys: DataFrame, size: int) -> DataFrame:
     return all_grams.join(bounded_broadcast(keys.filter(F.col("n") == size), MAX_BROADCAST_ROWS // 10), "key").select("row", "pos", "n", "group")
 
 
+def group_sets(found: DataFrame) -> DataFrame:
+    """(row, set, groups): the different groups that a row meets, in order, and the digest of that list."""
+    met = found.groupBy("row").agg(F.sort_array(F.collect_set("group")).alias("groups"))
+    return met.select("row", F.md5(F.to_json("groups").cast("binary")).alias("set"), "groups")
+
+
+def items_of_sets(sets: DataFrame, groups: DataFrame) -> DataFrame:
+    """(set, item): each different set of groups lists its items once, however many rows have met it."""
+    each = sets.groupBy("set").agg(F.first("groups").alias("groups")).select("set", F.explode("groups").alias("group"))
+    return each.join(bounded_broadcast(groups, MAX_BROADCAST_ROWS // 10), "group").select("set", F.explode("items").alias("item"))
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """Per row of docs: doc_id, n_words, n_hit, n_items, items (sorted item ids), spans (merged hit word ranges), contaminated.
 
@@ -82,8 +94,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
     so every shared span of `window` words is found; the windows are then compared by all their word hashes.
     An item of fewer words is one window of its own length; items with a null id are searched but not named. Null or empty text has no words.
     Texts are hashed once into a written table, where each row gets a key of its own, so rows that repeat a doc_id or have none stay
-    apart. Windows that the same items hold form a group; a document meets groups, not items, until the groups of a
-    document are distinct.
+    apart. Windows that the same items hold form a group; documents meet groups, and each different set of groups is made a list of
+    items once, so a passage of many items in many documents costs their sum, not their product.
     """
     hashed = F.transform(words(text_of()), lambda x: F.xxhash64(x)).alias("h")
     doc = written(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", hashed).withColumn("n_words", F.size("h").cast("long")))
@@ -104,8 +116,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
     at = found.groupBy("row", "pos").agg(F.max("n").alias("n")).groupBy("row").agg(
         F.array_sort(F.collect_list(F.struct("pos", (F.col("pos") + F.col("n")).alias("end")))).alias("at")
     )
-    met = found.select("row", "group").distinct().join(bounded_broadcast(groups, MAX_BROADCAST_ROWS // 10), "group")
-    names = met.select("row", F.explode("items").alias("item")).groupBy("row").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    sets = written(group_sets(found))
+    names = sets.select("row", "set").join(items_of_sets(sets, groups).groupBy("set").agg(F.sort_array(F.collect_set("item")).alias("items")), "set").select("row", "items")
     merged = F.aggregate(
         "at",
         F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("end")),
@@ -115,6 +127,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
         ),
     )["n"]
     hits = written(at.join(names, "row", "left").select("row", merged.alias("n_hit"), "items", F.col("at").alias("spans")))
+    release(found, sets)
     rows = slim.join(bounded_broadcast(hits, MAX_BROADCAST_ROWS // 100), "row", "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return rows.select(

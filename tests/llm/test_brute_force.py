@@ -77,6 +77,19 @@ def words_of(t):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER))
 
 
+def test_a_window_of_many_items_in_many_documents(spark):
+    """1,000 items and 1,000 documents share a window: item lists are made once a set of groups, not once a document."""
+    shared = "one two three four five six seven eight nine ten"
+    d = spark.createDataFrame([(i, f"own{i} {shared}" + (" b1 b2 b3 b4 b5 b6 b7 b8 b9 b10" if i < 10 else "")) for i in range(1000)], "doc_id long, text string")
+    b = spark.createDataFrame([(i, shared) for i in range(1000)] + [(5000, "b1 b2 b3 b4 b5 b6 b7 b8 b9 b10")], "item_id long, text string")
+    got = by_id(winnowing.decontaminate(d, b))
+    assert all(r.n_items == 1000 + (i < 10) and r.n_hit == 10 + 10 * (i < 10) for i, r in got.items())
+    found = spark.createDataFrame([(i, g) for i in range(1000) for g in (["g", "h"] if i < 10 else ["g"])], "row long, group string")
+    groups = spark.createDataFrame([("g", [str(i) for i in range(1000)]), ("h", ["5000"])], "group string, items array<string>")
+    sets = winnowing.group_sets(found)
+    assert sets.count() == 1000 and winnowing.items_of_sets(sets, groups).count() == 1000 + 1001
+
+
 def test_winnowing(spark, docs):
     items = [(0, " ".join(words_of(TEXTS[10])[:14])), (1, TEXTS[7]), (2, None), (3, ""), (10, " ".join(words_of(TEXTS[20])[:6])), (11, TEXTS[-1])]
     got = by_id(winnowing.decontaminate(docs, spark.createDataFrame(items, "item_id long, text string")))
