@@ -13,7 +13,7 @@ BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
 PIECE_BPE = "/opt/tokenizers/piece_bpe_32k.model"
 _SPACES = [c for c in map(chr, range(0x10000)) if c.isspace()]
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-_WORD_END = re.compile(r"([A-Za-z]+)([.,;:!?])")
+_JOINED = 20_000  # segments that are encoded as one text
 LONGEST = 64  # code points of a segment that is worth keeping
 
 
@@ -27,15 +27,15 @@ class ByteBpe:
     """Byte-level BPE of a tokenizer file. Its splitter starts anew at a blank after a character that is no white space, so
     segments (all but a text's first with their blank) are encoded alone. Special tokens' strings are those tokens, or plain text."""
 
-    def __init__(self, path: str = BYTE_BPE, special_as_text: bool = False, keep: int = 600_000):
+    def __init__(self, path: str = BYTE_BPE, special_as_text: bool = False, keep: int = 900_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = special_as_text
         self.size = self.model.get_vocab_size()
+        self.long = self.lengths()
         self.keep, self.spaced, self.first = keep, {}, {}
-        self.line = self._ids(["\n"])[0]
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, np.uint32).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
@@ -51,40 +51,41 @@ class ByteBpe:
         """The ids of blank + segment for each."""
         return self._ids([" " + s for s in segments])
 
-    def _learn(self, known: dict, new: list[str], encode) -> None:
-        """Ids of new segments. Lines of one, and a mark after letters, are tokens of their own, so known words are not encoded again."""
-        parts = {}
-        for s in new:
-            lines = s.split("\n")
-            if len(lines) > 1 and all(x and not (x[0].isspace() or x[-1].isspace()) for x in lines):
-                parts[s] = lines
-            elif m := _WORD_END.fullmatch(s):
-                parts[s] = m.groups()
-        own = {s for s in new if s not in parts}
-        own.update(p[0] for p in parts.values())
-        own = list(own - known.keys())
-        rest = list({x for p in parts.values() for x in p[1:]} - self.first.keys())
-        known.update(zip(own, encode(own), strict=True))
-        loose = {**dict(zip(rest, self._ids(rest), strict=True))}
-        tail = lambda x: self.first[x] if x in self.first else loose[x]
-        line = self.line
-        for s, p in parts.items():
-            known[s] = known[p[0]] + (line.join([b"", *map(tail, p[1:])]) if "\n" in s else tail(p[1]))
+    def joined_ids(self, segments: list[str]) -> list[bytes]:
+        """spaced_ids by way of few long texts: segments joined by blanks are a text's own, and its ids' lengths tell them apart.
+
+        A segment with white space at an end is not one of such a text and goes alone.
+        """
+        out: list[bytes] = [b""] * len(segments)
+        plain = [i for i, s in enumerate(segments) if s and not (s[0].isspace() or s[-1].isspace())]
+        for k in range(0, len(plain), _JOINED):
+            part = plain[k : k + _JOINED]
+            pieces = [segments[i] for i in part]
+            ids = np.array(self.model.encode_batch_fast([" " + " ".join(pieces)], add_special_tokens=False)[0].ids, np.uint32)
+            bounds = np.searchsorted(np.cumsum(self.long[ids]), np.cumsum([len(x.encode()) + 1 for x in pieces])) + 1
+            flat, last = ids.tobytes(), 0
+            for i, end in zip(part, (4 * bounds).tolist(), strict=True):
+                out[i], last = flat[last:end], end
+        rest = sorted(set(range(len(segments))) - set(plain))
+        for i, x in zip(rest, self.spaced_ids([segments[i] for i in rest]), strict=True):
+            out[i] = x
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
         cut, got, new = [segments(t) for t in texts], [], {}
         sizes = [len(self.first), len(self.spaced)]
-        self._learn(self.first, list({c[0] for c in cut} - self.first.keys()), self._ids)
+        heads = list({c[0] for c in cut} - self.first.keys())
+        self.first.update(zip(heads, self._ids(heads), strict=True))
         for c in cut:
             head = c[0]
             c[0] = ""  # its place is filled from the first segments
             parts = list(map(self.spaced.get, c))
             parts[0] = self.first[head]
             if None in parts:
-                new.update((s, None) for s, x in zip(c, parts) if x is None)
+                new.update([(s, None) for s, x in zip(c, parts) if x is None])
             got.append(parts)
-        self._learn(self.spaced, list(new), self.spaced_ids)
+        self.spaced.update(zip(new, self.joined_ids(list(new)), strict=True))
         out = [b"".join([self.spaced[s] if x is None else x for s, x in zip(c, p)] if None in p else p) for c, p in zip(cut, got, strict=True)]
         for known, size in zip((self.first, self.spaced), sizes, strict=True):
             fresh = list(islice(known, size, None))  # a dict keeps its order
