@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -145,8 +146,10 @@ def mixed_rows(docs: DataFrame, targets: dict[str, dict[str, float]] | None = No
     unit = F.shiftrightunsigned("draw", 11).cast("double") / float(1 << 53)
     whole = F.floor("expected")
     copies = (whole + F.when(unit < F.col("expected") - whole, 1).otherwise(0)).cast("int")
-    drawn = d.join(rates, list(DIMS), "left").withColumn("copies", copies)
-    return drawn.select("row", *DIMS, "n_tokens", "ratio", "expected", F.least(F.lit(1.0), F.col("expected")).alias("prob"), "copies", (F.col("copies") > 0).alias("selected"))
+    # no key is null; null-safe keys keep Spark from looking for nulls, which would work out the topic's expression before the projections
+    same = reduce(Column.__and__, [F.col(f"d.{c}").eqNullSafe(F.col(f"r.{c}")) for c in DIMS])
+    drawn = d.alias("d").join(rates.alias("r"), same, "left").withColumn("copies", copies)
+    return drawn.select("row", *[f"d.{c}" for c in DIMS], "n_tokens", "ratio", "expected", F.least(F.lit(1.0), F.col("expected")).alias("prob"), "copies", (F.col("copies") > 0).alias("selected"))
 
 
 def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, alpha: float = 0.7, keep: float = 0.8, seed: int = 17) -> DataFrame:
