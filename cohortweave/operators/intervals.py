@@ -52,7 +52,8 @@ def distance_bands(points: DataFrame, islands: DataFrame, near: int, far: int) -
 
 
 def merge_intervals(df: DataFrame, key: str, gap: int = 1, most: int = 1_000_000) -> DataFrame:
-    """Union of (start, end) per key; intervals that touch or lie `gap` apart become one.
+    """Union of (start, end) per key; intervals that touch or lie `gap` apart become one. An interval without ends comes last, so it
+    parts no others: it falls to its key's last run, or stays where its key has nothing else.
 
     Keys of up to `most` rows are merged by a window each. Larger ones, which one counting pass finds, are ranged by key and
     start over many tasks, where each partition learns how far the earlier ones reach.
@@ -65,8 +66,12 @@ def merge_intervals(df: DataFrame, key: str, gap: int = 1, most: int = 1_000_000
     return _merged_in_windows(rows.join(few, key, "left_anti"), key, gap).unionByName(_merged_in_ranges(rows.join(few, key, "left_semi"), key, gap))
 
 
+def _in_order() -> list[Column]:
+    return [F.col("start").asc_nulls_last(), F.col("end").asc_nulls_last()]
+
+
 def _merged_in_windows(rows: DataFrame, key: str, gap: int) -> DataFrame:
-    w = Window.partitionBy(key).orderBy("start", "end")
+    w = Window.partitionBy(key).orderBy(*_in_order())
     before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     flagged = rows.withColumn("fresh", _fresh(before, gap))
     runs = flagged.withColumn("run", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
@@ -74,7 +79,7 @@ def _merged_in_windows(rows: DataFrame, key: str, gap: int) -> DataFrame:
 
 
 def _merged_in_ranges(rows: DataFrame, key: str, gap: int) -> DataFrame:
-    reached = running(ranged(rows, [F.col(key), F.col("start"), F.col("end")]), F.max, ["end"], [key])
+    reached = running(ranged(rows, [F.col(key), *_in_order()]), F.max, ["end"], [key])
     flagged = reached.withColumn("fresh", _fresh(F.col("before_end"), gap))
     return _extents(running(flagged, F.sum, ["fresh"], [key], first=0).withColumn("run", F.col("before_fresh") + F.col("fresh")), key)
 

@@ -27,6 +27,13 @@ def test_merge(spark, most):
     assert {tuple(x) for x in got.collect()} == want and got.count() == len(want)
 
 
+@pytest.mark.parametrize("most", [1_000_000, 2])
+def test_merge_with_missing_ends(spark, most):
+    rows = [("a", None, None), ("a", 1, 5), ("a", 6, 9), ("a", 20, 22), ("a", None, None), ("b", None, None), ("c", 3, 4)]
+    got = intervals.merge_intervals(spark.createDataFrame(rows, "k string, start long, end long").repartition(5), "k", most=most)
+    assert sorted(map(tuple, got.collect()), key=str) == [("a", 1, 9), ("a", 20, 22), ("b", None, None), ("c", 3, 4)]
+
+
 def test_points_in_narrow_and_wide_intervals(spark):
     r = random.Random(4)
     iv = [("x", s, s + w, i) for i, (s, w) in enumerate((r.randint(-500, 9000), r.choice([0, 3, 40, 900, 8000])) for _ in range(80))] + [("x", -(10**9), 10**9, 99), ("y", 0, 5, 100)]
