@@ -51,37 +51,51 @@ def distance_bands(points: DataFrame, islands: DataFrame, near: int, far: int) -
     return points.join(best.select("chrom", "pos", band.alias("band")), ["chrom", "pos"], "left").withColumn("band", F.coalesce("band", F.lit("open")))
 
 
-def merge_intervals(df: DataFrame, key: str, gap: int = 1, most: int = 1_000_000) -> DataFrame:
+BUCKETS = 1 << 16  # counters of a task in the first look for large keys
+
+
+def merge_intervals(df: DataFrame, key: str | list[str], gap: int = 1, most: int = 1_000_000) -> DataFrame:
     """Union of (start, end) per key; intervals that touch or lie `gap` apart become one. An interval without ends comes last, so it
     parts no others: it falls to its key's last run, or stays where its key has nothing else.
 
-    Keys of up to `most` rows are merged by a window each. Larger ones, which one counting pass finds, are ranged by key and
-    start over many tasks, where each partition learns how far the earlier ones reach.
+    Keys of up to `most` rows are merged by a window each. Larger ones are ranged by key and start over many tasks, where each
+    partition learns how far the earlier ones reach.
     """
-    rows = df.select(key, "start", "end")
-    large = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).select(key)
-    if large.isEmpty():
-        return _merged_in_windows(rows, key, gap)
+    keys = [key] if isinstance(key, str) else key
+    rows = df.select(*keys, "start", "end")
+    large = _large_keys(rows, keys, most)
+    if large is None or large.isEmpty():
+        return _merged_in_windows(rows, keys, gap)
     few = F.broadcast(large)  # keys of over `most` rows are few
-    return _merged_in_windows(rows.join(few, key, "left_anti"), key, gap).unionByName(_merged_in_ranges(rows.join(few, key, "left_semi"), key, gap))
+    return _merged_in_windows(rows.join(few, keys, "left_anti"), keys, gap).unionByName(_merged_in_ranges(rows.join(few, keys, "left_semi"), keys, gap))
+
+
+def _large_keys(rows: DataFrame, keys: list[str], most: int) -> DataFrame | None:
+    """Keys of over `most` rows. Rows are counted by a hash first, which moves BUCKETS counts a task at most; None where no
+    bucket is that large, and else only the keys of large buckets are counted."""
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS))
+    full = [r[0] for r in rows.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).collect()]
+    if not full:
+        return None
+    return rows.filter(bucket.isin(full)).groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).select(*keys)
 
 
 def _in_order() -> list[Column]:
     return [F.col("start").asc_nulls_last(), F.col("end").asc_nulls_last()]
 
 
-def _merged_in_windows(rows: DataFrame, key: str, gap: int) -> DataFrame:
-    w = Window.partitionBy(key).orderBy(*_in_order())
+def _merged_in_windows(rows: DataFrame, keys: list[str], gap: int) -> DataFrame:
+    w = Window.partitionBy(*keys).orderBy(*_in_order())
     before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     flagged = rows.withColumn("fresh", _fresh(before, gap))
     runs = flagged.withColumn("run", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return _extents(runs, key)
+    return _extents(runs, keys)
 
 
-def _merged_in_ranges(rows: DataFrame, key: str, gap: int) -> DataFrame:
-    reached = running(ranged(rows, [F.col(key), *_in_order()]), F.max, ["end"], [key])
+def _merged_in_ranges(rows: DataFrame, keys: list[str], gap: int) -> DataFrame:
+    reached = running(ranged(rows, [*[F.col(k) for k in keys], *_in_order()]), F.max, ["end"], keys)
     flagged = reached.withColumn("fresh", _fresh(F.col("before_end"), gap))
-    return _extents(running(flagged, F.sum, ["fresh"], [key], first=0).withColumn("run", F.col("before_fresh") + F.col("fresh")), key)
+    return _extents(running(flagged, F.sum, ["fresh"], keys, first=0).withColumn("run", F.col("before_fresh") + F.col("fresh")), keys)
 
 
 def _fresh(before: Column, gap: int) -> Column:
@@ -89,5 +103,5 @@ def _fresh(before: Column, gap: int) -> Column:
     return F.when(before.isNull() | (F.col("start") > before + gap), 1).otherwise(0).cast("long")
 
 
-def _extents(runs: DataFrame, key: str) -> DataFrame:
-    return runs.groupBy(key, "run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("run")
+def _extents(runs: DataFrame, keys: list[str]) -> DataFrame:
+    return runs.groupBy(*keys, "run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("run")

@@ -37,49 +37,48 @@ def genes_of(rows: DataFrame, types: tuple[str, ...] = ("protein_coding",), vers
 
 
 def role_intervals(rows: DataFrame, genes: DataFrame, types: tuple[str, ...], core: int, proximal: int) -> DataFrame:
-    """(gene_id, role, start, end) before merging. Rows of genes that are not kept fall out; empty windows too.
+    """(gene_id, chromosome, strand, role, start, end) before merging, with the gene's contig and strand. Rows of genes that are not
+    kept fall out; empty windows too.
 
-    An untranslated region without a side takes it from its midpoint against the coding bounds of its transcript.
+    An untranslated region without a side takes it from its midpoint against the coding bounds of its transcript. All other rows
+    are read once: each is an array of what it stands for.
     """
-    r = rows.withColumn("gene_id", strip_version(F.col("gene_id"))).join(genes.select("gene_id"), "gene_id", "left_semi")
-    of = lambda feature: r.filter(F.col("feature") == feature)
-    span = lambda df, role: df.select("gene_id", F.lit(role).alias("role"), "start", "end")
-    t = of("transcript").filter(F.coalesce("gene_type", F.lit("")).isin(*types))
-    tss = transcription_start(F.col("start"), F.col("end"), F.col("strand"))
-    floor = lambda x: F.greatest(F.lit(1), x)
-    near = t.select("gene_id", F.lit(ROLES[0]).alias("role"), floor(tss - core).alias("start"), (tss + core).alias("end"))
-    sides = t.filter(F.col("strand").isin("+", "-")).select("gene_id", "strand", tss.alias("tss"))
-    plus = F.col("strand") == "+"
-    far = sides.select(
-        "gene_id", F.lit(ROLES[1]).alias("role"),
-        F.when(plus, floor(F.col("tss") - proximal)).otherwise(F.col("tss") + core).alias("start"),
-        F.when(plus, F.col("tss") - core).otherwise(F.col("tss") + proximal).alias("end"),
+    r = rows.withColumn("gene_id", strip_version(F.col("gene_id")))
+    start, end, feature = F.col("start").cast("long"), F.col("end").cast("long"), F.col("feature")
+    span = lambda role, lo=start, hi=end: F.struct(F.lit(role).alias("role"), lo.alias("start"), hi.alias("end"))
+    tss = transcription_start(start, end, F.col("strand"))
+    floor = lambda x: F.greatest(F.lit(1).cast("long"), x)
+    plus, minus = F.col("strand") == "+", F.col("strand") == "-"
+    near = span(ROLES[0], floor(tss - core), tss + core)
+    far = span(ROLES[1], F.when(plus, floor(tss - proximal)).when(minus, tss + core), F.when(plus, tss - core).when(minus, tss + proximal))
+    of_row = (
+        F.when((feature == "transcript") & F.coalesce("gene_type", F.lit("")).isin(*types), F.array(near, far))
+        .when((feature == "exon") & (F.col("exon_number") == "1"), F.array(span(ROLES[2])))
+        .when(feature == "five_prime_utr", F.array(span(ROLES[2]))).when(feature == "three_prime_utr", F.array(span(ROLES[3])))
     )
-    coding = of("CDS").filter("transcript_id IS NOT NULL").groupBy("transcript_id").agg(F.min("start").alias("cds_lo"), F.max("end").alias("cds_hi"))
-    u = of("UTR").join(coding, "transcript_id")
-    mid = F.floor((F.col("start") + F.col("end")) / 2)
+    plain = r.filter(feature.isin("transcript", "exon", "five_prime_utr", "three_prime_utr")).select("gene_id", F.inline(of_row))
+    coding = r.filter((feature == "CDS") & F.col("transcript_id").isNotNull()).join(genes.select("gene_id"), "gene_id", "left_semi")
+    coding = coding.groupBy("transcript_id").agg(F.min("start").alias("cds_lo"), F.max("end").alias("cds_hi"))
+    mid = F.floor((start + end) / 2)
     before, after = mid < F.col("cds_lo"), mid > F.col("cds_hi")
-    side = F.when((plus & before) | ((F.col("strand") == "-") & after), ROLES[2]).when((plus & after) | ((F.col("strand") == "-") & before), ROLES[3])
-    utr = u.select("gene_id", side.alias("role"), "start", "end").filter("role IS NOT NULL")
-    first_exon = of("exon").filter(F.col("exon_number") == "1")
-    body = genes.select("gene_id", F.lit(ROLES[4]).alias("role"), "start", "end")
-    parts = [near, far, span(first_exon, ROLES[2]), span(of("five_prime_utr"), ROLES[2]), span(of("three_prime_utr"), ROLES[3]), utr, body]
-    return reduce(DataFrame.unionByName, [p.select("gene_id", "role", F.col("start").cast("long").alias("start"),
-        F.col("end").cast("long").alias("end")) for p in parts]).filter(F.col("start") <= F.col("end"))
+    side = F.when((plus & before) | (minus & after), ROLES[2]).when((plus & after) | (minus & before), ROLES[3])
+    utr = r.filter(feature == "UTR").join(coding, "transcript_id").select("gene_id", side.alias("role"), start.alias("start"), end.alias("end")).filter("role IS NOT NULL")
+    body = genes.select("gene_id", F.lit(ROLES[4]).alias("role"), start.alias("start"), end.alias("end"))
+    spans = reduce(DataFrame.unionByName, [plain, utr, body]).filter(F.col("start") <= F.col("end"))
+    return spans.join(genes.select("gene_id", "chromosome", "strand"), "gene_id")
 
 
 def build_regions(rows: DataFrame, types: tuple[str, ...] = ("protein_coding",), core: int = 200, proximal: int = 1500, version: str = "") -> tuple[DataFrame, DataFrame]:
     """(genes, regions): per gene and role the merged intervals, numbered from the second on (`_2`, ...) in region_id.
 
     rows: chrom, feature, start, end (1-based, inclusive), strand, gene_id, gene_type, gene_name, transcript_id, exon_number.
-    Windows run per gene and role, so no contig sits in one task.
+    Windows run per gene and role, so no contig sits in one task. Where only genes are wanted, genes_of alone reads less.
     """
-    rows = written(rows)  # parsed text is read once per feature below
+    rows = written(rows)  # parsed text is read several times below
     genes = written(genes_of(rows, types, version))
-    spans = role_intervals(rows, genes, types, core, proximal).withColumn("key", F.struct("gene_id", "role"))
-    merged = merge_intervals(spans.select("key", "start", "end"), "key").select("key.gene_id", "key.role", "start", "end")
-    n = F.row_number().over(Window.partitionBy("gene_id", "role").orderBy("start"))
+    spans = written(role_intervals(rows, genes, types, core, proximal))  # read by the count of large keys, then merged
+    key = ["gene_id", "role", "chromosome", "strand"]
+    n = F.row_number().over(Window.partitionBy(*key).orderBy("start"))
     suffix = F.when(F.col("n") == 1, "").otherwise(F.concat(F.lit("_"), F.col("n").cast("string")))
-    named = merged.withColumn("n", n).withColumn("region_id", F.concat(F.col("gene_id"), F.lit(":"), F.col("role"), suffix)).drop("n")
-    regions = named.join(genes.select("gene_id", "chromosome", "strand"), "gene_id").withColumnRenamed("role", "region_type")
-    return genes, regions.select("region_id", "gene_id", "region_type", "chromosome", "start", "end", "strand")
+    named = merge_intervals(spans, key).withColumn("n", n).withColumn("region_id", F.concat(F.col("gene_id"), F.lit(":"), F.col("role"), suffix))
+    return genes, named.select("region_id", "gene_id", F.col("role").alias("region_type"), "chromosome", "start", "end", "strand")

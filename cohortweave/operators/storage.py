@@ -31,6 +31,11 @@ def written(df: DataFrame, codec: str = "snappy") -> DataFrame:
     return out
 
 
+def spread(df: DataFrame, waves: int = 4) -> DataFrame:
+    """Few rows that will become many, dealt out evenly: `waves` tasks a core, whatever the layout of the files they come from."""
+    return df.repartition(waves * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def release(*tables: DataFrame) -> None:
     """Delete written tables that nothing reads any more."""
     for t in tables:

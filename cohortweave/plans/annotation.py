@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import intervals, loci, matrix, regions, report
 from ..operators.ordered import numbered
+from ..operators.storage import spread, written
 from ..sources import annotation
 from .queries import query
 
@@ -14,8 +15,11 @@ _GENE = "part"
 
 
 def _gtf_lines(t):
-    """Annotation lines from parts: a gene, its transcript, two exons, a coding span and two untranslated ones per part."""
-    p = t("part").select(
+    """Annotation lines from parts: a gene, its transcript, two exons, a coding span and two untranslated ones per part.
+
+    Parts are dealt out before they become text: a file's row group is one task, and its lines are far more than its bytes tell.
+    """
+    p = spread(t("part").select("p_partkey", "p_size")).select(
         F.col("p_partkey").alias("k"), (F.col("p_partkey") * 700).alias("s"), (F.col("p_partkey") * 700 + F.col("p_size") * 40 + 400).alias("e"),
         F.when(F.col("p_partkey") % 2 == 0, "+").otherwise("-").alias("st"), F.when(F.col("p_size") % 5 == 0, "lncRNA").otherwise("protein_coding").alias("ty"),
         F.when(F.col("p_partkey") % 11 == 0, "MT").otherwise((F.col("p_partkey") % 7 + 1).cast("string")).alias("c"),

@@ -10,19 +10,29 @@ from ..functions.text import contig_name
 ATTRIBUTES = ("gene_id", "gene_type", "gene_name", "transcript_id", "exon_number")
 
 
-def attribute(attrs: Column, key: str) -> Column:
-    """The last value of a key, quoted or bare; null where there is none."""
-    values = F.regexp_extract_all(attrs, F.lit(rf'(?:^|;)\s*{key}\s+"?([^";\s]*[^";]*)"?'), F.lit(1))
-    return F.nullif(F.rtrim(F.element_at(F.when(F.size(values) > 0, values), -1)), F.lit(""))
+def attributes(attrs: Column, keys: tuple[str, ...]) -> tuple[Column, Column]:
+    """(names, values) of the wanted keys in the order of the text, quoted or bare. Two passes over the text find all keys."""
+    found = rf'(?:^|;)\s*({"|".join(keys)})\s+"?([^";\s]*[^";]*)"?'
+    return tuple(F.regexp_extract_all(attrs, F.lit(found), F.lit(i)) for i in (1, 2))
+
+
+def last_value(names: Column, values: Column, key: str) -> Column:
+    """The last value of a key; null where there is none or it is empty."""
+    back = F.nullif(F.array_position(F.reverse(names), key).cast("int"), F.lit(0))
+    return F.nullif(F.rtrim(F.element_at(values, -back)), F.lit(""))
 
 
 def parse_gtf(lines: DataFrame) -> DataFrame:
     """Lines (column value) to chrom, feature, start, end, strand and ATTRIBUTES; remarks and lines of under nine fields fall out."""
     f = F.split("value", "\t")
     rows = lines.filter(~F.col("value").startswith("#") & (F.size(f) >= 9))
-    kind = F.coalesce(attribute(f[8], "gene_type"), attribute(f[8], "gene_biotype"))
-    cols = [kind.alias(k) if k == "gene_type" else attribute(f[8], k).alias(k) for k in ATTRIBUTES]
-    return rows.select(f[0].alias("chrom"), f[2].alias("feature"), f[3].cast("long").alias("start"), f[4].cast("long").alias("end"), f[6].alias("strand"), *cols)
+    names, values = attributes(f[8], (*ATTRIBUTES, "gene_biotype"))
+    fields = rows.select(f[0].alias("chrom"), f[2].alias("feature"), f[3].cast("long").alias("start"), f[4].cast("long").alias("end"), f[6].alias("strand"),
+        names.alias("_names"), values.alias("_values"))
+    attribute = lambda key: last_value(F.col("_names"), F.col("_values"), key)
+    kind = F.coalesce(attribute("gene_type"), attribute("gene_biotype"))
+    cols = [kind.alias(k) if k == "gene_type" else attribute(k).alias(k) for k in ATTRIBUTES]
+    return fields.select("chrom", "feature", "start", "end", "strand", *cols)
 
 
 def read_gtf(spark: SparkSession, path: str) -> DataFrame:
