@@ -51,6 +51,11 @@ def _regions(t):
     return regions.build_regions(annotation.parse_gtf(_gtf_lines(t)))
 
 
+def _genes(t):
+    """The genes alone, which need no other line."""
+    return regions.genes_of(annotation.parse_gtf(_gtf_lines(t)))
+
+
 @query(f"WITH {_REGION_SQL} SELECT * FROM regions")
 def gene_regions(t):
     return _regions(t)[1]
@@ -59,7 +64,7 @@ def gene_regions(t):
 @query("""SELECT 'G' || p_partkey AS gene_id, 'N' || p_partkey AS gene_name, CASE WHEN p_partkey % 11 = 0 THEN 'chrM' ELSE 'chr' || (p_partkey % 7 + 1) END AS chromosome,
 p_partkey * 700 AS "start", p_partkey * 700 + p_size * 40 + 400 AS "end", CASE WHEN p_partkey % 2 = 0 THEN '+' ELSE '-' END AS strand FROM part WHERE p_size % 5 <> 0""")
 def gene_table(t):
-    return _regions(t)[0].select("gene_id", "gene_name", "chromosome", "start", "end", "strand")
+    return _genes(t).select("gene_id", "gene_name", "chromosome", "start", "end", "strand")
 
 
 @query(f"""WITH {_REGION_SQL}, pts AS (SELECT DISTINCT 'chr' || (l_partkey % 7 + 1) AS chromosome, l_partkey * 350 + l_suppkey AS pos FROM lineitem),
@@ -165,7 +170,7 @@ def region_order(t):
 
 @query("""SELECT 'G' || p_partkey AS gene_id, row_number() OVER (ORDER BY 'G' || p_partkey) - 1 AS place FROM part WHERE p_size % 5 <> 0""")
 def gene_order(t):
-    return numbered(_regions(t)[0], [F.col("gene_id")], "place").select("gene_id", "place")
+    return numbered(_genes(t), [F.col("gene_id")], "place").select("gene_id", "place")
 
 
 @query(f"""WITH {_PROBES} SELECT probe_id, locus_id, row_number() OVER (ORDER BY probe_id, locus_id) - 1 AS by_probe, row_number() OVER (ORDER BY locus_id, probe_id) - 1 AS by_locus FROM edges""")
