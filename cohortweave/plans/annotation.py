@@ -73,7 +73,7 @@ FROM pts JOIN regions USING (chromosome) WHERE pos BETWEEN "start" AND "end") SE
 def role_edges(t):
     """Loci to regions: one role per locus and gene, by precedence."""
     pts = t("lineitem").select(F.concat(F.lit("chr"), (F.col("l_partkey") % 7 + 1).cast("string")).alias("chrom"), (F.col("l_partkey") * 350 + F.col("l_suppkey")).alias("pos")).distinct()
-    hits = intervals.points_in_intervals(pts, _regions(t)[1].withColumnRenamed("chromosome", "chrom"))
+    hits = intervals.points_in_intervals(pts, written(_regions(t)[1]).withColumnRenamed("chromosome", "chrom"))
     best = intervals.first_by(hits, ["chrom", "pos", "gene_id"], [regions.role_rank(F.col("region_type")), F.col("region_id")])
     return best.select(F.col("chrom").alias("chromosome"), "pos", "gene_id", "region_id")
 
