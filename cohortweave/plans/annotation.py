@@ -184,12 +184,17 @@ _GRAPH_SQL = f"""{_REGION_SQL}, {_PROBES}, genes AS (SELECT DISTINCT gene_id FRO
 
 
 def _graph(t):
-    """loci, probes, edges, genes, regions and locus-region edges, every fifth of which is left out."""
-    table, edges = loci.build_registry(_probes(t))
-    areas = _regions(t)[1]
+    """loci, probes, edges, genes, regions and locus-region edges, every fifth of which is left out.
+
+    The report and the rules read each of them several times, so each is worked out once and written.
+    """
+    probes = written(_probes(t))
+    table, edges = loci.build_registry(probes)
+    table, edges = written(table), written(edges)
+    areas = written(_regions(t)[1])
     points = table.select("locus_id", F.col("chromosome").alias("chrom"), F.col("position").alias("pos"))
     hits = intervals.points_in_intervals(points, areas.withColumnRenamed("chromosome", "chrom")).filter((F.col("locus_id") + F.length("region_id")) % 5 != 0)
-    return table, _probes(t), edges, areas.select("gene_id").distinct(), areas, hits.select("locus_id", "region_id")
+    return table, probes, edges, areas.select("gene_id").distinct(), areas, written(hits.select("locus_id", "region_id"))
 
 
 @query(f"""WITH {_GRAPH_SQL}, v AS (SELECT 'total' AS section, 'n_loci' AS name, count(*)::DOUBLE AS value FROM loci UNION ALL SELECT 'total', 'n_genes', count(*) FROM genes UNION ALL SELECT 'total', 'n_regions', count(*) FROM regions

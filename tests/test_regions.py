@@ -50,3 +50,8 @@ def test_attributes(spark):
     df = spark.createDataFrame([(f"c\ts\tgene\t1\t2\t.\t+\t.\t{a}",) for a in attrs], "value string").coalesce(1)
     got = [(r.gene_id, r.gene_type, r.gene_name, r.transcript_id, r.exon_number) for r in annotation.parse_gtf(df).collect()]
     assert got == [("B", None, None, None, None), ("A", "k l", None, None, None), ("b", None, None, None, "1"), (None, None, "N", "T", None), (None, "X", None, None, None)]
+
+
+def test_graph_tables_are_worked_out_once(spark):
+    loci, probes, edges, _, areas, links = plans._graph(lambda name: spark.read.parquet(f"{SF}/{name}.parquet"))
+    assert all(hasattr(x, "written_at") for x in (loci, probes, edges, areas, links))
