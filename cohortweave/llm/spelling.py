@@ -109,15 +109,17 @@ def near_pairs(words: DataFrame, short: int = 64) -> DataFrame:
     texts that one letter more makes of it, so their number is bound by its length and the alphabet, not by the corpus. Two words at
     distance one share one key only: the shorter word, or what both leave without the letter that differs. Words of over `short` code
     points send a digest with each key, else they would move their own length squared; their pairs fetch the texts after the join.
+    The joins are by merge, whatever Spark takes the tables for: it knows the files of the words, in which they are packed, and not the
+    dozen rows that each becomes, so it would broadcast those.
     """
     near, size = F.expr("levenshtein(x.word, y.word, 1) = 1"), F.length("word")
     keys = words.filter(size <= short).mapInArrow(_emit("word"), "key long, word string, n long")
-    meet = keys.alias("x").join(keys.alias("y"), F.expr("x.key = y.key AND x.word < y.word AND abs(length(x.word) - length(y.word)) <= 1"))
+    meet = keys.alias("x").join(keys.alias("y").hint("merge"), F.expr("x.key = y.key AND x.word < y.word AND abs(length(x.word) - length(y.word)) <= 1"))
     pairs = [meet.filter(near)]
     long = words.filter(size >= short).withColumn("id", F.unhex(F.md5(F.col("word").cast("binary"))))
     ids = long.mapInArrow(_emit("id"), "key long, id binary, n long").select("key", "id")
-    met = ids.alias("a").join(ids.alias("b"), F.expr("a.key = b.key AND a.id < b.id")).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
-    texts = long.select("id", F.struct("word", "n").alias("w"))
+    met = ids.alias("a").join(ids.alias("b").hint("merge"), F.expr("a.key = b.key AND a.id < b.id")).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    texts = long.select("id", F.struct("word", "n").alias("w")).hint("merge")
     found = met.join(texts.select(F.col("id").alias("a"), F.col("w").alias("v")), "a").join(texts.select(F.col("id").alias("b"), "w"), "b")
     ordered = found.select(F.least("v", "w").alias("x"), F.greatest("v", "w").alias("y"))
     pairs.append(ordered.filter(near & F.expr(f"greatest(length(x.word), length(y.word)) > {short}")))
@@ -128,12 +130,13 @@ def near_pairs(words: DataFrame, short: int = 64) -> DataFrame:
 def follow(links: DataFrame) -> DataFrame:
     """(word, root) of links (word, form): where the forms lead. Each round a root is replaced by its own, so the way left halves.
 
-    A form is at least twice as frequent as its word, so there are no rings and a chain has at most 63 steps: 7 rounds.
+    A form is at least twice as frequent as its word, so there are no rings and a chain has at most 63 steps: 7 rounds. Links grow with
+    the words, so nothing is broadcast.
     """
     state = written(links.select("word", F.col("form").alias("root")))
     while True:
         a, b = state.alias("a"), state.alias("b")
-        hop = a.join(b, F.expr("a.root = b.word"), "left")
+        hop = a.join(b.hint("merge"), F.expr("a.root = b.word"), "left")
         after = written(hop.select("a.word", F.coalesce("b.root", "a.root").alias("root"), F.col("b.root").isNotNull().alias("moved")))
         release(state)
         state = after
@@ -156,10 +159,10 @@ def group_variants(docs: DataFrame, min_chars: int = 5, min_count: int = 3, time
     sides = pairs.select(F.inline(ends))
     best = sides.groupBy("word").agg(F.count("*").alias("n_near"), F.min("best").alias("best"))
     fits = -F.col("best.less") >= times * F.col("n")
-    formed = written(words.join(best, "word", "left").select(
+    formed = written(words.join(best.hint("merge"), "word", "left").select(
         "word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
         F.when(fits, F.col("best.form")).alias("form"), F.when(fits, -F.col("best.less")).alias("form_n")))
     release(words)
     roots = follow(formed.filter("form IS NOT NULL").select("word", "form"))
-    out = formed.join(roots, "word", "left")
+    out = formed.join(roots.hint("merge"), "word", "left")
     return out.select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

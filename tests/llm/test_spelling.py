@@ -70,6 +70,25 @@ def test_variants(spark, rows):
         assert len(got) > 100 and sum(v[0] is None for v in got.values()) > 5 and any(v[0] not in (None, v[1]) for v in got.values())
 
 
+def test_no_words_are_broadcast(spark, monkeypatch):
+    """Small files of words are large once each word is its deletions, so Spark's own choice by size must not count, at any step."""
+    trees, written = [], spelling.written
+
+    def seen(df):
+        df.collect()
+        trees.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df)
+
+    monkeypatch.setattr(spelling, "written", seen)
+    rows = [(i, "wander wanders sander " + "a" * 70 + " " + "a" * 71) for i in range(12)]
+    rows += [(i, "wander " + "a" * 70) for i in range(12, 40)]
+    out = spelling.group_variants(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r.word: (r.form, r.root, r.n, r.n_near, r.form_n) for r in out.collect()}
+    assert got == brute(rows) and got["a" * 71][0] == "a" * 70
+    trees.append(out._jdf.queryExecution().executedPlan().toString())
+    assert sum(t.count("SortMergeJoin") for t in trees) >= 6 and not any("Broadcast" in t for t in trees)
+
+
 def test_follow_long_chain(spark):
     links = spark.createDataFrame([(f"w{i:03}", f"w{i + 1:03}") for i in range(40)] + [("x", "y")], "word string, form string")
     got = {r.word: r.root for r in spelling.follow(links).collect()}
