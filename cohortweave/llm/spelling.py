@@ -110,7 +110,7 @@ def near_pairs(words: DataFrame, short: int = 64) -> DataFrame:
     distance one share one key only: the shorter word, or what both leave without the letter that differs. Words of over `short` code
     points send a digest with each key, else they would move their own length squared; their pairs fetch the texts after the join.
     The joins are by merge, whatever Spark takes the tables for: it knows the files of the words, in which they are packed, and not the
-    dozen rows that each becomes, so it would broadcast those.
+    rows that each becomes, one a letter and more, so it would broadcast those.
     """
     near, size = F.expr("levenshtein(x.word, y.word, 1) = 1"), F.length("word")
     keys = words.filter(size <= short).mapInArrow(_emit("word"), "key long, word string, n long")
